@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm._text import U64, VISIBLE, mix, pieces, runs, seeded, shingles, text_bytes, tokenize
 
@@ -96,7 +97,7 @@ def _fingerprints(at: int, bins: int, bits: int, width: int):
 def fingerprints(documents: DataFrame, bins: int = BINS, bits: int = BITS, width: int = WIDTH) -> DataFrame:
     """The documents with a column `fingerprint`; a null or blank text has ''. An own column of that name is replaced."""
     rows = documents.drop("fingerprint")
-    ddl = rows.schema.add("fingerprint", "string")
+    ddl = T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.StringType())])
     return rows.mapInArrow(_fingerprints(rows.columns.index("text"), bins, bits, width), ddl)
 
 
