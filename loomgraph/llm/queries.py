@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontam, fingerprint, quality, secrets
+from loomgraph.llm import chat, decontam, fingerprint, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_hostile(spark, _table(spark, sf_dir, "conversations"))).drop("problem")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -30,10 +34,52 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op8_quality": op8_quality,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+#: Marks of the chat template by role (before and after), and all its control strings.
+_MARKS = {"system": (len("<<SYS>>\n"), len("\n<</SYS>>\n\n")), "user": (len("<s>[INST] "), len(" [/INST]")), "assistant": (len(" "), len(" </s>"))}
+_CONTROLS = chat.Template().controls()
+_ESCAPES = lambda x: " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in [*_CONTROLS, "\\"])
+
+ORACLES: dict[str, str] = {
+    "op4_chat": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), t AS (
+            SELECT *, length(text) + {_ESCAPES("text")} + CASE role
+                {" ".join(f"WHEN '{r}' THEN {a + b}" for r, (a, b) in _MARKS.items())}
+                ELSE length(role) + {_ESCAPES("role")} + {sum(len(m) for m in chat.Template().other[:3])} END AS n
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(n) AS BIGINT) AS formatted_chars,
+            regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
+        FROM t GROUP BY conv_id""",
+    "op5_decontamination": r"""
+        WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+        d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, letters),
+        bw AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS m, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i : i + least(len(w), 10) - 1], ' '))) AS g
+            FROM b WHERE len(w) > 0
+        ),
+        dw AS (
+            SELECT r, m, unnest(range(1, len(w) - m + 2)) AS i, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS g
+            FROM d, (SELECT DISTINCT m FROM bw)
+        ),
+        hit AS (SELECT r, item_id, m, i FROM dw JOIN bw USING (m, g)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+}
