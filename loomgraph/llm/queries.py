@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import chat, decontam, fingerprint, packing, quality, secrets, tokenbin
+from loomgraph.llm import chat, dartminhash, decontam, fingerprint, packing, quality, secrets, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_hostile(spark, _table(spark, sf_dir, "conversations"))).drop("problem")
 
@@ -42,6 +46,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
