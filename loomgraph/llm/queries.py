@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import chat, dartminhash, decontam, fingerprint, packing, quality, secrets, tokenbin
+from loomgraph.llm import chat, dartminhash, decontam, fingerprint, packing, quality, secrets, suffix_dedup, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_chat": op4_chat,
     "op5_decontamination": op5_decontamination,
