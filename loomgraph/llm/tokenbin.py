@@ -9,7 +9,9 @@ starts from the end and decompresses only the frames of the documents asked for.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,74 +41,103 @@ class Encoder:
     """Ids of texts by the tokenizers library, encoding each distinct stretch between spaces once.
 
     A byte-level pre-tokenizer always starts a new piece at a space between two characters that are no
-    white space, so the ids of a text are those of its stretches in a row.  The memory of stretches is
-    bounded: it starts anew when it is full.
+    white space, so the ids of a text are those of its stretches in a row.  Stretches not met before are
+    encoded many at a time, with the end-of-text token, which splits a text like nothing else, between
+    them.  The memory of stretches is bounded: when it is full, the half that came first, which holds the
+    common ones, stays.
     """
 
-    def __init__(self, path: str, room: int = 400_000, size: int = 1 << 24) -> None:
+    RAW = "\0"  # marks a stretch without a space before it
+
+    def __init__(self, path: str, room: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room, self.size = room, size
-        self._reset()
-
-    def _reset(self) -> None:
+        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.room = room
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.used = 0
-        self.at = np.zeros(1 << 12, np.int64)
-        self.n = np.zeros(1 << 12, np.int64)
+        self.at = np.zeros((1 << 12) + 1, np.int64)
 
     def _learn(self, stretches: list[str]) -> None:
-        for lo in range(0, len(stretches), 4096):
-            some = stretches[lo : lo + 4096]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-            total, base = int(lengths.sum()), len(self.known)
-            while len(self.ids) < self.used + total:
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while len(self.at) < base + len(some):
-                self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-                self.n = np.concatenate([self.n, np.zeros_like(self.n)])
-            self.ids[self.used : self.used + total] = np.concatenate([np.asarray(c, np.uint32) for c in coded]) if total else []
-            self.at[base : base + len(some)] = self.used + np.cumsum(lengths) - lengths
-            self.n[base : base + len(some)] = lengths
-            self.known.update(zip(some, range(base, base + len(some)), strict=True))
-            self.used += total
-
-    @staticmethod
-    def stretches(text: str) -> list[str]:
-        """The text cut before each single space between two characters that are no white space."""
+        full = [s[1:] if s.startswith(self.RAW) else " " + s for s in stretches]
+        coded: list[np.ndarray] = []
+        for lo in range(0, len(full), 2048):
+            some = full[lo : lo + 2048]
+            if any(self.mark in s for s in some):
+                coded += [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                continue
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            coded += [c[1:] if k else c for k, c in enumerate(np.split(ids, np.flatnonzero(ids == self.mark_id)))]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        base = len(self.known)
+        used, total = int(self.at[base]), int(lengths.sum())
+        while len(self.ids) < used + total:
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(self.at) <= base + len(coded):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        if total:
+            self.ids[used : used + total] = np.concatenate(coded)
+        self.at[base + 1 : base + 1 + len(coded)] = used + np.cumsum(lengths)
+        self.known.update(zip(stretches, range(base, base + len(coded)), strict=True))
+
+    _apart = re.compile(r"\s | \s")
+
+    def stretches(self, text: str) -> list[str]:
+        """The text cut before each single space between two characters that are no white space; that space is left out."""
+        if self.RAW in text:
+            return [self.RAW + text]
         parts = text.split(" ")
-        out = [parts[0]]
-        joined = False
+        parts[0] = self.RAW + parts[0]
+        if len(parts) == 1 or not (self._apart.search(text) or text[0] == " " or text[-1] == " "):
+            return parts
+        out = parts[:1]
+        joined = not text or text[0] == " " or out[0][-1].isspace()
         for p in parts[1:]:
-            before = out[-1]
-            if joined or not before or before[-1].isspace() or not p or p[0].isspace():
-                out[-1] = before + " " + p
-                joined = not p or p[-1].isspace()
+            if joined or not p or p[0].isspace():
+                out[-1] += " " + p
             else:
-                out.append(" " + p)
-                joined = p[-1].isspace()
+                out.append(p)
+            joined = not p or p[-1].isspace()
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per text), each text with the end id after it."""
+        if len(self.known) > self.room:
+            self.known = dict(itertools.islice(self.known.items(), self.room // 2))
         cut = [self.stretches(t) for t in texts]
-        if len(self.known) > self.room or self.used > self.size:
-            self._reset()
-        known = self.known
-        if fresh := list(dict.fromkeys(s for c in cut for s in c if s not in known)):
-            self._learn(fresh)
-        which = np.fromiter((known[s] for c in cut for s in c), np.int64, sum(map(len, cut)))
-        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        lengths = self.n[which]
-        ends = np.cumsum(lengths)
-        source = np.repeat(self.at[which] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-        bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        ids = np.insert(self.ids[source], bound[1:], END_ID)
-        return ids, np.diff(bound) + 1
+        flat = list(itertools.chain.from_iterable(cut))
+        which = np.fromiter(map(self.known.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            fresh = [flat[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            which[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        ends_of = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        begin = self.at[which]
+        lengths = self.at[which + 1] - begin
+        # one slot more after the last stretch of each text, for the end id
+        room = lengths.copy()
+        room[ends_of - 1] += 1
+        ends = np.cumsum(room)
+        source = np.repeat(begin - ends + room, room) + np.arange(int(ends[-1]) if len(ends) else 0)
+        bound = ends[ends_of - 1]
+        source[bound - 1] = 0
+        ids = self.ids[source]
+        ids[bound - 1] = END_ID
+        return ids, np.diff(bound, prepend=0)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's own encoder, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _open(url: str) -> tuple[pafs.FileSystem, str]:
@@ -211,7 +242,7 @@ def default_tokenizer() -> str:
 
 def _write(url: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         writer, shard = None, None
         for batch in pieces(batches, "text", 2 << 20):
             shards = batch.column("shard").to_numpy()
@@ -247,7 +278,7 @@ def write(documents: DataFrame, url: str, tokenizer: str | None = None, shard_by
     if bounds:
         edges = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
         shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
-    rows = docs.withColumn("shard", shard.cast("int")).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "text")
+    rows = docs.withColumn("shard", shard.cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
     got = rows.mapInArrow(_write(url, tokenizer or default_tokenizer()), "shard int, n_ids long").toArrow().to_pylist()
     return spark.createDataFrame([(r["shard"], r["n_ids"]) for r in got], "shard int, n_ids long")
 

@@ -11,7 +11,7 @@ PATH = tokenbin.default_tokenizer()
 
 def test_ids_equal_whole_texts():
     rng = random.Random(3)
-    bits = [" ", "  ", "\n", "\t", "a", "don't", "É", "1234", "...", " ", " ", "<|endoftext|>", "the", "\x1c", "\x85", "word", "漢字", "'s", " \n", "😀", "​"]
+    bits = [" ", "  ", "\n", "\t", "a", "don't", "É", "1234", "...", " ", " ", "<|endoftext|>", "the", "\x1c", "\x85", "word", "漢字", "\0", "\0x", "'s", " \n", "😀", "​"]
     texts = ["", " ", "  a", "a  ", "a b", "a \n b"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
     plain = Tokenizer.from_file(PATH)
     coder = tokenbin.Encoder(PATH, room=500)
