@@ -41,10 +41,10 @@ class Encoder:
     """Ids of texts by the tokenizers library, encoding each distinct stretch between spaces once.
 
     A byte-level pre-tokenizer always starts a new piece at a space between two characters that are no
-    white space, so the ids of a text are those of its stretches in a row.  Stretches not met before are
-    encoded many at a time, with the end-of-text token, which splits a text like nothing else, between
-    them.  The memory of stretches is bounded: when it is full, the half that came first, which holds the
-    common ones, stays.
+    white space, and at a line end between two such, so the ids of a text are those of its stretches in a
+    row.  Stretches not met before are encoded some at a time, and told apart by the tokens that start with
+    a space.  The memory of stretches is bounded: when it is full, the half that came first, which holds
+    the common ones, stays.
     """
 
     RAW = "\0"  # marks a stretch without a space before it
@@ -54,45 +54,53 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special)
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.room = room
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how a byte-level vocabulary writes a space
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros((1 << 12) + 1, np.int64)
 
+    #: Stretches encoded in one text.
+    BUNDLE = 32
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, stretches: list[str]) -> None:
-        full = [s[1:] if s.startswith(self.RAW) else " " + s for s in stretches]
-        coded: list[np.ndarray] = []
-        for lo in range(0, len(full), 2048):
-            some = full[lo : lo + 2048]
-            if any(self.mark in s for s in some):
-                coded += [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                continue
-            ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            coded += [c[1:] if k else c for k, c in enumerate(np.split(ids, np.flatnonzero(ids == self.mark_id)))]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        rough = re.compile(r"\0|\s|<\|")
+        simple = [s for s in stretches if s and not rough.search(s)]
+        other = [s for s in stretches if not s or rough.search(s)]
+        step = self.BUNDLE
+        ids = np.fromiter(itertools.chain.from_iterable(self._ids([" " + " ".join(simple[i : i + step]) for i in range(0, len(simple), step)])), np.uint32)
+        first = np.flatnonzero(self.spaced[ids])
+        lengths = np.diff(np.append(first, len(ids)))
+        single = self._ids([s[1:] if s.startswith(self.RAW) else " " + s for s in other])
+        ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(single), np.uint32)])
+        lengths = np.concatenate([lengths, np.fromiter(map(len, single), np.int64, len(single))])
+        if len(lengths) != len(stretches):
+            raise ValueError("the tokenizer joined stretches")
         base = len(self.known)
-        used, total = int(self.at[base]), int(lengths.sum())
+        used, total = int(self.at[base]), len(ids)
         while len(self.ids) < used + total:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.at) <= base + len(coded):
+        while len(self.at) <= base + len(lengths):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        if total:
-            self.ids[used : used + total] = np.concatenate(coded)
-        self.at[base + 1 : base + 1 + len(coded)] = used + np.cumsum(lengths)
-        self.known.update(zip(stretches, range(base, base + len(coded)), strict=True))
+        self.ids[used : used + total] = ids
+        self.at[base + 1 : base + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.known.update(zip(itertools.chain(simple, other), range(base, base + len(lengths)), strict=True))
 
-    _apart = re.compile(r"\s | \s")
+    _apart = re.compile(r"\s\s|^\s|\s\Z")
 
     def stretches(self, text: str) -> list[str]:
-        """The text cut before each single space between two characters that are no white space; that space is left out."""
+        """The text cut at single spaces and line ends between characters that are no white space; the spaces are left out."""
         if self.RAW in text:
             return [self.RAW + text]
+        if not self._apart.search(text):
+            return (self.RAW + text.replace("\n", " \0\n \0")).split(" ")
         parts = text.split(" ")
         parts[0] = self.RAW + parts[0]
-        if len(parts) == 1 or not (self._apart.search(text) or text[0] == " " or text[-1] == " "):
-            return parts
         out = parts[:1]
         joined = not text or text[0] == " " or out[0][-1].isspace()
         for p in parts[1:]:
@@ -122,7 +130,8 @@ class Encoder:
         room = lengths.copy()
         room[ends_of - 1] += 1
         ends = np.cumsum(room)
-        source = np.repeat(begin - ends + room, room) + np.arange(int(ends[-1]) if len(ends) else 0)
+        source = np.repeat(begin - ends + room, room)
+        source += np.arange(len(source))
         bound = ends[ends_of - 1]
         source[bound - 1] = 0
         ids = self.ids[source]
