@@ -42,7 +42,3 @@ def save(df: DataFrame, url: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(url)
     return df.sparkSession.read.schema(df.schema).parquet(url)
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a table, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
