@@ -92,13 +92,20 @@ class Encoder:
         self.known.update(zip(itertools.chain(simple, other), range(base, base + len(lengths)), strict=True))
 
     _apart = re.compile(r"\s\s|^\s|\s\Z")
+    _odd_stop = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ][.,] ")
 
     def stretches(self, text: str) -> list[str]:
-        """The text cut at single spaces and line ends between characters that are no white space; the spaces are left out."""
+        """The text cut at single spaces and line ends between characters that are no white space; the spaces are left out.
+
+        A full stop or comma at the end of a stretch is cut off too, if it always follows a Latin letter or a digit.
+        """
         if self.RAW in text:
             return [self.RAW + text]
         if not self._apart.search(text):
-            return (self.RAW + text.replace("\n", " \0\n \0")).split(" ")
+            cut = self.RAW + text.replace("\n", " \0\n \0")
+            if not self._odd_stop.search(cut):
+                cut = cut.replace(", ", " \0, ").replace(". ", " \0. ")
+            return cut.split(" ")
         parts = text.split(" ")
         parts[0] = self.RAW + parts[0]
         out = parts[:1]
