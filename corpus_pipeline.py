@@ -1,13 +1,62 @@
-"""The training-corpus pipeline: stages of the ten operators over `documents`, each written and reread."""
+"""The training-corpus pipeline: stages of the ten operators over `documents`, each written and reread.
+
+quality (documents scored below the threshold go), near duplicates (one document of each class stays),
+decontamination (documents that hold a benchmark window go), secrets (spans are replaced by a mark), and
+packing (which gives a row per piece of a document, not the documents).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from loomgraph.llm import _store, dartminhash, decontam, packing, quality, secrets
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps; it learns from labelled documents outside the held-out fold."""
+    return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the least doc_id."""
+    return dartminhash.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without any window of the benchmark."""
+    return decontam.remove_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret."""
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes: doc_id, fragment, start, length, bin_id, capacity, bin_offset."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL expresses neither the classifier nor the signatures; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`, each written to the shared folder and read again."""
+    folder = _store.new_folder(spark, "pipeline")
+    docs = _table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = _store.save(stage(spark, docs, sf_dir), f"{folder}/{i}-{name}")
+    return docs
