@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm._text import WORD, pieces, runs, take_text, text_bytes, tokenize, windows
+from loomgraph.llm._text import WORD, Tokens, pieces, runs, take_text, text_bytes, tokenize, windows
 
 NGRAM = 10
 #: Windows broadcast at once; beyond it the benchmark is taken in blocks of this size, each against all documents.
@@ -61,34 +59,37 @@ class _HashSet:
         self.by_width = {w: (np.array(sorted(g), dtype=np.uint64), g) for w, g in grouped.items()}
 
 
+def _find(table: _HashSet, column: pa.Array) -> tuple[Tokens, np.ndarray, np.ndarray, list[set]]:
+    """(tokens, first token of each text and the end, hit tokens, matched items of each text)."""
+    tok = tokenize(*text_bytes(column), WORD)
+    change = np.zeros(len(tok.hash) + 1, np.int32)
+    items: list[set] = [set() for _ in range(len(column))]
+    for width, (hashes, texts) in table.by_width.items():
+        found, first = windows(tok, width)
+        if not len(found):
+            continue
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        for k in np.flatnonzero(hashes[at] == found).tolist():
+            i = int(first[k])
+            if ids := texts[int(found[k])].get(take_text(tok, i, width)):
+                items[int(tok.doc[i])].update(ids)
+                change[i] += 1
+                change[i + width] -= 1
+    begin = np.searchsorted(tok.doc, np.arange(len(column) + 1))
+    return tok, begin, np.flatnonzero(np.cumsum(change[:-1]) > 0), items
+
+
 def _scan(known, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
         for batch in pieces(batches, "text"):
-            tok = tokenize(*text_bytes(batch.column("text")), WORD)
-            n = batch.num_rows
-            change = np.zeros(len(tok.hash) + 1, np.int32)
-            items: list[set] = [set() for _ in range(n)]
-            for width, (hashes, texts) in table.by_width.items():
-                found, first = windows(tok, width)
-                if not len(found):
-                    continue
-                at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                for k in np.flatnonzero(hashes[at] == found).tolist():
-                    i = int(first[k])
-                    if ids := texts[int(found[k])].get(take_text(tok, i, width)):
-                        items[int(tok.doc[i])].update(ids)
-                        change[i] += 1
-                        change[i + width] -= 1
-            hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-            begin = np.searchsorted(tok.doc, np.arange(n + 1))
-            local = hit - begin[tok.doc[hit]]
-            cut = np.searchsorted(tok.doc[hit], np.arange(n + 1)).astype(np.int32)
+            tok, begin, hit, items = _find(known.value, batch.column("text"))
+            of = tok.doc[hit]
+            cut = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(k) for k in keys),
                     pa.array(np.diff(begin), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(local, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(cut), pa.array(hit - begin[of], pa.int32())),
                     pa.array([sorted(map(str, s)) for s in items], pa.list_(pa.string())),
                 ],
                 names=[*keys, "n_words", "hits", "items"],
@@ -133,50 +134,57 @@ def scan(documents: DataFrame, benchmark: DataFrame, keys: list[str], width: int
     return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*keys, "n_words", "hits", "items")
 
 
-def _clean(known, at: int, width: int):
+def _clean(known, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scan(known, [])
-        for batch in pieces(batches, "text"):
-            raw, offs = text_bytes(batch.column("text"))
-            tok = tokenize(raw, offs, WORD)
-            hits = next(scanner(iter([pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])]))).column("hits")
-            texts = batch.column("text").to_pylist()
-            begin = np.searchsorted(tok.doc, np.arange(batch.num_rows + 1))
-            for d in np.flatnonzero(pc.list_value_length(hits).to_numpy(zero_copy_only=False) > 0).tolist():
-                words = hits[d].values.to_numpy() + begin[d]
+        for batch in pieces(batches, at):
+            column = batch.column(at)
+            raw, offs = text_bytes(column)
+            tok, _, hit, _ = _find(known.value, column)
+            texts = column.to_pylist()
+            bound = np.searchsorted(tok.doc[hit], np.arange(batch.num_rows + 1))
+            for d in np.flatnonzero(np.diff(bound)).tolist():
+                words = hit[bound[d] : bound[d + 1]]
                 cut = runs(words - np.arange(len(words)))
-                ends = np.append(cut[1:], len(words))
                 kept, last = [], int(offs[d])
-                for a, b in zip(cut, ends, strict=True):
+                for a, b in zip(cut, np.append(cut[1:], len(words)), strict=True):
                     kept.append(raw[last : tok.start[words[a]]].tobytes())
                     last = int(tok.end[words[b - 1]])
-                kept.append(raw[last : offs[d + 1]].tobytes())
-                texts[d] = b"".join(kept).decode()
+                texts[d] = b"".join([*kept, raw[last : offs[d + 1]].tobytes()]).decode()
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return run
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, width: int = NGRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The documents with every hit word, and what stands between neighbouring ones, cut out of `text`.
+def _keep(known, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, at):
+            tok, _, hit, _ = _find(known.value, batch.column(at))
+            yield batch.filter(pa.array(np.bincount(tok.doc[hit], minlength=batch.num_rows) == 0))
 
-    Blocks of the benchmark beyond `max_windows` are cut one after another, so a block may also match
-    words that an earlier cut brought together.  A row whose text has no hit stays as it is, null
-    included; other columns are carried through whatever their names.
-    """
+    return run
+
+
+def _in_blocks(documents: DataFrame, benchmark: DataFrame, width: int, max_windows: int, step) -> DataFrame:
+    """The documents after one pass for each block of the benchmark's windows."""
+    at = documents.columns.index("text")
     grams = benchmark_windows(benchmark, width)
     blocks = max(1, -(-grams.count() // max_windows))
-    at = documents.columns.index("text")
     for b in range(blocks):
         part = grams if blocks == 1 else grams.filter(F.pmod("hash", F.lit(blocks)) == b)
         held = documents.sparkSession.sparkContext.broadcast(_HashSet(part.collect()))
-        documents = documents.mapInArrow(_clean(held, at, width), documents.schema)
+        documents = documents.mapInArrow(step(held, at), documents.schema)
     return documents
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def remove_spans(documents: DataFrame, benchmark: DataFrame, width: int = NGRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The documents with every hit word, and what stands between neighbouring ones, cut out of `text`.
+
+    Blocks of the benchmark beyond `max_windows` are cut one after another, so a block may also match
+    words that an earlier cut brought together.  A row whose text has no hit stays as it is, null
+    included; other columns are carried through whatever their names.
+    """
+    return _in_blocks(documents, benchmark, width, max_windows, _clean)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = NGRAM) -> DataFrame:
@@ -193,23 +201,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = NGRAM
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, width: int = NGRAM, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """The documents, as they are, that hold no benchmark window."""
-    at = documents.columns.index("text")
-    grams = benchmark_windows(benchmark, width)
-    blocks = max(1, -(-grams.count() // max_windows))
-
-    def keep(known):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = _scan(known, [])
-            for batch in pieces(batches, batches_name):
-                found = next(scanner(iter([pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])])))
-                yield batch.filter(pc.equal(pc.list_value_length(found.column("hits")), 0))
-
-        return run
-
-    batches_name = at
-    for b in range(blocks):
-        part = grams if blocks == 1 else grams.filter(F.pmod("hash", F.lit(blocks)) == b)
-        held = documents.sparkSession.sparkContext.broadcast(_HashSet(part.collect()))
-        documents = documents.mapInArrow(keep(held), documents.schema)
-    return documents
+    """The documents, as they are, that hold no benchmark window; null and empty texts hold none."""
+    return _in_blocks(documents, benchmark, width, max_windows, _keep)
