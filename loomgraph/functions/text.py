@@ -47,9 +47,11 @@ def normalize_name(name: Column) -> Column:
 
 def match_key(name: Column) -> Column:
     """Lower case without legal suffixes (each tried once, in order), separators - _ . and white space; '' for NULL."""
-    key = F.lower(strip(F.coalesce(name, F.lit(""))))
-    for suffix in LEGAL_SUFFIXES:
-        key = F.when(F.endswith(key, F.lit(suffix)), strip(F.left(key, F.length(key) - len(suffix)))).otherwise(key)
+    key = F.aggregate(
+        F.array(*[F.lit(s) for s in LEGAL_SUFFIXES]),
+        F.lower(strip(F.coalesce(name, F.lit("")))),
+        lambda k, s: F.when(F.endswith(k, s), strip(F.left(k, F.length(k) - F.length(s)))).otherwise(k),
+    )
     return F.regexp_replace(F.regexp_replace(key, r"[-_.]", ""), r"(?U)\s+", "")
 
 

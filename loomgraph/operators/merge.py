@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def in_order(value: str, pos: str = "pos") -> Column:
     """All values of a group in order of `pos`, as an array."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))), lambda s: s["v"])
+    by_place = lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0)
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))), by_place), lambda s: s["v"])
 
 
 def first_of(value: str | Column, pos: str = "pos") -> Column:

@@ -74,8 +74,8 @@ def similar_pairs(rows: DataFrame, low: float, high: float | None = None, kind:
     """
     base = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
     base = base.select((F.col(kind) if kind else F.lit(0)).alias("kind"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    size = base.groupBy("kind").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = base.join(size, base["kind"].eqNullSafe(size["kind"])).select(base["kind"], "id", "vector", "blocks")
+    size = base.groupBy(F.col("kind").alias("_kind")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = base.join(size, F.col("kind").eqNullSafe(F.col("_kind"))).select("kind", "id", "vector", "blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.select("kind", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "vector")
     types = {f.name: f.dataType.simpleString() for f in met.schema}

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from loomgraph.plans import catalog, graph_catalog  # noqa: F401  (the second adds its queries to the first)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k.rstrip("_"): v for k, v in catalog.QUERIES.items()}
+ORACLES: dict[str, str] = {k.rstrip("_"): v for k, v in catalog.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by source: the size of each source's event collection."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    """Reports grouped into events, with the events' metadata and strategy."""
+    return catalog.event_metadata(spark, sf_dir)
