@@ -42,7 +42,8 @@ class Encoder:
 
     A byte-level pre-tokenizer always starts a new piece at a space between two characters that are no
     white space, and at a line end between two such, so the ids of a text are those of its stretches in a
-    row.  Stretches not met before are encoded some at a time, and told apart by the tokens that start with
+    row.  Texts are cut at all spaces and line ends at once, and those where that was wrong are cut with
+    care and encoded apart.  Stretches not met before are encoded some at a time, and told apart by the tokens that start with
     a space.  The memory of stretches is bounded: when it is full, the half that came first, which holds
     the common ones, stays.
     """
@@ -59,6 +60,8 @@ class Encoder:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how a byte-level vocabulary writes a space
         self.known: dict[str, int] = {}
+        self.latin = np.zeros(1 << 12, dtype=bool)
+        self.stop = np.zeros(1 << 12, dtype=bool)
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros((1 << 12) + 1, np.int64)
 
@@ -68,7 +71,8 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stretches: list[str]) -> None:
+    def _learn(self, stretches: list[str]) -> list[str]:
+        """Encode stretches; returns them in the order of their numbers."""
         rough = re.compile(r"\0|\s|<\|")
         simple = [s for s in stretches if s and not rough.search(s)]
         other = [s for s in stretches if not s or rough.search(s)]
@@ -89,27 +93,35 @@ class Encoder:
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.ids[used : used + total] = ids
         self.at[base + 1 : base + 1 + len(lengths)] = used + np.cumsum(lengths)
-        self.known.update(zip(itertools.chain(simple, other), range(base, base + len(lengths)), strict=True))
+        order = simple + other
+        self.known.update(zip(order, range(base, base + len(order)), strict=True))
+        return order
 
-    _apart = re.compile(r"\s\s|^\s|\s\Z")
-    _odd_stop = re.compile("[^A-Za-z0-9À-ÖØ-öø-ÿ][.,] ")
+    #: Cut off at the end of a stretch, if a Latin letter or a digit stands before it.
+    STOPS = (RAW + ".", RAW + ",")
+    _before_stop = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") | frozenset(chr(i) for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7))
 
-    def stretches(self, text: str) -> list[str]:
-        """The text cut at single spaces and line ends between characters that are no white space; the spaces are left out.
+    def _quick(self, text: str) -> list[str]:
+        """The text cut at all spaces and line ends, and before stops there; right only if no stretch is `_wrong`."""
+        if self.RAW in text:
+            return [self.RAW + text]
+        return (self.RAW + text.replace("\n", " \0\n \0")).replace(", ", " \0, ").replace(". ", " \0. ").split(" ")
+
+    def _wrong(self, stretch: str) -> bool:
+        """Whether a cut beside this stretch has white space on both sides."""
+        if stretch == "\0\n":
+            return False
+        if not stretch or stretch == self.RAW or stretch[-1].isspace():
+            return True
+        return stretch[0] == self.RAW and self.RAW not in stretch[1:] and stretch[1].isspace()
 
-        A full stop or comma at the end of a stretch is cut off too, if it always follows a Latin letter or a digit.
-        """
+    def stretches(self, text: str) -> list[str]:
+        """The text cut before each single space between two characters that are no white space; that space is left out."""
         if self.RAW in text:
             return [self.RAW + text]
-        if not self._apart.search(text):
-            cut = self.RAW + text.replace("\n", " \0\n \0")
-            if not self._odd_stop.search(cut):
-                cut = cut.replace(", ", " \0, ").replace(". ", " \0. ")
-            return cut.split(" ")
         parts = text.split(" ")
-        parts[0] = self.RAW + parts[0]
-        out = parts[:1]
-        joined = not text or text[0] == " " or out[0][-1].isspace()
+        out = [self.RAW + parts[0]]
+        joined = not parts[0] or parts[0][-1].isspace()
         for p in parts[1:]:
             if joined or not p or p[0].isspace():
                 out[-1] += " " + p
@@ -118,19 +130,44 @@ class Encoder:
             joined = not p or p[-1].isspace()
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids per text), each text with the end id after it."""
-        if len(self.known) > self.room:
-            self.known = dict(itertools.islice(self.known.items(), self.room // 2))
-        cut = [self.stretches(t) for t in texts]
-        flat = list(itertools.chain.from_iterable(cut))
+    def _numbers(self, flat: list[str]) -> np.ndarray:
+        """The number of each stretch in memory; of one that a quick cut must not make, -1."""
         which = np.fromiter(map(self.known.get, flat, itertools.repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(which < 0)
         if len(missing):
             fresh = [flat[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(fresh)))
-            which[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
-        ends_of = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+            fine = [s for s in dict.fromkeys(fresh) if not self._wrong(s)]
+            base = len(self.known)
+            added = self._learn(fine)
+            while len(self.latin) < len(self.known):
+                self.latin = np.concatenate([self.latin, np.zeros_like(self.latin)])
+                self.stop = np.concatenate([self.stop, np.zeros_like(self.stop)])
+            self.latin[base : base + len(added)] = [s[-1] in self._before_stop for s in added]
+            self.stop[base : base + len(added)] = [s in self.STOPS for s in added]
+            which[missing] = np.fromiter(map(self.known.get, fresh, itertools.repeat(-1)), np.int64, len(fresh))
+        return which
+
+    def _slow(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number per text) of texts whose quick cuts are wrong, each careful stretch encoded anew."""
+        cut = [self.stretches(t) for t in texts]
+        coded = self._ids([s[1:] if s.startswith(self.RAW) else " " + s for c in cut for s in c])
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        per = np.add.reduceat(lengths, np.concatenate([[0], ends[:-1]]))
+        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32), per
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids per text), each text with the end id after it."""
+        if len(self.known) > self.room:
+            self.known = dict(itertools.islice(self.known.items(), self.room // 2))
+        cut = [self._quick(t) for t in texts]
+        which = self._numbers(list(itertools.chain.from_iterable(cut)))
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        bad = which < 0
+        bad[1:] |= self.stop[which[1:]] & ~self.latin[which[:-1]]
+        ends_of = np.cumsum(count)
+        worse = np.add.reduceat(bad, ends_of - count) > 0 if len(cut) else np.zeros(0, dtype=bool)
+        which[bad] = 0
         begin = self.at[which]
         lengths = self.at[which + 1] - begin
         # one slot more after the last stretch of each text, for the end id
@@ -143,7 +180,17 @@ class Encoder:
         source[bound - 1] = 0
         ids = self.ids[source]
         ids[bound - 1] = END_ID
-        return ids, np.diff(bound, prepend=0)
+        sizes = np.diff(bound, prepend=0)
+        if not worse.any():
+            return ids, sizes
+        again, per = self._slow([texts[i] for i in np.flatnonzero(worse).tolist()])
+        at, parts, begin = 0, [], bound - sizes
+        spare = iter(np.split(again, np.cumsum(per)[:-1]))
+        for i in np.flatnonzero(worse).tolist():
+            parts += [ids[at : begin[i]], next(spare), np.array([END_ID], np.uint32)]
+            at = bound[i]
+        sizes[worse] = per + 1
+        return np.concatenate([*parts, ids[at:]]), sizes
 
 
 _encoders: dict[str, Encoder] = {}
