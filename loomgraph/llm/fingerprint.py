@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm._ranges import with_range
 from loomgraph.llm._text import U64, VISIBLE, mix, pieces, runs, seeded, shingles, text_bytes, tokenize
 
 BINS = 256
 BITS = 4
 WIDTH = 5
-#: Bytes of text in a range of neighbouring documents, and the most ranges there may be.
+#: Bytes of text in a range of neighbouring documents.
 RANGE_BYTES = 24 << 20
-MAX_RANGES = 100_000
 
 
 def _densify(sketch: np.ndarray, filled: np.ndarray) -> np.ndarray:
@@ -101,16 +101,6 @@ def fingerprints(documents: DataFrame, bins: int = BINS, bits: int = BITS, width
     return rows.mapInArrow(_fingerprints(rows.columns.index("text"), bins, bits, width), ddl)
 
 
-def _ranges(documents: DataFrame, range_bytes: int) -> tuple[DataFrame, list]:
-    """Lower bounds of ranges of doc_id with about `range_bytes` of text each, and the documents' sizes."""
-    stats = documents.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = int(min(MAX_RANGES, max(1, (stats[0] or 0) // range_bytes, 1)))
-    if n == 1:
-        return documents, []
-    bounds = documents.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    return documents, sorted(set(bounds))
-
-
 def _neighbours(bins: int, bits: int, width: int):
     """Over rows (part, guard, doc_id, text) in order: each with the text that follows it in its part."""
 
@@ -176,22 +166,18 @@ def edit_check(documents: DataFrame, bins: int = BINS, bits: int = BITS, width:
     A sole document follows itself.  An empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs, bounds = _ranges(docs, range_bytes)
-    part = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
-    parts = len(bounds) + 1
-    heads = {r["part"]: r for r in docs.groupBy(part.alias("part")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id", F.xxhash64("text").alias("h"))).alias("m")).select("part", "m.*").collect()}
+    docs, parts = with_range(docs, range_bytes)
+    head = F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id")).alias("m")
+    heads = {r["part"]: r for r in docs.groupBy("part").agg(head).select("part", "m.*").collect()}
     order = sorted(heads)
     guards = []
     for i, p in enumerate(order):
         head = heads[order[(i + 1) % len(order)]]
         guards.append((p, head["doc_id"]))
-    rows = docs.select(part.alias("part"), F.lit(False).alias("guard"), "doc_id", "text")
+    rows = docs.select("part", F.lit(False).alias("guard"), "doc_id", "text")
     if guards:
         wanted = F.broadcast(documents.sparkSession.createDataFrame(guards, "to int, head long"))
         firsts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["head"])).groupBy("to").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
         rows = rows.unionByName(firsts.select(F.col("to").alias("part"), F.lit(True).alias("guard"), "doc_id", "text"))
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "guard", "doc_id", "text").mapInArrow(_neighbours(bins, bits, width), ddl)
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guard", "doc_id", "text").mapInArrow(_neighbours(bins, bits, width), ddl)

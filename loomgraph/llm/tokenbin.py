@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import _store
+from loomgraph.llm._ranges import with_range
 from loomgraph.llm._text import pieces
 
 END_ID = 2
@@ -334,14 +335,8 @@ def write(documents: DataFrame, url: str, tokenizer: str | None = None, shard_by
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(100_000, size // shard_bytes + 1))
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
-    shard = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(int(b)).cast("long") for b in bounds])
-        shard = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))))
-    rows = docs.withColumn("shard", shard.cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    dealt, n = with_range(docs, shard_bytes)
+    rows = dealt.withColumnRenamed("part", "shard").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
     got = rows.mapInArrow(_write(url, tokenizer or default_tokenizer()), "shard int, n_ids long").toArrow().to_pylist()
     return spark.createDataFrame([(r["shard"], r["n_ids"]) for r in got], "shard int, n_ids long")
 

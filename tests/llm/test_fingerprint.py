@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from loomgraph.llm import _text, fingerprint
+from loomgraph.llm import _ranges, _text, fingerprint
 
 
 def brute(rows, **_):
@@ -55,8 +55,9 @@ def test_sketch_by_hand():
     assert has.all()
 
 
-@pytest.mark.parametrize("range_bytes", [1 << 24, 2000])
-def test_small_tables(spark, range_bytes):
+@pytest.mark.parametrize(("range_bytes", "listed"), [(1 << 24, 256), (2000, 256), (2000, 3)])
+def test_small_tables(spark, range_bytes, listed, monkeypatch):
+    monkeypatch.setattr(_ranges, "LISTED", listed)
     rows = [(i * 3 % 40, f"text {i} " + "word%d " % i * (i * 7 % 90)) for i in range(40)]
     rows += [(None, "first of all"), (None, None), (7, ""), (7, "tie"), (100, "é😀" * 4000), (101, "last one here")]
     df = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, text string, part string")
