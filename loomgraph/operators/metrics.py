@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,9 +178,6 @@ def binary_agreement(rows: DataFrame) -> DataFrame:
 
 def bootstrap_interval(judged: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """One row: estimate, low, high of a share of true verdicts; resampled as binomial draws over the range of resamples."""
-    import numpy as np
-    import pandas as pd
-
     stats = judged.agg(F.count("*").alias("n"), F.avg(F.col("verdict").cast("double")).alias("p"))
 
     @F.pandas_udf("double")
