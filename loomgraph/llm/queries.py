@@ -66,6 +66,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
+def _found(kind: int, pattern: str, flags: str = "") -> str:
+    """Rows (r, kind, start, value) of all matches: what is split off between them gives their places."""
+    p = pattern.replace("'", "''")
+    return f"""
+        SELECT r, {kind} AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS a, m[i] AS v
+        FROM (SELECT r, string_split_regex(t, '{flags}{p}') AS g, regexp_extract_all(t, '{flags}{p}') AS m, unnest(range(1, len(regexp_extract_all(t, '{flags}{p}')) + 1)) AS i FROM d)"""
+
+
+_ALLOWED = "|".join(f"(?:{a})" for a in secrets.ALLOW).replace("'", "''")
+_ASSIGN = secrets.ASSIGN.replace("(?i)", "")
+
 #: Marks of the chat template by role (before and after), and all its control strings.
 _MARKS = {"system": (len("<<SYS>>\n"), len("\n<</SYS>>\n\n")), "user": (len("<s>[INST] "), len(" [/INST]")), "assistant": (len(" "), len(" </s>"))}
 _CONTROLS = chat.Template().controls()
@@ -90,6 +101,27 @@ ORACLES: dict[str, str] = {
             CAST(sum(n) AS BIGINT) AS formatted_chars,
             regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
         FROM t GROUP BY conv_id""",
+    "op6_secrets": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        assign AS ({_found(0, _ASSIGN, "(?i)")}), access AS ({_found(1, secrets.ACCESS)}), hex AS ({_found(2, secrets.HEX)}), runs AS ({_found(3, "[A-Za-z0-9+/_=-]{20,}")}),
+        dense AS (
+            SELECT r, a, v, i, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN {secrets.BITS["hex"]} WHEN regexp_full_match(v, '[0-9A-Za-z]+') THEN {secrets.BITS["alnum"]} ELSE {secrets.BITS["base64"]} END AS least
+            FROM (SELECT *, unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS i FROM runs WHERE regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '{_ALLOWED}'))
+        ),
+        hot AS (SELECT r, a, min(i) AS f, max(i) AS l FROM dense WHERE list_aggregate(string_split(substr(v, i, {secrets.WINDOW}), ''), 'entropy') >= least GROUP BY r, a),
+        spans AS (
+            SELECT r, kind, a::BIGINT AS a, (a + length(v))::BIGINT AS b FROM assign WHERE length(regexp_extract(v, '(?i){_ASSIGN.replace("'", "''")}', 2)) >= {secrets.ASSIGN_VALUE}
+            UNION ALL SELECT r, kind, a, a + length(v) FROM access UNION ALL SELECT r, kind, a, a + length(v) FROM hex
+            UNION ALL SELECT r, 3, a + f - 1, a + l + {secrets.WINDOW} - 1 FROM hot
+        ),
+        s AS (
+            SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
+                string_agg({list(secrets.KINDS)}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) AS spans,
+                string_agg({list(secrets.KINDS)}[kind + 1] || ':' || a || ':' || b, ',' ORDER BY a, kind, b) FILTER (kind < 3) AS base
+            FROM spans GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(n_entropy, 0) AS n_entropy, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN s USING (r)""",
     "op5_decontamination": r"""
         WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
         d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
