@@ -115,13 +115,15 @@ def low_support(entities: DataFrame, documents: DataFrame) -> DataFrame:
 def alias_targets(names: DataFrame, least: int = 3) -> DataFrame:
     """(kind, name, alias_of): a name of at least 3 characters stands for the longest name of its kind that contains it.
 
-    The join is on the kind and, inside it, on the three-letter parts that a container must share with the
-    name's beginning, so that only likely pairs are compared.
+    A container holds every three-letter part of the name, so names meet on their rarest part within the
+    kind: only likely pairs are compared, also where all names begin alike.
     """
     low = names.select("kind", "name", F.lower("name").alias("low"), "pos").filter(F.length("name") >= least)
     parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3))))
-    short = low.select("kind", "name", "low", F.left("low", F.lit(3)).alias("part"))
-    holder = low.select("kind", F.col("name").alias("holder"), F.col("low").alias("hlow"), F.col("pos").alias("hpos"), F.explode(parts).alias("part"))
+    held = low.select("kind", "name", "low", "pos", F.explode(parts).alias("part"))
+    known = held.groupBy("kind", "part").agg(F.count("*").alias("n"))
+    short = held.join(known, ["kind", "part"]).groupBy("kind", "name", "low").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
+    holder = held.select("kind", "part", F.col("name").alias("holder"), F.col("low").alias("hlow"), F.col("pos").alias("hpos"))
     met = short.join(holder, ["kind", "part"]).filter((F.col("low") != F.col("hlow")) & F.contains("hlow", "low"))
     return met.groupBy("kind", "name").agg(F.min_by("holder", F.struct(-F.length("holder"), "hpos")).alias("alias_of"))
 

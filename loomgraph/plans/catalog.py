@@ -339,12 +339,12 @@ def blocking_links(spark, sf_dir):
 
 
 @query("""
-    WITH n AS (SELECT 'c' AS kind, c_name AS name, c_custkey AS pos FROM customer WHERE c_custkey <= 300 UNION ALL SELECT 'c', 'mer#' || right(c_name, 3), 10000 + c_custkey FROM customer WHERE c_custkey <= 60)
+    WITH n AS (SELECT 'c' AS kind, c_name AS name, c_custkey AS pos FROM customer UNION ALL SELECT 'c', substr(c_name, 4), 1000000 + c_custkey FROM customer)
     SELECT a.kind, a.name, arg_min(b.name, struct_pack(l := -length(b.name), p := b.pos)) AS alias_of FROM n a JOIN n b ON a.kind = b.kind AND lower(a.name) <> lower(b.name) AND contains(lower(b.name), lower(a.name)) GROUP BY ALL""")
 def alias_substring(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    whole = c.filter("c_custkey <= 300").select(F.lit("c").alias("kind"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pos"))
-    part = c.filter("c_custkey <= 60").select(F.lit("c").alias("kind"), F.concat(F.lit("mer#"), F.right("c_name", F.lit(3))).alias("name"), (F.col("c_custkey") + 10000).alias("pos"))
+    whole = c.select(F.lit("c").alias("kind"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pos"))
+    part = c.select(F.lit("c").alias("kind"), F.substring("c_name", 4, 100).alias("name"), (F.col("c_custkey") + 1000000).alias("pos"))
     return package.alias_targets(whole.unionByName(part))
 
 
@@ -369,7 +369,7 @@ def representative_reports(spark, sf_dir):
     return package.representatives(reports(spark, sf_dir))
 
 
-_RICH = f"r AS ({REPORTS_SQL}), names AS (SELECT DISTINCT event_id, split_part(title, ' ', 2) AS name FROM r WHERE doc_id % 4 = 0 AND length(split_part(title, ' ', 2)) >= 3)"
+_RICH = f"r AS ({REPORTS_SQL}), names AS (SELECT DISTINCT event_id, split_part(title, ' ', 2) AS name FROM r WHERE length(split_part(title, ' ', 2)) >= 3)"
 
 
 @query(f"""WITH {_RICH}, ch AS (SELECT event_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS n FROM r) WHERE n <= 2),
@@ -381,7 +381,7 @@ def entity_rich(spark, sf_dir):
 
     r = reports(spark, sf_dir)
     second = F.split_part("title", F.lit(" "), F.lit(2))
-    names = r.filter("doc_id % 4 = 0").select("event_id", second.alias("name")).filter(F.length("name") >= 3).distinct()
+    names = r.select("event_id", second.alias("name")).filter(F.length("name") >= 3).distinct()
     first = r.withColumn("n", F.row_number().over(Window.partitionBy("event_id").orderBy("pos"))).filter("n <= 2").select("event_id", "doc_id")
     return package.entity_rich(r, names, first)
 

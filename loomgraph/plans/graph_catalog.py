@@ -16,7 +16,7 @@ from loomgraph.sources import writers
 _NODES = """
     SELECT CAST(s_nationkey AS VARCHAR) AS event_id, s_suppkey AS pos, 's' || s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN 'Shared Name ' || s_nationkey ELSE s_name END AS name,
            CASE (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) % 5 WHEN 0 THEN 'RiskSource' WHEN 1 THEN 'Risk' WHEN 2 THEN 'Consequence' WHEN 3 THEN 'Impact' ELSE 'AffectedActor' END AS entity_type, 'explicit' AS extraction_mode, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS confidence, CAST(1 + s_suppkey % 3 AS INTEGER) AS support_count FROM supplier
-    UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 100000 + c_custkey, 'c' || c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN 'AIDeveloper' WHEN 1 THEN 'Stakeholder' WHEN 2 THEN 'Regulator' ELSE 'AISystem' END, 'explicit', 0.5, 1 FROM customer WHERE c_custkey % 10 = 0 OR c_custkey % 10 = 3
+    UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 100000 + c_custkey, 'c' || c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN 'AIDeveloper' WHEN 1 THEN 'Stakeholder' WHEN 2 THEN 'Regulator' ELSE 'AISystem' END, 'explicit', 0.5, 1 FROM customer
     UNION ALL SELECT CAST(n_nationkey AS VARCHAR), -1, 'n' || n_nationkey, n_name, 'AIRiskIncident', 'completed', 1.0, 1 FROM nation
 """
 _STEP = "CASE entity_type WHEN 'RiskSource' THEN 'causes' WHEN 'Risk' THEN 'leadsTo' WHEN 'Consequence' THEN 'impacts' WHEN 'Impact' THEN 'affects' ELSE 'enforces' END"
@@ -42,7 +42,7 @@ def graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         F.col("s_nationkey").cast("string").alias("event_id"), k.cast("long").alias("pos"), F.concat(F.lit("s"), k).alias("id"), F.when(k % 9 == 0, F.concat(F.lit("Shared Name "), "s_nationkey")).otherwise(F.col("s_name")).alias("name"),
         pick(F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1, 5, ("RiskSource", "Risk", "Consequence", "Impact"), "AffectedActor").alias("entity_type"), F.lit("explicit").alias("extraction_mode"), ((k % 10).cast("double") / 10).alias("confidence"), (1 + k % 3).cast("int").alias("support_count"),
     )
-    held = c.filter((ck % 10 == 0) | (ck % 10 == 3)).select(
+    held = c.select(
         F.col("c_nationkey").cast("string").alias("event_id"), (ck + 100000).cast("long").alias("pos"), F.concat(F.lit("c"), ck).alias("id"), F.col("c_name").alias("name"),
         pick(ck, 4, ("AIDeveloper", "Stakeholder", "Regulator", "AISystem"), "AISystem").alias("entity_type"), F.lit("explicit").alias("extraction_mode"), F.lit(0.5).alias("confidence"), F.lit(1).alias("support_count"),
     )
@@ -94,10 +94,10 @@ def evidence_doc_check(spark, sf_dir):
     return validate.unknown_documents(proof, docs)
 
 
-@query(f"WITH {GRAPH} SELECT event_id, id, count(*) AS n FROM (SELECT * FROM nodes UNION ALL SELECT * FROM nodes WHERE pos % 50 = 0) GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {GRAPH} SELECT event_id, id, count(*) AS n FROM (SELECT * FROM nodes UNION ALL SELECT * FROM nodes WHERE entity_type = 'Risk') GROUP BY ALL HAVING count(*) > 1")
 def duplicate_nodes(spark, sf_dir):
     nodes, _ = graph(spark, sf_dir)
-    return validate.duplicate_nodes(nodes.unionByName(nodes.filter("pos % 50 = 0")))
+    return validate.duplicate_nodes(nodes.unionByName(nodes.filter("entity_type = 'Risk'")))
 
 
 _HOPS = "t AS (SELECT DISTINCT event_id, subject_id AS a, object_id AS b, predicate AS p, st, ot FROM typed)"
@@ -288,10 +288,10 @@ def fusion_edges(spark, sf_dir):
 
 
 @query(f"""WITH {GRAPH} SELECT event_id, substr(sha256(subject_id || '|' || predicate || '|' || object_id), 1, 12) AS id, max(confidence) AS confidence, sum(n_evidence)::BIGINT AS n_evidence, list_sort(list(DISTINCT 'd' || pos)) AS source_doc_ids
-    FROM (SELECT * FROM edges UNION ALL SELECT * REPLACE (0.95 AS confidence) FROM edges WHERE pos % 4 = 0) GROUP BY ALL""")
+    FROM (SELECT * FROM edges UNION ALL SELECT * REPLACE (0.95 AS confidence) FROM edges WHERE extraction_mode = 'abstracted') GROUP BY ALL""")
 def edge_dedup(spark, sf_dir):
     _, edges = graph(spark, sf_dir)
-    more = edges.filter("pos % 4 = 0").withColumn("confidence", F.lit(0.95))
+    more = edges.filter("extraction_mode = 'abstracted'").withColumn("confidence", F.lit(0.95))
     return merge.dedup_edges(edges.unionByName(more)).select("event_id", "id", "confidence", F.size("evidence").cast("long").alias("n_evidence"), "source_doc_ids")
 
 
@@ -311,11 +311,11 @@ def property_graph_edges(spark, sf_dir):
     return writers.property_edges(edges, nodes).select("subject", "type", "object", "confidence")
 
 
-@query("""SELECT c_custkey, greatest(c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 100.0 END) AS confidence, CASE WHEN c_custkey % 2 = 0 THEN ['a', 'c' || (c_custkey % 3), 'new'] ELSE ['a', 'c' || (c_custkey % 3)] END AS docs, CASE WHEN c_custkey % 2 = 0 THEN 'updated' ELSE c_name END AS name FROM customer""")
+@query("""SELECT c_custkey, greatest(c_acctbal, CASE WHEN c_acctbal > 0 THEN 100.0 END) AS confidence, CASE WHEN c_acctbal > 0 THEN ['a', 'c' || (c_custkey % 3), 'new'] ELSE ['a', 'c' || (c_custkey % 3)] END AS docs, CASE WHEN c_acctbal > 0 THEN 'updated' ELSE c_name END AS name FROM customer""")
 def property_graph_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     old = c.select("c_custkey", F.col("c_acctbal").cast("double").alias("confidence"), F.array(F.lit("a"), F.concat(F.lit("c"), F.col("c_custkey") % 3)).alias("docs"), F.col("c_name").alias("name"))
-    new = c.filter("c_custkey % 2 = 0").select("c_custkey", F.lit(100.0).alias("confidence"), F.array(F.concat(F.lit("c"), F.col("c_custkey") % 3), F.lit("new")).alias("docs"), F.lit("updated").alias("name"))
+    new = c.filter("c_acctbal > 0").select("c_custkey", F.lit(100.0).alias("confidence"), F.array(F.concat(F.lit("c"), F.col("c_custkey") % 3), F.lit("new")).alias("docs"), F.lit("updated").alias("name"))
     return writers.upsert(old, new, ["c_custkey"], ["docs"], ["confidence"])
 
 
@@ -336,18 +336,18 @@ def triples(spark, sf_dir):
 
 # ---- the builder over provider tables --------------------------------------------------------------
 
-_SLOTS = """slots AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot, substr(text, 1, 40) AS value, CASE WHEN turn % 2 = 0 THEN 0.6 ELSE 0.9 END AS confidence FROM conversations WHERE turn <= 4 AND NOT (conv_id % 5 = 0 AND turn = 2)),
-    n AS (SELECT *, substr(sha256(event_id || '|' || slot || '|' || left(value, 30)), 1, 12) AS id FROM slots WHERE length(value) > 0)"""
+_SLOTS = """slots AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot, CASE WHEN length(text) % 5 = 0 THEN '' ELSE substr(text, 1, 40) END AS value, CASE WHEN turn % 2 = 0 THEN 0.6 ELSE 0.9 END AS confidence FROM conversations),
+    n AS (SELECT *, substr(sha256(event_id || '|' || slot || '|' || left(value, 30)), 1, 12) AS id FROM slots WHERE length(value) > 0 AND slot IS NOT NULL)"""
 
 
 @query(f"""WITH {_SLOTS}, steps(a, b, p) AS (VALUES ('risk_source', 'risk', 'causes'), ('risk', 'consequence', 'leadsTo'), ('consequence', 'impact', 'impacts'), ('impact', 'affected_actor', 'affects'))
     SELECT x.event_id, x.id AS subject_id, p AS predicate, y.id AS object_id, round(least(x.confidence, y.confidence), 2) AS confidence FROM n x JOIN steps ON a = x.slot JOIN n y ON y.event_id = x.event_id AND y.slot = b
     UNION ALL SELECT event_id, event_id, CASE slot WHEN 'risk' THEN 'hasRisk' WHEN 'consequence' THEN 'hasConsequence' ELSE 'hasImpact' END, id, round(confidence, 2) FROM n WHERE slot IN ('risk', 'consequence', 'impact')""")
 def risk_chain_edges(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn <= 4 and not (conv_id % 5 = 0 and turn = 2)")
-    slot = F.element_at(F.array(*[F.lit(s) for s in ("risk_source", "risk", "consequence", "impact", "affected_actor")]), (F.col("turn") + 1).cast("int"))
+    c = table(spark, sf_dir, "conversations")
+    slot = F.get(F.array(*[F.lit(s) for s in ("risk_source", "risk", "consequence", "impact", "affected_actor")]), F.col("turn").cast("int"))
     none = F.lit(None).cast("string")
-    slots = c.select(F.col("conv_id").cast("string").alias("event_id"), slot.alias("slot"), F.substring("text", 1, 40).alias("value"), none.alias("evidence"), none.alias("source_doc_id"), F.when(F.col("turn") % 2 == 0, 0.6).otherwise(0.9).alias("confidence"))
+    slots = c.select(F.col("conv_id").cast("string").alias("event_id"), slot.alias("slot"), F.when(F.length("text") % 5 == 0, "").otherwise(F.substring("text", 1, 40)).alias("value"), none.alias("evidence"), none.alias("source_doc_id"), F.when(F.col("turn") % 2 == 0, 0.6).otherwise(0.9).alias("confidence"))
     incident = build.make_nodes(slots.select("event_id").distinct(), id=F.col("event_id"), name=F.col("event_id"), entity_type=F.lit("AIRiskIncident"), extraction_mode=F.lit("completed"), confidence=F.lit(1.0), source_doc_ids=F.array().cast("array<string>"))
     entities = incident.filter("false")
     fallback = slots.select("event_id", F.col("event_id").alias("_fallback")).distinct()
@@ -355,7 +355,7 @@ def risk_chain_edges(spark, sf_dir):
     return edges.select("event_id", "subject_id", "predicate", "object_id", "confidence")
 
 
-_ROLES = "roles AS (SELECT CAST(c_nationkey AS VARCHAR) AS event_id, c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN upper(c_name) ELSE c_name || ', Inc.' END AS stakeholder_name, CASE WHEN c_custkey % 4 = 0 THEN 'AIDeveloper' ELSE 'AIDeployer' END AS role FROM customer WHERE c_custkey % 2 = 0)"
+_ROLES = "roles AS (SELECT CAST(c_nationkey AS VARCHAR) AS event_id, c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN upper(c_name) ELSE c_name || ', Inc.' END AS stakeholder_name, CASE WHEN c_custkey % 4 = 0 THEN 'AIDeveloper' ELSE 'AIDeployer' END AS role FROM customer)"
 
 
 def _role_tables(spark, sf_dir):
@@ -363,7 +363,7 @@ def _role_tables(spark, sf_dir):
     k = F.col("c_custkey")
     none = F.lit(None).cast("string")
     named = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.upper("c_name")).otherwise(F.concat("c_name", F.lit(", Inc.")))
-    roles = c.filter(k % 2 == 0).select(F.col("c_nationkey").cast("string").alias("event_id"), k.alias("pos"), named.alias("stakeholder_name"), F.when(k % 4 == 0, "AIDeveloper").otherwise("AIDeployer").alias("role"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(None).cast("double").alias("confidence"), none.alias("reasoning"))
+    roles = c.select(F.col("c_nationkey").cast("string").alias("event_id"), k.alias("pos"), named.alias("stakeholder_name"), F.when(k % 4 == 0, "AIDeveloper").otherwise("AIDeployer").alias("role"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(None).cast("double").alias("confidence"), none.alias("reasoning"))
     held = build.make_nodes(c, event_id=F.col("c_nationkey").cast("string"), pos=k, id=F.concat(F.lit("c"), k), name=F.col("c_name"), entity_type=F.when(k % 6 == 0, "AISystem").otherwise("Stakeholder"), extraction_mode=F.lit("explicit"), confidence=F.lit(0.5), source_doc_ids=F.array(F.lit("d")))
     return roles, held
 
@@ -375,12 +375,12 @@ def role_priority_join(spark, sf_dir):
     return build.matched_roles(roles, held).select("event_id", "pos", "role", F.col("_sid").alias("id"))
 
 
-@query("""WITH r AS (SELECT CAST(c_nationkey AS VARCHAR) AS event_id, c_custkey AS k FROM customer WHERE c_custkey % 10 = 1), g AS (SELECT CAST(s_nationkey AS VARCHAR) AS event_id, s_suppkey AS k FROM supplier)
+@query("""WITH r AS (SELECT CAST(c_nationkey AS VARCHAR) AS event_id, c_custkey AS k FROM customer), g AS (SELECT CAST(s_nationkey AS VARCHAR) AS event_id, s_suppkey AS k FROM supplier)
     SELECT r.event_id, 'r' || r.k AS subject_id, 'enforces' AS predicate, 'g' || g.k AS object_id FROM r JOIN g USING (event_id) UNION ALL SELECT event_id, 'r' || k, 'investigates', event_id FROM r WHERE event_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation)""")
 def role_cross(spark, sf_dir):
     c, s, n = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
     node = lambda df, e, k, p, kind: build.make_nodes(df, event_id=F.col(e).cast("string"), pos=F.col(k), id=F.concat(F.lit(p), F.col(k)), name=F.col(k).cast("string"), entity_type=F.lit(kind), extraction_mode=F.lit("explicit"), confidence=F.lit(0.5), source_doc_ids=F.array(F.lit("d")))
-    held = node(c.filter("c_custkey % 10 = 1"), "c_nationkey", "c_custkey", "r", "Regulator").unionByName(node(s, "s_nationkey", "s_suppkey", "g", "Regulation"))
+    held = node(c, "c_nationkey", "c_custkey", "r", "Regulator").unionByName(node(s, "s_nationkey", "s_suppkey", "g", "Regulation"))
     incident = n.select(F.col("n_nationkey").cast("string").alias("event_id"), F.col("n_name").alias("name"))
     return build.regulator_edges(held, incident).select("event_id", "subject_id", "predicate", "object_id")
 
