@@ -137,8 +137,8 @@ def proportional_budget(counts: DataFrame, budget: int, kind: str = "kind", n: s
     return wanted.withColumn("allowed", F.greatest(F.lit(0), F.least("_want", budget - F.coalesce(spent, F.lit(0)))).cast("int")).drop("_want")
 
 
-def blocking_links(entities: DataFrame, key: str = "id") -> DataFrame:
-    """(a, b): each entity is linked to the first of its kind with the same match key."""
-    keyed = entities.select(F.col(key).alias("b"), "kind", match_key(F.col("name")).alias("_k")).filter("_k != ''")
+def blocking_links(entities: DataFrame, key: str = "id", block=match_key) -> DataFrame:
+    """(a, b): each entity is linked to the first of its kind with the same match key, or another function of the name."""
+    keyed = entities.select(F.col(key).alias("b"), "kind", block(F.col("name")).alias("_k")).filter("_k != ''")
     first = keyed.groupBy("kind", "_k").agg(F.min("b").alias("a"), F.count("*").alias("_n")).filter("_n > 1")
     return keyed.join(first, ["kind", "_k"]).filter("a != b").select("a", "b")

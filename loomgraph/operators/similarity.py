@@ -92,45 +92,43 @@ def top_pairs(pairs: DataFrame, k: int, by: str | None = None) -> DataFrame:
     return ranked.filter(F.col("_n") <= k).drop("_n")
 
 
-def bm25_terms(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """(key, term, tf, dl): terms of each name with their number and the name's length."""
-    words = names.select(F.col(key), F.explode(bm25_tokens(F.col(name))).alias("term"))
-    counted = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    length = words.groupBy(key).agg(F.count("*").alias("dl"))
-    return counted.join(length, key)
+def _bm25_rows(names: DataFrame, key: str, name: str, kind: str | None) -> DataFrame:
+    return names.select((F.col(kind) if kind else F.lit(0)).alias("_kind"), F.col(key).alias("_id"), bm25_tokens(F.col(name)).alias("_words"))
+
+
+def _bm25_corpus(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((kind, term, df, idf), (kind, n, avgdl)) over all rows of each kind; idf has a floor."""
+    size = rows.groupBy("_kind").agg(F.count("*").alias("n"), F.avg(F.size("_words")).alias("avgdl"))
+    df = rows.select("_kind", F.explode(F.array_distinct("_words")).alias("term")).groupBy("_kind", "term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return df.join(size, "_kind").select("_kind", "term", "df", F.greatest(idf, F.lit(LEAST_IDF)).alias("idf")), size
 
 
 def bm25_stats(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
     """(term, df, idf): document frequency and floored idf of each term over all names."""
-    terms = names.select(F.col(key), F.explode(F.array_distinct(bm25_tokens(F.col(name)))).alias("term"))
-    total = names.agg(F.count("*").alias("n"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    one_row = F.broadcast(total)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return df.join(one_row).select("term", "df", F.greatest(idf, F.lit(LEAST_IDF)).alias("idf"))
+    return _bm25_corpus(_bm25_rows(names, key, name, None))[0].drop("_kind")
 
 
-def bm25_scores(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """(query, key, score) of all queries and names that share a term, each query's best score being 1.
+def bm25_scores(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", kind: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """(query, key, score) of all queries and names of a kind that share a term, each query's best score being 1.
 
-    Repeated words of a query count as often as they occur.  Terms are joined by hash; what a common term
-    brings is summed on the map side first.
+    Statistics are those of `corpus` (default: the names).  Repeated words of a query count as often as
+    they occur.  What a common term brings is summed on the map side first.
     """
-    stats = bm25_stats(names, key, name)
-    terms = bm25_terms(names, key, name)
-    mean = names.agg(F.avg(F.size(bm25_tokens(F.col(name)))).alias("avgdl"))
-    asked = queries.select(F.col(key).alias("query"), F.explode(bm25_tokens(F.col(name))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    weight = terms.join(stats, "term").join(F.broadcast(mean)).select(
-        "term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("w")
-    )
-    raw = asked.join(weight, "term").groupBy("query", key).agg(F.sum(F.col("times") * F.col("w")).alias("s"))
+    rows, asked = _bm25_rows(names, key, name, kind), _bm25_rows(queries, key, name, kind)
+    stats, size = _bm25_corpus(rows if corpus is None else _bm25_rows(corpus, key, name, kind))
+    count = lambda r: r.select("_kind", "_id", F.size("_words").alias("dl"), F.explode("_words").alias("term")).groupBy("_kind", "_id", "dl", "term").agg(F.count("*").alias("tf"))
+    share = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weight = count(rows).join(stats, ["_kind", "term"]).join(size, "_kind").select("_kind", "term", F.col("_id").alias(key), share.alias("w"))
+    times = count(asked).select("_kind", "term", F.col("_id").alias("query"), F.col("tf").alias("times"))
+    raw = times.join(weight, ["_kind", "term"]).groupBy("query", key).agg(F.sum(F.col("times") * F.col("w")).alias("s"))
     most = raw.groupBy("query").agg(F.max("s").alias("most"))
     return raw.join(most, "query").select("query", key, F.when(F.col("most") > 0, F.col("s") / F.col("most")).otherwise(0.0).alias("score"))
 
 
-def bm25_pairwise(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """(a, b, score), a < b: the mean of both directions' scores, for names that share a term."""
-    s = bm25_scores(names, names, key, name)
+def bm25_pairwise(names: DataFrame, key: str = "id", name: str = "name", kind: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """(a, b, score), a < b: the mean of both directions' scores, for names of a kind that share a term."""
+    s = bm25_scores(names, names, key, name, kind, corpus)
     both = s.filter(F.col("query") != F.col(key)).select(F.least("query", key).alias("a"), F.greatest("query", key).alias("b"), "score")
     return both.groupBy("a", "b").agg((F.sum("score") / 2).alias("score"))
 
