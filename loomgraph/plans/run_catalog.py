@@ -118,7 +118,7 @@ def event_graphs(spark, sf_dir):
     held = providers.extracted_entities(answers, r).dropDuplicates(["id"]).select(*build.NODE)
     none = F.lit(None).cast("string")
     words = F.split("content", " ")
-    slots = r.select("event_id", F.posexplode(F.slice(words, 1, 4)).alias("i", "value"), F.col("content").alias("evidence"), F.col("doc_id").alias("source_doc_id"), F.lit(0.8).alias("confidence"))
+    slots = r.select("event_id", F.posexplode(F.slice(words, 1, 4)).alias("i", "value"), F.col("title").alias("evidence"), F.col("doc_id").alias("source_doc_id"), F.lit(0.8).alias("confidence"))
     slots = slots.select("event_id", F.element_at(F.array(*[F.lit(s) for s in ("risk_source", "risk", "consequence", "impact")]), F.col("i") + 1).alias("slot"), "value", "evidence", "source_doc_id", "confidence").dropDuplicates(["event_id", "slot"])
     empty = slots.filter("false").select("event_id", F.col("slot").alias("field"), "value", "evidence", "source_doc_id", "confidence", none.alias("reasoning"))
     roles = empty.select("event_id", F.col("field").alias("stakeholder_name"), F.col("value").alias("role"), "evidence", "source_doc_id", "confidence", "reasoning", F.lit(0).cast("long").alias("pos"))
