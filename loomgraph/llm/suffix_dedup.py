@@ -247,7 +247,8 @@ def repeated_ranges(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = docs.mapInArrow(_run_rows(length, gram), f"bucket long, whole long, doc_id {kind}, check int, first int, last int")
     live = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
-    live = live.select("bucket", (F.col("low") != F.col("high")).alias("mixed"))
+    # written first: a join with a table, not with an aggregate, is one whose hot buckets Spark can split
+    live = _store.save(live.select("bucket", (F.col("low") != F.col("high")).alias("mixed")), f"{folder}/live")
     active = _store.save(placed.join(live, "bucket"), f"{folder}/active")
     mixed = active.filter("mixed")
     kinds = mixed.groupBy("bucket", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "check", "first", "last")).alias("one"))
