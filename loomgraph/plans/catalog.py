@@ -152,7 +152,7 @@ def text_functions(spark, sf_dir):
 def mention_span(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     m = F.when(F.col("doc_id") % 3 == 0, F.translate(F.split_part("text", F.lit(" "), F.lit(3)), "aeiourstln", "AEIOURSTLN")).otherwise(F.split_part("text", F.lit(" "), F.lit(4)))
-    return docs.withColumn("m", m).filter(F.length("m") > 0).select("doc_id", text.mention_span(F.col("text"), F.col("m"))["start"].alias("s"))
+    return docs.withColumn("m", m).filter(F.length("m") > 0).select("doc_id", text.mention_span(F.col("text"), F.col("m"))["start"].cast("long").alias("s"))
 
 
 @query("""
@@ -360,13 +360,13 @@ def evidence_topn(spark, sf_dir):
     proof = words.select("event_id", "doc_id", (F.col("pos") * 1000 + F.col("i") + 1).alias("pos"), "sentence")
     short = r.select("event_id", "doc_id", "pos", F.size(F.split("content", " ")).alias("k")).filter("k < 3")
     pad = short.select("event_id", "doc_id", "pos", F.explode(F.sequence(F.col("k") + 1, F.lit(3))).alias("i")).select("event_id", "doc_id", (F.col("pos") * 1000 + F.col("i")).alias("pos"), F.lit(None).cast("string").alias("sentence"))
-    return package.evidence_top(proof.unionByName(pad), package.event_metadata(r))
+    return package.evidence_top(proof.unionByName(pad), package.event_metadata(r)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH r AS ({REPORTS_SQL}), c AS (SELECT *, (row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1) // 12 AS chunk FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY event_id, chunk ORDER BY pos) AS k FROM c)
     SELECT event_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS rank FROM f WHERE k <= 3) WHERE rank <= 15""")
 def representative_reports(spark, sf_dir):
-    return package.representatives(reports(spark, sf_dir))
+    return package.representatives(reports(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 _RICH = f"r AS ({REPORTS_SQL}), names AS (SELECT DISTINCT event_id, split_part(title, ' ', 2) AS name FROM r WHERE length(split_part(title, ' ', 2)) >= 3)"
@@ -477,7 +477,7 @@ def bucket_summary(spark, sf_dir):
 
 @query(f"""WITH c AS (SELECT stage, bucket_id, count(*) AS count FROM ({_ASSIGN}) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY stage ORDER BY bucket_id = 'other', count DESC, bucket_id) AS rank FROM c WHERE bucket_id <> 'missing'""")
 def bucket_order(spark, sf_dir):
-    return analytics.bucket_order(_assigned(spark, sf_dir).groupBy("stage", "bucket_id").agg(F.count("*").alias("count")))
+    return analytics.bucket_order(_assigned(spark, sf_dir).groupBy("stage", "bucket_id").agg(F.count("*").alias("count"))).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, min(doc_id) LIMIT 10")

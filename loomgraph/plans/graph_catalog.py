@@ -113,7 +113,7 @@ def path_complete(spark, sf_dir):
 @query(f"WITH {GRAPH}, {_HOPS}, x AS (SELECT DISTINCT a.event_id, a.a || '>' || a.b || '>' || b.b || '>' || c.b || '>' || d.b AS path FROM {_PATH}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY path) AS rank FROM x) WHERE rank <= 5")
 def path_enum(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    return validate.chain_paths(edges, nodes)
+    return validate.chain_paths(edges, nodes).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {GRAPH}, h AS (SELECT event_id, subject_id AS a, predicate AS p, ot, arg_min(object_id, pos) AS b FROM typed GROUP BY ALL), e AS (SELECT event_id, id FROM nodes WHERE entity_type = 'AIRiskIncident'),
@@ -241,7 +241,7 @@ def deleted_predictions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query(f"WITH {GRAPH} SELECT predicate, st AS subject_type, ot AS object_type, count(*) AS n, 1.0 AS mean_support, round(avg(CASE WHEN n_evidence > 0 THEN 1.0 ELSE 0 END), 4) AS evidence_rate FROM typed GROUP BY ALL")
+@query(f"WITH {GRAPH} SELECT predicate, st AS subject_type, ot AS object_type, count(*) AS n, CAST(1 AS DOUBLE) AS mean_support, round(avg(CASE WHEN n_evidence > 0 THEN 1.0 ELSE 0 END), 4) AS evidence_rate FROM typed GROUP BY ALL")
 def transitions(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
     return analytics.transitions(validate.typed_edges(edges, nodes))
@@ -336,7 +336,7 @@ def triples(spark, sf_dir):
 
 # ---- the builder over provider tables --------------------------------------------------------------
 
-_SLOTS = """slots AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot, CASE WHEN length(text) % 5 = 0 THEN '' ELSE substr(text, 1, 40) END AS value, CASE WHEN turn % 2 = 0 THEN 0.6 ELSE 0.9 END AS confidence FROM conversations),
+_SLOTS = """slots AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot, CASE WHEN length(text) % 5 = 0 THEN '' ELSE substr(text, 1, 40) END AS value, CAST(CASE WHEN turn % 2 = 0 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM conversations),
     n AS (SELECT *, substr(sha256(event_id || '|' || slot || '|' || left(value, 30)), 1, 12) AS id FROM slots WHERE length(value) > 0 AND slot IS NOT NULL)"""
 
 
