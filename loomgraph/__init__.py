@@ -1,0 +1,25 @@
+"""A PySpark engine for event knowledge graphs and training text."""
+
+from __future__ import annotations
+
+import functools
+import os
+
+
+def reachable(query):
+    """The function (spark, ...) with this package's folder on the path of the session's Python workers.
+
+    Workers start in folders of their own and do not see what the driver put on its path.  A cluster that
+    does not share the folder gets the package with --py-files.
+    """
+
+    @functools.wraps(query)
+    def run(spark, *rest):
+        env = spark.sparkContext.environment
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        return query(spark, *rest)
+
+    return run
