@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph import reachable
 from loomgraph.llm import _store, dartminhash, decontam, packing, quality, secrets
 
 
@@ -48,6 +49,7 @@ STAGES = [
     ("secrets", secrets_stage),
     ("packing", packing_stage),
 ]
+STAGES = [(name, reachable(stage)) for name, stage in STAGES]
 
 #: SQL expresses neither the classifier nor the signatures; tests hold the stages against brute force.
 ORACLE_SQL = None
