@@ -107,8 +107,6 @@ def word_keys(tok: Tokens) -> np.ndarray:
 
 #: Keys of a bucket that are compared in one task; a larger bucket is compared block by block.
 BLOCK = 2048
-#: Estimates this far below the threshold are not checked exactly: four standard deviations of 64 coordinates.
-SLACK = 0.2
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -138,27 +136,24 @@ def _signed_rows(width: int, coords: int, rows: int):
     return run
 
 
-def _cell_rows(width: int, coords: int):
+def _cell_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             tok = tokenize(*text_bytes(batch.column("text")), VISIBLE)
             cell, docs = cells(tok, width)
-            short = (signatures(cell, docs, batch.num_rows, coords) & U64(0xFF)).astype(np.uint8)
             bound = np.searchsorted(docs, np.arange(batch.num_rows + 1))
             small = (cell & U64(0xFFFFFFFF)).astype(np.uint32)
             packed = [np.sort(small[a:b]).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [_key_column(word_keys(tok)), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(packed, pa.binary())], names=["key", "sig", "cells"]
-            )
+            yield pa.RecordBatch.from_arrays([_key_column(word_keys(tok)), pa.array(packed, pa.binary())], names=["key", "cells"])
 
     return run
 
 
-def _spanning(keys: list[bytes], sigs: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray | None, threshold: float) -> list[tuple[bytes, bytes]]:
+def _spanning(keys: list[bytes], sets: list[np.ndarray], blocks: np.ndarray | None, threshold: float) -> list[tuple[bytes, bytes]]:
     """Links of similarity `threshold` or more that connect all that such links connect among these keys.
 
-    One key after another is compared with all keys it is not yet connected to, by signature first and
-    then exactly; keys of the largest connected part need no turn of their own once the others had theirs.
+    One key after another is compared exactly with all keys it is not yet connected to whose sizes allow
+    the threshold; keys of the largest connected part need no turn of their own once the others had theirs.
     With two blocks, only keys of different blocks are compared.
     """
     n = len(keys)
@@ -186,7 +181,6 @@ def _spanning(keys: list[bytes], sigs: np.ndarray, sets: list[np.ndarray], block
         near = np.flatnonzero(other & (ratio >= threshold))
         if not len(near):
             continue
-        near = near[(sigs[near] == sigs[i]).mean(axis=1) >= threshold - SLACK]
         for lo in range(0, len(near), 512):
             some = near[lo : lo + 512]
             take = np.concatenate([flat[start[j] : start[j] + sizes[j]] for j in some])
@@ -203,10 +197,9 @@ def _spanning(keys: list[bytes], sigs: np.ndarray, sets: list[np.ndarray], block
 
 def _link_rows(threshold: float):
     def solve(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-        sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
         sets = [np.frombuffer(r["cells"], np.uint32) for r in rows]
         blocks = np.array([r["block"] for r in rows]) if rows[0]["left"] != rows[0]["right"] else None
-        return _spanning([r["key"] for r in rows], sigs, sets, blocks, threshold)
+        return _spanning([r["key"] for r in rows], sets, blocks, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -275,12 +268,12 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = WID
     members = _store.save(banded.join(bucket, "v"), f"{folder}/members")
     wanted = members.select("key").distinct().join(texts.select("key", "doc_id"), "key").select(F.col("doc_id").alias("_id")).distinct()
     some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
-    held = some.mapInArrow(_cell_rows(width, coords), "key binary, sig binary, cells binary").filter("key is not null").dropDuplicates(["key"])
+    held = some.mapInArrow(_cell_rows(width), "key binary, cells binary").filter("key is not null").dropDuplicates(["key"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     placed = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("v", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     grouped = placed.join(held, "key").repartition("v", "left", "right").sortWithinPartitions("v", "left", "right", "key")
-    links = grouped.select("v", "left", "right", "block", "key", "sig", "cells").mapInArrow(_link_rows(threshold), "a binary, b binary")
+    links = grouped.select("v", "left", "right", "block", "key", "cells").mapInArrow(_link_rows(threshold), "a binary, b binary")
     roots = _components(links, folder)
     return signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("class"))
 

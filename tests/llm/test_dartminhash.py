@@ -85,3 +85,24 @@ def test_near_groups_against_brute_force(spark, block):
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert sorted(map(tuple, dartminhash.near_duplicates(df).collect())) == brute([tuple(r) for r in df.collect()])
+
+
+def test_every_banded_pair_is_checked_exactly(spark):
+    """Pairs that share one band of two and agree on little else are linked by their true similarity."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for g in range(600):
+        words = [f"g{g}w{k}" for k in range(60)]
+        other = words[:]
+        other[rng.randrange(10, 50)] = "other"
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    texts = pa.array([t for _, t in rows])
+    cell, docs = dartminhash.cells(_text.tokenize(*_text.text_bytes(texts), _text.VISIBLE))
+    sig = dartminhash.signatures(cell, docs, len(rows), 6)
+    band = dartminhash.bands(sig)
+    banded = [(a, b) for a, b in pairs if (band[a] == band[b]).any()]
+    assert sum((sig[a] == sig[b]).sum() == 3 for a, b in banded) > 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(df, coords=6).collect()}
+    assert [(a, b) for a, b in pairs if got[a] == got[b]] == banded
