@@ -74,7 +74,6 @@ def _found(kind: int, pattern: str, flags: str = "") -> str:
         FROM (SELECT r, string_split_regex(t, '{flags}{p}') AS g, regexp_extract_all(t, '{flags}{p}') AS m, unnest(range(1, len(regexp_extract_all(t, '{flags}{p}')) + 1)) AS i FROM d)"""
 
 
-_ALLOWED = "|".join(f"(?:{a})" for a in secrets.ALLOW).replace("'", "''")
 _ASSIGN = secrets.ASSIGN.replace("(?i)", "")
 
 #: Marks of the chat template by role (before and after), and all its control strings.
@@ -103,16 +102,26 @@ ORACLES: dict[str, str] = {
         FROM t GROUP BY conv_id""",
     "op6_secrets": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-        assign AS ({_found(0, _ASSIGN, "(?i)")}), access AS ({_found(1, secrets.ACCESS)}), hex AS ({_found(2, secrets.HEX)}), runs AS ({_found(3, "[A-Za-z0-9+/_=-]{20,}")}),
-        dense AS (
-            SELECT r, a, v, i, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN {secrets.BITS["hex"]} WHEN regexp_full_match(v, '[0-9A-Za-z]+') THEN {secrets.BITS["alnum"]} ELSE {secrets.BITS["base64"]} END AS least
-            FROM (SELECT *, unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS i FROM runs WHERE regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '{_ALLOWED}'))
+        assign AS ({_found(0, _ASSIGN, "(?i)")}), access AS ({_found(1, secrets.ACCESS)}), hex AS ({_found(2, secrets.HEX)}), runs AS ({_found(3, secrets.CANDIDATE)}),
+        shown AS (
+            SELECT r, a, array_to_string(list_transform(regexp_extract_all(regexp_replace(v, '{secrets.UUID}', '{" " * 36}', 'g'), '{secrets.PART}'),
+                lambda x: CASE WHEN regexp_matches(x, '{secrets.MARKED}') THEN repeat(' ', length(x)) ELSE x END), '') AS v FROM runs
         ),
-        hot AS (SELECT r, a, min(i) AS f, max(i) AS l FROM dense WHERE list_aggregate(string_split(substr(v, i, {secrets.WINDOW}), ''), 'entropy') >= least GROUP BY r, a),
+        windows AS (SELECT r, a, i, substr(v, i, {secrets.WINDOW}) AS w FROM (SELECT *, unnest(range(1, length(v) - {secrets.WINDOW} + 2)) AS i FROM shown)),
+        hot AS (
+            SELECT r, a, i, i - lag(i, 1, -99) OVER (PARTITION BY r, a ORDER BY i) > {secrets.WINDOW} AS opens FROM windows
+            WHERE w NOT LIKE '% %' AND regexp_matches(w, '[A-Za-z]') AND list_aggregate(string_split(w, ''), 'entropy') >= CASE
+                WHEN regexp_matches(w, '[A-Za-z][0-9]|[0-9][A-Za-z]') AND NOT regexp_matches(w, '[G-Zg-z]') THEN {secrets.BITS["hex"]}
+                WHEN length(regexp_replace(w, '[A-Za-z0-9]', '', 'g')) > {secrets.SIGNS} THEN {secrets.BITS["words"]}
+                WHEN regexp_matches(w, '[A-Za-z][0-9]|[0-9][A-Za-z]') THEN {secrets.BITS["mixed"]}
+                WHEN length(regexp_replace(w, '[^A-Z]', '', 'g')) >= {secrets.CASES} AND length(regexp_replace(w, '[^a-z]', '', 'g')) >= {secrets.CASES} THEN {secrets.BITS["cased"]}
+                ELSE {secrets.BITS["words"]} END
+        ),
+        parts AS (SELECT r, a, min(i) AS f, max(i) AS l FROM (SELECT r, a, i, sum(opens::INT) OVER (PARTITION BY r, a ORDER BY i) AS g FROM hot) GROUP BY r, a, g),
         spans AS (
             SELECT r, kind, a::BIGINT AS a, (a + length(v))::BIGINT AS b FROM assign WHERE length(regexp_extract(v, '(?i){_ASSIGN.replace("'", "''")}', 2)) >= {secrets.ASSIGN_VALUE}
             UNION ALL SELECT r, kind, a, a + length(v) FROM access UNION ALL SELECT r, kind, a, a + length(v) FROM hex
-            UNION ALL SELECT r, 3, a + f - 1, a + l + {secrets.WINDOW} - 1 FROM hot
+            UNION ALL SELECT r, 3, a + f - 1, a + l + {secrets.WINDOW} - 1 FROM parts
         ),
         s AS (
             SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_entropy,
