@@ -140,8 +140,10 @@ DIGEST = [
 
 
 def _grouped(conversations: DataFrame) -> DataFrame:
-    turn = F.struct("turn", "role", "text")
-    return conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    """One row per conversation; a row without conv_id stands alone, so that such rows never meet in one."""
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    rows = conversations.select("conv_id", alone, F.struct("turn", "role", "text").alias("turn"))
+    return rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
 
 
 def format_conversations(conversations: DataFrame, template: Template | None = None) -> DataFrame:
@@ -149,7 +151,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
     Rows are put in order of turn (null first), then role and text, so ties and repeated rows have one
     order.  A null text or role is empty.  Conversations with a problem are formatted as well; a caller
-    that wants valid ones filters on `problem`.  Rows without conv_id form one conversation of their own.
+    that wants valid ones filters on `problem`.  Each row without conv_id is a conversation of its own.
     A conversation is one training text, so all its turns meet in one row.
     """
     kind = conversations.schema["conv_id"].dataType.simpleString()
