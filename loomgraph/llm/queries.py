@@ -84,9 +84,9 @@ _ESCAPES = lambda x: " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))
 ORACLES: dict[str, str] = {
     "op4_chat": f"""
         WITH c AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
         ), t AS (
             SELECT *, length(text) + {_ESCAPES("text")} + CASE role
                 {" ".join(f"WHEN '{r}' THEN {a + b}" for r, (a, b) in _MARKS.items())}
@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(n) AS BIGINT) AS formatted_chars,
             regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
-        FROM t GROUP BY conv_id""",
+        FROM t GROUP BY conv_id, alone""",
     "op6_secrets": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         assign AS ({_found(0, _ASSIGN, "(?i)")}), access AS ({_found(1, secrets.ACCESS)}), hex AS ({_found(2, secrets.HEX)}), runs AS ({_found(3, secrets.CANDIDATE)}),
@@ -145,7 +145,7 @@ ORACLES: dict[str, str] = {
         ),
         hit AS (SELECT r, item_id, m, i FROM dw JOIN bw USING (m, g)),
         words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
-        items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
+        items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
 }
