@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm._ranges import with_range
+from loomgraph.llm._ranges import partitioned, with_range
 from loomgraph.llm._text import U64, VISIBLE, mix, pieces, runs, seeded, shingles, text_bytes, tokenize
 
 BINS = 256
 BITS = 4
 WIDTH = 5
+#: Ranges whose first ids are broadcast; more are joined over a shuffle.
+LISTED = 100_000
 #: Bytes of text in a range of neighbouring documents.
 RANGE_BYTES = 24 << 20
 
@@ -168,16 +170,13 @@ def edit_check(documents: DataFrame, bins: int = BINS, bits: int = BITS, width:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs, parts = with_range(docs, range_bytes)
     head = F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id")).alias("m")
-    heads = {r["part"]: r for r in docs.groupBy("part").agg(head).select("part", "m.*").collect()}
-    order = sorted(heads)
-    guards = []
-    for i, p in enumerate(order):
-        head = heads[order[(i + 1) % len(order)]]
-        guards.append((p, head["doc_id"]))
+    heads = docs.groupBy("part").agg(head).select("part", "m.doc_id").toArrow().sort_by("part")
     rows = docs.select("part", F.lit(False).alias("guard"), "doc_id", "text")
-    if guards:
-        wanted = F.broadcast(documents.sparkSession.createDataFrame(guards, "to int, head long"))
+    if heads.num_rows:
+        part, first = heads.column("part").to_pylist(), heads.column("doc_id").to_pylist()
+        wanted = documents.sparkSession.createDataFrame(list(zip(part, first[1:] + first[:1], strict=True)), "to int, head long")
+        wanted = F.broadcast(wanted) if len(part) <= LISTED else wanted
         firsts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["head"])).groupBy("to").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id"))
         rows = rows.unionByName(firsts.select(F.col("to").alias("part"), F.lit(True).alias("guard"), "doc_id", "text"))
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guard", "doc_id", "text").mapInArrow(_neighbours(bins, bits, width), ddl)
+    return partitioned(rows, "part", parts).sortWithinPartitions("part", "guard", "doc_id", "text").mapInArrow(_neighbours(bins, bits, width), ddl)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm._store import free_name
 from loomgraph.llm._text import VISIBLE, pieces, runs, text_bytes, tokenize
 
 #: Most labelled rows to learn from, chosen by a hash of doc_id: a bound on what reaches the driver.
@@ -273,22 +274,24 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     return fit(x[order], (y[order] > 0).astype(float))
 
 
-def _score(known, at: int):
+def _score(known, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for batch in pieces(batches, at):
             x = features(*text_bytes(batch.column(at)))
-            score = np.where(x[:, 0] > 0, model.score(x), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(documents: DataFrame, model: Additive) -> DataFrame:
-    """The documents with `score`, 0 to 1; a text without words, null included, gets 0. An own `score` is replaced."""
-    rows = documents.drop("score")
+def score(documents: DataFrame, model: Additive, name: str = "score") -> DataFrame:
+    """The documents with a column `name`, 0 to 1; a text without words, null included, has the features of the empty text.
+
+    An own column of that name is replaced.
+    """
+    rows = documents.drop(name)
     known = documents.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score(known, rows.columns.index("text")), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(_score(known, rows.columns.index("text"), name), T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,9 +301,6 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, as they are, whose score reaches the threshold."""
-    columns = documents.columns
-    if "score" in columns:
-        documents = documents.withColumnRenamed("score", "_own_score")
-    scored = score(documents, train(documents, labels)).filter(F.col("score") >= threshold).drop("score")
-    return scored.withColumnRenamed("_own_score", "score").select(*columns)
+    """The documents, as they are, whose score reaches the threshold; columns of any name are carried through."""
+    name = free_name(documents.columns, "score")
+    return score(documents, train(documents, labels), name).filter(F.col(name) >= threshold).drop(name)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import _store
-from loomgraph.llm._ranges import with_range
+from loomgraph.llm._ranges import partitioned, with_range
 from loomgraph.llm._text import pieces
 
 END_ID = 2
@@ -260,6 +260,18 @@ class Writer:
         return self.total
 
 
+    def summary(self, shard: int) -> pa.RecordBatch:
+        """Close the file: its number, ids, and least and greatest doc_id (null: no id in it is known)."""
+        ids = [d["doc_id"][d["known"] == 1] for d in self.docs]
+        ids = np.concatenate([*ids, np.empty(0, np.int64)])
+        ends = [int(ids.min()), int(ids.max())] if len(ids) else [None, None]
+        row = {"shard": pa.array([shard], pa.int32()), "n_ids": pa.array([self.close()], pa.int64())}
+        return pa.RecordBatch.from_pydict(row | {k: pa.array([v], pa.int64()) for k, v in zip(("first_id", "last_id"), ends, strict=True)})
+
+
+SHARDS = "shard int, n_ids long, first_id long, last_id long"
+
+
 class Reader:
     """Reads the table from the end of a file, then only the frames that are asked for."""
 
@@ -289,6 +301,14 @@ class Reader:
             raise ValueError(f"frame {k} is damaged")
         return np.frombuffer(raw, "<u4")
 
+    def find(self, doc_id: int | None) -> list[int]:
+        """The places of the documents of this id in the file, from the table alone; documents stand in order of id, null first."""
+        known = int(np.searchsorted(self.docs["known"], 1))
+        if doc_id is None:
+            return list(range(known))
+        ids = self.docs["doc_id"][known:]
+        return list(range(known + int(np.searchsorted(ids, doc_id)), known + int(np.searchsorted(ids, doc_id, side="right"))))
+
     def document(self, position: int) -> np.ndarray:
         """The ids of the document at a place in the file."""
         k = int(np.searchsorted(self.first, position, side="right")) - 1
@@ -313,7 +333,7 @@ def _write(url: str, tokenizer: str):
             for lo in [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist()]:
                 if shards[lo] != shard:
                     if writer:
-                        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_ids": pa.array([writer.close()], pa.int64())})
+                        yield writer.summary(shard)
                     shard = int(shards[lo])
                     writer = Writer(f"{url}/part-{shard:06d}.tid")
                 part = batch.slice(lo, int(np.searchsorted(shards, shard, side="right")) - lo)
@@ -321,24 +341,26 @@ def _write(url: str, tokenizer: str):
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 writer.add(part.column("doc_id").fill_null(0).to_numpy(), known, counts, ids)
         if writer:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_ids": pa.array([writer.close()], pa.int64())})
+            yield writer.summary(shard)
 
     return run
 
 
 def write(documents: DataFrame, url: str, tokenizer: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Write the documents' ids as files in `url`, in order of doc_id; returns (shard, n_ids) of each file.
+    """Write the documents' ids as files in `url`, in order of doc_id; returns (shard, n_ids, first_id, last_id) of each file.
 
     Files hold ranges of doc_id; bounds are approximate quantiles over all ids, so a file holds about
     `shard_bytes` of text.  A null id comes first, a null text is empty, rows of one doc_id follow each
-    other in order of their texts.  The folder must be one that all executors reach.
+    other in order of their texts.  The folder must be one that all executors reach; what failed attempts
+    left in it is dropped at the end.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     dealt, n = with_range(docs, shard_bytes)
-    rows = dealt.withColumnRenamed("part", "shard").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
-    got = rows.mapInArrow(_write(url, tokenizer or default_tokenizer()), "shard int, n_ids long").toArrow().to_pylist()
-    return spark.createDataFrame([(r["shard"], r["n_ids"]) for r in got], "shard int, n_ids long")
+    rows = partitioned(dealt.withColumnRenamed("part", "shard"), "shard", n).sortWithinPartitions("shard", "doc_id", "text")
+    got = rows.mapInArrow(_write(url, tokenizer or default_tokenizer()), SHARDS).toArrow()
+    _store.drop_parts(spark, url)
+    return spark.createDataFrame([tuple(r.values()) for r in got.to_pylist()], SHARDS)
 
 
 def _read(url: str):
@@ -376,6 +398,32 @@ def read(spark: SparkSession, url: str, shards: DataFrame) -> DataFrame:
     return todo.mapInArrow(_read(url), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _fetch(url: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, opened = None, None
+        for batch in batches:
+            for shard, doc_id in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if shard != opened:
+                    reader, opened = Reader(f"{url}/part-{shard:06d}.tid"), shard
+                for place in reader.find(doc_id):
+                    ids = pa.array([reader.document(place).astype(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), ids], names=["doc_id", "ids"])
+
+    return run
+
+
+def fetch(wanted: DataFrame, url: str, shards: DataFrame) -> DataFrame:
+    """(doc_id, ids) of each row of the documents named in `wanted`; only frames that hold one of them are decompressed.
+
+    `shards` is what write() gave: an id's file is the one whose range holds it, and the file's own table
+    tells the frame.  Ids that are in no file give no row; an id asked for twice is given twice.
+    """
+    ids = wanted.select(F.col("doc_id").cast("long").alias("doc_id"))
+    held = shards.filter("first_id is not null").select("shard", "first_id", "last_id")
+    met = ids.join(F.broadcast(held), (ids["doc_id"] >= held["first_id"]) & (ids["doc_id"] <= held["last_id"])).select("shard", "doc_id")
+    return met.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(_fetch(url), "doc_id long, ids array<long>")
+
+
 def round_trip(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write the documents' files to the shared folder and read them back; no documents, no rows."""
     spark = documents.sparkSession
