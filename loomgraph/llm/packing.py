@@ -1,24 +1,27 @@
-"""Variable-capacity best-fit packing of documents into sequences of several permitted lengths."""
+"""Variable-capacity best-fit packing of token ids into sequences of several permitted lengths."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomgraph.llm import _store, tokenbin
+from loomgraph.llm._ranges import partitioned
+from loomgraph.llm._text import pieces
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length, in tokens.
 OVERHEAD = 32
-#: Documents that are packed together.
-GROUP_ROWS = 40_000
-
-
-def word_count(text: Column | str = "text") -> Column:
-    """Words between ASCII white space plus one end token: the default length."""
-    return (F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("int")
+#: Tokens that are packed together.
+GROUP_TOKENS = 4_000_000
+#: Sequences in a batch of the result.
+BATCH = 256
 
 
 def _place(lengths: list[int], capacities: tuple[int, ...], opening: Callable[[int, int], int]) -> tuple[list[int], list[int]]:
@@ -52,16 +55,16 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
     """(bin of each item, final capacity of each bin); items go from long to short.
 
     A new bin takes the size of least cost per token it can expect to hold.  As sizes decide jointly how
-    well later items fit, the same is tried with larger sizes ruled out wherever an item does not need
-    them, and the plan of least total cost is kept.  At the end each bin shrinks to the smallest permitted
-    size that holds its contents.  Lengths must be between 1 and the largest capacity.
+    well later items fit, this is done with every set of sizes that may be opened (an item longer than all
+    of a set opens the least size that holds it), and the plan of least total cost is kept.  At the end each
+    bin shrinks to the smallest permitted size that holds its contents.  Lengths must be between 1 and the
+    largest capacity.
     """
     order = np.argsort(-lengths, kind="stable")
     todo = lengths[order].tolist()
     sizes = np.array(capacities)
     best = None
-    for ruled in range(len(capacities)):
-        usual = capacities[: ruled + 1]
+    for usual in (c for k in range(1, len(capacities) + 1) for c in combinations(capacities, k)):
 
         def opening(n: int, left: int, usual=usual) -> int:
             fits = [c for c in usual if c >= n] or [next(c for c in capacities if c >= n)]
@@ -80,82 +83,133 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
     return out, best[2]
 
 
-def _pack(capacities: tuple[int, ...], overhead: float):
-    most = capacities[-1]
-    sizes = np.array(capacities)
+def _encoded_rows(tokenizer: str):
+    """Ids of each text with the end id, as little-endian 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokenbin._encoder(tokenizer)
+        for batch in pieces(batches, "text", 1 << 20):
+            ids, counts = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            bound = 4 * np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bound), pa.py_buffer(ids.astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("check"), pa.array(counts.astype(np.int32)), raw], names=["doc_id", "check", "length", "ids"])
+
+    return run
 
-    def emit(group: int, ids: list, lengths: list):
-        ids = pa.concat_arrays(ids)
-        length = np.concatenate(lengths).astype(np.int64)
+
+class Plan:
+    """Pieces of a group's documents in order of sequence and place: full sequences of long documents come last."""
+
+    def __init__(self, length: np.ndarray, capacities: tuple[int, ...], overhead: float) -> None:
+        most = capacities[-1]
         full, rest = length // most, length % most
         loose = np.flatnonzero(rest)
         where, capacity = best_fit(rest[loose], capacities, overhead)
-        order = np.argsort(where, kind="stable")
-        sizes_in = rest[loose][order]
-        before = np.cumsum(sizes_in) - sizes_in
-        first = np.searchsorted(where[order], np.arange(len(capacity)))
-        offset = np.empty(len(loose), np.int64)
-        offset[order] = before - before[first][where[order]] if len(loose) else before
         whole = np.repeat(np.arange(len(length)), full)
-        piece = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
-        row = np.concatenate([loose, whole])
-        number = np.concatenate([full[loose], piece])
-        base = np.int64(group << 32)
-        return pa.RecordBatch.from_arrays(
-            [
-                ids.take(pa.array(row)),
-                pa.array(number.astype(np.int32)),
-                pa.array(number * most),
-                pa.array(np.concatenate([rest[loose], np.full(len(whole), most)]).astype(np.int32)),
-                pa.array(base + np.concatenate([where, len(capacity) + np.arange(len(whole))])),
-                pa.array(np.concatenate([capacity[where], np.full(len(whole), sizes[-1])]).astype(np.int32)),
-                pa.array(np.concatenate([offset, np.zeros(len(whole), np.int64)]).astype(np.int32)),
-            ],
-            names=["doc_id", "fragment", "start", "length", "bin_id", "capacity", "bin_offset"],
-        )
+        number = np.concatenate([full[loose], np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)])
+        bins = np.concatenate([where, len(capacity) + np.arange(len(whole))])
+        order = np.argsort(bins, kind="stable")
+        self.doc = np.concatenate([loose, whole])[order]
+        self.fragment = number[order]
+        self.start = self.fragment * most
+        self.length = np.concatenate([rest[loose], np.full(len(whole), most)])[order]
+        self.bin = bins[order]
+        self.capacity = np.concatenate([capacity, np.full(len(whole), most)])
+        #: The first piece of each sequence, and the end.
+        self.first = np.searchsorted(self.bin, np.arange(len(self.capacity) + 1))
+
+
+def _pack(capacities: tuple[int, ...], overhead: float):
+    def emit(group: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = pa.concat_arrays([p.column("doc_id") for p in parts])
+        length = np.concatenate([p.column("length").to_numpy() for p in parts]).astype(np.int64)
+        ids = np.concatenate([np.frombuffer(r.as_buffer(), "<u4") for p in parts for r in p.column("ids")])
+        begin = np.cumsum(length) - length
+        plan = Plan(length, capacities, overhead)
+        for lo in range(0, len(plan.capacity), BATCH):
+            hi = min(len(plan.capacity), lo + BATCH)
+            some = slice(plan.first[lo], plan.first[hi])
+            size = plan.length[some]
+            at = np.cumsum(size) - size
+            flat = ids[np.repeat(begin[plan.doc[some]] + plan.start[some] - at, size) + np.arange(size.sum())]
+            cut = plan.first[lo : hi + 1] - plan.first[lo]
+            held = np.append(at, size.sum())[cut]
+            offset = at - np.repeat(held[:-1], np.diff(cut))
+            piece = pa.StructArray.from_arrays(
+                [docs.take(pa.array(plan.doc[some])), *(pa.array(v.astype(t)) for v, t in ((plan.fragment[some], np.int32), (plan.start[some], np.int64), (size, np.int32), (offset, np.int32)))],
+                names=["doc_id", "fragment", "start", "length", "bin_offset"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(lo, hi) + (group << 32), pa.int64()),
+                    pa.array(plan.capacity[lo:hi].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), pa.array(flat.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), piece),
+                ],
+                names=["bin_id", "capacity", "ids", "pieces"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, lengths = None, [], []
+        group, parts = None, []
         for batch in batches:
             groups = batch.column("group").to_numpy()
             for lo in [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist()] if len(groups) else []:
                 if groups[lo] != group:
-                    if ids:
-                        yield emit(group, ids, lengths)
-                    group, ids, lengths = int(groups[lo]), [], []
-                part = batch.slice(lo, int(np.searchsorted(groups, group, side="right")) - lo)
-                ids.append(part.column("doc_id"))
-                lengths.append(part.column("length").to_numpy())
-        if ids:
-            yield emit(group, ids, lengths)
+                    if parts:
+                        yield from emit(group, parts)
+                    group, parts = int(groups[lo]), []
+                parts.append(batch.slice(lo, int(np.searchsorted(groups, group, side="right")) - lo))
+        if parts:
+            yield from emit(group, parts)
 
     return run
 
 
-def pack(
+def _with_copies(rows: DataFrame, folder: str) -> DataFrame:
+    """The rows with a number among equal ones, so that these can be dealt like others, whatever the layout of the table."""
+    keys = ["doc_id", "check"]
+    twice = _store.save(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), f"{folder}/twice")
+    if twice.isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    marked = twice.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), "n")
+    met = rows.join(_store.light(marked), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["check"] == F.col("_check")), "left").drop("_id", "_check")
+    once = met.filter("n is null").drop("n").withColumn("copy", F.lit(0))
+    more = met.filter("n is not null").dropDuplicates(keys).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).drop("n")
+    return once.unionByName(more)
+
+
+def sequences(
     documents: DataFrame,
+    tokenizer: str | None = None,
     capacities: tuple[int, ...] = CAPACITIES,
     overhead: float = OVERHEAD,
-    length: Column | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
-    """Where each piece of each document goes: doc_id, fragment, start, length, bin_id, capacity, bin_offset.
-
-    A document longer than the largest capacity fills whole sequences of its own with its first pieces,
-    and its last piece is packed with the others.  Documents are dealt by a hash of id, text and input
-    partition into groups of about `group_rows`, packed one by one: only the last few bins of a group are
-    less than full.  A length that is null or below 1 counts as 1 (the end token), so null and empty texts
-    are packed too; repeated rows are packed as often as they occur.
+    """The packed sequences: bin_id, capacity (the size to pad to), ids, and pieces (doc_id, fragment, start, length, bin_offset).
+
+    Texts are encoded by the tokenizer, each with its end id.  A document longer than the largest capacity
+    fills whole sequences of its own with its first pieces, and its last piece is packed with the others.
+    Documents are dealt by a hash of id and text into groups of about `group_tokens`, packed one by one: only
+    the last few sequences of a group are less than full.  The result does not depend on the order or the
+    partitions of the input.  Null and empty texts are their end id alone; a null id is an id like others;
+    repeated rows are packed as often as they occur; an empty table gives no rows.
     """
+    spark = documents.sparkSession
     capacities = tuple(sorted(set(capacities)))
-    measured = F.greatest(F.coalesce(length if length is not None else word_count("text"), F.lit(1)), F.lit(1)).cast("int")
-    groups = max(1, -(-documents.count() // group_rows))
-    rows = documents.select(
-        F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).cast("int").alias("group"),
-        F.col("doc_id"),
-        measured.alias("length"),
-    )
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, fragment int, start long, length int, bin_id long, capacity int, bin_offset int"
-    dealt = rows.repartitionById(groups, F.col("group")).sortWithinPartitions("group", F.desc("length"), "doc_id")
-    return dealt.mapInArrow(_pack(capacities, overhead), ddl)
+    folder = _store.new_folder(spark, "packing")
+    texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"), "text")
+    kind = texts.schema["doc_id"].dataType
+    fields = [T.StructField("doc_id", kind), T.StructField("check", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())]
+    rows = _store.save(texts.mapInArrow(_encoded_rows(tokenizer or tokenbin.default_tokenizer()), T.StructType(fields)), f"{folder}/ids")
+    groups = int((rows.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0) // group_tokens + 1)
+    dealt = _with_copies(rows, folder).withColumn("group", F.pmod(F.xxhash64("doc_id", "check", "copy"), F.lit(groups)).cast("int"))
+    ordered = partitioned(dealt, "group", groups).sortWithinPartitions("group", F.desc("length"), "doc_id", "check", "copy")
+    ddl = f"bin_id long, capacity int, ids array<int>, pieces array<struct<doc_id:{kind.simpleString()},fragment:int,start:long,length:int,bin_offset:int>>"
+    return ordered.select("group", "doc_id", "length", "ids").mapInArrow(_pack(capacities, overhead), ddl)
+
+
+def placements(packed: DataFrame) -> DataFrame:
+    """Of each piece of each document, read back from the sequences: doc_id, fragment, start, length, bin_id, capacity, bin_offset, ids_hash."""
+    rows = packed.select("bin_id", "capacity", "ids", F.explode("pieces").alias("p"))
+    own = F.slice("ids", F.col("p.bin_offset") + 1, F.col("p.length"))
+    return rows.select("p.doc_id", "p.fragment", "p.start", "p.length", "bin_id", "capacity", "p.bin_offset", F.xxhash64(own).alias("ids_hash"))

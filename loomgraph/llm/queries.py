@@ -38,7 +38,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.placements(packing.sequences(_table(spark, sf_dir, "documents")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

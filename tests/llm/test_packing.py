@@ -4,13 +4,15 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from loomgraph.llm import packing
+from loomgraph.llm import packing, tokenbin
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def naive(lengths, capacities, overhead):
     """The same choices by plain search over all bins."""
     plans = []
-    for k in range(len(capacities)):
+    for usual in (u for k in range(1, len(capacities) + 1) for u in itertools.combinations(capacities, k)):
         bins = []
         left = sum(lengths)
         for n in sorted(lengths, reverse=True):
@@ -18,7 +20,7 @@ def naive(lengths, capacities, overhead):
             if fit:
                 b = min(fit, key=lambda b: b[0])
             else:
-                can = [c for c in capacities[: k + 1] if c >= n] or [min(c for c in capacities if c >= n)]
+                can = [c for c in usual if c >= n] or [min(c for c in capacities if c >= n)]
                 b = [min(can, key=lambda c: ((c + overhead) / min(c, left), c)), 0]
                 bins.append(b)
             b[0] -= n
@@ -37,36 +39,50 @@ def test_best_fit_costs_what_plain_search_does(lengths):
     assert capacity.sum() + 3 * len(capacity) == (naive(lengths, (10, 20, 40), 3) if lengths else 0)
 
 
-def check(rows, lengths, capacities):
-    by_doc, by_bin = {}, {}
-    for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(r)
-        by_bin.setdefault(r.bin_id, []).append(r)
-    got = sorted((d, sum(r.length for r in rs)) for d, rs in by_doc.items())
-    assert got == sorted((d, sum(n for e, n in lengths if e == d)) for d in {e for e, _ in lengths})
-    for rs in by_bin.values():
-        rs.sort(key=lambda r: r.bin_offset)
-        assert [r.bin_offset for r in rs] == [0, *itertools.accumulate(r.length for r in rs)][:-1]
-        assert len({r.capacity for r in rs}) == 1
-        assert rs[0].capacity == min(c for c in capacities if c >= sum(r.length for r in rs))
+def check(packed, texts, capacities):
+    """Each sequence decodes to its pieces, and each document's pieces, in order, to its ids."""
+    plain = Tokenizer.from_file(tokenbin.default_tokenizer())
+    by_doc: dict = {}
+    for r in packed:
+        assert r.capacity == min(c for c in capacities if c >= len(r.ids))
+        assert [p.bin_offset for p in r.pieces] == [0, *itertools.accumulate(p.length for p in r.pieces)][:-1]
+        assert len(r.ids) == sum(p.length for p in r.pieces)
+        for p in r.pieces:
+            by_doc.setdefault(p.doc_id, []).append((p.fragment, p.start, r.ids[p.bin_offset : p.bin_offset + p.length]))
+    want: dict = {}
+    for d, t in texts:
+        want.setdefault(d, []).append(plain.encode(t or "", add_special_tokens=False).ids + [tokenbin.END_ID])
+    assert by_doc.keys() == want.keys()
+    for d, pieces in by_doc.items():
+        if len(want[d]) > 1:  # repeated rows: as many of each piece
+            assert sorted(i for _, _, ids in pieces for i in ids) == sorted(i for ids in want[d] for i in ids)
+            continue
+        pieces.sort()
+        assert [f for f, _, _ in pieces] == list(range(len(pieces)))
+        assert [i for _, _, ids in pieces for i in ids] == want[d][0]
+        assert [s for _, s, _ in pieces] == [0, *itertools.accumulate(len(ids) for _, _, ids in pieces)][:-1]
 
 
 def test_small_tables(spark):
-    rows = [(1, "a b c"), (2, None), (3, ""), (3, ""), (4, "w " * 9000), (5, "x\ty  z\n"), (6, "w " * 4095)]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, length int")
-    want = [(d, len((t or "").split()) + 1) for d, t in rows]
-    got = packing.pack(df).collect()
-    check(got, want, packing.CAPACITIES)
-    assert sorted((r.fragment, r.start) for r in got if r.doc_id == 4) == [(0, 0), (1, 4096), (2, 8192)]
-    assert packing.pack(df.limit(0)).count() == 0
+    rows = [(1, "a b c"), (2, None), (3, ""), (3, ""), (4, "w " * 9000), (5, "x\ty  z\n"), (6, "w " * 4095), (None, "no id"), (3, "other")]
+    df = spark.createDataFrame([(*r, 9, "g") for r in rows], "doc_id long, text string, length int, group string")
+    check(packing.sequences(df).collect(), rows, packing.CAPACITIES)
+    assert packing.sequences(df.limit(0)).count() == 0
+    nothing = spark.createDataFrame([(1, 5)], "doc_id long, x int").withColumn("text", F.lit(None).cast("string"))
+    assert packing.sequences(nothing).first().ids == [tokenbin.END_ID]
 
 
-@pytest.mark.parametrize("group_rows", [60, 10_000])
-def test_whole_table(spark, group_rows):
+@pytest.mark.parametrize("group_tokens", [40_000, 4_000_000])
+def test_whole_table(spark, group_tokens):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = [(r.doc_id, len(r.text.translate({0x1C: 1, 0x1D: 1, 0x1E: 1, 0x1F: 1, 0x85: 1, 0xA0: 1}).split()) + 1) for r in df.collect()]
-    got = packing.pack(df, group_rows=group_rows).collect()
-    check(got, want, packing.CAPACITIES)
-    used = sum(r.length for r in got)
-    room = sum({r.bin_id: r.capacity for r in got}.values())
-    assert used / room > (0.99 if group_rows > 1000 else 0.9)
+    got = packing.sequences(df, group_tokens=group_tokens).collect()
+    check(got, [(r.doc_id, r.text) for r in df.collect()], packing.CAPACITIES)
+    used, room = sum(len(r.ids) for r in got), sum(r.capacity for r in got)
+    assert used / room > (0.98 if group_tokens > 1_000_000 else 0.9)
+
+
+def test_layout_does_not_matter(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = df.union(df.limit(40)).union(df.filter("doc_id < 3"))
+    got = [sorted(map(tuple, packing.placements(packing.sequences(d, group_tokens=5_000)).collect()), key=str) for d in (df.coalesce(1), df.repartition(3), df.orderBy(F.desc("text")))]
+    assert got[0] == got[1] == got[2]

@@ -5,9 +5,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline
 import pytest
-from loomgraph.llm import decontam, quality
+from loomgraph.llm import decontam, quality, tokenbin
 from test_dartminhash import brute as brute_classes
 from test_secrets import base, entropy_spans
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.01"
 
@@ -74,16 +75,19 @@ def test_secrets(stages):
 
 
 def test_packing(stages):
-    packed = stages[5].collect()
-    total: dict = {}
-    for r in packed:
-        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
-    assert total == {d: len(r.text.split()) + 1 for d, r in rows(stages[4]).items()}
+    plain = Tokenizer.from_file(tokenbin.default_tokenizer())
+    pieces: dict = {}
+    for r in stages[5].collect():
+        assert set(r.doc_ids) == {p.doc_id for p in r.pieces}
+        for p in r.pieces:
+            pieces.setdefault(p.doc_id, []).append((p.fragment, r.ids[p.bin_offset : p.bin_offset + p.length]))
+    found = {d: [i for _, ids in sorted(ps) for i in ids] for d, ps in pieces.items()}
+    assert found == {d: plain.encode(r.text, add_special_tokens=False).ids + [tokenbin.END_ID] for d, r in rows(stages[4]).items()}
 
 
 def test_run_equals_its_stages(spark, stages):
-    got = corpus_pipeline.run(spark, SF)
-    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stages[5].collect())
+    key = lambda df: sorted((r.bin_id, r.capacity, tuple(r.ids), tuple(r.doc_ids)) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, SF)) == key(stages[5])
 
 
 @pytest.mark.parametrize("stage", range(5))
