@@ -2,12 +2,13 @@
 
 quality (documents scored below the threshold go), near duplicates (one document of each class stays),
 decontamination (documents that hold a benchmark window go), secrets (spans are replaced by a mark), and
-packing (which gives a row per piece of a document, not the documents).
+packing (which gives the sequences of token ids to train on, not the documents).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph import reachable
 from loomgraph.llm import _store, dartminhash, decontam, packing, quality, secrets
@@ -38,8 +39,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: doc_id, fragment, start, length, bin_id, capacity, bin_offset."""
-    return packing.pack(docs)
+    """The sequences: bin_id, capacity, doc_ids, ids, and the pieces of documents they hold."""
+    return packing.sequences(docs).select("bin_id", "capacity", F.transform("pieces", lambda p: p["doc_id"]).alias("doc_ids"), "ids", "pieces")
 
 
 STAGES = [
@@ -56,9 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again.
+
+    What a stage was made from goes once its own rows are written.
+    """
     folder = _store.new_folder(spark, "pipeline")
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = _store.save(stage(spark, docs, sf_dir), f"{folder}/{i}-{name}")
+        url, begin = f"{folder}/{i}-{name}", _store.mark()
+        docs = _store.save(stage(spark, docs, sf_dir), url)
+        _store.drop_since(spark, begin)
+        if before:
+            _store.drop(spark, before)
+        before = url
     return docs
