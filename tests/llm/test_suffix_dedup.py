@@ -42,7 +42,7 @@ def test_chunks_and_full_output(spark, monkeypatch):
     runs = suffix_dedup.text_runs(*_bytes(rows), 20, 7)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
     cut = suffix_dedup.text_runs(*_bytes(rows), 20, 7)
-    assert sum(runs[4] - runs[3] + 1) == sum(cut[4] - cut[3] + 1) == sum(len(t) - 19 for _, t in rows)
+    assert sum(runs[5] - runs[4] + 1) == sum(cut[5] - cut[4] + 1) == sum(len(t) - 19 for _, t in rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for r in suffix_dedup.remove_repeats(df).collect():
         assert r.n_removed == sum(s.end - s.begin for s in r.spans)
@@ -61,3 +61,21 @@ def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = suffix_dedup.remove_repeats(df, digest=True)
     assert sorted(map(tuple, got.collect()), key=str) == brute([tuple(r) for r in df.collect()], 200)
+
+
+def test_equal_identifiers_of_other_bytes():
+    raw = np.frombuffer(b"abcdXabcdYabceZbcd", np.uint8)
+    at = np.array([0, 5, 10, 1, 6, 15])
+    none = np.zeros(len(at), np.uint64)
+    assert suffix_dedup.repeated((none[:2],), at[:2], raw, 4).tolist() == [True, True]
+    assert suffix_dedup.repeated((none[:3],), at[:3], raw, 4).tolist() == [True, True, False]
+    assert suffix_dedup.repeated((none, np.array([1, 1, 2, 3, 3, 3], np.uint64)), at, raw, 3).tolist() == [True, True, False, True, True, True]
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(9)
+    apart = "".join(rng.choice("abcdefghijklmnop") for _ in range(300_000))
+    rows = [(1, "a" * 1_000_000), (2, apart), (3, apart[:150] + "z" * 100 + apart[-150:]), *[(4, "same " * 60)] * 50]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r)[:4] for r in suffix_dedup.remove_repeats(df, digest=True).collect()]
+    assert sorted(got) == [(1, 1_000_000, 1_000_000, 1), (2, 300_000, 0, 0), (3, 400, 0, 0), *[(4, 300, 300, 1)] * 50]
