@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import _store
+from loomgraph.llm._store import free_name
 from loomgraph.llm._text import U64, VISIBLE, Tokens, mix, pieces, powers, runs, shingles, text_bytes, tokenize
 
 WIDTH = 5
@@ -142,8 +143,7 @@ def _cell_rows(width: int):
             tok = tokenize(*text_bytes(batch.column("text")), VISIBLE)
             cell, docs = cells(tok, width)
             bound = np.searchsorted(docs, np.arange(batch.num_rows + 1))
-            small = (cell & U64(0xFFFFFFFF)).astype(np.uint32)
-            packed = [np.sort(small[a:b]).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
+            packed = [np.sort(cell[a:b]).tobytes() for a, b in zip(bound[:-1], bound[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([_key_column(word_keys(tok)), pa.array(packed, pa.binary())], names=["key", "cells"])
 
     return run
@@ -195,31 +195,82 @@ def _spanning(keys: list[bytes], sets: list[np.ndarray], blocks: np.ndarray | No
     return links
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one (v, left, right) after the other; they come in order."""
+    held: list[dict] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            for row in batch.slice(lo, 256).to_pylist():
+                if held and (row["v"], row["left"], row["right"]) != (held[0]["v"], held[0]["left"], held[0]["right"]):
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+
+
 def _link_rows(threshold: float):
     def solve(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-        sets = [np.frombuffer(r["cells"], np.uint32) for r in rows]
+        sets = [np.frombuffer(r["cells"], np.uint64) for r in rows]
         blocks = np.array([r["block"] for r in rows]) if rows[0]["left"] != rows[0]["right"] else None
         return _spanning([r["key"] for r in rows], sets, blocks, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        out: list[tuple[bytes, bytes]] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["v"], row["left"], row["right"]) != (held[0]["v"], held[0]["left"], held[0]["right"]):
-                    out += solve(held)
-                    held = []
-                held.append(row)
-            if len(out) > 10_000:
+        for rows in _grouped(batches):
+            if out := solve(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
-                out = []
-        if held:
-            out += solve(held)
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _star_rows(threshold: float):
+    """Of each key of a block whether it is linked to the one key that stands for the whole bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            hub = next(r for r in rows if r["hub"])
+            own, rest = np.frombuffer(hub["cells"], np.uint64), [r for r in rows if not r["hub"]]
+            sets = [np.frombuffer(r["cells"], np.uint64) for r in rest]
+            common = np.array([len(np.intersect1d(own, s, assume_unique=True)) for s in sets])
+            size = np.array([len(s) for s in sets])
+            linked = common >= threshold * (size + len(own) - common) - 1e-9
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hub["v"]] * len(rest), pa.int64()), pa.array([r["key"] for r in rest], pa.binary()), pa.array([hub["key"]] * len(rest), pa.binary()), pa.array(linked, pa.bool_())],
+                names=["v", "key", "hub", "linked"],
+            )
+
+    return run
+
+
+def _placed(members: DataFrame, held: DataFrame, threshold: float, block: int, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """(members of buckets with the blocks they are compared in, links that are known already).
+
+    A bucket of up to `block` keys is one block.  In a larger one every key is first compared with the
+    bucket's least key; those linked to it are connected, so what remains are the pairs of which one side is
+    not.  Its blocks are compared with one another and with all blocks of linked keys.
+    """
+    spark = members.sparkSession
+    number = lambda n: F.ceil(n / block).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("key"), number(n)).cast("int")
+    small = members.filter(F.col("n") <= block).select("v", "key", F.lit(0).alias("block"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    large = members.filter(F.col("n") > block)
+    if large.isEmpty():
+        return small, None
+    spread = large.filter("key != k").select("v", "key", deal(F.col("n")).alias("left"), F.lit(False).alias("hub"))
+    hubs = large.filter("key = k").select("v", "key", F.explode(F.sequence(F.lit(0), number(F.col("n")) - 1)).alias("left"), F.lit(True).alias("hub"))
+    rows = spread.unionByName(hubs).join(held, "key").withColumn("right", F.col("left"))
+    star = rows.repartition("v", "left").sortWithinPartitions("v", "left", "key").mapInArrow(_star_rows(threshold), "v long, key binary, hub binary, linked boolean")
+    star = _store.save(star, f"{folder}/stars")
+    count = _store.save(star.groupBy("v").agg(F.sum(F.col("linked").cast("long")).alias("n_linked"), F.sum((~F.col("linked")).cast("long")).alias("n_open")).filter("n_open > 0"), f"{folder}/open")
+    met = star.join(_store.light(count), "v")
+    a, b = number(F.col("n_open")), number(F.col("n_linked"))
+    open_ = met.filter("not linked").withColumn("block", deal(F.col("n_open"))).withColumn("other", F.explode(F.sequence(F.lit(0), a + b - 1)))
+    # a linked key meets every open block, and only those
+    shut = met.filter("linked").withColumn("block", a + deal(F.col("n_linked"))).withColumn("other", F.explode(F.sequence(F.lit(0), a - 1)))
+    pairs = open_.unionByName(shut).select("v", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    return small.unionByName(pairs), star.filter("linked").select(F.col("hub").alias("a"), F.col("key").alias("b"))
+
+
 def _components(links: DataFrame, folder: str) -> DataFrame:
     """(key, root): the least key each key is connected to, by alternating large and small stars.
 
@@ -243,6 +294,7 @@ def _components(links: DataFrame, folder: str) -> DataFrame:
         before, turn = now, turn + 1
         larger = star(edges, True)
         edges = _store.save(star(larger, False), f"{folder}/links-{turn}")
+        _store.drop(spark, f"{folder}/links-{turn - 1}")
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, coords: int = COORDS, rows: int = ROWS_PER_BAND, block: int = BLOCK) -> DataFrame:
@@ -253,7 +305,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = WID
     are linked; classes are what links connect.  Candidates share a band of DartMinHash coordinates: a pair
     at the threshold is missed with a probability of (1 - threshold**rows) ** (coords // rows), 3e-7 by
     default.  Buckets with the same members are compared once; within a bucket every pair that is not yet
-    connected is compared, in blocks of `block` keys, and only connecting links leave the task.
+    connected is compared exactly, in blocks of `block` keys, and only connecting links leave the task.
     Null and blank texts belong to no class; an empty table gives no rows; repeated rows keep their number.
     """
     spark = documents.sparkSession
@@ -264,17 +316,17 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = WID
     texts = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     banded = texts.select("key", F.explode("bands").alias("v"))
     bucket = banded.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.min("key").alias("k")).filter("n > 1")
-    bucket = bucket.groupBy("n", "s", "k").agg(F.min("v").alias("v")).select("v", "n")
+    bucket = bucket.groupBy("n", "s", "k").agg(F.min("v").alias("v")).select("v", "n", "k")
     members = _store.save(banded.join(bucket, "v"), f"{folder}/members")
     wanted = members.select("key").distinct().join(texts.select("key", "doc_id"), "key").select(F.col("doc_id").alias("_id")).distinct()
     some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
     held = some.mapInArrow(_cell_rows(width), "key binary, cells binary").filter("key is not null").dropDuplicates(["key"])
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("v", "key", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    placed, known = _placed(members, held, threshold, block, folder)
     grouped = placed.join(held, "key").repartition("v", "left", "right").sortWithinPartitions("v", "left", "right", "key")
     links = grouped.select("v", "left", "right", "block", "key", "cells").mapInArrow(_link_rows(threshold), "a binary, b binary")
+    links = links if known is None else links.unionByName(known)
     roots = _components(links, folder)
+    _store.drop(spark, f"{folder}/members")
     return signed.select("doc_id", "key").join(roots, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("class"))
 
 
@@ -284,28 +336,36 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, **option
     A text without words is in a class of its own, of size 1.
     """
     got = classes(documents, threshold, **options)
-    known = got.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return got.join(known, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    folder = _store.new_folder(documents.sparkSession, "classes")
+    known = got.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1")
+    known = _store.light(_store.save(known, f"{folder}/known"))
+    return got.join(known, "class", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
-def _with_key(at: int):
+def _with_key(at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at):
             tok = tokenize(*text_bytes(batch.column(at)), VISIBLE)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _key_column(word_keys(tok))], names=[*batch.schema.names, "_near_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _key_column(word_keys(tok))], names=[*batch.schema.names, name])
 
     return run
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents, as they are, with one row of each class: that of the least doc_id.  Texts without words all stay."""
+    """The documents, as they are, with one row of each class: that of the least doc_id (null last).
+
+    Texts without words all stay.  Of several rows with that id and the same words the least one stays, by
+    text and then by all columns written as JSON.  Columns of any name are carried through.
+    """
     columns = documents.columns
+    key, one, chosen_id, chosen_key = (free_name(columns, n) for n in ("key", "one", "chosen_id", "chosen_key"))
     got = classes(documents, threshold, **options).filter("class is not null")
-    chosen = got.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("c")).select(F.col("c.doc_id").alias("_near_id"), F.col("c.key").alias("_near_chosen"))
-    schema = T.StructType([*documents.schema.fields, T.StructField("_near_key", T.BinaryType())])
-    keyed = documents.mapInArrow(_with_key(columns.index("text")), schema)
-    blank = documents.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x09-\x0D\x20]"))
-    met = keyed.join(chosen, (keyed["_near_key"] == chosen["_near_chosen"]) & keyed["doc_id"].eqNullSafe(chosen["_near_id"]))
-    order = Window.partitionBy("_near_chosen", "_near_id").orderBy("text", *[c for c in columns if c not in ("text", "doc_id") and documents.schema[c].dataType.simpleString() in ("string", "bigint", "int")])
-    one = met.withColumn("_near_row", F.row_number().over(order)).filter("_near_row = 1").select(*[keyed[c] for c in columns])
-    return one.unionByName(blank)
+    chosen = got.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias(chosen_id), F.col("c.key").alias(chosen_key))
+    schema = T.StructType([*documents.schema.fields, T.StructField(key, T.BinaryType())])
+    keyed = documents.mapInArrow(_with_key(columns.index("text"), key), schema)
+    blank = keyed.filter(F.col(key).isNull()).drop(key)
+    met = keyed.join(chosen, (keyed[key] == chosen[chosen_key]) & keyed["doc_id"].eqNullSafe(chosen[chosen_id]))
+    order = Window.partitionBy(chosen_key, chosen_id).orderBy("text", F.to_json(F.struct(*[keyed[c] for c in columns])))
+    best = met.withColumn(one, F.row_number().over(order)).filter(F.col(one) == 1).select(*[keyed[c] for c in columns])
+    return best.unionByName(blank)

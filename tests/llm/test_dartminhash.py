@@ -106,3 +106,30 @@ def test_every_banded_pair_is_checked_exactly(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(df, coords=6).collect()}
     assert [(a, b) for a, b in pairs if got[a] == got[b]] == banded
+
+
+def test_keep_one_with_clashing_columns_and_ties(spark):
+    names = ["key", "one", "Chosen_ID", "chosen_key", "class", "v", "size"]
+    rows = [(1, "a b c", *names), (1, "A b c", *names), (1, "a b c", *["x"] * 7), (2, "a  b c", *names), (3, None, *names), (3, " ", *names)]
+    df = spark.createDataFrame([(*r, float(i)) for i, r in enumerate(rows)], ["doc_id", "text", *names, "weight"])
+    for parts in (1, 3):
+        got = dartminhash.keep_one(df.repartition(parts))
+        assert got.columns == df.columns and got.schema == df.schema
+        assert sorted((r.doc_id, r.text or "", r.weight) for r in got.collect()) == [(1, "A b c", 1.0), (3, "", 4.0), (3, " ", 5.0)]
+
+
+def test_recall_by_similarity(spark):
+    """Of pairs of texts at each similarity the share that is linked."""
+    rng = random.Random(4)
+    rows, true = [], {}
+    for g in range(900):
+        words = [f"g{g}w{k}" for k in range(120)]
+        for at in rng.sample(range(5, 115), 1 + g % 3):
+            words[at] = "other"
+        a, b = " ".join(f"g{g}w{k}" for k in range(120)), " ".join(words)
+        true[g] = jaccard(shingle_counts(a), shingle_counts(b))
+        rows += [(2 * g, a), (2 * g + 1, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(df).collect()}
+    assert all((got[2 * g] == got[2 * g + 1]) == (s >= 0.8) for g, s in true.items())
+    assert sum(0.8 <= s < 0.85 for s in true.values()) > 100
