@@ -83,15 +83,20 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, over
     return out, best[2]
 
 
+def _width(tokenizer: str) -> str:
+    """The type that holds every id of the tokenizer."""
+    return "<u2" if len(tokenbin._encoder(tokenizer).spaced) <= 1 << 16 else "<u4"
+
+
 def _encoded_rows(tokenizer: str):
-    """Ids of each text with the end id, as little-endian 32-bit integers."""
+    """Ids of each text with the end id, as little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenbin._encoder(tokenizer)
+        encoder, kind = tokenbin._encoder(tokenizer), np.dtype(_width(tokenizer))
         for batch in pieces(batches, "text", 1 << 20):
             ids, counts = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            bound = 4 * np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bound), pa.py_buffer(ids.astype("<u4").tobytes())])
+            bound = kind.itemsize * np.concatenate([[0], np.cumsum(counts)])
+            raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(ids.astype(kind).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("check"), pa.array(counts.astype(np.int32)), raw], names=["doc_id", "check", "length", "ids"])
 
     return run
@@ -119,11 +124,11 @@ class Plan:
         self.first = np.searchsorted(self.bin, np.arange(len(self.capacity) + 1))
 
 
-def _pack(capacities: tuple[int, ...], overhead: float):
+def _pack(capacities: tuple[int, ...], overhead: float, width: str):
     def emit(group: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = pa.concat_arrays([p.column("doc_id") for p in parts])
         length = np.concatenate([p.column("length").to_numpy() for p in parts]).astype(np.int64)
-        ids = np.concatenate([np.frombuffer(r.as_buffer(), "<u4") for p in parts for r in p.column("ids")])
+        ids = np.concatenate([np.frombuffer(r.as_buffer(), width) for p in parts for r in p.column("ids")])
         begin = np.cumsum(length) - length
         plan = Plan(length, capacities, overhead)
         for lo in range(0, len(plan.capacity), BATCH):
@@ -195,17 +200,17 @@ def sequences(
     repeated rows are packed as often as they occur; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    capacities = tuple(sorted(set(capacities)))
+    capacities, tokenizer = tuple(sorted(set(capacities))), tokenizer or tokenbin.default_tokenizer()
     folder = _store.new_folder(spark, "packing")
     texts = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"), "text")
     kind = texts.schema["doc_id"].dataType
     fields = [T.StructField("doc_id", kind), T.StructField("check", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())]
-    rows = _store.save(texts.mapInArrow(_encoded_rows(tokenizer or tokenbin.default_tokenizer()), T.StructType(fields)), f"{folder}/ids")
+    rows = _store.save(texts.mapInArrow(_encoded_rows(tokenizer), T.StructType(fields)), f"{folder}/ids")
     groups = int((rows.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0) // group_tokens + 1)
     dealt = _with_copies(rows, folder).withColumn("group", F.pmod(F.xxhash64("doc_id", "check", "copy"), F.lit(groups)).cast("int"))
     ordered = partitioned(dealt, "group", groups).sortWithinPartitions("group", F.desc("length"), "doc_id", "check", "copy")
     ddl = f"bin_id long, capacity int, ids array<int>, pieces array<struct<doc_id:{kind.simpleString()},fragment:int,start:long,length:int,bin_offset:int>>"
-    return ordered.select("group", "doc_id", "length", "ids").mapInArrow(_pack(capacities, overhead), ddl)
+    return ordered.select("group", "doc_id", "length", "ids").mapInArrow(_pack(capacities, overhead, _width(tokenizer)), ddl)
 
 
 def placements(packed: DataFrame) -> DataFrame:
