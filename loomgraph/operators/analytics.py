@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.taxonomy import norm_country
+
 
 def classify(texts: list[Column], rules: list[tuple[str, list[str]]]) -> Column:
     """The code of the first rule, in order, of which the first text that matches any rule holds a keyword; NULL if none does.
@@ -102,3 +104,43 @@ def rate_window(rows: DataFrame, seconds: int = 60, most: int = 55) -> DataFrame
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str = "2026") -> DataFrame:
     """n rows in the order of a hash of their key: a uniform sample that any engine can repeat."""
     return rows.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
+
+
+def shares(rows: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
+    """All rows of `names` with the number of `rows` of their keys, zero included, and the share of the whole."""
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    full = F.broadcast(names).join(counted, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a row per name of the taxonomy
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return full.withColumn("share", F.when(total == 0, 0.0).otherwise(F.round(F.col("n") / total, 4)))
+
+
+def rate_by(rows: DataFrame, by: str, flag: Column) -> DataFrame:
+    """(by, with, total, rate): how many rows of each value have the flag."""
+    got = rows.groupBy(by).agg(F.count(F.when(flag, 1)).alias("with"), F.count("*").alias("total"))
+    return got.withColumn("rate", F.round(F.col("with") / F.col("total"), 4))
+
+
+def diversity_by(rows: DataFrame, value: str, spans: dict[str, tuple[int, int]]) -> DataFrame:
+    """(span, mean) of a number over the rows (year, value) of each span of years, 0 where there are none."""
+    inside = [F.avg(F.when(F.col("year").between(a, b), F.col(value))) for a, b in spans.values()]
+    got = rows.agg(*[F.round(F.coalesce(m, F.lit(0.0)), 4).alias(f"s{i}") for i, m in enumerate(inside)])
+    return got.select(F.explode(F.array(*[F.struct(F.lit(name).alias("span"), F.col(f"s{i}").alias("mean")) for i, name in enumerate(spans)])).alias("x")).select("x.*")
+
+
+def complete_events(first: DataFrame, chain: tuple[str, ...]) -> DataFrame:
+    """(event_id, path): events with a first value in every class of the chain, cut to 50 characters and joined."""
+    held = first.filter(F.col("entity_type").isin(*chain) & (F.length("value") > 0)).groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("entity_type", "value"))).alias("m"), F.count("*").alias("k"))
+    cut = lambda k: cut_short(F.element_at("m", F.lit(k)))
+    return held.filter(F.col("k") == len(chain)).select("event_id", F.concat_ws(" -> ", *[cut(k) for k in chain]).alias("path"))
+
+
+def cut_short(value: Column, most: int = 50) -> Column:
+    """A label on one line, cut without white space before the dots."""
+    line = F.replace(F.trim(value), F.lit("\n"), F.lit(" "))
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(F.left(line, F.lit(most))), F.lit("...")))
+
+
+def countries(attributes: DataFrame) -> DataFrame:
+    """(country, n) over rows of attribute maps: values of keys that speak of a country, under their common names."""
+    rows = attributes.select(F.explode("attributes").alias("k", "v")).filter(F.contains(F.lower("k"), F.lit("country")))
+    return rows.groupBy(norm_country(F.col("v")).alias("country")).agg(F.count("*").alias("n"))

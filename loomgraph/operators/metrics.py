@@ -104,8 +104,36 @@ def layered_support(edges: DataFrame, nodes: DataFrame, matches: DataFrame) -> D
     return named.filter("layer is not null").withColumn("esr", ratio(F.col("matched"), F.col("n"), 1, True))
 
 
+def deleted(predicted: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, outcome fp): predictions that an annotation no longer holds, once for each annotation.
+
+    `kept` holds an annotation's remaining predictions: (annotation, and the keys); every annotation judges all of its task's.
+    """
+    task, rest = keys[0], keys[1:]
+    asked = predicted.select(*keys).distinct().join(kept.select("annotation", task).distinct(), task)
+    return asked.join(kept.select("annotation", *keys).distinct(), ["annotation", *keys], "left_anti").select("annotation", task, *rest, F.lit("fp").alias("outcome"))
+
+
+def complete_share(events: DataFrame, complete: DataFrame) -> DataFrame:
+    """One row: events, complete and rcc, the share of events with a complete risk chain, in percent."""
+    marked = events.select("event_id").distinct().join(complete.select("event_id").distinct().withColumn("_c", F.lit(1)), "event_id", "left")
+    return marked.agg(F.count("*").alias("events"), F.count("_c").alias("complete")).withColumn("rcc", ratio(F.col("complete"), F.col("events"), 1, True))
+
+
+def with_stakeholders(spans: DataFrame) -> DataFrame:
+    """The spans, and those of all stakeholder classes once more under `Stakeholder(agg)`, for `precision_recall(...)` to sum up."""
+    both = F.when(F.col("kind").isin(*STAKEHOLDERS), F.array("kind", F.lit("Stakeholder(agg)"))).otherwise(F.array("kind"))
+    return spans.withColumn("kind", F.explode(both)).withColumn("again", F.col("kind") == "Stakeholder(agg)")
+
+
 def precision_recall(spans: DataFrame) -> DataFrame:
-    """(kind, tp, gold, predicted, p, r, f1) by kind and Overall, from rows of (kind, outcome exact|partial|fn|fp)."""
+    """(kind, tp, gold, predicted, p, r, f1) by kind and Overall, from rows of (kind, outcome exact|partial|fn|fp).
+
+    Rows marked `again` (see `with_stakeholders`) do not count a second time in Overall.
+    """
+    if "again" in spans.columns:
+        own = precision_recall(spans.drop("again")).filter("kind != 'Overall'")
+        return own.unionByName(precision_recall(spans.filter("not again").drop("again")).filter("kind = 'Overall'"))
     n = lambda o: F.count(F.when(F.col("outcome") == o, 1))
     sets = spans.rollup("kind").agg(n("exact").alias("e"), n("partial").alias("pa"), n("fn").alias("fn"), n("fp").alias("fp"), F.grouping("kind").alias("_g"))
     tp, gold, pred = F.col("e") + 0.5 * F.col("pa"), F.col("e") + F.col("pa") + F.col("fn"), F.col("e") + F.col("pa") + F.col("fp")
@@ -180,9 +208,13 @@ def bootstrap_interval(judged: DataFrame, resamples: int = 10_000, seed: int = 4
     """One row: estimate, low, high of a share of true verdicts; resampled as binomial draws over the range of resamples."""
     stats = judged.agg(F.count("*").alias("n"), F.avg(F.col("verdict").cast("double")).alias("p"))
 
-    @F.pandas_udf("double")
-    def draw(n: pd.Series, p: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(k)]).binomial(int(a), b) / a for a, b, k in zip(n, p, i, strict=True)])
+    batch = 1024
+
+    def draw(batches):
+        for rows in batches:
+            for k, n, p in zip(rows["id"], rows["n"], rows["p"], strict=True):
+                some = min(batch, resamples - k * batch)
+                yield pd.DataFrame({"p": np.full(some, p), "x": np.random.default_rng([seed, int(k)]).binomial(int(n), p, some) / n})
 
-    draws = judged.sparkSession.range(resamples).join(F.broadcast(stats)).select("p", draw("n", "p", "id").alias("x"))
+    draws = judged.sparkSession.range(-(-resamples // batch)).join(F.broadcast(stats)).mapInPandas(draw, "p double, x double")
     return draws.agg(F.round(F.first("p"), 4).alias("estimate"), F.round(F.percentile("x", 0.025), 4).alias("low"), F.round(F.percentile("x", 0.975), 4).alias("high"))

@@ -82,6 +82,12 @@ def support_by_name(entities: DataFrame) -> DataFrame:
     return entities.groupBy("event_id", "name").agg(F.max_by("support_count", "pos").alias("support"))
 
 
+def strongest(support: DataFrame, most: int = 25) -> DataFrame:
+    """(event_id, name, support, rank): an event's best supported names, of equals by name; 25 for a prompt, 12 for a short one."""
+    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("support"), "name"))
+    return support.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def support_by_chunk(entities: DataFrame, documents: DataFrame) -> DataFrame:
     """(event_id, name, support): a large event's support adds up over all chunks that hold the entity."""
     where = chunked(documents).select("event_id", F.col("doc_id"), "chunk")

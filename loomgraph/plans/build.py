@@ -35,6 +35,10 @@ GOVERNANCE = {
     "obligation": "Obligation", "compliance_requirement": "ComplianceRequirement", "enforcement_action": "EnforcementAction", "code_of_conduct": "CodeOfConduct",
     "trend": "Trend", "documentation": "Documentation", "technical_documentation": "TechnicalDocumentation", "verification_test": "VerificationTest",
 }
+ROLE_CORE = {
+    "ai_systems": ("AISystem",), "ai_models": ("AIModel", "GPAIModel"), "stakeholders": ("Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser"),
+    "regulations": ("Regulation",), "standards": ("Standard",),
+}
 ROLE_EDGES = {
     "AIDeveloper": ("develops", ("AISystem", "AIModel", "GPAIModel")), "AIProvider": ("provides", ("AISystem", "AIModel", "GPAIModel")),
     "AIDeployer": ("deploys", ("AISystem",)), "AIUser": ("uses", ("AISystem",)),
@@ -169,6 +173,39 @@ def matched_roles(roles: DataFrame, entities: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "_tier", "_role")
 
 
+def with_system_attributes(entities: DataFrame, attributes: DataFrame, least: float = 0.5) -> DataFrame:
+    """The entities; each event's best supported system, of equals the first, takes over inferred attributes it lacks.
+
+    `attributes` (event_id, attribute, value, confidence): filled values of at least that confidence count; of several
+    of one name the surest, then the first by value.
+    """
+    sure = attributes.filter(nz(F.col("value")).isNotNull() & (F.col("confidence") >= least))
+    best = sure.groupBy("event_id", "attribute").agg(F.min_by("value", F.struct(-F.col("confidence"), "value")).alias("value"))
+    maps = best.groupBy("event_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "value"))).alias("_inferred"))
+    rows = entities.join(primary(entities, ("AISystem",)).select("event_id", F.col("_pid").alias("id"), F.lit(True).alias("_main")), ["event_id", "id"], "left").join(maps, "event_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    filled = lambda k, own, new: F.when(F.length(F.coalesce(own, F.lit(""))) > 0, own).otherwise(F.coalesce(new, own))
+    merged = F.map_zip_with(F.coalesce("attributes", none), F.coalesce("_inferred", none), filled)
+    return rows.withColumn("attributes", F.when(F.col("_main"), merged).otherwise(F.col("attributes"))).select(*entities.columns)
+
+
+def core_for_roles(entities: DataFrame) -> DataFrame:
+    """(event_id and a list of names, in order, for each of five groups): what a role assigner is told."""
+    names = lambda kinds: F.transform(F.array_sort(F.collect_list(F.when(F.col("entity_type").isin(*kinds), F.struct("pos", "name")))), lambda s: s["name"])
+    return entities.groupBy("event_id").agg(*[names(kinds).alias(c) for c, kinds in ROLE_CORE.items()])
+
+
+def safe_section(raw: Column) -> Column:
+    """A section of a model's answer (as JSON), if it is an object; else the empty one."""
+    return F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(raw)), F.lit("")).startswith("OBJECT"), raw).otherwise("{}")
+
+
+def safe_list(raw: Column) -> Column:
+    """The objects in a list of a model's answer, as JSON; none if it is no list."""
+    items = F.from_json(raw, "array<string>")
+    return F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.coalesce(F.schema_of_variant(F.try_parse_json(x)), F.lit("")).startswith("OBJECT"))
+
+
 def role_graph(roles: DataFrame, entities: DataFrame, incident: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of actors in roles and of role assignments, and their edges."""
     rows = _named(matched_roles(roles, entities), incident)
@@ -288,9 +325,14 @@ def governed(governance: DataFrame, entities: DataFrame, incident: DataFrame, fa
     return nodes, edges
 
 
-def build_graphs(reports: DataFrame, entities: DataFrame, slots: DataFrame, inferences: DataFrame, governance: DataFrame, roles: DataFrame, fallback: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of all events at once.  `fallback` (event_id, _fallback) names a document for model outputs without one."""
+def build_graphs(reports: DataFrame, entities: DataFrame, slots: DataFrame, inferences: DataFrame, governance: DataFrame, roles: DataFrame, fallback: DataFrame, attributes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all events at once.  `fallback` (event_id, _fallback) names a document for model outputs without one.
+
+    `attributes` of systems (event_id, attribute, value, confidence) go onto each event's primary one.
+    """
     incident = incidents(reports)
+    if attributes is not None:
+        entities = with_system_attributes(entities, attributes)
     n1, e1 = report_nodes(reports, incident)
     n2, e2 = role_graph(roles, entities, incident)
     n3, e3 = risk_chain(slots, entities, incident, fallback)

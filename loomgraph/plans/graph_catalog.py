@@ -236,11 +236,6 @@ def set_agreement(spark, sf_dir):
     return metrics.set_agreement(c.filter("turn < 2"), c.filter("turn > 0"), ["conv_id", "role"], "conv_id")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def deleted_predictions(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 @query(f"WITH {GRAPH} SELECT predicate, st AS subject_type, ot AS object_type, count(*) AS n, CAST(1 AS DOUBLE) AS mean_support, round(avg(CASE WHEN n_evidence > 0 THEN 1.0 ELSE 0 END), 4) AS evidence_rate FROM typed GROUP BY ALL")
 def transitions(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)

@@ -25,6 +25,7 @@ class Providers:
     roles: DataFrame
     vectors: DataFrame
     verdicts: DataFrame
+    attributes: DataFrame | None = None
 
 
 def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> dict[str, DataFrame]:
@@ -44,7 +45,7 @@ def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> d
         entities = align.union_nodes(given.entities).withColumns({"description": F.col("name"), "extraction_mode": F.lit("explicit"), "attributes": F.create_map().cast("map<string,string>"), "reasoning": F.lit(None).cast("string")})
     entities = settle(entities.select(*build.NODE))
     keep = lambda t: t if flags["inference"] else t.filter("false")
-    nodes, edges = build.build_graphs(reports, entities, given.slots, keep(given.inferences), keep(given.governance), keep(given.roles), fallback)
+    nodes, edges = build.build_graphs(reports, entities, given.slots, keep(given.inferences), keep(given.governance), keep(given.roles), fallback, given.attributes if flags["inference"] else None)
     nodes, edges = settle(nodes), settle(edges)
     rules = constraints(spark) if flags["ontology"] else constraints(spark).filter("false")
     kept = validate.repaired(edges, nodes, rules)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 import os
 import re
 
@@ -36,7 +37,7 @@ def last_of(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines by case_id (id, else original_id); of cases with one id the last in the files stays."""
-    rows = spark.read.schema(CASE).json(path).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    rows = spark.read.schema(CASE).json(require(spark, path)).withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
     named = rows.withColumn("case_id", first_filled("id", "original_id")).filter("case_id is not null")
     return last_of(named, "case_id", F.col("_at")).drop("_file", "_at")
 
@@ -44,7 +45,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def read_case_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object from keys to cases; English where both languages are there."""
     fields = "struct<doc_id:string,event_id:string,title_en:string,title_cn:string,text_en:string,text_cn:string,summary_en:string,summary_cn:string,source_name:string>"
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{fields}>").alias("m"))
+    text = spark.read.text(require(spark, path), wholetext=True).select(F.from_json("value", f"map<string,{fields}>").alias("m"))
     rows = text.select(F.explode("m").alias("key", "c")).select("key", "c.*")
     return rows.select(
         F.coalesce(nz(F.col("doc_id")), "key").alias("case_id"), first_filled("title_en", "title_cn").alias("title"), first_filled("text_en", "text_cn").alias("text"),
@@ -60,6 +61,36 @@ def require(spark: SparkSession, path: str) -> str:
     return path
 
 
+def load_docs(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, content) of JSON lines: the translated text where there is one; of documents of one id the last in the files stays."""
+    rows = spark.read.schema("case_id string, id string, translated_text string, text string").json(require(spark, path)).withColumn("_at", F.monotonically_increasing_id())
+    named = rows.withColumn("doc_id", first_filled("case_id", "id")).filter("doc_id is not null")
+    return last_of(named, "doc_id", F.col("_at")).select("doc_id", F.coalesce(first_filled("translated_text", "text"), F.lit("")).alias("content"))
+
+
+def find_event(events: DataFrame, event_id: str) -> DataFrame:
+    """The first event of this id; none if there is none."""
+    return events.filter(F.col("event_id") == event_id).limit(1)
+
+
+def first_events(events: DataFrame, most: int | None, pos: str = "pos") -> DataFrame:
+    """The first events in order, as many as a run may take; all without a number."""
+    return events if most is None else events.orderBy(pos, "event_id").limit(most)
+
+
+def load_config(path: str, defaults: dict | None = None) -> Config:
+    """A configuration file of JSON, or of YAML where its library is there; a missing file leaves the defaults."""
+    if not os.path.exists(path):
+        return Config({}, defaults)
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    if path.endswith(".json"):
+        return Config(json.loads(raw), defaults)
+    import yaml
+
+    return Config(yaml.safe_load(raw) or {}, defaults)
+
+
 DATASETS = {"all": "events", "gold": "gold_standard", "eval500": "events"}
 
 
@@ -68,7 +99,7 @@ def read_events(spark: SparkSession, path: str, dataset: str = "all") -> DataFra
     if dataset not in DATASETS:
         raise ValueError(f"unknown dataset {dataset!r}; known: {', '.join(DATASETS)}")
     entry = "array<struct<incident_id:string,event_id:string,ids:array<string>,labeling_cases:array<string>>>"
-    rows = spark.read.schema(f"events {entry}, gold_standard {entry}").option("multiLine", True).json(path)
+    rows = spark.read.schema(f"events {entry}, gold_standard {entry}").option("multiLine", True).json(require(spark, path))
     key = DATASETS[dataset]
     return rows.select(F.explode(F.coalesce(key, "events", "gold_standard")).alias("e")).select(first_filled("e.incident_id", "e.event_id").alias("event_id"), F.coalesce("e.ids", "e.labeling_cases").alias("case_ids"))
 

@@ -152,3 +152,24 @@ def bucket_summary(assigned: DataFrame, samples: int = 10, width: int = 80) -> D
     ranked = distinct.withColumn("r", F.row_number().over(Window.partitionBy("stage", "bucket_id").orderBy("v"))).filter(F.col("r") <= samples)
     joined = ranked.groupBy("stage", "bucket_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]), " | ").alias("top_samples"))
     return counts.withColumn("pct", F.format_string("%.1f%%", F.col("count") * 100.0 / total)).join(joined, ["stage", "bucket_id"])
+
+
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes and edges."""
+    return nodes.agg(F.count("*").alias("nodes")).join(F.broadcast(edges.agg(F.count("*").alias("edges"))))
+
+
+def clear(spark, path: str) -> bool:
+    """Drop a stored graph; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def write_rows(rows: DataFrame, path: str, kind: str = "csv") -> None:
+    """A table as CSV with a header or as JSON lines."""
+    if kind == "csv":
+        rows.write.mode("overwrite").option("header", True).csv(path)
+    elif kind == "jsonl":
+        rows.write.mode("overwrite").json(path)
+    else:
+        raise ValueError(f"unknown kind {kind!r}; known: csv, jsonl")
