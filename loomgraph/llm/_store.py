@@ -67,8 +67,11 @@ def drop_parts(spark: SparkSession, url: str) -> None:
 
 
 def save(df: DataFrame, url: str) -> DataFrame:
-    """Write a table and read it back: later steps start from files that survive a lost executor."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(url)
+    """Write a table and read it back: later steps start from files that survive a lost executor.
+
+    Row groups are small, as several tasks of an executor write at once and each holds one in memory.
+    """
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(url)
     return df.sparkSession.read.schema(df.schema).parquet(url)
 
 

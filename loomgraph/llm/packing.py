@@ -215,6 +215,7 @@ def sequences(
 
 def placements(packed: DataFrame) -> DataFrame:
     """Of each piece of each document, read back from the sequences: doc_id, fragment, start, length, bin_id, capacity, bin_offset, ids_hash."""
-    rows = packed.select("bin_id", "capacity", "ids", F.explode("pieces").alias("p"))
-    own = F.slice("ids", F.col("p.bin_offset") + 1, F.col("p.length"))
-    return rows.select("p.doc_id", "p.fragment", "p.start", "p.length", "bin_id", "capacity", "p.bin_offset", F.xxhash64(own).alias("ids_hash"))
+    own = lambda p: F.slice("ids", p["bin_offset"] + 1, p["length"])
+    hashed = F.transform("pieces", lambda p: F.struct(p.alias("p"), F.xxhash64(own(p)).alias("ids_hash")))
+    rows = packed.select("bin_id", "capacity", F.explode(hashed).alias("x"))
+    return rows.select("x.p.doc_id", "x.p.fragment", "x.p.start", "x.p.length", "bin_id", "capacity", "x.p.bin_offset", "x.ids_hash")
