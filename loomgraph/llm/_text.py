@@ -106,10 +106,21 @@ def _hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(data))[start])
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and do not overlap."""
+    parts, at = [], 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK, side="right")))
+        lo, hi = start[at], end[upto - 1]
+        parts.append(_hash_ranges(data[lo:hi], start[at:upto] - lo, end[at:upto] - lo))
+        at = upto
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
 def tokenize(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray, lower: bool = True) -> Tokens:
     """Maximal runs of bytes that `keep` marks, never across two texts."""
     data = _LOWER[raw] if lower else raw
-    n, parts, at = len(data), [], 0
+    n = len(data)
     inside = keep[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
@@ -122,14 +133,8 @@ def tokenize(raw: np.ndarray, offsets: np.ndarray, keep: np.ndarray, lower: bool
         opens[-1] = inside[-1]
         opens[:-1] = inside[:-1] & (~inside[1:] | edge[1:-1])
     end = np.flatnonzero(opens) + 1
-    while at < len(start):
-        upto = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK, side="right")))
-        lo, hi = start[at], end[upto - 1]
-        parts.append(_hash_ranges(data[lo:hi], start[at:upto] - lo, end[at:upto] - lo))
-        at = upto
-    hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
-    return Tokens(data, start, end, doc, hashes, len(offsets) - 1)
+    return Tokens(data, start, end, doc, span_hashes(data, start, end), len(offsets) - 1)
 
 
 def windows(tokens: Tokens, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -94,7 +94,7 @@ def _encoded_rows(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = tokenbin._encoder(tokenizer), np.dtype(_width(tokenizer))
         for batch in pieces(batches, "text", 1 << 20):
-            ids, counts = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids, counts = encoder.encode(batch.column("text"))
             bound = kind.itemsize * np.concatenate([[0], np.cumsum(counts)])
             raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(ids.astype(kind).tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("check"), pa.array(counts.astype(np.int32)), raw], names=["doc_id", "check", "length", "ids"])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import _store
 from loomgraph.llm._ranges import partitioned, with_range
-from loomgraph.llm._text import pieces
+from loomgraph.llm._text import U64, mix, pieces, span_hashes, text_bytes
 
 END_ID = 2
 #: Ids in a frame, about; a longer document has a frame of its own.
@@ -42,14 +42,18 @@ class Encoder:
     """Ids of texts by the tokenizers library, encoding each distinct stretch between spaces once.
 
     A byte-level pre-tokenizer always starts a new piece at a space between two characters that are no
-    white space, and at a line end between two such, so the ids of a text are those of its stretches in a
-    row.  Texts are cut at all spaces and line ends at once, and those where that was wrong are cut with
-    care and encoded apart.  Stretches not met before are encoded some at a time, and told apart by the tokens that start with
-    a space.  The memory of stretches is bounded: when it is full, the half that came first, which holds
-    the common ones, stays.
+    white space, at a line end between two such, and at a stop between a Latin letter or digit and white
+    space, so the ids of a text are those of its stretches in a row.  All texts of a batch are cut there at
+    once, on their bytes, and stretches are found by their hash in a table of those met before; new ones are
+    encoded some at a time.  Texts where such a cut was wrong are cut with care and encoded apart.  The
+    table is bounded: when it is full, the half that came first, which holds the common ones, stays.
     """
 
     RAW = "\0"  # marks a stretch without a space before it
+    #: Stretches encoded in one text.
+    BUNDLE = 32
+    _NO_SPACE = U64(0x9E3779B97F4A7C15)
+    _before_stop = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") | frozenset(chr(i) for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7))
 
     def __init__(self, path: str, room: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,61 +64,104 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how a byte-level vocabulary writes a space
-        self.known: dict[str, int] = {}
-        self.latin = np.zeros(1 << 12, dtype=bool)
-        self.stop = np.zeros(1 << 12, dtype=bool)
+        self.mask = U64((1 << max(8, 2 + int(room).bit_length())) - 1)
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        self.n = 0
+        # of each known stretch: hash, size in bytes, whether a cut beside it is wrong, whether a stop may follow, whether it is one
+        self.key, self.size = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.int32)
+        self.wrong, self.latin, self.stop = (np.zeros(1 << 12, dtype=bool) for _ in range(3))
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros((1 << 12) + 1, np.int64)
 
-    #: Stretches encoded in one text.
-    BUNDLE = 32
+    # ---- the table ----
+
+    def _find(self, key: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each stretch, -1 if it is not known."""
+        out = np.full(len(key), -1, np.int32)
+        todo, place = None, (key & self.mask).astype(np.int64)
+        own, own_size = key, size
+        while len(place):
+            number = self.slot[place]
+            at = np.maximum(number, 0)
+            met = number >= 0
+            same = met & (self.key[at] == own) & (self.size[at] == own_size)
+            if todo is None:
+                out[same] = number[same]
+                todo = np.flatnonzero(met & ~same)
+            else:
+                out[todo[same]] = number[same]
+                todo = todo[met & ~same]
+            own, own_size = key[todo], size[todo]
+            place = (place[met & ~same] + 1) & int(self.mask)
+        return out
+
+    def _put(self, first: int) -> None:
+        """Enter the stretches from this number on."""
+        todo = np.arange(first, self.n, dtype=np.int32)
+        place = (self.key[todo] & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = todo[free]
+            left = self.slot[place] != todo
+            todo, place = todo[left], (place[left] + 1) & int(self.mask)
+
+    def _grown(self, name: str, n: int) -> None:
+        held = getattr(self, name)
+        while len(held) < n:
+            held = np.concatenate([held, np.zeros_like(held)])
+        setattr(self, name, held)
+
+    def _forget(self) -> None:
+        self.n = self.room // 2
+        self.slot[:] = -1
+        self._put(0)
+
+    # ---- learning ----
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stretches: list[str]) -> list[str]:
-        """Encode stretches; returns them in the order of their numbers."""
+    def _is_wrong(self, stretch: str) -> bool:
+        """Whether a cut beside this stretch has white space on both sides."""
+        if stretch == "\0\n":
+            return False
+        if stretch[-1].isspace():
+            return True
+        return stretch[0] == self.RAW and stretch[1].isspace()
+
+    def _learn(self, stretches: list[str], key: np.ndarray, size: np.ndarray) -> None:
+        """Encode stretches and enter them; those beside which cuts are wrong get no ids."""
         rough = re.compile(r"\0|\s|<\|")
-        simple = [s for s in stretches if s and not rough.search(s)]
-        other = [s for s in stretches if not s or rough.search(s)]
+        wrong = [self._is_wrong(s) for s in stretches]
+        simple = [i for i, s in enumerate(stretches) if not wrong[i] and not rough.search(s)]
+        other = [i for i, s in enumerate(stretches) if not wrong[i] and rough.search(s)]
         step = self.BUNDLE
-        ids = np.fromiter(itertools.chain.from_iterable(self._ids([" " + " ".join(simple[i : i + step]) for i in range(0, len(simple), step)])), np.uint32)
-        first = np.flatnonzero(self.spaced[ids])
-        lengths = np.diff(np.append(first, len(ids)))
-        single = self._ids([s[1:] if s.startswith(self.RAW) else " " + s for s in other])
+        texts = [stretches[i] for i in simple]
+        ids = np.fromiter(itertools.chain.from_iterable(self._ids([" " + " ".join(texts[i : i + step]) for i in range(0, len(texts), step)])), np.uint32)
+        lengths = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+        single = self._ids([stretches[i][1:] if stretches[i].startswith(self.RAW) else " " + stretches[i] for i in other])
         ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(single), np.uint32)])
         lengths = np.concatenate([lengths, np.fromiter(map(len, single), np.int64, len(single))])
-        if len(lengths) != len(stretches):
+        if len(lengths) != len(simple) + len(other):
             raise ValueError("the tokenizer joined stretches")
-        base = len(self.known)
-        used, total = int(self.at[base]), len(ids)
-        while len(self.ids) < used + total:
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while len(self.at) <= base + len(lengths):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.ids[used : used + total] = ids
-        self.at[base + 1 : base + 1 + len(lengths)] = used + np.cumsum(lengths)
-        order = simple + other
-        self.known.update(zip(order, range(base, base + len(order)), strict=True))
-        return order
-
-    #: Cut off at the end of a stretch, if a Latin letter or a digit stands before it.
-    STOPS = (RAW + ".", RAW + ",")
-    _before_stop = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") | frozenset(chr(i) for i in range(0xC0, 0x100) if i not in (0xD7, 0xF7))
-
-    def _quick(self, text: str) -> list[str]:
-        """The text cut at all spaces and line ends, and before stops there; right only if no stretch is `_wrong`."""
-        if self.RAW in text:
-            return [self.RAW + text]
-        return (self.RAW + text.replace("\n", " \0\n \0")).replace(", ", " \0, ").replace(". ", " \0. ").split(" ")
-
-    def _wrong(self, stretch: str) -> bool:
-        """Whether a cut beside this stretch has white space on both sides."""
-        if stretch == "\0\n":
-            return False
-        if not stretch or stretch == self.RAW or stretch[-1].isspace():
-            return True
-        return stretch[0] == self.RAW and self.RAW not in stretch[1:] and stretch[1].isspace()
+        order = np.array(simple + other + [i for i, w in enumerate(wrong) if w], np.int64)
+        lengths = np.concatenate([lengths, np.zeros(len(order) - len(lengths), np.int64)])
+        base, n = self.n, self.n + len(order)
+        used = int(self.at[base])
+        self._grown("ids", used + len(ids))
+        self._grown("at", n + 1)
+        for name in ("key", "size", "wrong", "latin", "stop"):
+            self._grown(name, n)
+        self.ids[used : used + len(ids)] = ids
+        self.at[base + 1 : n + 1] = used + np.cumsum(lengths)
+        self.key[base:n], self.size[base:n] = key[order], size[order]
+        self.wrong[base:n] = np.array(wrong)[order]
+        self.latin[base:n] = [stretches[i][-1] in self._before_stop for i in order.tolist()]
+        self.stop[base:n] = [stretches[i] in ("\0.", "\0,") for i in order.tolist()]
+        self.n = n
+        self._put(base)
+
+    # ---- texts ----
 
     def stretches(self, text: str) -> list[str]:
         """The text cut before each single space between two characters that are no white space; that space is left out."""
@@ -131,23 +178,6 @@ class Encoder:
             joined = not p or p[-1].isspace()
         return out
 
-    def _numbers(self, flat: list[str]) -> np.ndarray:
-        """The number of each stretch in memory; of one that a quick cut must not make, -1."""
-        which = np.fromiter(map(self.known.get, flat, itertools.repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            fresh = [flat[i] for i in missing.tolist()]
-            fine = [s for s in dict.fromkeys(fresh) if not self._wrong(s)]
-            base = len(self.known)
-            added = self._learn(fine)
-            while len(self.latin) < len(self.known):
-                self.latin = np.concatenate([self.latin, np.zeros_like(self.latin)])
-                self.stop = np.concatenate([self.stop, np.zeros_like(self.stop)])
-            self.latin[base : base + len(added)] = [s[-1] in self._before_stop for s in added]
-            self.stop[base : base + len(added)] = [s in self.STOPS for s in added]
-            which[missing] = np.fromiter(map(self.known.get, fresh, itertools.repeat(-1)), np.int64, len(fresh))
-        return which
-
     def _slow(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number per text) of texts whose quick cuts are wrong, each careful stretch encoded anew."""
         cut = [self.stretches(t) for t in texts]
@@ -157,41 +187,81 @@ class Encoder:
         per = np.add.reduceat(lengths, np.concatenate([[0], ends[:-1]]))
         return np.fromiter(itertools.chain.from_iterable(coded), np.uint32), per
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids per text), each text with the end id after it."""
-        if len(self.known) > self.room:
-            self.known = dict(itertools.islice(self.known.items(), self.room // 2))
-        cut = [self._quick(t) for t in texts]
-        which = self._numbers(list(itertools.chain.from_iterable(cut)))
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        bad = which < 0
-        bad[1:] |= self.stop[which[1:]] & ~self.latin[which[:-1]]
-        ends_of = np.cumsum(count)
-        worse = np.add.reduceat(bad, ends_of - count) > 0 if len(cut) else np.zeros(0, dtype=bool)
-        which[bad] = 0
+    @staticmethod
+    def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start and end of each stretch, whether a space stands before it, whether each text is badly cut).
+
+        Cuts are at spaces, which are left out, around line ends, and before a stop with white space after it.
+        A text is badly cut if a stretch would be empty, or if it is or holds a null character.
+        """
+        n, texts = len(raw), len(offsets) - 1
+        first, last = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+        first[offsets[:-1]] = True
+        last[offsets[1:] - 1] = True  # of an empty text: a place that its neighbours mark as well, or none
+        first, last = first[:n], last[:n]
+        space, line = raw == 32, raw == 10
+        white = space | line
+        after = np.append(white[1:], False) & ~last
+        before = np.append(False, white[:-1]) & ~first
+        space_before = np.append(False, space[:-1]) & ~first
+        stop = ((raw == 44) | (raw == 46)) & after
+        begins = ~space & (first | before | line | stop)
+        ends = ~space & (last | after | line | np.append(stop[1:], False) & ~last)
+        spoilt = (raw == 0) | (white & (first | last | before)) | (stop & (first | before))
+        bad = np.zeros(texts, dtype=bool)
+        bad[np.searchsorted(offsets, np.flatnonzero(spoilt), side="right") - 1] = True
+        bad[np.diff(offsets) == 0] = True
+        start = np.flatnonzero(begins)
+        return start, np.flatnonzero(ends) + 1, space_before[start], bad
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids per text), each text with the end id after it; a null text is empty."""
+        if self.n > self.room:
+            self._forget()
+        raw, offsets = text_bytes(texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.large_string()))
+        if len(offsets) == 1:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        start, end, spaced, worse = self._cut(raw, offsets)
+        key, size = span_hashes(raw, start, end), (end - start).astype(np.int32)
+        key[~spaced] = mix(key[~spaced] + self._NO_SPACE)
+        bound = np.searchsorted(start, offsets)
+        good = np.repeat(~worse, np.diff(bound))
+        which = self._find(key, size)
+        missing = np.flatnonzero((which < 0) & good)
+        if len(missing):
+            _, one = np.unique(key[missing], return_index=True)
+            one = missing[one]
+            view = memoryview(np.ascontiguousarray(raw))
+            fresh = [("" if s else self.RAW) + str(view[a:b], "utf-8") for a, b, s in zip(start[one].tolist(), end[one].tolist(), spaced[one].tolist(), strict=True)]
+            self._learn(fresh, key[one], size[one])
+            which[missing] = self._find(key[missing], size[missing])
+        which = np.maximum(which, 0)
+        spoilt = self.wrong[which] & good
+        spoilt[1:] |= self.stop[which[1:]] & ~self.latin[which[:-1]] & good[1:]
+        owner = np.repeat(np.arange(len(worse)), np.diff(bound))
+        worse[owner[spoilt]] = True
+        good = ~worse[owner]
         begin = self.at[which]
-        lengths = self.at[which + 1] - begin
-        # one slot more after the last stretch of each text, for the end id
-        room = lengths.copy()
-        room[ends_of - 1] += 1
-        ends = np.cumsum(room)
-        source = np.repeat(begin - ends + room, room)
-        source += np.arange(len(source))
-        bound = ends[ends_of - 1]
-        source[bound - 1] = 0
-        ids = self.ids[source]
-        ids[bound - 1] = END_ID
-        sizes = np.diff(bound, prepend=0)
+        lengths = np.where(good, self.at[which + 1] - begin, 0)
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        sizes = np.diff(sums[bound]) + 1
+        ends = np.cumsum(lengths) + owner  # a slot for the end id after each text
+        source = np.repeat(begin - ends + lengths, lengths)
+        place = np.arange(len(source)) + np.repeat(owner, lengths)
+        out = np.empty(int(sizes.sum()), np.uint32)
+        out[place] = self.ids[source + place]
+        out[np.cumsum(sizes) - 1] = END_ID
         if not worse.any():
-            return ids, sizes
-        again, per = self._slow([texts[i] for i in np.flatnonzero(worse).tolist()])
-        at, parts, begin = 0, [], bound - sizes
-        spare = iter(np.split(again, np.cumsum(per)[:-1]))
-        for i in np.flatnonzero(worse).tolist():
-            parts += [ids[at : begin[i]], next(spare), np.array([END_ID], np.uint32)]
-            at = bound[i]
+            return out, sizes
+        some = np.flatnonzero(worse).tolist()
+        view = memoryview(np.ascontiguousarray(raw))
+        again, per = self._slow([str(view[a:b], "utf-8") for a, b in zip(offsets[:-1][worse].tolist(), offsets[1:][worse].tolist(), strict=True)])
+        last, parts, upto = 0, [], np.cumsum(sizes)
+        for i, ids in zip(some, np.split(again, np.cumsum(per)[:-1]), strict=True):
+            parts += [out[last : upto[i] - 1], ids, out[upto[i] - 1 : upto[i]]]
+            last = upto[i]
         sizes[worse] = per + 1
-        return np.concatenate([*parts, ids[at:]]), sizes
+        return np.concatenate([*parts, out[last:]]), sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -337,7 +407,7 @@ def _write(url: str, tokenizer: str):
                     shard = int(shards[lo])
                     writer = Writer(f"{url}/part-{shard:06d}.tid")
                 part = batch.slice(lo, int(np.searchsorted(shards, shard, side="right")) - lo)
-                ids, counts = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                ids, counts = encoder.encode(part.column("text"))
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 writer.add(part.column("doc_id").fill_null(0).to_numpy(), known, counts, ids)
         if writer:

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from loomgraph.llm import tokenbin
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = tokenbin.default_tokenizer()
@@ -69,3 +70,32 @@ def test_whole_table(spark, tmp_path):
     got = tokenbin.read(spark, url, tokenbin.write(df, url, shard_bytes=40_000))
     assert len(list((tmp_path / "ids").iterdir())) > 4
     assert sorted(map(tuple, got.collect()), key=str) == brute([tuple(r) for r in df.collect()])
+
+
+def test_fetch_by_id(spark, tmp_path):
+    rows = [(i, f"text number {i} " * (i % 40)) for i in range(300)] + [(7, "again"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    url = f"file://{tmp_path}"
+    shards = tokenbin.write(df, url, shard_bytes=20_000)
+    assert shards.count() > 3 and not list(tmp_path.glob("*.part"))
+    plain = Tokenizer.from_file(PATH)
+    wanted = spark.createDataFrame([(7,), (250,), (299,), (5000,), (250,)], "doc_id long")
+    got = sorted((r.doc_id, r.ids) for r in tokenbin.fetch(wanted, url, shards).collect())
+    want = [(d, plain.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in rows if d in (7, 250, 299)]
+    assert got == sorted([*want, *[w for w in want if w[0] == 250]])
+    reader = tokenbin.Reader(f"{url}/part-000000.tid")
+    assert [len(reader.document(i)) for i in reader.find(None)] == [1, len(plain.encode("no id").ids) + 1] and reader.find(10**9) == []
+
+
+def test_ranges_in_two_steps(spark):
+    from loomgraph.llm import _ranges
+
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x" * 50).alias("text"))
+    one, n = _ranges.with_range(df, 2500)
+    two, m = _ranges.with_range(df, 2500, at_once=10)
+    for rows, parts in ((one, n), (two, m)):
+        got = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("part").collect()
+        assert [r.part for r in got] == list(range(parts)) and 80 <= parts <= 130
+        assert all(r.b - r.a + 1 == r.n and 20 <= r.n <= 100 for r in got)
+    dealt = _ranges.partitioned(two, "part", m, partitions=4)
+    assert dealt.rdd.getNumPartitions() == 4 if hasattr(dealt, "rdd") else True
