@@ -17,50 +17,51 @@ SEMANTIC, LEXICAL, EXACT_FLOOR, EXACT_GUARD = 0.6, 0.4, 0.85, 0.5
 
 
 def _block_pairs(low: float, high: float | None, digits: int):
-    def solve(rows: list[dict]) -> Iterator[tuple]:
-        one = rows[0]["left"] == rows[0]["right"]
-        a = [r for r in rows if r["block"] == rows[0]["left"]]
-        b = a if one else [r for r in rows if r["block"] == rows[0]["right"]]
-        if not a or not b:
-            return
-        unit = lambda side: np.array([r["vector"] for r in side], np.float64)
-        va, vb = unit(a), unit(b)
-        for v in (va, vb):
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            np.divide(v, size, out=v, where=size > 0)
-        score = va @ (va if one else vb).T
+    keys = ("kind", "left", "right")
+
+    def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        left, right = rows.column("left")[0].as_py(), rows.column("right")[0].as_py()
+        block, ids = rows.column("block").to_numpy(), rows.column("id").to_numpy()
+        vectors = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        np.divide(vectors, size, out=vectors, where=size > 0)
+        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        score = vectors[a] @ vectors[b].T
         keep = score >= low
         if high is not None:
             keep &= score < high
-        for i, j in zip(*np.nonzero(keep), strict=True):
-            x, y = a[i]["id"], b[j]["id"]
-            if x < y or (not one and x != y):
-                yield rows[0]["kind"], min(x, y), max(x, y), round(float(score[i, j]), digits)
+        if left == right:
+            keep &= np.triu(np.ones(keep.shape, dtype=bool), 1)
+        i, j = np.nonzero(keep)
+        if not len(i):
+            return None
+        x, y = ids[a[i]], ids[b[j]]
+        swap = x > y
+        kind, key = rows.schema.field("kind").type, rows.schema.field("id").type
+        first, second = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.RecordBatch.from_arrays(
+            [rows.column("kind").combine_chunks().take(pa.array(np.zeros(len(i), np.int64))).cast(kind), pa.array(first, key), pa.array(second, key), pa.array(np.round(score[i, j], digits))],
+            names=["kind", "a", "b", "score"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        out: list[tuple] = []
-        schema = None
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(schema)], names=["kind", "a", "b", "score"])
-
+        held: list[pa.RecordBatch] = []
+        now = None
         for batch in batches:
-            if schema is None:
-                kind, key = batch.schema.field("kind").type, batch.schema.field("id").type
-                schema = [kind, key, key, pa.float64()]
-            for row in batch.to_pylist():
-                if held and any(row[c] != held[0][c] for c in ("kind", "left", "right")):
-                    out += solve(held)
+            marks = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and marks[lo] != now:
+                    if (out := solve(held)) is not None:
+                        yield out
                     held = []
-                    if len(out) > 20_000:
-                        yield flush()
-                        out = []
-                held.append(row)
-        if held:
-            out += solve(held)
-        if out:
-            yield flush()
+                now = marks[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held and (out := solve(held)) is not None:
+            yield out
 
     return run
 
@@ -70,17 +71,19 @@ def similar_pairs(rows: DataFrame, low: float, high: float | None = None, kind:
 
     Rows of a kind are dealt into blocks of about `block`, and each two blocks meet in one task as a
     matrix product: every pair is compared, only those that count leave the task, and a large kind is
-    spread over as many tasks as it has pairs of blocks.  NULL keys and vectors are left out.
+    spread over as many tasks as it has pairs of blocks.  NULL keys and vectors are left out; of rows of one
+    kind and key the least vector counts.
     """
     base = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
     base = base.select((F.col(kind) if kind else F.lit(0)).alias("kind"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    base = base.groupBy("kind", "id").agg(F.min("vector").alias("vector"))
     size = base.groupBy(F.col("kind").alias("_kind")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = base.join(size, F.col("kind").eqNullSafe(F.col("_kind"))).select("kind", "id", "vector", "blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = placed.select("kind", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "vector")
     types = {f.name: f.dataType.simpleString() for f in met.schema}
     dealt = met.repartition("kind", "left", "right").sortWithinPartitions("kind", "left", "right", "id")
-    return dealt.mapInArrow(_block_pairs(low, high, digits), f"kind {types['kind']}, a {types['id']}, b {types['id']}, score double").distinct()
+    return dealt.mapInArrow(_block_pairs(low, high, digits), f"kind {types['kind']}, a {types['id']}, b {types['id']}, score double")
 
 
 def top_pairs(pairs: DataFrame, k: int, by: str | None = None) -> DataFrame:

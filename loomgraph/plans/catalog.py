@@ -348,7 +348,8 @@ def alias_substring(spark, sf_dir):
     return package.alias_targets(whole.unionByName(part))
 
 
-_SENT = f"r AS ({REPORTS_SQL}), m AS (SELECT event_id, CASE WHEN count(*) <= 5 THEN 'small' WHEN count(*) <= 30 THEN 'medium' ELSE 'large' END AS strategy FROM r GROUP BY event_id), s AS (SELECT event_id, doc_id, pos * 1000 + i AS pos, w[i] AS sentence FROM (SELECT *, string_split(content, ' ') AS w, unnest(range(1, 4)) AS i FROM r))"
+_SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+$"
+_SENT = f"r AS ({REPORTS_SQL}), m AS (SELECT event_id, CASE WHEN count(*) <= 5 THEN 'small' WHEN count(*) <= 30 THEN 'medium' ELSE 'large' END AS strategy FROM r GROUP BY event_id), w AS (SELECT *, regexp_extract_all(replace(content, chr(10), ' '), '{_SENTENCE}') AS w FROM r), s AS (SELECT event_id, doc_id, pos * 1000000 + i AS pos, w[i] AS sentence FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w))"
 
 
 @query(f"""WITH {_SENT}, x AS (SELECT event_id, strategy, sentence, count(*) AS n, min(pos) AS pos, arg_min(doc_id, pos) AS doc_id FROM s JOIN m USING (event_id) WHERE strategy <> 'small' GROUP BY ALL
@@ -356,11 +357,9 @@ _SENT = f"r AS ({REPORTS_SQL}), m AS (SELECT event_id, CASE WHEN count(*) <= 5 T
     SELECT event_id, sentence, n, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, pos) AS rank FROM x) WHERE rank <= CASE strategy WHEN 'small' THEN 50 WHEN 'medium' THEN 30 ELSE 40 END""")
 def evidence_topn(spark, sf_dir):
     r = reports(spark, sf_dir)
-    words = r.select("event_id", "doc_id", "pos", F.posexplode(F.slice(F.split("content", " "), 1, 3)).alias("i", "sentence"))
-    proof = words.select("event_id", "doc_id", (F.col("pos") * 1000 + F.col("i") + 1).alias("pos"), "sentence")
-    short = r.select("event_id", "doc_id", "pos", F.size(F.split("content", " ")).alias("k")).filter("k < 3")
-    pad = short.select("event_id", "doc_id", "pos", F.explode(F.sequence(F.col("k") + 1, F.lit(3))).alias("i")).select("event_id", "doc_id", (F.col("pos") * 1000 + F.col("i")).alias("pos"), F.lit(None).cast("string").alias("sentence"))
-    return package.evidence_top(proof.unionByName(pad), package.event_metadata(r)).withColumn("rank", F.col("rank").cast("long"))
+    sentences = F.regexp_extract_all(F.replace("content", F.lit("\n"), F.lit(" ")), F.lit(_SENTENCE), F.lit(0))
+    proof = r.select("event_id", "doc_id", "pos", F.posexplode(sentences).alias("i", "sentence")).withColumn("pos", F.col("pos") * 1000000 + F.col("i") + 1)
+    return package.evidence_top(proof.drop("i"), package.event_metadata(r)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH r AS ({REPORTS_SQL}), c AS (SELECT *, (row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1) // 12 AS chunk FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY event_id, chunk ORDER BY pos) AS k FROM c)

@@ -275,10 +275,10 @@ def fusion_nodes(spark, sf_dir):
 
 
 @query(f"""WITH {GRAPH}, {_MAP}, x AS (SELECT e.event_id, coalesce(a.new_id, subject_id) AS subject_id, predicate, coalesce(b.new_id, object_id) AS object_id, confidence, pos, subject_id AS old, n_evidence FROM edges e LEFT JOIN map a ON a.old_id = subject_id LEFT JOIN map b ON b.old_id = object_id)
-    SELECT event_id, subject_id, predicate, object_id, max(confidence) AS confidence, list_sort(list(DISTINCT 'd' || pos)) AS source_doc_ids, sum(n_evidence)::BIGINT AS n_evidence FROM (SELECT event_id, subject_id, predicate, object_id, old, pos, max(confidence) AS confidence, max(n_evidence) AS n_evidence FROM x WHERE subject_id <> object_id AND subject_id[1:1] = 's' GROUP BY ALL) GROUP BY ALL""")
+    SELECT event_id, subject_id, predicate, object_id, max(confidence) AS confidence, list_sort(list(DISTINCT 'd' || pos)) AS source_doc_ids, sum(n_evidence)::BIGINT AS n_evidence FROM (SELECT event_id, subject_id, predicate, object_id, old, pos, max(confidence) AS confidence, max(n_evidence) AS n_evidence FROM x WHERE subject_id <> object_id GROUP BY ALL) GROUP BY ALL""")
 def fusion_edges(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    got = merge.remap_edges(edges, _mapping(nodes)).filter("subject_id like 's%'")
+    got = merge.remap_edges(edges, _mapping(nodes))
     return got.select("event_id", "subject_id", "predicate", "object_id", "confidence", "source_doc_ids", F.size("evidence").cast("long").alias("n_evidence"))
 
 
@@ -319,19 +319,23 @@ def label_counts(spark, sf_dir):
     return writers.label_counts(graph(spark, sf_dir)[0].select(writers.merge_label(F.col("entity_type")).alias("label")))
 
 
-@query(f"""WITH {GRAPH} SELECT p, count(*) AS n FROM (SELECT 'type' AS p, entity_type, id FROM nodes UNION SELECT 'label', entity_type, id FROM nodes UNION SELECT 'confidenceScore', entity_type, id FROM nodes WHERE confidence > 0 UNION SELECT 'hasSupportCount', entity_type, id FROM nodes WHERE support_count > 1) GROUP BY p""")
+@query(f"""WITH {GRAPH}, m AS (SELECT event_id, min(pos) AS seen, count(*) AS n FROM nodes GROUP BY event_id), st AS (SELECT DISTINCT event_id, substr(sha256(subject_id || '|' || predicate || '|' || object_id), 1, 12) AS e, subject_id || '-' || i AS v, confidence FROM (SELECT *, unnest(range(1, n_evidence + 1)) AS i FROM edges)),
+    t AS (SELECT 'type' AS p, entity_type AS a, id AS b, '' AS c FROM nodes UNION SELECT 'label', entity_type, id, name FROM nodes UNION SELECT 'description', entity_type, id, name FROM nodes WHERE name <> '' UNION SELECT 'confidenceScore', entity_type, id, CAST(confidence AS VARCHAR) FROM nodes WHERE confidence > 0
+      UNION SELECT 'hasSupportCount', entity_type, id, CAST(support_count AS VARCHAR) FROM nodes WHERE support_count > 1 UNION SELECT 'hasSourceDocument', entity_type, id, 'd' || (pos % 17) FROM nodes
+      UNION SELECT predicate, st || '/' || subject_id, ot || '/' || object_id, '' FROM typed WHERE st IS NOT NULL AND ot IS NOT NULL
+      UNION SELECT 'type', 'KnowledgeStatement', e || '_' || v, '' FROM st UNION SELECT 'confidenceScore', 'KnowledgeStatement', e || '_' || v, CAST(confidence AS VARCHAR) FROM st WHERE confidence > 0
+      UNION SELECT 'hasSupportCount', 'AIRiskIncident', event_id, CAST(n AS VARCHAR) FROM m UNION SELECT 'firstSeen', 'AIRiskIncident', event_id, CAST(seen AS VARCHAR) FROM m)
+    SELECT p, count(*) AS n FROM t GROUP BY p""")
 def triples(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    meta = nodes.select("event_id").distinct().select("event_id", F.lit(None).cast("string").alias("first_seen"), F.lit(None).cast("string").alias("last_seen"), F.lit(1).alias("report_count"))
-    rows = writers.triples(nodes, edges, merge.statements(edges).withColumn("edge_id", F.col("edge_id")), meta.filter("false"))
-    name = F.regexp_extract("p", "[#/]([^#/]+)$", 1)
-    own = rows.filter(~F.col("s").contains("/Evidence/") & ~F.col("s").contains("/KnowledgeStatement/"))
-    return own.filter(name.isin("type", "label", "confidenceScore", "hasSupportCount")).groupBy(name.alias("p")).agg(F.count("*").alias("n"))
+    meta = nodes.groupBy("event_id").agg(F.min("pos").cast("string").alias("first_seen"), F.lit(None).cast("string").alias("last_seen"), F.count("*").alias("report_count"))
+    rows = writers.triples(nodes, edges, merge.statements(edges), meta)
+    return rows.groupBy(F.regexp_extract("p", "[#/]([^#/]+)$", 1).alias("p")).agg(F.count("*").alias("n"))
 
 
 # ---- the builder over provider tables --------------------------------------------------------------
 
-_SLOTS = """slots AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot, CASE WHEN length(text) % 5 = 0 THEN '' ELSE substr(text, 1, 40) END AS value, CAST(CASE WHEN turn % 2 = 0 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM conversations),
+_SLOTS = """slots AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot, CASE WHEN length(text) % 5 = 0 THEN '' ELSE text END AS value, CAST(CASE WHEN turn % 2 = 0 THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM conversations),
     n AS (SELECT *, substr(sha256(event_id || '|' || slot || '|' || left(value, 30)), 1, 12) AS id FROM slots WHERE length(value) > 0 AND slot IS NOT NULL)"""
 
 
@@ -342,7 +346,7 @@ def risk_chain_edges(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     slot = F.get(F.array(*[F.lit(s) for s in ("risk_source", "risk", "consequence", "impact", "affected_actor")]), F.col("turn").cast("int"))
     none = F.lit(None).cast("string")
-    slots = c.select(F.col("conv_id").cast("string").alias("event_id"), slot.alias("slot"), F.when(F.length("text") % 5 == 0, "").otherwise(F.substring("text", 1, 40)).alias("value"), none.alias("evidence"), none.alias("source_doc_id"), F.when(F.col("turn") % 2 == 0, 0.6).otherwise(0.9).alias("confidence"))
+    slots = c.select(F.col("conv_id").cast("string").alias("event_id"), slot.alias("slot"), F.when(F.length("text") % 5 == 0, "").otherwise(F.col("text")).alias("value"), none.alias("evidence"), none.alias("source_doc_id"), F.when(F.col("turn") % 2 == 0, 0.6).otherwise(0.9).alias("confidence"))
     incident = build.make_nodes(slots.select("event_id").distinct(), id=F.col("event_id"), name=F.col("event_id"), entity_type=F.lit("AIRiskIncident"), extraction_mode=F.lit("completed"), confidence=F.lit(1.0), source_doc_ids=F.array().cast("array<string>"))
     entities = incident.filter("false")
     fallback = slots.select("event_id", F.col("event_id").alias("_fallback")).distinct()

@@ -51,9 +51,9 @@ def entity_registry(spark, sf_dir):
     return registry.registered(entities(spark, sf_dir)).drop("name", "pos")
 
 
-@query(f"""WITH r AS ({REPORTS_SQL}), x AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS n FROM r) SELECT event_id, string_agg('- [' || doc_id || '] ' || left(title, 40), chr(10) ORDER BY n) AS context FROM x WHERE n <= 6 GROUP BY event_id""")
+@query(f"""WITH r AS ({REPORTS_SQL}), x AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS n FROM r) SELECT event_id, string_agg('- [' || doc_id || '] ' || title, chr(10) ORDER BY n) AS context FROM x WHERE n <= 6 GROUP BY event_id""")
 def evidence_context(spark, sf_dir):
-    return providers.evidence_context(reports(spark, sf_dir).withColumn("sentence", F.left("title", F.lit(40))), 6)
+    return providers.evidence_context(reports(spark, sf_dir).withColumn("sentence", F.col("title")), 6)
 
 
 _LEXICON = [("The", "AISystem"), ("of", "AIModel"), ("de la", "Regulator"), ("und", "Stakeholder"), ("los", "AITechnique")]
@@ -86,41 +86,65 @@ def support_interval(spark, sf_dir):
 
 
 def _name_vectors(spark, sf_dir, names: DataFrame) -> DataFrame:
-    """A vector per name, from the embeddings by a hash of the name."""
-    e = table(spark, sf_dir, "embeddings")
-    n = e.count()
-    keyed = names.select("name").distinct().withColumn("vec_id", F.pmod(F.xxhash64("name"), F.lit(n)))
-    return keyed.join(e, "vec_id").select("name", F.col("embedding").cast("array<double>").alias("vector"))
+    """A vector per name, from the embeddings in order of names: two names share one only if there are more names than vectors."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "embeddings").select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("n"), F.col("embedding").cast("array<double>").alias("vector"))
+    count = e.count()
+    keyed = names.select("name").distinct().withColumn("n", (F.row_number().over(Window.orderBy("name")) - 1) % count)
+    return keyed.join(e, "n").select("name", "vector")
 
 
-def _verdicts(spark) -> DataFrame:
-    return spark.createDataFrame([], "a string, b string, same boolean")
+def _verdicts(entities: DataFrame) -> DataFrame:
+    """A verifier's answers for neighbouring entities of an event: none are the same."""
+    from pyspark.sql import Window
 
+    after = F.lead("id").over(Window.partitionBy("event_id").orderBy("pos"))
+    return entities.select(F.least("id", after).alias("a"), F.greatest("id", after).alias("b"), F.lit(False).alias("same")).filter("a is not null")
 
-@query()
+
+_ALIGN_NAME = "CASE WHEN pos % 9 = 0 THEN 'LLM' WHEN pos % 11 = 0 THEN ' algorithm' WHEN pos % 7 = 0 THEN split_part(name, ' ', 2) ELSE name END"
+
+
+@query(f"""WITH x AS (SELECT CAST(event_id AS VARCHAR) AS event_id, pos, event_id || '-' || id AS id, {_ALIGN_NAME} AS name, entity_type AS t, confidence, support_count, doc FROM ({_E})),
+    e AS (SELECT * EXCLUDE (t), CASE WHEN t = 'AISystem' AND lower(trim(name)) IN ('llm', 'large language model', 'foundation model') THEN 'AIModel' WHEN t = 'AISystem' AND lower(trim(name)) = 'algorithm' THEN 'AITechnique' ELSE t END AS t FROM x),
+    k AS (SELECT *, CASE WHEN t IN ('Stakeholder', 'AIDeveloper', 'AIProvider', 'AIDeployer', 'AIUser', 'Regulator') THEN 'Stakeholder' ELSE t END AS kind FROM e),
+    al AS (SELECT a.event_id, a.kind, a.name, arg_min(b.name, struct_pack(l := -length(b.name), p := b.pos)) AS alias FROM (SELECT DISTINCT event_id, kind, name FROM k WHERE length(name) >= 3) a JOIN k b ON a.event_id = b.event_id AND a.kind = b.kind AND lower(a.name) <> lower(b.name) AND contains(lower(b.name), lower(a.name)) AND length(b.name) >= 3 GROUP BY ALL),
+    m AS (SELECT k.*, regexp_replace(lower(trim(coalesce(alias, k.name))), '[-_.\\s]', '', 'g') AS key FROM k LEFT JOIN al ON al.event_id = k.event_id AND al.kind = k.kind AND al.name = k.name),
+    g AS (SELECT event_id, key, t, kind, arg_min(name, pos) AS name, min(pos) AS pos, list(DISTINCT doc) AS docs, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence FROM m GROUP BY ALL),
+    f AS (SELECT event_id, kind, name, arg_min(t, pos) AS entity_type, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence, greatest(1, len(list_distinct(flatten(list(docs))))) AS support_count FROM g GROUP BY event_id, kind, name)
+    SELECT event_id, substr(sha256(event_id || '|' || name || '|' || entity_type), 1, 12) AS id, name, entity_type, confidence, support_count FROM f""")
 def aligned_entities(spark, sf_dir):
-    e = entities(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string")).withColumn("id", F.concat_ws("-", "event_id", "id"))
-    return align.align_event_entities(e, _name_vectors(spark, sf_dir, e), _verdicts(spark), 0.5, 0.4).select("event_id", "id", "name", "entity_type", "confidence", "support_count")
+    """Events' entities with short names of others, old names of models, and a verifier that knows better."""
+    name = F.when(F.col("pos") % 9 == 0, "LLM").when(F.col("pos") % 11 == 0, " algorithm").when(F.col("pos") % 7 == 0, F.split_part("name", F.lit(" "), F.lit(2))).otherwise(F.col("name"))
+    e = entities(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string")).withColumn("id", F.concat_ws("-", "event_id", "id")).withColumn("name", name)
+    got = align.align_event_entities(e, _name_vectors(spark, sf_dir, e), _verdicts(e)).select("event_id", "id", "name", "entity_type", "confidence", "support_count")
+    return got.withColumn("support_count", F.col("support_count").cast("long"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT *, CASE WHEN entity_type IN ('Stakeholder', 'Regulator') THEN 'Stakeholder' ELSE entity_type END AS kind, regexp_replace(lower(trim(name)), '[-_.\\s]', '', 'g') AS key FROM ({_E})),
+    c AS (SELECT kind, key, arg_min(id, struct_pack(s := -support_count, l := -length(name), p := pos, i := id)) AS new_id FROM e GROUP BY ALL) SELECT id AS old_id, new_id FROM e JOIN c USING (kind, key)""")
 def fusion_mapping(spark, sf_dir):
     e = entities(spark, sf_dir)
-    return align.resolve(e, _name_vectors(spark, sf_dir, e), _verdicts(spark), 0.7, 0.5)
+    return align.resolve(e, _name_vectors(spark, sf_dir, e), _verdicts(e))
 
 
 @query()
 def event_graphs(spark, sf_dir):
-    """Edges of all events' graphs: documents with a lexicon as extractor and first words as slots."""
+    """Edges of all events' graphs: documents with a lexicon as extractor, whole sentences as slots, and all other model outputs given."""
     r = reports(spark, sf_dir).withColumns({"event_id": F.col("event_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "url": F.lit(None).cast("string")})
     found = providers.gazetteer(r, spark.createDataFrame(_LEXICON, "name string, entity_type string"))
     answers = found.select("event_id", "doc_id", F.col("at").alias("pos"), F.struct("mention", "entity_type", "normalized_name", "evidence_sentence", F.lit(None).cast("string").alias("evidence"), "confidence", F.create_map().cast("map<string,string>").alias("attributes")).alias("x"))
-    held = providers.extracted_entities(answers, r).dropDuplicates(["id"]).select(*build.NODE)
+    held = providers.extracted_entities(answers, r)
+    held = held.groupBy("id").agg(*[F.min_by(c, F.struct("pos", "doc_id")).alias(c) for c in build.NODE if c != "id"]).select(*build.NODE)
     none = F.lit(None).cast("string")
-    words = F.split("content", " ")
-    slots = r.select("event_id", F.posexplode(F.slice(words, 1, 4)).alias("i", "value"), F.col("title").alias("evidence"), F.col("doc_id").alias("source_doc_id"), F.lit(0.8).alias("confidence"))
-    slots = slots.select("event_id", F.element_at(F.array(*[F.lit(s) for s in ("risk_source", "risk", "consequence", "impact")]), F.col("i") + 1).alias("slot"), "value", "evidence", "source_doc_id", "confidence").dropDuplicates(["event_id", "slot"])
-    empty = slots.filter("false").select("event_id", F.col("slot").alias("field"), "value", "evidence", "source_doc_id", "confidence", none.alias("reasoning"))
-    roles = empty.select("event_id", F.col("field").alias("stakeholder_name"), F.col("value").alias("role"), "evidence", "source_doc_id", "confidence", "reasoning", F.lit(0).cast("long").alias("pos"))
-    given = pipeline.Providers(held, slots, empty, empty, roles, _name_vectors(spark, sf_dir, held), _verdicts(spark))
+    said = r.select("event_id", "pos", F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("i", "value"), F.col("title").alias("evidence"), F.col("doc_id").alias("source_doc_id"))
+    kinds = ("risk_source", "risk", "consequence", "impact", "affected_actor", "purpose", "domain", "enforcement_action", "obligation")
+    named = said.withColumn("field", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("i"))).filter("field is not null")
+    best = named.groupBy("event_id", "field").agg(*[F.min_by(c, F.struct("pos", "i")).alias(c) for c in ("value", "evidence", "source_doc_id")]).withColumns({"confidence": F.lit(0.8), "reasoning": F.concat(F.lit("from "), "source_doc_id")})
+    slots = best.filter(F.col("field").isin(*kinds[:5])).select("event_id", F.col("field").alias("slot"), "value", "evidence", "source_doc_id", "confidence")
+    inferences, governance = best.filter(F.col("field").isin("purpose", "domain")), best.filter(F.col("field").isin("enforcement_action", "obligation"))
+    actors = held.filter(F.col("entity_type") == "Stakeholder").select("event_id", F.upper("name").alias("stakeholder_name"), F.lit("AIDeployer").alias("role"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(0.7).alias("confidence"), F.lit("acts").alias("reasoning"), "pos")
+    attributes = held.select("event_id", F.lit("maker").alias("attribute"), F.col("name").alias("value"), "confidence")
+    given = pipeline.Providers(held, slots, inferences, governance, actors, _name_vectors(spark, sf_dir, held), _verdicts(held), attributes)
     return pipeline.run_events(r, given)["edges"].select("event_id", "subject_id", "predicate", "object_id", text.truncate(F.col("subject_name"), 30).alias("subject_name"), "confidence")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import match_key, nz
 from loomgraph.functions.vocab import alignment_type
+from loomgraph.operators.similarity import similar_pairs
 
 
 def registered(entities: DataFrame) -> DataFrame:
@@ -18,26 +19,72 @@ def registered(entities: DataFrame) -> DataFrame:
     )
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Entries put together by kind and key: the first's id, the longest name, supports added up."""
+    return rows.groupBy("kind", "key").agg(
+        F.min_by("id", "pos").alias("id"), F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"),
+        F.sum("support_count").alias("support_count"), F.max("confidence").alias("confidence"), F.min("pos").alias("pos"),
+    )
+
+
+def semantic_aliases(fresh: DataFrame, held: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(kind, key, target): of entries that the registry does not hold the held one of most similar name, if that reaches the threshold.
+
+    `vectors` (name, vector).  Of equals the first key is taken; entries of one batch are not compared with each other.
+    """
+    new = fresh.join(held.select("kind", "key"), ["kind", "key"], "left_anti")
+    side = lambda rows, tag: rows.join(vectors, "name").select("kind", F.concat(F.lit(tag), "key").alias("id"), "vector")
+    pairs = similar_pairs(side(new, "1").unionByName(side(held, "0")), threshold, kind="kind")
+    across = pairs.filter(F.col("a").startswith("0") & F.col("b").startswith("1"))
+    best = across.groupBy("kind", "b").agg(F.min_by("a", F.struct(-F.col("score"), "a")).alias("a"))
+    return best.select("kind", F.substring("b", 2, 1 << 30).alias("key"), F.substring("a", 2, 1 << 30).alias("target"))
+
+
 class Registry:
-    """A registry table in a folder; each micro-batch is folded in and written as the next version."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.version = spark, path.rstrip("/"), 0
-
-    def current(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v={self.version}") if self.version else None
-
-    def absorb(self, batch: DataFrame, _: int = 0) -> None:
-        fresh = registered(batch)
-        held = self.current()
-        if held is not None:
-            rows = held.unionByName(fresh)
-            fresh = rows.groupBy("kind", "key").agg(
-                F.min_by("id", "pos").alias("id"), F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"),
-                F.sum("support_count").alias("support_count"), F.max("confidence").alias("confidence"), F.min("pos").alias("pos"),
-            )
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v={self.version + 1}")
-        self.version += 1
+    """A registry in a folder: each micro-batch adds what it brings as a version of its own, and `current` folds them.
+
+    A version is named by the batch, so a replayed batch writes the same one again, and a new process goes on
+    from what the folder holds.  With vectors (name, vector) an entry under a new key joins the held entry of
+    most similar name, if that reaches the threshold.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, vectors: DataFrame | None = None, threshold: float = 0.85) -> None:
+        self.spark, self.path, self.vectors, self.threshold = spark, path.rstrip("/"), vectors, threshold
+
+    def versions(self) -> list[int]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
+        return sorted(int(f.getPath().getName()[2:]) for f in found)
+
+    @property
+    def version(self) -> int:
+        """The latest version, 0 before the first."""
+        return max(self.versions(), default=0)
+
+    def current(self, before: int | None = None) -> DataFrame | None:
+        """All entries, or those of versions before one."""
+        some = [v for v in self.versions() if before is None or v < before]
+        return folded(self.spark.read.parquet(*[f"{self.path}/v={v}" for v in some])) if some else None
+
+    def absorb(self, batch: DataFrame, batch_id: int | None = None) -> None:
+        number = self.version + 1 if batch_id is None else batch_id + 1
+        fresh, held = registered(batch), self.current(number)
+        if held is not None and self.vectors is not None:
+            alias = semantic_aliases(fresh, held, self.vectors, self.threshold)
+            fresh = folded(fresh.join(alias, ["kind", "key"], "left").withColumn("key", F.coalesce("target", "key")).drop("target"))
+        fresh.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+
+    def compact(self) -> None:
+        """All versions but the last as one; what a replay of the last batch needs stays."""
+        some = self.versions()[:-1]
+        if len(some) < 2:
+            return
+        whole = f"{self.path}/whole"
+        folded(self.spark.read.parquet(*[f"{self.path}/v={v}" for v in some])).write.mode("overwrite").parquet(whole)
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(whole).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for v in some:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}"), True)
+        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(whole), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={some[-1]}"))
 
     def follow(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
