@@ -12,14 +12,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Number words.
-NUMBERS = dict(
-    zip(
-        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-        "twenty thirty forty fifty sixty seventy eighty ninety hundred".split(),
-        [*range(20), *range(20, 101, 10)],
-        strict=True,
-    )
-)
+NUMBERS = {
+    "zero": 0,
+    "one": 1,
+    "two": 2,
+    "three": 3,
+    "four": 4,
+    "five": 5,
+    "six": 6,
+    "seven": 7,
+    "eight": 8,
+    "nine": 9,
+    "ten": 10,
+    "eleven": 11,
+    "twelve": 12,
+    "thirteen": 13,
+    "fourteen": 14,
+    "fifteen": 15,
+    "sixteen": 16,
+    "seventeen": 17,
+    "eighteen": 18,
+    "nineteen": 19,
+    "twenty": 20,
+    "thirty": 30,
+    "forty": 40,
+    "fifty": 50,
+    "sixty": 60,
+    "seventy": 70,
+    "eighty": 80,
+    "ninety": 90,
+    "hundred": 100,
+}
 _WORD = re.compile(r"(:[^\n\"]{0,19}?)\b(" + "|".join(NUMBERS) + r")\b", re.IGNORECASE)
 
 

@@ -147,6 +147,27 @@ def camel(value: Column) -> Column:
     return F.concat(F.lower(F.left(words, F.lit(1))), F.substring(words, F.lit(2), F.length(words)))
 
 
+# What a baseline's relations are also called.
+BASELINE_PREDICATES = {
+    "caused": "causes", "caused by": "causes", "cause": "causes",
+    "leads to": "leadsTo", "leads_to": "leadsTo", "led to": "leadsTo",
+    "results in": "leadsTo", "results_in": "leadsTo", "resulted in": "leadsTo",
+    "impacts": "impacts", "impact": "impacts", "impacted": "impacts",
+    "affects": "affects", "affect": "affects", "affected": "affects",
+}
+CHAIN_PREDICATES = ("causes", "leadsTo", "impacts", "affects")
+
+
+def baseline_predicate(value: Column) -> Column:
+    """A chain relation as it is, one of its other names as it, any other in camel case; '' for NULL."""
+    own = strip(F.coalesce(value, F.lit("")))
+    low = F.lower(own)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in BASELINE_PREDICATES.items() for x in kv]), low)
+    words = F.split(low, r"(?U)[\s_]+")
+    joined = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), ""))
+    return F.when(own.isin(*CHAIN_PREDICATES), own).otherwise(F.coalesce(named, joined))
+
+
 def clean_web_page(content: Column, title: Column, words: tuple[str, ...] = WEB_WORDS) -> Column:
     """A page's text without navigation: from the first long line about the title to the last long line.
 

@@ -7,150 +7,208 @@ from pyspark.sql import functions as F
 
 # ---- fixed values --------------------------------------------------------------------------------
 
-CLASSES = """
-AISystem AIModel GPAIModel AITechnique AICapability AIComponent Data
-Stakeholder AIDeveloper AIProvider AIDeployer AIUser Regulator AffectedActor
-RiskSource Risk Misuse Hazard Threat Vulnerability Consequence Impact RiskControl
-Regulation Standard Obligation ComplianceRequirement EnforcementAction CodeOfConduct
-NewsReport InformationSource Evidence KnowledgeStatement AIRiskIncident RoleAssignment
-ExtractionMode Trend Purpose AILifecyclePhase Domain Documentation TechnicalDocumentation VerificationTest
-""".split()
-
-RELATIONS = """
-develops provides deploys uses hasModel usesTechnique hasCapability
-involvesAISystem involvesStakeholder hasRisk hasConsequence hasImpact hasReport
-roleHeldBy hasRoleInIncident roleInvolvesSystem
-causes leadsTo impacts affects mitigates
-governs imposesRequirement enforces investigates specifies respondsToIncident
-hasEvidence hasSourceDocument conflictsWith
-isRiskSourceFor hasHazard hasThreat hasVulnerability hasInformationSource compliesWithRegulation conformsToStandard
-""".split()
+CLASSES = [
+    "AISystem", "AIModel", "GPAIModel", "AITechnique", "AICapability", "AIComponent", "Data",
+    "Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser", "Regulator", "AffectedActor",
+    "RiskSource", "Risk", "Misuse", "Hazard", "Threat", "Vulnerability", "Consequence", "Impact", "RiskControl",
+    "Regulation", "Standard", "Obligation", "ComplianceRequirement", "EnforcementAction", "CodeOfConduct",
+    "NewsReport", "InformationSource", "Evidence", "KnowledgeStatement", "AIRiskIncident", "RoleAssignment",
+    "ExtractionMode", "Trend", "Purpose", "AILifecyclePhase", "Domain", "Documentation", "TechnicalDocumentation", "VerificationTest",
+]
+
+RELATIONS = [
+    "develops", "provides", "deploys", "uses", "hasModel", "usesTechnique", "hasCapability",
+    "involvesAISystem", "involvesStakeholder", "hasRisk", "hasConsequence", "hasImpact", "hasReport",
+    "roleHeldBy", "hasRoleInIncident", "roleInvolvesSystem",
+    "causes", "leadsTo", "impacts", "affects", "mitigates",
+    "governs", "imposesRequirement", "enforces", "investigates", "specifies", "respondsToIncident",
+    "hasEvidence", "hasSourceDocument", "conflictsWith",
+    "isRiskSourceFor", "hasHazard", "hasThreat", "hasVulnerability", "hasInformationSource", "compliesWithRegulation", "conformsToStandard",
+]
 
 EXTRACTION_MODES = ("explicit", "abstracted", "inferred", "completed")
 
 CLASS_ALIASES = {
-    "AISystem": "ai system, ai_system, system",
-    "AIModel": "ai model, ai_model, model, llm, large language model, foundation model, 基础模型, 大模型",
-    "AITechnique": "ai technique, ai_technique, technique",
-    "AICapability": "ai capability, ai_capability, capability",
-    "Stakeholder": "stakeholder, organization, organisation, company, entity",
-    "AIDeveloper": "ai developer, ai_developer, developer",
-    "AIProvider": "ai provider, ai_provider, provider",
-    "AIDeployer": "ai deployer, ai_deployer, deployer",
-    "AIUser": "ai user, ai_user, user",
-    "AffectedActor": "ai subject, ai_subject, affected actor, affected_actor, affected party, victim",
-    "Regulator": "regulator, supervisory authority",
-    "RiskSource": "risk source, risk_source",
-    "Risk": "risk",
-    "Hazard": "hazard",
-    "Threat": "threat",
-    "Vulnerability": "vulnerability",
-    "Consequence": "consequence",
-    "Impact": "impact",
-    "RiskControl": "risk control, risk_control, mitigation, control measure",
-    "Regulation": "regulation, law, act",
-    "Standard": "standard",
-    "Obligation": "obligation",
-    "ComplianceRequirement": "compliance requirement",
-    "EnforcementAction": "enforcement action, enforcement, penalty, fine",
-    "NewsReport": "news report, news_report, report, article",
-    "InformationSource": "information source",
-    "Evidence": "evidence",
-    "KnowledgeStatement": "knowledge statement",
-    "AIRiskIncident": "ai risk incident, incident, event",
-    "RoleAssignment": "role assignment",
-    "Trend": "trend",
-    "Purpose": "purpose",
-    "AILifecyclePhase": "lifecycle phase, lifecycle",
-    "Domain": "domain, impact domain, area of impact",
-    "CodeOfConduct": "code of conduct",
-    "Documentation": "documentation",
-    "TechnicalDocumentation": "technical documentation",
-    "VerificationTest": "verification test",
+    "ai system": "AISystem",
+    "ai_system": "AISystem",
+    "system": "AISystem",
+    "ai model": "AIModel",
+    "ai_model": "AIModel",
+    "model": "AIModel",
+    "llm": "AIModel",
+    "large language model": "AIModel",
+    "foundation model": "AIModel",
+    "基础模型": "AIModel",
+    "大模型": "AIModel",
+    "ai technique": "AITechnique",
+    "ai_technique": "AITechnique",
+    "technique": "AITechnique",
+    "ai capability": "AICapability",
+    "ai_capability": "AICapability",
+    "capability": "AICapability",
+    "stakeholder": "Stakeholder",
+    "organization": "Stakeholder",
+    "organisation": "Stakeholder",
+    "company": "Stakeholder",
+    "entity": "Stakeholder",
+    "ai developer": "AIDeveloper",
+    "ai_developer": "AIDeveloper",
+    "developer": "AIDeveloper",
+    "ai provider": "AIProvider",
+    "ai_provider": "AIProvider",
+    "provider": "AIProvider",
+    "ai deployer": "AIDeployer",
+    "ai_deployer": "AIDeployer",
+    "deployer": "AIDeployer",
+    "ai user": "AIUser",
+    "ai_user": "AIUser",
+    "user": "AIUser",
+    "ai subject": "AffectedActor",
+    "ai_subject": "AffectedActor",
+    "affected actor": "AffectedActor",
+    "affected_actor": "AffectedActor",
+    "affected party": "AffectedActor",
+    "victim": "AffectedActor",
+    "regulator": "Regulator",
+    "supervisory authority": "Regulator",
+    "risk source": "RiskSource",
+    "risk_source": "RiskSource",
+    "risk": "Risk",
+    "hazard": "Hazard",
+    "threat": "Threat",
+    "vulnerability": "Vulnerability",
+    "consequence": "Consequence",
+    "impact": "Impact",
+    "risk control": "RiskControl",
+    "risk_control": "RiskControl",
+    "mitigation": "RiskControl",
+    "control measure": "RiskControl",
+    "regulation": "Regulation",
+    "law": "Regulation",
+    "act": "Regulation",
+    "standard": "Standard",
+    "obligation": "Obligation",
+    "compliance requirement": "ComplianceRequirement",
+    "enforcement action": "EnforcementAction",
+    "enforcement": "EnforcementAction",
+    "penalty": "EnforcementAction",
+    "fine": "EnforcementAction",
+    "news report": "NewsReport",
+    "news_report": "NewsReport",
+    "report": "NewsReport",
+    "article": "NewsReport",
+    "information source": "InformationSource",
+    "evidence": "Evidence",
+    "knowledge statement": "KnowledgeStatement",
+    "ai risk incident": "AIRiskIncident",
+    "incident": "AIRiskIncident",
+    "event": "AIRiskIncident",
+    "role assignment": "RoleAssignment",
+    "trend": "Trend",
+    "purpose": "Purpose",
+    "lifecycle phase": "AILifecyclePhase",
+    "lifecycle": "AILifecyclePhase",
+    "domain": "Domain",
+    "impact domain": "Domain",
+    "area of impact": "Domain",
+    "code of conduct": "CodeOfConduct",
+    "documentation": "Documentation",
+    "technical documentation": "TechnicalDocumentation",
+    "verification test": "VerificationTest",
 }
 
 RELATION_ALIASES = {
-    "develops": "developed_by, developed by, created_by, built_by, trained_by",
-    "provides": "provided_by, provided by",
-    "deploys": "deployed_by, deployed by",
-    "uses": "used_by, used by",
-    "isRiskSourceFor": "has_risk_source",
-    "involvesAISystem": "involves_ai_system, involves ai system",
-    "involvesStakeholder": "involves_stakeholder",
-    "hasReport": "has_report",
-    "roleHeldBy": "role_held_by",
-    "hasRoleInIncident": "has_role_in_incident",
-    "roleInvolvesSystem": "role_involves_system",
-    "leadsTo": "leads_to, leads to, results_in",
+    "developed_by": "develops",
+    "developed by": "develops",
+    "created_by": "develops",
+    "built_by": "develops",
+    "trained_by": "develops",
+    "provided_by": "provides",
+    "provided by": "provides",
+    "deployed_by": "deploys",
+    "deployed by": "deploys",
+    "used_by": "uses",
+    "used by": "uses",
+    "has_risk_source": "isRiskSourceFor",
+    "involves_ai_system": "involvesAISystem",
+    "involves ai system": "involvesAISystem",
+    "involves_stakeholder": "involvesStakeholder",
+    "has_report": "hasReport",
+    "role_held_by": "roleHeldBy",
+    "has_role_in_incident": "hasRoleInIncident",
+    "role_involves_system": "roleInvolvesSystem",
+    "leads_to": "leadsTo",
+    "leads to": "leadsTo",
+    "results_in": "leadsTo",
     "causes": "causes",
     "impacts": "impacts",
     "affects": "affects",
     "mitigates": "mitigates",
-    "governs": "governs, governed_by, governed by, regulates",
-    "imposesRequirement": "imposes_requirement",
+    "governs": "governs",
+    "governed_by": "governs",
+    "governed by": "governs",
+    "regulates": "governs",
+    "imposes_requirement": "imposesRequirement",
     "enforces": "enforces",
     "investigates": "investigates",
     "specifies": "specifies",
-    "respondsToIncident": "responds_to_incident",
-    "hasEvidence": "has_evidence",
-    "hasSourceDocument": "has_source_document",
-    "conflictsWith": "conflicts_with",
-    "hasHazard": "has_hazard",
-    "hasThreat": "has_threat",
-    "hasVulnerability": "has_vulnerability",
-    "compliesWithRegulation": "complies_with_regulation",
-    "conformsToStandard": "conforms_to_standard",
+    "responds_to_incident": "respondsToIncident",
+    "has_evidence": "hasEvidence",
+    "has_source_document": "hasSourceDocument",
+    "conflicts_with": "conflictsWith",
+    "has_hazard": "hasHazard",
+    "has_threat": "hasThreat",
+    "has_vulnerability": "hasVulnerability",
+    "complies_with_regulation": "compliesWithRegulation",
+    "conforms_to_standard": "conformsToStandard",
 }
 
-_ACTORS = "Stakeholder AIDeveloper AIProvider AIDeployer AIUser Regulator AffectedActor"
-_MODELS = "AISystem AIModel GPAIModel"
-
 #: predicate: (domain, range); an empty side allows every class.
 CONSTRAINTS = {
-    "develops": ("AIDeveloper", _MODELS),
-    "provides": ("AIProvider", _MODELS),
-    "deploys": ("AIDeployer", "AISystem"),
-    "uses": (f"AIUser {_MODELS}", "AISystem Data"),
-    "hasModel": ("AISystem", "AIModel"),
-    "usesTechnique": (_MODELS, "AITechnique"),
-    "hasCapability": (_MODELS, "AICapability Purpose"),
-    "involvesAISystem": ("AIRiskIncident", "AISystem GPAIModel"),
-    "involvesStakeholder": ("AIRiskIncident", _ACTORS),
-    "hasRisk": ("AIRiskIncident AISystem", "Risk Misuse"),
-    "hasConsequence": ("AIRiskIncident Risk", "Consequence"),
-    "hasImpact": ("AIRiskIncident Consequence", "Impact"),
-    "hasReport": ("AIRiskIncident", "NewsReport"),
-    "roleHeldBy": ("RoleAssignment", _ACTORS),
-    "hasRoleInIncident": ("RoleAssignment", "AIRiskIncident"),
-    "roleInvolvesSystem": ("RoleAssignment", "AISystem GPAIModel"),
-    "causes": ("RiskSource", "Risk"),
-    "leadsTo": ("Risk Misuse", "Consequence"),
-    "impacts": ("Consequence", "Impact"),
-    "affects": ("Impact", "AffectedActor"),
-    "mitigates": ("RiskControl", "Risk"),
-    "governs": ("Regulation Standard", "AISystem Stakeholder"),
-    "imposesRequirement": ("Regulation", "ComplianceRequirement Obligation"),
-    "enforces": ("Regulator", "Regulation"),
-    "investigates": ("Regulator", "AIRiskIncident"),
-    "specifies": ("Standard", "RiskControl"),
-    "respondsToIncident": ("EnforcementAction", "AIRiskIncident"),
-    "hasEvidence": (f"KnowledgeStatement AIRiskIncident {_MODELS}", "Evidence Data AILifecyclePhase Domain Documentation TechnicalDocumentation VerificationTest"),
-    "hasSourceDocument": ("Evidence", "NewsReport"),
-    "conflictsWith": ("KnowledgeStatement", "KnowledgeStatement"),
-    "isRiskSourceFor": ("RiskSource", "Risk"),
-    "hasHazard": ("AISystem RiskSource", "Hazard"),
-    "hasThreat": ("AISystem RiskSource", "Threat"),
-    "hasVulnerability": ("AISystem", "Vulnerability"),
-    "hasInformationSource": ("AIRiskIncident", "InformationSource"),
-    "compliesWithRegulation": ("AISystem GPAIModel", "Regulation"),
-    "conformsToStandard": ("AISystem GPAIModel", "Standard"),
+    "develops": (("AIDeveloper",), ("AISystem", "AIModel", "GPAIModel")),
+    "provides": (("AIProvider",), ("AISystem", "AIModel", "GPAIModel")),
+    "deploys": (("AIDeployer",), ("AISystem",)),
+    "uses": (("AIUser", "AISystem", "AIModel", "GPAIModel"), ("AISystem", "Data")),
+    "hasModel": (("AISystem",), ("AIModel",)),
+    "usesTechnique": (("AISystem", "AIModel", "GPAIModel"), ("AITechnique",)),
+    "hasCapability": (("AISystem", "AIModel", "GPAIModel"), ("AICapability", "Purpose")),
+    "involvesAISystem": (("AIRiskIncident",), ("AISystem", "GPAIModel")),
+    "involvesStakeholder": (("AIRiskIncident",), ("Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser", "Regulator", "AffectedActor")),
+    "hasRisk": (("AIRiskIncident", "AISystem"), ("Risk", "Misuse")),
+    "hasConsequence": (("AIRiskIncident", "Risk"), ("Consequence",)),
+    "hasImpact": (("AIRiskIncident", "Consequence"), ("Impact",)),
+    "hasReport": (("AIRiskIncident",), ("NewsReport",)),
+    "roleHeldBy": (("RoleAssignment",), ("Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser", "Regulator", "AffectedActor")),
+    "hasRoleInIncident": (("RoleAssignment",), ("AIRiskIncident",)),
+    "roleInvolvesSystem": (("RoleAssignment",), ("AISystem", "GPAIModel")),
+    "causes": (("RiskSource",), ("Risk",)),
+    "leadsTo": (("Risk", "Misuse"), ("Consequence",)),
+    "impacts": (("Consequence",), ("Impact",)),
+    "affects": (("Impact",), ("AffectedActor",)),
+    "mitigates": (("RiskControl",), ("Risk",)),
+    "governs": (("Regulation", "Standard"), ("AISystem", "Stakeholder")),
+    "imposesRequirement": (("Regulation",), ("ComplianceRequirement", "Obligation")),
+    "enforces": (("Regulator",), ("Regulation",)),
+    "investigates": (("Regulator",), ("AIRiskIncident",)),
+    "specifies": (("Standard",), ("RiskControl",)),
+    "respondsToIncident": (("EnforcementAction",), ("AIRiskIncident",)),
+    "hasEvidence": (("KnowledgeStatement", "AIRiskIncident", "AISystem", "AIModel", "GPAIModel"), ("Evidence", "Data", "AILifecyclePhase", "Domain", "Documentation", "TechnicalDocumentation", "VerificationTest")),
+    "hasSourceDocument": (("Evidence",), ("NewsReport",)),
+    "conflictsWith": (("KnowledgeStatement",), ("KnowledgeStatement",)),
+    "isRiskSourceFor": (("RiskSource",), ("Risk",)),
+    "hasHazard": (("AISystem", "RiskSource"), ("Hazard",)),
+    "hasThreat": (("AISystem", "RiskSource"), ("Threat",)),
+    "hasVulnerability": (("AISystem",), ("Vulnerability",)),
+    "hasInformationSource": (("AIRiskIncident",), ("InformationSource",)),
+    "compliesWithRegulation": (("AISystem", "GPAIModel"), ("Regulation",)),
+    "conformsToStandard": (("AISystem", "GPAIModel"), ("Standard",)),
 }
 
 #: Class partitions; modules differ in them on purpose.
-STAKEHOLDERS = tuple(_ACTORS.split())
+STAKEHOLDERS = ("Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser", "Regulator", "AffectedActor")
 ALIGNED_STAKEHOLDERS = tuple(c for c in STAKEHOLDERS if c != "AffectedActor")
-ALIGNABLE = tuple("AISystem AIModel GPAIModel AITechnique AICapability AIComponent Data Stakeholder AIDeveloper AIProvider AIDeployer AIUser Regulator Misuse Regulation Standard".split())
-MERGE_BY_NAME = tuple("AISystem AIModel AITechnique AICapability Stakeholder AIDeveloper AIProvider AIDeployer AIUser Regulator AffectedActor Regulation Standard".split())
+ALIGNABLE = ("AISystem", "AIModel", "GPAIModel", "AITechnique", "AICapability", "AIComponent", "Data", "Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser", "Regulator", "Misuse", "Regulation", "Standard")
+MERGE_BY_NAME = ("AISystem", "AIModel", "AITechnique", "AICapability", "Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser", "Regulator", "AffectedActor", "Regulation", "Standard")
 INFRA_TYPES = ("AIRiskIncident", "NewsReport", "InformationSource", "RoleAssignment", "Evidence", "KnowledgeStatement")
 INFRA_PREDICATES = ("hasReport", "hasInformationSource", "hasSourceDocument")
 STAGE2_TYPES = ("AISystem", "AIModel", "AITechnique", "AICapability", "Stakeholder", "Regulator", "Regulation", "Standard", "AffectedActor", "GPAIModel")
@@ -164,23 +222,19 @@ def _mapping(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def _flat(aliases: dict[str, str]) -> dict[str, str]:
-    return {a.strip(): name for name, line in aliases.items() for a in line.split(",")}
-
-
 _SPACE = r"(?U)^\s+|\s+$"
 
 
 def normalize_class(raw: Column) -> Column:
     """The class a raw name stands for: by alias, by name, or NULL; case and outer white space do not count."""
     low = F.lower(F.regexp_replace(raw, _SPACE, ""))
-    return F.coalesce(F.try_element_at(_mapping(_flat(CLASS_ALIASES)), low), F.try_element_at(_mapping({c.lower(): c for c in CLASSES}), low))
+    return F.coalesce(F.try_element_at(_mapping(CLASS_ALIASES), low), F.try_element_at(_mapping({c.lower(): c for c in CLASSES}), low))
 
 
 def normalize_relation(raw: Column) -> Column:
     """The relation a raw name stands for; spaces become underscores first, so aliases with spaces are never met."""
     low = F.replace(F.lower(F.regexp_replace(raw, _SPACE, "")), F.lit(" "), F.lit("_"))
-    return F.coalesce(F.try_element_at(_mapping(_flat(RELATION_ALIASES)), low), F.try_element_at(_mapping({r.lower(): r for r in RELATIONS}), low))
+    return F.coalesce(F.try_element_at(_mapping(RELATION_ALIASES), low), F.try_element_at(_mapping({r.lower(): r for r in RELATIONS}), low))
 
 
 def alignment_type(kind: Column, stakeholders: tuple[str, ...] = ALIGNED_STAKEHOLDERS) -> Column:
@@ -195,5 +249,5 @@ def corrected_type(name: Column, kind: Column) -> Column:
 
 def constraints(spark: SparkSession) -> DataFrame:
     """(predicate, domain, range) as arrays: a fixed table of a row per relation."""
-    rows = [(p, d.split(), r.split()) for p, (d, r) in CONSTRAINTS.items()]
+    rows = [(p, list(d), list(r)) for p, (d, r) in CONSTRAINTS.items()]
     return spark.createDataFrame(rows, "predicate string, domain array<string>, range array<string>")

@@ -144,3 +144,9 @@ def countries(attributes: DataFrame) -> DataFrame:
     """(country, n) over rows of attribute maps: values of keys that speak of a country, under their common names."""
     rows = attributes.select(F.explode("attributes").alias("k", "v")).filter(F.contains(F.lower("k"), F.lit("country")))
     return rows.groupBy(norm_country(F.col("v")).alias("country")).agg(F.count("*").alias("n"))
+
+
+def known_transitions(rows: DataFrame, stages: list[str]) -> DataFrame:
+    """Transitions (from_stage, to_stage and more) between neighbouring stages; others are left out."""
+    pairs = F.array(*[F.lit(f"{a}>{b}") for a, b in zip(stages, stages[1:], strict=False)])
+    return rows.filter(F.array_contains(pairs, F.concat_ws(">", "from_stage", "to_stage")))

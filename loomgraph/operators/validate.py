@@ -64,6 +64,25 @@ def unknown_documents(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return judged.join(known, ["event_id", "source_doc_id"], "left_anti").select("event_id", "owner_id", "source_doc_id")
 
 
+def evidence_problems(evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """(event_id, owner_id, source_doc_id, problem): evidence (event_id, owner_id, source_doc_id) from nowhere or from no document of its event.
+
+    An empty, missing or event-level document is invalid; others are unknown if the event has documents but not this one.
+    """
+    doc = F.coalesce("source_doc_id", F.lit(""))
+    invalid = doc.isin("", "event_level")
+    bad = evidence.filter(invalid).select("event_id", "owner_id", "source_doc_id", F.lit("invalid document").alias("problem"))
+    unknown = unknown_documents(evidence.filter(~invalid), documents)
+    return bad.unionByName(unknown.withColumn("problem", F.lit("unknown document")))
+
+
+def messages(problems: DataFrame, names: DataFrame) -> DataFrame:
+    """(event_id, message): problems (event_id, owner_id, problem) in words, by the names of what they are about."""
+    return problems.join(names.select("event_id", F.col("id").alias("owner_id"), "name"), ["event_id", "owner_id"], "left").select(
+        "event_id", F.concat(F.coalesce("name", "owner_id"), F.lit(": "), "problem").alias("message")
+    )
+
+
 def is_content_type(kind: Column) -> Column:
     return ~kind.isin(*INFRA_TYPES)
 

@@ -84,16 +84,16 @@ def resume_antijoin(spark, sf_dir):
     return readers.pending(rows.select(F.col("user_id").alias("event_id")).distinct(), cache).select(F.col("event_id").alias("user_id"))
 
 
-@query("""
-    SELECT page_id, CASE WHEN length(html) >= 500 AND len(list_filter(string_split(html, chr(10))[1:40], lambda x: regexp_matches(lower(x), 'href|div|nav|script'))) >= 3 THEN 'page' ELSE 'text' END AS kind
-    FROM pages""")
-def web_template_detection(spark, sf_dir):
-    lines = F.slice(F.split("html", "\n"), 1, 40)
-    marked = F.size(F.filter(lines, lambda x: F.lower(x).rlike("href|div|nav|script")))
-    return table(spark, sf_dir, "pages").select("page_id", F.when((F.length("html") >= 500) & (marked >= 3), "page").otherwise("text").alias("kind"))
+_STRIPPED = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT page_id, html, string_split(html, chr(10)) AS l, list_filter(list_distinct(regexp_extract_all(lower(coalesce(url, '')), '[a-z]{{3,}}')), lambda w: w NOT IN {tuple(text.COMMON_TITLE_WORDS)!r}) AS own FROM pages),
+    n AS (SELECT *, len(list_filter(l[1:40], lambda x: regexp_matches(lower(x), 'href|div|nav|script'))) AS marked, list_transform(l, lambda x: {_STRIPPED}) AS s FROM p),
+    a AS (SELECT *, coalesce(list_filter(range(1, len(l) + 1), lambda i: length(s[i]) >= 40 AND len(list_filter(own, lambda w: contains(lower(s[i]), w))) >= 2)[1], list_filter(range(1, len(l) + 1), lambda i: length(s[i]) > 200)[1], 0) AS first,
+        coalesce(list_max(list_filter(range(1, len(l) + 1), lambda i: length(s[i]) >= 20)), 0) AS last FROM n),
+    b AS (SELECT *, array_to_string(l[first:last], chr(10)) AS body, len(list_filter(s[last + 1:], lambda x: x <> '')) AS rest FROM a)
+    SELECT page_id, CASE WHEN length(html) >= 500 AND marked >= 3 AND first > 1 THEN CASE WHEN rest = 0 THEN regexp_replace(body, '\\s+$', '') ELSE body END ELSE html END AS body FROM b""")
 def web_template_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_web_page(F.col("html"), F.col("url"), ("href", "div", "nav", "script")).alias("body"))
 

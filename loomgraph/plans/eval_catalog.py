@@ -310,3 +310,40 @@ def first_events(spark, sf_dir):
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS event_id, o_custkey FROM orders WHERE o_orderkey = 77")
 def event_lookup(spark, sf_dir):
     return readers.find_event(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("event_id"), "o_custkey"), "77")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'leadsTo' WHEN 1 THEN 'leadsTo' WHEN 2 THEN 'causes' WHEN 3 THEN 'someNewThing' WHEN 4 THEN event_type ELSE '' END AS predicate FROM events""")
+def baseline_predicates(spark, sf_dir):
+    k = F.col("event_id") % 6
+    raw = F.when(k == 0, "leadsTo").when(k == 1, " Results In ").when(k == 2, "CAUSED BY").when(k == 3, "Some new_thing").when(k == 4, F.upper("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", text.baseline_predicate(raw).alias("predicate"))
+
+
+@query("""WITH e AS (SELECT o_custkey % 50 AS event_id, o_orderkey AS owner_id, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'event_level' WHEN 2 THEN CAST(o_custkey AS VARCHAR) WHEN 3 THEN 'x' END AS source_doc_id FROM orders), d AS (SELECT c_custkey % 50 AS event_id, CAST(c_custkey AS VARCHAR) AS doc_id FROM customer WHERE c_custkey % 50 < 40)
+    SELECT event_id, owner_id, source_doc_id, 'invalid document' AS problem FROM e WHERE coalesce(source_doc_id, '') IN ('', 'event_level')
+    UNION ALL SELECT event_id, owner_id, source_doc_id, 'unknown document' FROM e WHERE coalesce(source_doc_id, '') NOT IN ('', 'event_level') AND event_id IN (SELECT event_id FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.event_id = e.event_id AND doc_id = source_doc_id)""")
+def evidence_problems(spark, sf_dir):
+    from loomgraph.operators import validate
+
+    k = F.col("o_orderkey") % 5
+    doc = F.when(k == 0, "").when(k == 1, "event_level").when(k == 2, F.col("o_custkey").cast("string")).when(k == 3, "x")
+    proof = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("event_id"), F.col("o_orderkey").alias("owner_id"), doc.alias("source_doc_id"))
+    docs = table(spark, sf_dir, "customer").filter("c_custkey % 50 < 40").select((F.col("c_custkey") % 50).alias("event_id"), F.col("c_custkey").cast("string").alias("doc_id"))
+    return validate.evidence_problems(proof, docs)
+
+
+@query("SELECT l_returnflag AS from_stage, l_linestatus AS to_stage, count(*) AS n FROM lineitem WHERE l_returnflag || l_linestatus IN ('AF', 'FN', 'NO') GROUP BY ALL")
+def known_transitions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("from_stage"), F.col("l_linestatus").alias("to_stage")).agg(F.count("*").alias("n"))
+    return analytics.known_transitions(rows, ["A", "F", "N", "O"])
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a b' WHEN 1 THEN 'plain' WHEN 2 THEN '[broken' ELSE NULL END AS name, CASE event_id % 2 WHEN 0 THEN 'long' ELSE 'short' END AS evidence_sentence FROM events""")
+def field_variants(spark, sf_dir):
+    from loomgraph.sources import providers
+
+    k = F.col("event_id") % 4
+    none = F.lit(None).cast("string")
+    mention = F.when(k == 0, '["a", "", "b"]').when(k == 1, " plain ").when(k == 2, "[broken")
+    x = F.struct(mention.alias("mention"), F.lit("AISystem").alias("entity_type"), none.alias("normalized_name"), F.when(k % 2 == 0, "long").alias("evidence_sentence"), F.lit("short").alias("evidence"), F.lit(0.5).alias("confidence"), F.create_map().cast("map<string,string>").alias("attributes"))
+    return table(spark, sf_dir, "events").select("event_id", providers.normalized_fields(x).alias("x")).select("event_id", "x.name", "x.evidence_sentence")

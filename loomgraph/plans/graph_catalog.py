@@ -27,7 +27,7 @@ _EDGES = f"""
     UNION ALL SELECT event_id, pos, id, name, 'develops', CASE WHEN pos % 40 = 0 THEN id WHEN pos % 60 = 0 THEN 'gone' ELSE 'n' || event_id END, 'x', 0.9, 'explicit', 0 FROM nodes WHERE entity_type = 'AIDeveloper'
 """
 GRAPH = f"nodes AS ({_NODES}), edges AS (SELECT * FROM ({_EDGES}) WHERE object_id IS NOT NULL), typed AS (SELECT e.*, s.entity_type AS st, o.entity_type AS ot FROM edges e LEFT JOIN (SELECT event_id, id, any_value(entity_type) AS entity_type FROM nodes GROUP BY ALL) s ON s.event_id = e.event_id AND s.id = subject_id LEFT JOIN (SELECT event_id, id, any_value(entity_type) AS entity_type FROM nodes GROUP BY ALL) o ON o.event_id = e.event_id AND o.id = object_id)"
-_RULES = "rules(predicate, d, r) AS (VALUES " + ", ".join(f"('{p}', {d.split()!r}, {r.split()!r})" for p, (d, r) in vocab.CONSTRAINTS.items()) + ")"
+_RULES = "rules(predicate, d, r) AS (VALUES " + ", ".join(f"('{p}', {list(d)!r}, {list(r)!r})" for p, (d, r) in vocab.CONSTRAINTS.items()) + ")"
 _INFRA = "('AIRiskIncident', 'NewsReport', 'InformationSource', 'RoleAssignment', 'Evidence', 'KnowledgeStatement')"
 _SEM = "predicate NOT IN ('hasReport', 'hasInformationSource', 'hasSourceDocument') AND extraction_mode <> 'completed'"
 _CONTENT = f"content AS (SELECT * FROM typed WHERE {_SEM} AND st NOT IN {_INFRA} AND ot NOT IN {_INFRA})"

@@ -55,8 +55,9 @@ def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> d
         found = found.unionByName(validate.unsupported_nodes(nodes).withColumn("rule", F.lit("no evidence")))
         found = found.unionByName(validate.unexplained(nodes, True).withColumn("rule", F.lit("unexplained node"))).unionByName(validate.unexplained(kept, False).withColumn("rule", F.lit("unexplained edge")))
         proof = nodes.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id")
+        proof = proof.unionByName(kept.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id"))
         known = reports.select("event_id", F.col("doc_id").cast("string").alias("doc_id"))
-        found = found.unionByName(validate.unknown_documents(proof, known).select("event_id", F.col("owner_id").alias("id"), F.lit("unknown document").alias("rule")))
+        found = found.unionByName(validate.evidence_problems(proof, known).select("event_id", F.col("owner_id").alias("id"), F.col("problem").alias("rule")).distinct())
     return {"metadata": meta, "representatives": chosen, "nodes": nodes, "edges": kept, "statements": merge.statements(kept), "violations": found}
 
 

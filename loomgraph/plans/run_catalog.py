@@ -33,8 +33,8 @@ def simple_union(spark, sf_dir):
     return got.select("event_id", F.lower("name").alias("key"), "entity_type", "id", "support_count", "confidence", F.size("source_doc_ids").cast("long").alias("n_docs"))
 
 
-@query(f"""WITH n AS (SELECT event_id, lower(trim(name)) AS key, entity_type, min(pos) AS pos FROM ({_E}) GROUP BY ALL), f AS (SELECT event_id, key, arg_min(entity_type, pos) AS kind FROM n GROUP BY ALL),
-    r AS (SELECT event_id, lower(trim(name)) AS s, lower(trim(lead(name) OVER (PARTITION BY event_id ORDER BY pos))) AS o FROM ({_E}))
+@query(f"""WITH n AS (SELECT event_id, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS key, entity_type, min(pos) AS pos FROM ({_E}) GROUP BY ALL), f AS (SELECT event_id, key, arg_min(entity_type, pos) AS kind FROM n GROUP BY ALL),
+    r AS (SELECT event_id, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS s, regexp_replace(lower(lead(name) OVER (PARTITION BY event_id ORDER BY pos)), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS o FROM ({_E}))
     SELECT r.event_id, s, 'uses' AS predicate, o, a.kind AS subject_type, b.kind AS object_type, count(*) AS n FROM r JOIN f a ON a.event_id = r.event_id AND a.key = s JOIN f b ON b.event_id = r.event_id AND b.key = o GROUP BY ALL""")
 def baseline_union(spark, sf_dir):
     from pyspark.sql import Window

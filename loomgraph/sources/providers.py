@@ -33,10 +33,14 @@ def parsed_extractions(answers: DataFrame) -> DataFrame:
 
 
 def normalized_fields(x: Column) -> Column:
-    """Variants of field names brought to one: the short name of the evidence counts where the long one is missing."""
+    """Variants of field names brought to one: the short name of the evidence counts where the long one is missing.
+
+    A list in place of a text is its filled items with spaces between.
+    """
+    one = lambda c: F.coalesce(F.when(c.rlike(r"^\s*\["), F.array_join(F.filter(F.from_json(c, "array<string>"), lambda v: F.length(v) > 0), " ")), c)
     return F.struct(
-        strip(x["mention"]).alias("mention"), x["entity_type"].alias("entity_type"), strip(F.coalesce(x["normalized_name"], x["mention"])).alias("name"),
-        strip(F.coalesce(x["evidence_sentence"], x["evidence"])).alias("evidence_sentence"), x["confidence"].alias("confidence"), x["attributes"].alias("attributes"),
+        strip(one(x["mention"])).alias("mention"), one(x["entity_type"]).alias("entity_type"), strip(one(F.coalesce(x["normalized_name"], x["mention"]))).alias("name"),
+        strip(one(F.coalesce(x["evidence_sentence"], x["evidence"]))).alias("evidence_sentence"), x["confidence"].alias("confidence"), x["attributes"].alias("attributes"),
     )
 
 
@@ -47,10 +51,13 @@ def is_complete(x: Column, need_evidence: bool = True) -> Column:
     return ok & filled(x["evidence_sentence"]) if need_evidence else ok
 
 
-def extracted_entities(parsed: DataFrame, documents: DataFrame, need_evidence: bool = True, types: tuple[str, ...] = STAGE2_TYPES) -> DataFrame:
-    """Nodes of explicit entities with the places of their mentions; other types and incomplete answers are left out."""
+def extracted_entities(parsed: DataFrame, documents: DataFrame, need_evidence: bool = True, types: tuple[str, ...] = STAGE2_TYPES, blocked: tuple[str, ...] | None = None) -> DataFrame:
+    """Nodes of explicit entities with the places of their mentions; other types and incomplete answers are left out.
+
+    With `blocked` (a run without the ontology) all types but these are let in.
+    """
     rows = parsed.withColumn("x", normalized_fields(F.col("x"))).filter(is_complete(F.col("x"), need_evidence))
-    rows = rows.withColumn("kind", normalize_class(F.col("x.entity_type"))).filter(F.col("kind").isin(*types)).join(documents.select("doc_id", "content"), "doc_id")
+    rows = rows.withColumn("kind", normalize_class(F.col("x.entity_type"))).filter(F.col("kind").isin(*types) if blocked is None else F.col("kind").isNotNull() & ~F.col("kind").isin(*blocked)).join(documents.select("doc_id", "content"), "doc_id")
     sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("x.confidence", F.lit(0.8))))
     sentence = F.coalesce(strip_links(F.col("x.evidence_sentence")), F.lit(""))
     proof = F.array(F.struct(stable_id(F.col("doc_id"), F.left(sentence, F.lit(50))).alias("evidence_id"), sentence.alias("evidence_sentence"), F.col("doc_id").cast("string").alias("source_doc_id"), sure.alias("confidence"))).cast(EVIDENCE)
