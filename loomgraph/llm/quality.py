@@ -189,14 +189,15 @@ def _stump3(g: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _tree4(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """Gain and leaf values of a two-level tree over a grid: rows are cut once, then each side's columns."""
+    """Gain and leaf values of a two-level tree over a grid: rows are cut once, then each side's columns where that gains."""
     best: tuple[float, np.ndarray] = (0.0, np.zeros_like(g))
     whole = _gain(g.sum(), h.sum())
     for cut in range(1, len(g)):
         out, gain = np.zeros_like(g), -whole
         for rows in (slice(0, cut), slice(cut, None)):
             gs, hs = g[rows].sum(axis=0), h[rows].sum(axis=0)
-            _, at = _best_cut(gs, hs)
+            won, at = _best_cut(gs, hs)
+            at = at if won > 0 else 0
             for cols in (slice(0, at), slice(at, None)):
                 gain += _gain(gs[cols].sum(), hs[cols].sum())
                 out[rows, cols] = _leaf(gs[cols].sum(), hs[cols].sum())
