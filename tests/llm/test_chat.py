@@ -54,3 +54,10 @@ def test_whole_table(spark, sf):
         assert got[k].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         loss = "".join(b for a, b in turns if a == "assistant")
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_rows_without_conv_id_stand_alone(spark):
+    rows = [(None, t, "user" if t % 2 == 0 else "assistant", f"text {t % 3}") for t in range(40)] + [(None, 0, "user", "text 0")] * 3 + [(5, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.digests(df).collect()
+    assert len(got) == 44 and all(r.n_turns == 1 for r in got) and sum(r.conv_id is None for r in got) == 43
