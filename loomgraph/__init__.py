@@ -6,20 +6,25 @@ import functools
 import os
 
 
-def reachable(query):
-    """The function (spark, ...) with this package's folder on the path of the session's Python workers.
+def attach(spark) -> None:
+    """Put this package's folder on the path of the session's Python workers, which start in folders of their own.
 
-    Workers start in folders of their own and do not see what the driver put on its path.  A cluster that
-    does not share the folder gets the package with --py-files.
+    For scripts that call operators themselves without the package installed; before the first job.  A cluster
+    that does not share the folder gets the package installed or with --py-files.
     """
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def reachable(query):
+    """The function (spark, ...) with the package attached to its session."""
 
     @functools.wraps(query)
     def run(spark, *rest):
-        env = spark.sparkContext.environment
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-        if root not in paths:
-            env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        attach(spark)
         return query(spark, *rest)
 
     return run
