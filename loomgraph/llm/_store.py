@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, of a few dozen bytes each, up to which a table is broadcast to a join; a larger one is shuffled.
-LIGHT = 200_000
+LIGHT = 20_000
 
 _made: list[str] = []
 
@@ -76,8 +76,8 @@ def save(df: DataFrame, url: str) -> DataFrame:
 
 
 def light(saved: DataFrame, rows: int = LIGHT) -> DataFrame:
-    """A saved table, marked for broadcast if it has no more than so many rows."""
-    return F.broadcast(saved) if saved.count() <= rows else saved
+    """A saved table, marked for broadcast if it has no more than so many rows, else for a join whose hot keys can be split."""
+    return F.broadcast(saved) if saved.count() <= rows else saved.hint("merge")
 
 
 def free_name(columns: Iterable[str], name: str) -> str:
