@@ -58,12 +58,16 @@ def event_metadata(spark, sf_dir):
 
 
 @query("""
-    SELECT d.doc_id, coalesce(nullif(d.lang, ''), 'zh') AS language, coalesce(nullif(d.source, ''), 'Unknown') AS source_name, l.quality
-    FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)""")
-def document_projection(spark, sf_dir):
-    last = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.nz(F.col("lang")), F.lit("zh")).alias("language"), F.coalesce(text.nz(F.col("source")), F.lit("Unknown")).alias("source_name"))
-    return docs.join(last, "doc_id", "left")
+    WITH e AS (SELECT CAST(floor(sqrt(doc_id)) AS BIGINT) AS event_id, doc_id, row_number() OVER (PARTITION BY floor(sqrt(doc_id)) ORDER BY doc_id) - 1 AS n FROM documents)
+    SELECT event_id, CAST(n * 2 AS INTEGER) AS pos, doc_id, coalesce(nullif(lang, ''), CASE WHEN source = 'aiid' THEN 'en' ELSE 'zh' END) AS language, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(source, '')) AS source_name, nullif(split_part(text, chr(10), 1), '') AS title
+    FROM e JOIN documents USING (doc_id)""")
+def event_documents(spark, sf_dir):
+    """Documents as cases of events that also name cases which are not there."""
+    docs = table(spark, sf_dir, "documents")
+    cases = docs.select(F.col("doc_id").alias("case_id"), "text", F.col("lang").alias("language"), F.lit("").alias("title"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title_en"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("from_database"), "source", F.lit(None).cast("string").alias("url"))
+    both = F.array(F.col("doc_id"), -F.col("doc_id") - 1)
+    events = docs.groupBy(F.floor(F.sqrt("doc_id")).alias("event_id")).agg(F.flatten(F.array_sort(F.collect_list(both))).alias("case_ids"))
+    return readers.documents_of(events, cases).select("event_id", "pos", "doc_id", "language", "source_name", "title")
 
 
 @query("""
