@@ -129,6 +129,35 @@ def fusion_mapping(spark, sf_dir):
     return align.resolve(e, _name_vectors(spark, sf_dir, e), _verdicts(e))
 
 
+_SLOTTED = """sl AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot FROM conversations WHERE length(text) % 5 <> 0 AND turn < 5 AND CAST(conv_id AS VARCHAR) IN (SELECT event_id FROM r))"""
+
+
+@query(f"""WITH r AS (SELECT CAST(event_id AS VARCHAR) AS event_id, doc_id, coalesce(nullif(source_name, ''), 'Unknown') AS s FROM ({REPORTS_SQL})), e AS (SELECT CAST(event_id AS VARCHAR) AS event_id, id, entity_type AS t FROM ({_E}) WHERE CAST(event_id AS VARCHAR) IN (SELECT event_id FROM r)), {_SLOTTED},
+    steps(a, b, p) AS (VALUES ('risk_source', 'risk', 'causes'), ('risk', 'consequence', 'leadsTo'), ('consequence', 'impact', 'impacts'), ('impact', 'affected_actor', 'affects')), ev AS (SELECT DISTINCT event_id FROM r),
+    x AS (SELECT event_id, 'hasReport' AS predicate, doc_id::VARCHAR AS o FROM r UNION ALL SELECT DISTINCT event_id, 'hasInformationSource', s FROM r UNION ALL SELECT event_id, 'involvesAISystem', id FROM e WHERE t = 'AISystem'
+      UNION ALL SELECT event_id, 'involvesStakeholder', id FROM e WHERE t IN ('Stakeholder', 'Regulator') UNION ALL SELECT event_id, 'usesTechnique', id FROM e WHERE t = 'AITechnique' UNION ALL SELECT event_id, 'investigates', id FROM e WHERE t = 'Regulator'
+      UNION ALL SELECT m.event_id, p, '' FROM sl m JOIN steps ON a = m.slot JOIN sl n ON n.event_id = m.event_id AND n.slot = b UNION ALL SELECT event_id, CASE slot WHEN 'risk' THEN 'hasRisk' WHEN 'consequence' THEN 'hasConsequence' ELSE 'hasImpact' END, '' FROM sl WHERE slot IN ('risk', 'consequence', 'impact')
+      UNION ALL SELECT event_id, 'hasCapability', 'purpose' FROM ev WHERE CAST(event_id AS INTEGER) % 2 = 0 AND event_id IN (SELECT event_id FROM e WHERE t = 'AISystem') UNION ALL SELECT event_id, 'hasEvidence', 'domain' FROM ev WHERE CAST(event_id AS INTEGER) % 3 = 0 UNION ALL SELECT event_id, 'respondsToIncident', 'fine' FROM ev)
+    SELECT event_id, predicate, count(*) AS n FROM x GROUP BY ALL""")
+def built_edges(spark, sf_dir):
+    """Edges of built graphs by event and relation, from reports, entities, slots, inferences and governance."""
+    r = reports(spark, sf_dir).withColumns({"event_id": F.col("event_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "url": F.lit(None).cast("string")})
+    e = entities(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string"))
+    none = F.lit(None).cast("string")
+    slot = F.get(F.array(*[F.lit(k) for k in ("risk_source", "risk", "consequence", "impact", "affected_actor")]), F.col("turn").cast("int"))
+    slots = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("event_id"), slot.alias("slot"), F.when(F.length("text") % 5 == 0, "").otherwise(F.col("text")).alias("value"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(0.8).alias("confidence"))
+    events = r.select("event_id").distinct()
+    number = F.col("event_id").cast("int")
+    told = lambda field, value, cond: events.filter(cond).select("event_id", F.lit(field).alias("field"), F.lit(value).alias("value"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(0.6).alias("confidence"), F.lit("told").alias("reasoning"))
+    inferences = told("purpose", "watching", number % 2 == 0).unionByName(told("domain", "work", number % 3 == 0))
+    governance = told("enforcement_action", "a fine", F.lit(True)).unionByName(told("obligation", "no rule to hang on", F.lit(True)))
+    roles = events.filter("false").select("event_id", none.alias("stakeholder_name"), none.alias("role"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(0.5).alias("confidence"), none.alias("reasoning"), F.lit(0).cast("long").alias("pos"))
+    fallback = r.groupBy("event_id").agg(F.min_by("doc_id", "pos").alias("_fallback"))
+    attributes = events.select("event_id", F.lit("maker").alias("attribute"), F.lit("someone").alias("value"), F.lit(0.9).alias("confidence"))
+    _, edges = build.build_graphs(r, e.join(events, "event_id", "left_semi"), slots, inferences, governance, roles, fallback, attributes)
+    return edges.groupBy("event_id", "predicate").agg(F.count("*").alias("n"))
+
+
 @query()
 def event_graphs(spark, sf_dir):
     """Edges of all events' graphs: documents with a lexicon as extractor, whole sentences as slots, and all other model outputs given."""
