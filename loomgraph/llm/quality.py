@@ -280,15 +280,17 @@ def _score(known, at: int, name: str):
         model = known.value
         for batch in pieces(batches, at):
             x = features(*text_bytes(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, name])
+            found = np.where(x[:, 0] > 0, model.score(x), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
 
     return run
 
 
 def score(documents: DataFrame, model: Additive, name: str = "score") -> DataFrame:
-    """The documents with a column `name`, 0 to 1; a text without words, null included, has the features of the empty text.
+    """The documents with a column `name`, 0 to 1.  An own column of that name is replaced.
 
-    An own column of that name is replaced.
+    A text without words, null included, gets 0: nothing like it is ever labelled, so that the tables, which have
+    no bins for it, would take it for the short and clean texts next to it.
     """
     rows = documents.drop(name)
     known = documents.sparkSession.sparkContext.broadcast(model)
