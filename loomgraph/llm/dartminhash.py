@@ -106,6 +106,8 @@ def word_keys(tok: Tokens) -> np.ndarray:
 
 # ---- distributed operator ------------------------------------------------------------------------
 
+#: Rows of an id and a key up to which a table is broadcast.
+NARROW = 500_000
 #: Keys of a bucket that are compared in one task; a larger bucket is compared block by block.
 BLOCK = 2048
 
@@ -319,6 +321,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = WID
     bucket = bucket.groupBy("n", "s", "k").agg(F.min("v").alias("v")).select("v", "n", "k")
     members = _store.save(banded.join(bucket, "v"), f"{folder}/members")
     wanted = members.select("key").distinct().join(texts.select("key", "doc_id"), "key").select(F.col("doc_id").alias("_id")).distinct()
+    wanted = _store.light(_store.save(wanted, f"{folder}/wanted"), NARROW)
     some = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
     held = some.mapInArrow(_cell_rows(width), "key binary, cells binary").filter("key is not null").dropDuplicates(["key"])
     placed, known = _placed(members, held, threshold, block, folder)
@@ -358,14 +361,25 @@ def keep_one(documents: DataFrame, threshold: float = THRESHOLD, **options) -> D
     text and then by all columns written as JSON.  Columns of any name are carried through.
     """
     columns = documents.columns
-    key, one, chosen_id, chosen_key = (free_name(columns, n) for n in ("key", "one", "chosen_id", "chosen_key"))
-    got = classes(documents, threshold, **options).filter("class is not null")
-    chosen = got.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias(chosen_id), F.col("c.key").alias(chosen_key))
+    folder = _store.new_folder(documents.sparkSession, "kept")
+    got = _store.save(classes(documents, threshold, **options).filter("class is not null"), f"{folder}/got")
+    best = got.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("c"))
+    rows = got.join(best, "class").select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("key") == F.col("c.key"))).alias("chosen"))
+    told = rows.groupBy("doc_id", "key").agg(F.first("chosen").alias("chosen"), F.count("*").alias("n"))
+    told = _store.save(told.filter("not chosen or n > 1"), f"{folder}/told")
+    key, one, chosen_id, chosen_key = (free_name(columns, n) for n in ("key", "one", "told_id", "told_key"))
     schema = T.StructType([*documents.schema.fields, T.StructField(key, T.BinaryType())])
     keyed = documents.mapInArrow(_with_key(columns.index("text"), key), schema)
-    blank = keyed.filter(F.col(key).isNull()).drop(key)
-    met = keyed.join(chosen, (keyed[key] == chosen[chosen_key]) & keyed["doc_id"].eqNullSafe(chosen[chosen_id]))
+    named = lambda cond: told.filter(cond).select(F.col("doc_id").alias(chosen_id), F.col("key").alias(chosen_key))
+    gone, again = named("not chosen"), named("chosen")
+    same = lambda other: (keyed[key] == other[chosen_key]) & keyed["doc_id"].eqNullSafe(other[chosen_id])
+    small = told.count() <= NARROW
+    gone = F.broadcast(gone) if small else gone.hint("merge")
+    left = keyed.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*columns)
+    again = F.broadcast(again) if small else again.hint("merge")
+    once = left.join(again, same(again), "left_anti").select(*columns)
     order = Window.partitionBy(chosen_key, chosen_id).orderBy("text", F.to_json(F.struct(*[keyed[c] for c in columns])))
-    best = met.withColumn(one, F.row_number().over(order)).filter(F.col(one) == 1).select(*[keyed[c] for c in columns])
-    return best.unionByName(blank)
+    first = keyed.join(again, same(again)).withColumn(one, F.row_number().over(order)).filter(F.col(one) == 1).select(*[keyed[c] for c in columns])
+    return once.unionByName(first)
