@@ -75,6 +75,22 @@ def save(df: DataFrame, url: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(url)
 
 
+def kept_dealt(df: DataFrame, key: str) -> DataFrame:
+    """The table dealt out by a key and kept in the shared folder so dealt: joins on the key do not move it again.
+
+    A checkpoint keeps how its rows were dealt only if the plan that deals them is not adaptive.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def light(saved: DataFrame, rows: int = LIGHT) -> DataFrame:
     """A saved table, marked for broadcast if it has no more than so many rows, else for a join whose hot keys can be split."""
     return F.broadcast(saved) if saved.count() <= rows else saved.hint("merge")

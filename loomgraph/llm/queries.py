@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import chat, dartminhash, decontam, fingerprint, packing, pitman_yor, quality, secrets, suffix_dedup, tokenbin
+from loomgraph.llm import anchors, chat, dartminhash, decontam, fingerprint, packing, pitman_yor, quality, secrets, suffix_dedup, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_check(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_fingerprints": op10_fingerprints,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 def _found(kind: int, pattern: str, flags: str = "") -> str:
@@ -131,6 +136,16 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(n_entropy, 0) AS n_entropy, coalesce(spans, '') AS spans
         FROM d LEFT JOIN s USING (r)""",
+    "op11_substring_dedup": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT r, doc_id, i, sha256(array_to_string(w[i : i + {anchors.WINDOW - 1}], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - {anchors.WINDOW - 2})) AS i FROM d)),
+        least AS (SELECT g, min(doc_id) AS least FROM windows GROUP BY g),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + {anchors.WINDOW})) AS i FROM windows JOIN least USING (g) WHERE least < doc_id),
+        kept AS (
+            SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t
+            FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) AS a WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = a.r AND gone.i = a.i) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op5_decontamination": r"""
         WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
         d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
