@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import anchors, chat, dartminhash, decontam, fingerprint, packing, pitman_yor, quality, secrets, suffix_dedup, tokenbin
+from loomgraph.llm import anchors, chat, dartminhash, decontam, fingerprint, merkle, packing, pitman_yor, quality, secrets, suffix_dedup, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_fingerprints": op10_fingerprints,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 def _found(kind: int, pattern: str, flags: str = "") -> str:
@@ -79,6 +84,38 @@ def _found(kind: int, pattern: str, flags: str = "") -> str:
         FROM (SELECT r, string_split_regex(t, '{flags}{p}') AS g, regexp_extract_all(t, '{flags}{p}') AS m, unnest(range(1, len(regexp_extract_all(t, '{flags}{p}')) + 1)) AS i FROM d)"""
 
 
+#: The table of crc32, and the crc32 of a text of ASCII and Latin-1 letters by it.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+
+
+def _crc32(text: str) -> str:
+    codes = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295)"
+
+
+def _tree(name: str, leaves: str, levels: int = 6) -> str:
+    """CTEs of a tree over leaves (g, i, node, n): `name`_k are its levels, `name`_sk what each node is put together with."""
+    out = [f"{name}_0 AS ({leaves})"]
+    for k in range(levels):
+        of, run = f"{name}_{k}", f"PARTITION BY g, i // {merkle.FAN} ORDER BY i ROWS BETWEEN"
+        out.append(f"{name}_s{k} AS (SELECT g, i, n, coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {of})")
+        out.append(f"{name}_{k + 1} AS (SELECT g, i // {merkle.FAN} AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE max(node) END AS node, (max(n) + {merkle.FAN - 1}) // {merkle.FAN} AS n FROM {of} GROUP BY g, i // {merkle.FAN})")
+    return ", ".join(out)
+
+
+def _fold(name: str, rows: str, levels: int = 6) -> str:
+    """CTEs that fold rows (g, i, f, proof, ...) up a tree, level by level."""
+    out, of = [], rows
+    for k in range(levels):
+        out.append(f"{name}_f{k} AS (SELECT x.* REPLACE (x.i // {merkle.FAN} AS i, CASE WHEN s.n > 1 THEN sha256(s.a || x.f || s.b) ELSE x.f END AS f, x.proof || s.a || s.b AS proof) FROM {of} AS x JOIN {name}_s{k} AS s ON x.g = s.g AND x.i = s.i)")
+        of = f"{name}_f{k}"
+    return ", ".join(out)
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 _ASSIGN = secrets.ASSIGN.replace("(?i)", "")
 
 #: Marks of the chat template by role (before and after), and all its control strings.
@@ -146,6 +183,22 @@ ORACLES: dict[str, str] = {
             FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) AS a WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = a.r AND gone.i = a.i) GROUP BY r
         )
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op12_merkle_manifest": f"""
+        WITH crc AS ({_CRC_TABLE}),
+        l AS (
+            SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g, {_leaf("text")} AS leaf,
+                CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS found
+            FROM documents, crc
+        ),
+        p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+        {_tree("t", "SELECT g, i, leaf AS node, n FROM p")},
+        {_tree("u", "SELECT 0 AS g, g - 1 AS i, node, count(*) OVER () AS n FROM t_6")},
+        r AS (SELECT doc_id, leaf, g, g AS source, i, coalesce(found, leaf) AS f, '' AS proof FROM p),
+        {_fold("t", "r")},
+        q AS (SELECT * REPLACE (0 AS g, source - 1 AS i) FROM t_f5),
+        {_fold("u", "q")}
+        SELECT doc_id, leaf, t_6.node AS subroot, u_6.node AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u_6.node AS verified
+        FROM u_f5 JOIN t_6 ON t_6.g = source, u_6""",
     "op5_decontamination": r"""
         WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
         d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
