@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import anchors, chat, dartminhash, decontam, fingerprint, merkle, packing, pitman_yor, quality, secrets, suffix_dedup, tokenbin
+from loomgraph.llm import anchors, chat, dartminhash, decontam, fingerprint, merkle, packing, pitman_yor, quality, secrets, suffix_dedup, tokenbin, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": op1_pitman_yor,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 def _found(kind: int, pattern: str, flags: str = "") -> str:
@@ -199,6 +204,24 @@ ORACLES: dict[str, str] = {
         {_fold("u", "q")}
         SELECT doc_id, leaf, t_6.node AS subroot, u_6.node AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = u_6.node AS verified
         FROM u_f5 JOIN t_6 ON t_6.g = source, u_6""",
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE crc AS ({_CRC_TABLE}),
+        runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+        hashed AS (SELECT run, times, {_crc32("doc_id::VARCHAR || ':' || run")} AS h FROM runs, crc),
+        words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+        v AS (SELECT word, sum(times)::BIGINT AS n FROM words WHERE length(word) >= {variants.LEAST_CHARS} GROUP BY word HAVING sum(times) >= {variants.LEAST_COUNT}),
+        cuts AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (
+            SELECT a.word, b.word AS other FROM cuts AS a JOIN cuts AS b ON a.c = b.c AND a.i = b.i AND a.word <> b.word
+            UNION SELECT v.word, cuts.word FROM v JOIN cuts ON v.word = cuts.c UNION SELECT cuts.word, v.word FROM v JOIN cuts ON v.word = cuts.c
+        ),
+        best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = other GROUP BY near.word),
+        f AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {variants.MORE} * n THEN form END AS form, CASE WHEN form_n >= {variants.MORE} * n THEN form_n END AS form_n
+            FROM v LEFT JOIN best USING (word)
+        ),
+        ends AS (SELECT word, word AS root FROM f UNION ALL SELECT ends.word, f.form FROM ends JOIN f ON f.word = root WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN ends ON ends.word = f.word JOIN f AS last ON last.word = root WHERE last.form IS NULL""",
     "op5_decontamination": r"""
         WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
         d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, letters),
