@@ -27,6 +27,8 @@ CASES, SIGNS = 5, 2
 UUID = r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"
 MARKED = r"(?i)(?:example|sample|dummy|placeholder|xxxx)"
 PART = r"[A-Za-z0-9+]+|[^A-Za-z0-9+]+"
+#: A letter beside a digit.
+TURN = "[A-Za-z][0-9]|[0-9][A-Za-z]"
 #: Windows that one run of counts goes over; the next run starts afresh.
 STRETCH = 4096
 
@@ -170,6 +172,9 @@ def _span(s: Column) -> Column:
 def _dense(value: Column) -> Column:
     """(start, end) of the dense parts of a candidate: its stretches' runs, joined where they overlap or touch."""
     moved = lambda x, k: F.transform(x, lambda r: F.struct((r["start"] + k * STRETCH).alias("start"), (r["end"] + k * STRETCH).alias("end")))
+    # no window is denser than the distinct characters of its candidate allow, and few candidates have enough of them
+    kinds = lambda b: math.ceil(2 ** BITS[b])
+    least = F.when(value.rlike(TURN), kinds("hex")).otherwise(min(kinds(b) for b in BITS if b != "hex"))
     stretch = lambda codes: lambda k: moved(let(F.slice(codes, k * STRETCH + 1, F.lit(STRETCH + WINDOW - 1)), _hot), k)
     runs = lambda codes: F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - WINDOW) / STRETCH).cast("int")), stretch(codes)))
 
@@ -178,7 +183,9 @@ def _dense(value: Column) -> Column:
         closes = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, F.least(i + 1, F.size(r) - 1))["start"] > x["end"]))
         return F.zip_with(opens, closes, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
-    return let(let(_codes(value), runs), joined)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    scanned = lambda codes: F.when(F.size(F.array_distinct(codes)) >= least, let(runs(codes), joined)).otherwise(none)
+    return let(_codes(value), scanned)
 
 
 def spans_of(text: Column) -> Column:

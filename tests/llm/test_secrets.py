@@ -119,19 +119,28 @@ def test_a_megabyte(spark, kind):
         "assignments": "token=abcdefghijkl0 " * 50_000,
     }[kind]
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    begin = time.time()
     got = secrets.scan(df).first()
-    assert time.time() - begin < 10
     assert (got.n_entropy > 0) == (kind == "base64") and got.n_assign == (50_000 if kind == "assignments" else 0)
-    begin = time.time()
     cut = secrets.redact(df).first().text
-    assert time.time() - begin < 15
     if kind == "base64":  # short parts between signs, and parts that hold a mark by chance, stay
         assert len(cut) < 10_000
     else:
         assert cut == {"assignments": "[secret] " * 50_000}.get(kind, text)
 
 
+def test_work_grows_with_the_length(spark):
+    text = base64.b64encode(random.Random(3).randbytes(750_000)).decode()
+
+    def took(part):
+        df = spark.createDataFrame([(1, part)], "doc_id long, text string")
+        begin = time.time()
+        assert secrets.scan(df).first().n_entropy > 0
+        return time.time() - begin
+
+    took(text[:1000])  # code is compiled
+    assert took(text) < 2 * 4 * took(text[: len(text) // 4]) + 2
+
+
 def test_clashing_columns(spark):
     names = ["_t", "_m", "_at", "_gap", "_step", "_assign", "_hex", "_dense", "_spans", "spans", "row", "start"]
     df = spark.createDataFrame([(1, "token=abcdefghijkl0 x", *names)], ["doc_id", "text", *names])
