@@ -135,9 +135,10 @@ def alias_targets(names: DataFrame, least: int = 3) -> DataFrame:
 
 
 def proportional_budget(counts: DataFrame, budget: int, kind: str = "kind", n: str = "n") -> DataFrame:
-    """(kind, n, allowed): a share of the budget by size, at least 1 each, in order until it is used up."""
+    """(kind, n, allowed): a share of the budget by size, at least 1 and `n` at most, in order until it is used up.  Where the budget is enough for all, all are allowed."""
     total = Window.partitionBy(F.lit(1))
-    share = F.greatest(F.lit(1), F.round(F.lit(budget) * F.col(n) / F.sum(n).over(total)).cast("int"))
+    sum_ = F.sum(n).over(total)
+    share = F.when(sum_ <= budget, F.col(n)).otherwise(F.least(F.col(n), F.greatest(F.lit(1), F.round(F.lit(budget) * F.col(n) / sum_).cast("int"))))
     spent = F.sum("_want").over(Window.partitionBy(F.lit(1)).orderBy(F.col(kind)).rowsBetween(Window.unboundedPreceding, -1))
     wanted = counts.withColumn("_want", share)
     return wanted.withColumn("allowed", F.greatest(F.lit(0), F.least("_want", budget - F.coalesce(spent, F.lit(0)))).cast("int")).drop("_want")

@@ -399,7 +399,7 @@ def incident_name(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT label AS kind, count(*) AS n FROM embeddings GROUP BY label), w AS (SELECT kind, n, greatest(1, CAST(round(23.0 * n / sum(n) OVER ()) AS INTEGER)) AS want FROM c),
+    WITH c AS (SELECT label AS kind, count(*) AS n FROM embeddings GROUP BY label), w AS (SELECT kind, n, CASE WHEN sum(n) OVER () <= 23 THEN n ELSE least(n, greatest(1, CAST(round(23.0 * n / sum(n) OVER ()) AS INTEGER))) END AS want FROM c),
          s AS (SELECT *, coalesce(sum(want) OVER (ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM w)
     SELECT kind, n, CAST(greatest(0, least(want, 23 - spent)) AS INTEGER) AS allowed FROM s""")
 def proportional_budget(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ class Providers:
     governance: DataFrame
     roles: DataFrame
     vectors: DataFrame
-    verdicts: DataFrame
+    verdicts: DataFrame | Callable[[DataFrame], DataFrame]
     attributes: DataFrame | None = None
 
 

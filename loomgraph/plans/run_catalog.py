@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions import json_repair, text, vocab
+from loomgraph.functions import encode, json_repair, text, vocab
 from loomgraph.operators import merge, metrics, package
 from loomgraph.plans import align, build, pipeline
 from loomgraph.plans.catalog import _E, REPORTS_SQL, entities, query, reports, table
@@ -85,48 +85,106 @@ def support_interval(spark, sf_dir):
     return metrics.bootstrap_interval(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("verdict")), 2000)
 
 
-def _name_vectors(spark, sf_dir, names: DataFrame) -> DataFrame:
-    """A vector per name, from the embeddings in order of names: two names share one only if there are more names than vectors."""
-    from pyspark.sql import Window
+def _same(pairs: DataFrame) -> DataFrame:
+    """A verifier: names of together an even number of characters are the same."""
+    return pairs.withColumn("same", (F.length("name_a") + F.length("name_b")) % 2 == 0)
 
-    e = table(spark, sf_dir, "embeddings").select((F.row_number().over(Window.orderBy("vec_id")) - 1).alias("n"), F.col("embedding").cast("array<double>").alias("vector"))
-    count = e.count()
-    keyed = names.select("name").distinct().withColumn("n", (F.row_number().over(Window.orderBy("name")) - 1) % count)
-    return keyed.join(e, "n").select("name", "vector")
 
+#: Two entities of each document: its first words, and these with a slip, in another order, shortened or with another word.
+_M = """SELECT CAST(floor(sqrt(doc_id)) AS BIGINT) AS event_id, 2 * doc_id + k AS pos, CASE k WHEN 0 THEN 'a' ELSE 'b' END || doc_id AS id, ['AISystem', 'Stakeholder', 'AITechnique'][doc_id % 3 + 1] AS entity_type,
+    CASE WHEN k = 0 THEN w[1] || ' ' || w[2] || ' ' || w[3] WHEN doc_id % 4 = 0 THEN w[1][:-2] || ' ' || w[2] || ' ' || w[3] WHEN doc_id % 4 = 1 THEN w[2] || ' ' || w[1] || ' ' || w[3] WHEN doc_id % 4 = 2 THEN w[1] || ' ' || w[2] ELSE w[1] || ' ' || w[4] || ' ' || w[3] END AS name,
+    CAST(doc_id % 10 AS DOUBLE) / 10 AS confidence, 1 + doc_id % 4 AS support_count, CAST(doc_id AS VARCHAR) AS doc
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^\x09-\x0D ]+') AS w FROM documents), (VALUES (0), (1)) AS two(k) WHERE len(w) >= 4 AND length(w[1]) > 1"""
 
-def _verdicts(entities: DataFrame) -> DataFrame:
-    """A verifier's answers for neighbouring entities of an event: none are the same."""
-    from pyspark.sql import Window
 
-    after = F.lead("id").over(Window.partitionBy("event_id").orderBy("pos"))
-    return entities.select(F.least("id", after).alias("a"), F.greatest("id", after).alias("b"), F.lit(False).alias("same")).filter("a is not null")
+def _mentions(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\x09-\x0D ]+"), F.lit(0)).alias("w"))
+    d = d.filter(F.size("w") >= 4).withColumns({f"w{i}": F.get("w", F.lit(i - 1)) for i in range(1, 5)}).filter(F.length("w1") > 1).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    words = lambda *c: F.concat_ws(" ", *c)
+    left = F.col("doc_id") % 4
+    other = F.when(left == 0, words(F.expr("left(w1, length(w1) - 1)"), "w2", "w3")).when(left == 1, words("w2", "w1", "w3")).when(left == 2, words("w1", "w2")).otherwise(words("w1", "w4", "w3"))
+    doc = F.col("doc_id").cast("string")
+    proof = F.array(F.struct(F.concat(doc, F.lit("-"), F.col("k").cast("string")).alias("evidence_id"), words("w1", "w2").alias("evidence_sentence"), doc.alias("source_doc_id"), F.lit(0.5).alias("confidence")))
+    return d.select(
+        F.floor(F.sqrt("doc_id")).cast("string").alias("event_id"), (2 * F.col("doc_id") + F.col("k")).alias("pos"), F.concat(F.when(F.col("k") == 0, "a").otherwise("b"), doc).alias("id"),
+        F.when(F.col("k") == 0, words("w1", "w2", "w3")).otherwise(other).alias("name"), F.get(F.array(F.lit("AISystem"), F.lit("Stakeholder"), F.lit("AITechnique")), (F.col("doc_id") % 3).cast("int")).alias("entity_type"),
+        F.lit("explicit").alias("extraction_mode"), F.lit("").alias("description"), proof.alias("evidence"), F.array(doc).alias("source_doc_ids"), ((F.col("doc_id") % 10).cast("double") / 10).alias("confidence"),
+        (1 + F.col("doc_id") % 4).cast("int").alias("support_count"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit(None).cast("string").alias("reasoning"),
+    )
+
+
+def _vector_sql(name: str) -> str:
+    codes = f"list_transform(list_filter(string_split(' ' || lower(trim({name})) || ' ', ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)"
+    places = f"list_transform(range(1, len(codes) - {encode.GRAM - 2}), lambda i: ((codes[i] * {encode._PRIME} + codes[i + 1]) * {encode._PRIME} + codes[i + 2]) % {encode._SPREAD} % {encode.DIMS})"
+    return f"SELECT name, list_transform(range({encode.DIMS}), lambda d: len(list_filter(places, lambda g: g = d))::DOUBLE) AS v FROM (SELECT name, {places} AS places FROM (SELECT name, {codes} AS codes FROM (SELECT DISTINCT name FROM {{rows}})))"
+
+
+def hybrid_sql(tag: str, rows: str) -> str:
+    """CTEs ending in `tag`_pairs (kind, a, b, score): the hybrid scores of all pairs of different names of rows (kind, id, name)."""
+    t = tag
+    words = lambda c: f"string_split(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(lower(regexp_replace(trim({c}), '([a-z])([A-Z])', '\\1 \\2', 'g')), '_', ' '), '\\.([^0-9]|$)', ' \\1', 'g'), '(^|[^0-9])\\.', '\\1 ', 'g'), '-', ' '), '([a-zA-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-zA-Z])', '\\1 \\2', 'g'), '\\s+', ' ', 'g'), ' ')"
+    return f"""
+    {t}_all AS (SELECT kind, id, name, list_filter({words("name")}, lambda x: x <> '') AS w FROM {rows}), {t}_one AS (SELECT kind, name, min(id) AS id, any_value(w) AS w FROM {t}_all GROUP BY kind, name),
+    {t}_n AS (SELECT kind, count(*) AS n, avg(len(w)) AS avgdl FROM {t}_all GROUP BY kind), {t}_df AS (SELECT kind, term, count(*) AS df FROM (SELECT kind, unnest(list_distinct(w)) AS term FROM {t}_all) GROUP BY ALL),
+    {t}_idf AS (SELECT kind, term, greatest(ln((n - df + 0.5) / (df + 0.5) + 1), 0.25) AS idf FROM {t}_df JOIN {t}_n USING (kind)),
+    {t}_tf AS (SELECT kind, id, len(any_value(w)) AS dl, term, count(*) AS tf FROM (SELECT kind, id, w, unnest(w) AS term FROM {t}_one) GROUP BY kind, id, term),
+    {t}_raw AS (SELECT q.id AS a, d.id AS b, sum(q.tf * idf * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * d.dl / avgdl))) AS s FROM {t}_tf q JOIN {t}_tf d ON q.kind = d.kind AND q.term = d.term JOIN {t}_idf i ON i.kind = d.kind AND i.term = d.term JOIN {t}_n n ON n.kind = d.kind GROUP BY ALL),
+    {t}_s AS (SELECT a, b, s / max(s) OVER (PARTITION BY a) AS s FROM {t}_raw), {t}_v AS ({_vector_sql("name").format(rows=f"{t}_one")}),
+    {t}_met AS (SELECT x.kind, x.id AS a, y.id AS b, regexp_replace(lower(trim(x.name)), '[-_.\\s]', '', 'g') AS ka, regexp_replace(lower(trim(y.name)), '[-_.\\s]', '', 'g') AS kb, round(list_cosine_similarity(p.v, q.v), 9) AS cos, (coalesce(f.s, 0) + coalesce(g.s, 0)) / 2 AS lex
+      FROM {t}_one x JOIN {t}_one y ON x.kind = y.kind AND x.id < y.id JOIN {t}_v p ON p.name = x.name JOIN {t}_v q ON q.name = y.name LEFT JOIN {t}_s f ON f.a = x.id AND f.b = y.id LEFT JOIN {t}_s g ON g.a = y.id AND g.b = x.id),
+    {t}_pairs AS (SELECT kind, a, b, round(CASE WHEN ka = kb AND cos >= 0.5 THEN greatest(0.6 * cos + 0.4 * lex, 0.85) ELSE 0.6 * cos + 0.4 * lex END, 6) AS score FROM {t}_met)"""
+
 
+def components_sql(tag: str, rows: str, links: str) -> str:
+    """A CTE `tag` (id, component) of links (a, b) between rows (id)."""
+    both = f"SELECT a, b FROM {links} UNION SELECT b, a FROM {links}"
+    return f"""{tag}_w(id, o) AS (SELECT id, id FROM {rows} UNION SELECT w.id, e.b FROM {tag}_w w JOIN ({both}) e ON e.a = w.o), {tag} AS (SELECT id, min(o) AS component FROM {tag}_w GROUP BY id)"""
 
-_ALIGN_NAME = "CASE WHEN pos % 9 = 0 THEN 'LLM' WHEN pos % 11 = 0 THEN ' algorithm' WHEN pos % 7 = 0 THEN split_part(name, ' ', 2) ELSE name END"
 
+_HYBRID = hybrid_sql("h", "(SELECT entity_type AS kind, id, name FROM m)")
 
-@query(f"""WITH x AS (SELECT CAST(event_id AS VARCHAR) AS event_id, pos, event_id || '-' || id AS id, {_ALIGN_NAME} AS name, entity_type AS t, confidence, support_count, doc FROM ({_E})),
-    e AS (SELECT * EXCLUDE (t), CASE WHEN t = 'AISystem' AND lower(trim(name)) IN ('llm', 'large language model', 'foundation model') THEN 'AIModel' WHEN t = 'AISystem' AND lower(trim(name)) = 'algorithm' THEN 'AITechnique' ELSE t END AS t FROM x),
-    k AS (SELECT *, CASE WHEN t IN ('Stakeholder', 'AIDeveloper', 'AIProvider', 'AIDeployer', 'AIUser', 'Regulator') THEN 'Stakeholder' ELSE t END AS kind FROM e),
-    al AS (SELECT a.event_id, a.kind, a.name, arg_min(b.name, struct_pack(l := -length(b.name), p := b.pos)) AS alias FROM (SELECT DISTINCT event_id, kind, name FROM k WHERE length(name) >= 3) a JOIN k b ON a.event_id = b.event_id AND a.kind = b.kind AND lower(a.name) <> lower(b.name) AND contains(lower(b.name), lower(a.name)) AND length(b.name) >= 3 GROUP BY ALL),
-    m AS (SELECT k.*, regexp_replace(lower(trim(coalesce(alias, k.name))), '[-_.\\s]', '', 'g') AS key FROM k LEFT JOIN al ON al.event_id = k.event_id AND al.kind = k.kind AND al.name = k.name),
-    g AS (SELECT event_id, key, t, kind, arg_min(name, pos) AS name, min(pos) AS pos, list(DISTINCT doc) AS docs, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence FROM m GROUP BY ALL),
-    f AS (SELECT event_id, kind, name, arg_min(t, pos) AS entity_type, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence, greatest(1, len(list_distinct(flatten(list(docs))))) AS support_count FROM g GROUP BY event_id, kind, name)
-    SELECT event_id, substr(sha256(event_id || '|' || name || '|' || entity_type), 1, 12) AS id, name, entity_type, confidence, support_count FROM f""")
+
+@query(f"WITH m AS ({_M}), {_HYBRID} SELECT kind, a, b, score FROM h_pairs WHERE score >= 0.55")
+def hybrid_pairs(spark, sf_dir):
+    """All pairs of names that reach the band, by the local encoder."""
+    e = _mentions(spark, sf_dir).select(F.col("entity_type").alias("kind"), "id", "name")
+    return align.hybrid_pairs(e, encode.encoded(e), 0.55)
+
+
+@query(f"WITH n AS (SELECT DISTINCT name FROM ({_M})), v AS ({_vector_sql('name').format(rows='n')}) SELECT name, v AS vector FROM v")
+def name_vectors(spark, sf_dir):
+    return encode.encoded(_mentions(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT CAST(event_id AS VARCHAR) AS event_id, pos, id, name, entity_type AS t, confidence, doc, event_id || '|' || entity_type AS kind FROM ({_M})),
+    al AS (SELECT a.kind, a.name, arg_min(b.name, struct_pack(l := -length(b.name), p := b.pos)) AS alias FROM (SELECT DISTINCT kind, name FROM x WHERE length(name) >= 3) a JOIN x b ON a.kind = b.kind AND lower(a.name) <> lower(b.name) AND contains(lower(b.name), lower(a.name)) AND length(b.name) >= 3 GROUP BY ALL),
+    m0 AS (SELECT x.*, regexp_replace(lower(trim(coalesce(alias, x.name))), '[-_.\\s]', '', 'g') AS key FROM x LEFT JOIN al ON al.kind = x.kind AND al.name = x.name),
+    g AS (SELECT event_id, kind, t, arg_min(id, pos) AS id, arg_min(name, pos) AS name, min(pos) AS pos, list(DISTINCT doc) AS docs, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence FROM m0 GROUP BY event_id, kind, key, t),
+    {hybrid_sql("p", "g")}, l1 AS (SELECT a, b FROM p_pairs WHERE score >= 0.8 UNION SELECT first_value(id) OVER (PARTITION BY kind, name ORDER BY id), id FROM g), {components_sql("c1", "g", "l1")},
+    f AS (SELECT event_id, kind, any_value(t) AS t, arg_min(id, pos) AS id, max_by(name, struct_pack(l := length(name), p := -pos)) AS name, min(pos) AS pos, list_distinct(flatten(list(docs))) AS docs, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence FROM g JOIN c1 USING (id) GROUP BY event_id, kind, component),
+    {hybrid_sql("q", "f")}, band AS (SELECT q_pairs.*, row_number() OVER (PARTITION BY u.event_id ORDER BY score DESC, a, b) AS n, (length(u.name) + length(w.name)) % 2 = 0 AS same FROM q_pairs JOIN f u ON u.id = a JOIN f w ON w.id = b WHERE score >= 0.55 AND score < 0.8),
+    l2 AS (SELECT a, b FROM band WHERE n <= 3 AND same), {components_sql("c2", "f", "l2")},
+    z AS (SELECT event_id, any_value(t) AS t, max_by(name, struct_pack(l := length(name), p := -pos)) AS name, list_distinct(flatten(list(docs))) AS docs, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE max(confidence) END AS confidence FROM f JOIN c2 USING (id) GROUP BY event_id, component)
+    SELECT event_id, substr(sha256(event_id || '|' || name || '|' || t), 1, 12) AS id, name, t AS entity_type, confidence, greatest(1, len(docs)) AS support_count FROM z""")
 def aligned_entities(spark, sf_dir):
-    """Events' entities with short names of others, old names of models, and a verifier that knows better."""
-    name = F.when(F.col("pos") % 9 == 0, "LLM").when(F.col("pos") % 11 == 0, " algorithm").when(F.col("pos") % 7 == 0, F.split_part("name", F.lit(" "), F.lit(2))).otherwise(F.col("name"))
-    e = entities(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string")).withColumn("id", F.concat_ws("-", "event_id", "id")).withColumn("name", name)
-    got = align.align_event_entities(e, _name_vectors(spark, sf_dir, e), _verdicts(e)).select("event_id", "id", "name", "entity_type", "confidence", "support_count")
+    """Events' entities joined by name, by likeness at the threshold, and by a verifier below it."""
+    e = _mentions(spark, sf_dir)
+    got = align.align_event_entities(e, encode.encoded(e), _same).select("event_id", "id", "name", "entity_type", "confidence", "support_count")
     return got.withColumn("support_count", F.col("support_count").cast("long"))
 
 
-@query(f"""WITH e AS (SELECT *, CASE WHEN entity_type IN ('Stakeholder', 'Regulator') THEN 'Stakeholder' ELSE entity_type END AS kind, regexp_replace(lower(trim(name)), '[-_.\\s]', '', 'g') AS key FROM ({_E})),
-    c AS (SELECT kind, key, arg_min(id, struct_pack(s := -support_count, l := -length(name), p := pos, i := id)) AS new_id FROM e GROUP BY ALL) SELECT id AS old_id, new_id FROM e JOIN c USING (kind, key)""")
+@query(f"""WITH RECURSIVE m AS ({_M}), k AS (SELECT *, entity_type AS kind, regexp_replace(lower(trim(name)), '[-_.\\s]', '', 'g') AS key FROM m), {hybrid_sql("h", "k")},
+    l1 AS (SELECT a, b FROM h_pairs WHERE score >= 0.85 UNION SELECT first_value(id) OVER (PARTITION BY kind, key ORDER BY id), id FROM k WHERE key <> ''), {components_sql("c1", "k", "l1")},
+    band AS (SELECT h.*, x.component AS ca, y.component AS cb FROM h_pairs h JOIN c1 x ON x.id = a JOIN c1 y ON y.id = b WHERE score >= 0.55 AND score < 0.85 AND x.component <> y.component),
+    n AS (SELECT kind, count(*) AS n FROM band GROUP BY kind), w AS (SELECT kind, CASE WHEN sum(n) OVER () <= 40 THEN n ELSE least(n, greatest(1, CAST(round(40.0 * n / sum(n) OVER ()) AS INTEGER))) END AS want FROM n),
+    s AS (SELECT kind, greatest(0, least(want, 40 - coalesce(sum(want) OVER (ORDER BY kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS allowed FROM w),
+    best AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, a, b) AS r FROM band JOIN s USING (kind)),
+    l2 AS (SELECT a, b FROM l1 UNION SELECT a, b FROM best JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE r <= allowed AND (length(x.name) + length(y.name)) % 2 = 0), {components_sql("c2", "k", "l2")},
+    z AS (SELECT k.*, component FROM k JOIN c2 USING (id)) SELECT id AS old_id, first_value(id) OVER (PARTITION BY component ORDER BY support_count DESC, length(name) DESC, pos, id) AS new_id FROM z""")
 def fusion_mapping(spark, sf_dir):
-    e = entities(spark, sf_dir)
-    return align.resolve(e, _name_vectors(spark, sf_dir, e), _verdicts(e))
+    """Entities of all events under one id, by equal keys, likeness and a verifier with a budget of forty pairs."""
+    e = _mentions(spark, sf_dir)
+    return align.resolve(e, encode.encoded(e), _same, budget=40)
 
 
 _SLOTTED = """sl AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot FROM conversations WHERE length(text) % 5 <> 0 AND turn < 5 AND CAST(conv_id AS VARCHAR) IN (SELECT event_id FROM r))"""
@@ -175,5 +233,5 @@ def event_graphs(spark, sf_dir):
     inferences, governance = best.filter(F.col("field").isin("purpose", "domain")), best.filter(F.col("field").isin("enforcement_action", "obligation"))
     actors = held.filter(F.col("entity_type") == "Stakeholder").select("event_id", F.upper("name").alias("stakeholder_name"), F.lit("AIDeployer").alias("role"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(0.7).alias("confidence"), F.lit("acts").alias("reasoning"), "pos")
     attributes = held.select("event_id", F.lit("maker").alias("attribute"), F.col("name").alias("value"), "confidence")
-    given = pipeline.Providers(held, slots, inferences, governance, actors, _name_vectors(spark, sf_dir, held), _verdicts(held), attributes)
+    given = pipeline.Providers(held, slots, inferences, governance, actors, encode.encoded(held), _same, attributes)
     return pipeline.run_events(r, given)["edges"].select("event_id", "subject_id", "predicate", "object_id", text.truncate(F.col("subject_name"), 30).alias("subject_name"), "confidence")
