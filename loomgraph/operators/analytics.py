@@ -8,16 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.taxonomy import norm_country
+from loomgraph.operators.keywords import first_rule
+
+
+#: Keywords up to which each is tested by an expression of its own.
+FEW = 16
 
 
 def classify(texts: list[Column], rules: list[tuple[str, list[str]]]) -> Column:
     """The code of the first rule, in order, of which the first text that matches any rule holds a keyword; NULL if none does.
 
-    `rules` is a parameter: (code, keywords) by priority.
+    `rules` is a parameter: (code, keywords) by priority.  A few keywords are tested one by one, more by an automaton.
     """
+    many = sum(len(words) for _, words in rules) > FEW
 
     def of(text: Column) -> Column:
         low = F.lower(F.coalesce(text, F.lit("")))
+        if many:
+            return first_rule(low, rules)
         hit = None
         for code, words in rules:
             any_ = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])

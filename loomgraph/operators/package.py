@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import match_key, normalize_name, nz
+from loomgraph.operators.keywords import found_words
 
 SMALL, MEDIUM = 5, 30
 EVIDENCE_CAP = {"small": 50, "medium": 30, "large": 40}
@@ -69,8 +70,10 @@ def representatives(documents: DataFrame, per_chunk: int = PER_CHUNK, most: int
 
 def entity_rich(documents: DataFrame, names: DataFrame, chosen: DataFrame, most: int = MEDIUM_MOST) -> DataFrame:
     """(event_id, doc_id): documents that name an entity and are not chosen yet, in order, up to `most` with the chosen."""
-    low = F.lower(F.col("content"))
-    hits = documents.join(names.select(F.col("event_id").alias("_e"), F.lower("name").alias("_n")), (F.col("event_id") == F.col("_e")) & F.contains(low, F.col("_n")), "left_semi")
+    low = documents.select("event_id", F.struct("event_id", "doc_id").alias("key"), F.lower("content").alias("text"))
+    named = found_words(low, names.select("event_id", F.lower("name").alias("word")), "event_id", "key", "text", "word", any_=True)
+    named = named.select("key.event_id", "key.doc_id").distinct()
+    hits = documents.join(named, ["event_id", "doc_id"], "left_semi")
     fresh = hits.join(chosen.select("event_id", "doc_id"), ["event_id", "doc_id"], "left_anti")
     taken = chosen.groupBy("event_id").agg(F.count("*").alias("_taken"))
     ranked = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("event_id").orderBy("pos"))).join(taken, "event_id", "left")

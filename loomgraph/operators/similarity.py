@@ -66,20 +66,25 @@ def _block_pairs(low: float, high: float | None, digits: int):
     return run
 
 
-def similar_pairs(rows: DataFrame, low: float, high: float | None = None, kind: str | None = None, key: str = "id", vector: str = "vector", block: int = BLOCK, digits: int = 6) -> DataFrame:
+def similar_pairs(rows: DataFrame, low: float, high: float | None = None, kind: str | None = None, key: str = "id", vector: str = "vector", block: int = BLOCK, digits: int = 6, fresh: str | None = None) -> DataFrame:
     """(kind, a, b, score): all pairs a < b of one kind whose cosine is at least `low` (and below `high`).
 
     Rows of a kind are dealt into blocks of about `block`, and each two blocks meet in one task as a
     matrix product: every pair is compared, only those that count leave the task, and a large kind is
     spread over as many tasks as it has pairs of blocks.  NULL keys and vectors are left out; of rows of one
-    kind and key the least vector counts.
+    kind and key the least vector counts.  With `fresh`, a boolean column, only pairs that hold a fresh row are
+    looked for: blocks without one do not meet.
     """
     base = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    base = base.select((F.col(kind) if kind else F.lit(0)).alias("kind"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    base = base.groupBy("kind", "id").agg(F.min("vector").alias("vector"))
-    size = base.groupBy(F.col("kind").alias("_kind")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = base.join(size, F.col("kind").eqNullSafe(F.col("_kind"))).select("kind", "id", "vector", "blocks")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    new = F.col(fresh) if fresh else F.lit(True)
+    base = base.select((F.col(kind) if kind else F.lit(0)).alias("kind"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"), new.alias("fresh"))
+    base = base.groupBy("kind", "id").agg(F.min("vector").alias("vector"), F.max("fresh").alias("fresh"))
+    blocks = lambda of: F.ceil(F.count_if(of) / block).cast("int")
+    size = base.groupBy(F.col("kind").alias("_kind")).agg(blocks(~F.col("fresh")).alias("old"), blocks(F.col("fresh")).alias("new"))
+    placed = base.join(size, F.col("kind").eqNullSafe(F.col("_kind"))).filter("new > 0")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("fresh"), F.col("old") + dealt("new")).otherwise(dealt("old")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("fresh"), 0).otherwise(F.col("old")), F.col("old") + F.col("new") - 1)))
     met = placed.select("kind", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "vector")
     types = {f.name: f.dataType.simpleString() for f in met.schema}
     dealt = met.repartition("kind", "left", "right").sortWithinPartitions("kind", "left", "right", "id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text, vectors, vocab
-from loomgraph.operators import analytics, components, merge, package, similarity
+from loomgraph.operators import analytics, components, keywords, merge, package, similarity
 from loomgraph.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,6 +426,31 @@ def taxonomy_classify(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", analytics.classify([F.col("text"), F.col("role")], _RULES).alias("code"))
 
 
+#: Of the words of all documents by number, those from the 201st to the 600th, dealt to 23 codes.
+_KEYWORDS = """SELECT word, (row_number() OVER (ORDER BY n DESC, word) - 201) % 23 AS code FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents) GROUP BY word) ORDER BY n DESC, word LIMIT 400 OFFSET 200"""
+
+
+@query(f"""WITH k AS ({_KEYWORDS}), hit AS (SELECT conv_id, turn, min(code) AS code FROM conversations JOIN k ON contains(lower(text), word) GROUP BY ALL)
+    SELECT DISTINCT c.conv_id, c.turn, CASE WHEN code IS NOT NULL THEN 'code ' || (code + 1) WHEN role = 'user' THEN NULL END AS code FROM conversations c LEFT JOIN hit USING (conv_id, turn)""")
+def taxonomy_keywords(spark, sf_dir):
+    """Turns by the first of 23 rules with 400 keywords, the most frequent words but for the very frequent ones."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(600).collect()[200:]
+    rules = [(f"code {i + 1}", [r.word for k, r in enumerate(top) if k % 23 == i]) for i in range(23)]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", analytics.classify([F.col("text"), F.col("role")], rules).alias("code")).distinct()
+
+
+@query(f"""WITH r AS ({REPORTS_SQL}), names AS (SELECT DISTINCT event_id, lower(split_part(title, ' ', 2)) AS name FROM r)
+    SELECT r.event_id, doc_id, count(*) AS n, list_sort(list(name))[1] AS first FROM r JOIN names n ON r.event_id = n.event_id AND contains(lower(r.content), n.name) GROUP BY ALL""")
+def named_entities(spark, sf_dir):
+    """How many of its event's names each report mentions, and the first of them."""
+    r = reports(spark, sf_dir)
+    names = r.select("event_id", F.lower(F.split_part("title", F.lit(" "), F.lit(2))).alias("name")).distinct()
+    low = r.select("event_id", F.struct("event_id", "doc_id").alias("key"), F.lower("content").alias("text"))
+    got = keywords.found_words(low, names, "event_id", "key", "text", "name")
+    return got.groupBy("key").agg(F.count("*").alias("n"), F.min("word").alias("first")).select("key.event_id", "key.doc_id", "n", "first")
+
+
 _YEARS = "SELECT CAST(regexp_extract(CAST(o_orderdate AS VARCHAR), '^(\\d{4})', 1) AS INTEGER) AS year, o_orderpriority AS domain FROM orders"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import encode, json_repair, text, vocab
 from loomgraph.operators import merge, metrics, package
+from loomgraph.operators.rounds import shared_folder
 from loomgraph.plans import align, build, pipeline
 from loomgraph.plans.catalog import _E, REPORTS_SQL, entities, query, reports, table
 from loomgraph.sources import providers
@@ -187,6 +188,30 @@ def fusion_mapping(spark, sf_dir):
     return align.resolve(e, encode.encoded(e), _same, budget=40)
 
 
+_BATCH = "doc::BIGINT % 3"
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT *, entity_type AS kind, regexp_replace(lower(trim(name)), '[-_.\\s]', '', 'g') AS key, {_BATCH} AS batch FROM ({_M})),
+    e AS (SELECT kind, key, arg_min(name, struct_pack(b := batch, p := pos)) AS name, min(struct_pack(b := batch, p := pos)) AS first FROM x GROUP BY kind, key), v AS ({_vector_sql("name").format(rows="e")}),
+    o AS (SELECT e.*, v, row_number() OVER (PARTITION BY kind ORDER BY first) AS n FROM e JOIN v USING (name)),
+    near AS (SELECT a.kind, a.n AS a, b.n AS b, round(list_cosine_similarity(a.v, b.v), 9) AS score FROM o a JOIN o b ON a.kind = b.kind AND a.n < b.n WHERE list_cosine_similarity(a.v, b.v) >= 0.79),
+    scan(kind, n, own) AS (SELECT kind, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT kind FROM o)
+        UNION ALL SELECT s.kind, o.n, CASE WHEN EXISTS (SELECT 1 FROM near e WHERE e.kind = o.kind AND e.b = o.n AND list_contains(s.own, e.a)) THEN s.own ELSE list_append(s.own, o.n) END FROM scan s JOIN o ON o.kind = s.kind AND o.n = s.n + 1),
+    own AS (SELECT kind, unnest(arg_max(own, n)) AS n FROM scan GROUP BY kind),
+    put AS (SELECT e.kind, e.b AS n, arg_min(e.a, struct_pack(l := -score, a := e.a)) AS t FROM near e JOIN own ON own.kind = e.kind AND own.n = e.a WHERE (e.kind, e.b) NOT IN (SELECT kind, n FROM own) GROUP BY ALL),
+    t AS (SELECT o.kind, o.key, coalesce(p.t, o.n) AS t FROM o LEFT JOIN put p ON p.kind = o.kind AND p.n = o.n)
+    SELECT x.kind, l.key, l.name, count(DISTINCT x.key) AS n_keys, sum(support_count)::BIGINT AS support_count, max(confidence) AS confidence FROM x JOIN t USING (kind, key) JOIN o l ON l.kind = x.kind AND l.n = t.t GROUP BY ALL""")
+def online_registry(spark, sf_dir):
+    """Mentions registered in three batches; names of a cosine of 0.79 are one entry, within a batch too."""
+    e = _mentions(spark, sf_dir).withColumn("event_id", F.element_at("source_doc_ids", 1).cast("long") % 3)
+    held = registry.Registry(spark, shared_folder(spark, "registry"), encode.encoded(e), 0.79)
+    for i in range(3):
+        held.absorb(e.filter(F.col("event_id") == i), i)
+    held.compact()
+    keys = held._rows(held.parts()).groupBy("kind", F.col("target").alias("key")).agg(F.count_distinct("key").alias("n_keys"))
+    return held.current().join(keys, ["kind", "key"]).select("kind", "key", "name", "n_keys", "support_count", "confidence")
+
+
 _SLOTTED = """sl AS (SELECT CAST(conv_id AS VARCHAR) AS event_id, CASE turn WHEN 0 THEN 'risk_source' WHEN 1 THEN 'risk' WHEN 2 THEN 'consequence' WHEN 3 THEN 'impact' WHEN 4 THEN 'affected_actor' END AS slot FROM conversations WHERE length(text) % 5 <> 0 AND turn < 5 AND CAST(conv_id AS VARCHAR) IN (SELECT event_id FROM r))"""
 
 

@@ -2,89 +2,166 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import match_key, nz
 from loomgraph.functions.vocab import alignment_type
-from loomgraph.operators.similarity import similar_pairs
+from loomgraph.operators.rounds import settle
+from loomgraph.operators.similarity import greedy_leaders, similar_pairs
 
 
-def registered(entities: DataFrame) -> DataFrame:
-    """(kind, key, id, name, support_count, confidence): the exact tier of the registry, first entity first."""
-    keyed = entities.select(alignment_type(F.col("entity_type")).alias("kind"), match_key(F.col("name")).alias("key"), "id", "name", "support_count", "confidence", "pos")
-    return keyed.groupBy("kind", "key").agg(
-        F.min_by("id", "pos").alias("id"), F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"),
-        F.sum("support_count").alias("support_count"), F.max("confidence").alias("confidence"), F.min("pos").alias("pos"),
+def _folded(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Rows put together: the first's id and name, supports added up, the greatest confidence."""
+    return rows.groupBy(*keys).agg(
+        F.min_by("id", order).alias("id"), F.min_by("name", order).alias("name"), F.sum("support_count").alias("support_count"), F.max("confidence").alias("confidence"),
     )
 
 
-def folded(rows: DataFrame) -> DataFrame:
-    """Entries put together by kind and key: the first's id, the longest name, supports added up."""
-    return rows.groupBy("kind", "key").agg(
-        F.min_by("id", "pos").alias("id"), F.max_by("name", F.struct(F.length("name"), -F.col("pos"))).alias("name"),
-        F.sum("support_count").alias("support_count"), F.max("confidence").alias("confidence"), F.min("pos").alias("pos"),
-    )
+def registered(entities: DataFrame) -> DataFrame:
+    """(kind, key, id, name, support_count, confidence, pos): the exact tier of the registry, first entity first."""
+    keyed = entities.select(alignment_type(F.col("entity_type")).alias("kind"), match_key(F.col("name")).alias("key"), "id", "name", "support_count", "confidence", "pos")
+    first = keyed.groupBy("kind", "key").agg(F.min("pos").alias("pos"))
+    return _folded(keyed, ["kind", "key"], F.struct("pos", "id")).join(first, ["kind", "key"])
 
 
-def semantic_aliases(fresh: DataFrame, held: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(kind, key, target): of entries that the registry does not hold the held one of most similar name, if that reaches the threshold.
+def targets(fresh: DataFrame, held: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(kind, key, target) of new entries (kind, key, name, pos): the entry each is put to, itself if it is one of its own.
 
-    `vectors` (name, vector).  Of equals the first key is taken; entries of one batch are not compared with each other.
+    The same as one after another in order of `pos`: an entry goes to the one of most similar name among those held
+    (kind, key, name, at) and the earlier new ones that stand for themselves, the first of equals, if that reaches the
+    threshold.  Who stands for itself is found in rounds: whoever a held one or an earlier such one is linked to does not.
     """
-    new = fresh.join(held.select("kind", "key"), ["kind", "key"], "left_anti")
-    side = lambda rows, tag: rows.join(vectors, "name").select("kind", F.concat(F.lit(tag), "key").alias("id"), "vector")
-    pairs = similar_pairs(side(new, "1").unionByName(side(held, "0")), threshold, kind="kind")
-    across = pairs.filter(F.col("a").startswith("0") & F.col("b").startswith("1"))
-    best = across.groupBy("kind", "b").agg(F.min_by("a", F.struct(-F.col("score"), "a")).alias("a"))
-    return best.select("kind", F.substring("b", 2, 1 << 30).alias("key"), F.substring("a", 2, 1 << 30).alias("target"))
+    tag = lambda rows, kind: rows.withColumn("_id", F.concat_ws("|", F.lit(kind), "kind", "key"))
+    old, new = tag(held, "0"), settle(tag(fresh.select("kind", "key", "name", "pos"), "1"))
+    side = lambda rows, is_new: rows.join(vectors, "name").select("kind", F.col("_id").alias("id"), "vector", F.lit(is_new).alias("fresh"))
+    pairs = settle(similar_pairs(side(old, False).unionByName(side(new, True)), threshold, kind="kind", digits=9, fresh="fresh"))
+    to_old = pairs.filter(F.col("a").startswith("0"))
+    among = pairs.filter(F.col("a").startswith("1"))
+    free = new.join(to_old.select(F.col("b").alias("_id")).distinct(), "_id", "left_anti")
+    own = greedy_leaders(free.select(F.col("_id").alias("id"), F.col("kind").alias("group"), F.struct("pos", "key").alias("pos")), among.join(free.select(F.col("_id").alias("a")), "a", "left_semi").join(free.select(F.col("_id").alias("b")), "b", "left_semi").select("a", "b"))
+    own = own.filter("kept").select(F.col("id").alias("_id"))
+    place = lambda x, y: new.select(F.col("_id").alias(x), F.struct("pos", "key").alias(y))
+    both = among.select("a", "b", "score").union(among.select("b", "a", "score")).join(own.select(F.col("_id").alias("a")), "a", "left_semi")
+    both = both.join(place("a", "pa"), "a").join(place("b", "pb"), "b").filter("pa < pb")
+    reach = to_old.join(old.select(F.col("_id").alias("a"), "key", "at"), "a").select("b", "score", F.struct(F.lit(0).alias("new"), F.col("at.v").alias("v"), F.col("at.pos").alias("pos"), "key").alias("at"))
+    later = both.select("b", "score", F.struct(F.lit(1).alias("new"), F.lit(0).cast("long").alias("v"), F.col("pa.pos").cast("long").alias("pos"), F.col("pa.key").alias("key")).alias("at"))
+    best = reach.unionByName(later).groupBy(F.col("b").alias("_id")).agg(F.min(F.struct((-F.col("score")).alias("less"), "at")).alias("best"))
+    best = best.join(own, "_id", "left_anti")
+    return new.join(best, "_id", "left").select("kind", "key", F.coalesce("best.at.key", "key").alias("target"))
 
 
 class Registry:
-    """A registry in a folder: each micro-batch adds what it brings as a version of its own, and `current` folds them.
+    """A registry in a folder: each micro-batch adds a part, and `current` folds all parts.
 
-    A version is named by the batch, so a replayed batch writes the same one again, and a new process goes on
-    from what the folder holds.  With vectors (name, vector) an entry under a new key joins the held entry of
-    most similar name, if that reaches the threshold.
+    A manifest names the parts; it is written under another name and moved in one step, so what is read is always the
+    state before or after a batch or a compaction, wherever a writer stops.  A batch is known by its number: a replay
+    takes the place of its part, and one that a compaction holds already is left out.  Without a number a batch that
+    is absorbed twice counts twice.  There is one writer at a time; of two the second fails.
+
+    With vectors (name, vector) an entry under a new key joins the entry of most similar name, held or earlier in
+    its batch, if that reaches the threshold, as if entries came one by one; its key stands for that entry from then on.
     """
 
     def __init__(self, spark: SparkSession, path: str, vectors: DataFrame | None = None, threshold: float = 0.85) -> None:
         self.spark, self.path, self.vectors, self.threshold = spark, path.rstrip("/"), vectors, threshold
 
+    def _fs(self, name: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _manifests(self) -> list[int]:
+        where, fs = self._fs("manifest-*.json")
+        return sorted(int(f.getPath().getName()[9:-5]) for f in fs.globStatus(where) or [])
+
+    def parts(self) -> list[dict]:
+        """The parts of the latest manifest in order: first and last batch, folder."""
+        known = self._manifests()
+        if not known:
+            return []
+        lines = self.spark.read.text(f"{self.path}/manifest-{known[-1]}.json").collect()
+        return json.loads("".join(r.value for r in lines))
+
+    def _switch(self, parts: list[dict]) -> None:
+        """The next manifest, there in one step."""
+        known = self._manifests()
+        number = known[-1] + 1 if known else 0
+        draft, fs = self._fs(f"_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(json.dumps(sorted(parts, key=lambda p: p["first"])).encode())
+        out.close()
+        final, _ = self._fs(f"manifest-{number}.json")
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"another writer made manifest {number} of {self.path}")
+
     def versions(self) -> list[int]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*")
-        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where) or []
-        return sorted(int(f.getPath().getName()[2:]) for f in found)
+        return [p["last"] for p in self.parts()]
 
     @property
     def version(self) -> int:
-        """The latest version, 0 before the first."""
+        """The latest batch's number, 0 before the first."""
         return max(self.versions(), default=0)
 
+    def _rows(self, parts: list[dict]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{p['folder']}" for p in parts]) if parts else None
+
     def current(self, before: int | None = None) -> DataFrame | None:
-        """All entries, or those of versions before one."""
-        some = [v for v in self.versions() if before is None or v < before]
-        return folded(self.spark.read.parquet(*[f"{self.path}/v={v}" for v in some])) if some else None
+        """(kind, key, id, name, support_count, confidence, at): all entries, or those of batches before one; `at` is the place of the first."""
+        rows = self._rows([p for p in self.parts() if before is None or p["last"] < before])
+        if rows is None:
+            return None
+        rows = rows.withColumn("own", F.col("key") == F.col("target"))
+        # an entry that others were put to keeps its own name and id
+        order = F.struct(~F.col("own"), "v", "pos")
+        at = rows.groupBy("kind", "target").agg(F.min(order).alias("_at")).select("kind", "target", F.struct(F.col("_at.v").alias("v"), F.col("_at.pos").alias("pos")).alias("at"))
+        return _folded(rows, ["kind", "target"], order).join(at, ["kind", "target"]).withColumnRenamed("target", "key")
 
     def absorb(self, batch: DataFrame, batch_id: int | None = None) -> None:
         number = self.version + 1 if batch_id is None else batch_id + 1
-        fresh, held = registered(batch), self.current(number)
-        if held is not None and self.vectors is not None:
-            alias = semantic_aliases(fresh, held, self.vectors, self.threshold)
-            fresh = folded(fresh.join(alias, ["kind", "key"], "left").withColumn("key", F.coalesce("target", "key")).drop("target"))
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v={number}")
+        parts = self.parts()
+        if any(p["first"] < p["last"] and p["first"] <= number <= p["last"] for p in parts):
+            return
+        fresh = registered(batch)
+        earlier = [p for p in parts if p["last"] < number]
+        rows = self._rows(earlier)
+        if rows is not None:
+            fresh = fresh.join(rows.select("kind", "key", "target").distinct(), ["kind", "key"], "left")
+        else:
+            fresh = fresh.withColumn("target", F.lit(None).cast("string"))
+        if self.vectors is not None:
+            fresh = settle(fresh)
+            held = self.current(number)
+            held = held.select("kind", "key", "name", "at") if held is not None else fresh.limit(0).select("kind", "key", "name", F.struct(F.lit(0).cast("long").alias("v"), F.col("pos").cast("long").alias("pos")).alias("at"))
+            put = targets(fresh.filter("target is null"), held, self.vectors, self.threshold).withColumnRenamed("target", "_put")
+            fresh = fresh.join(put, ["kind", "key"], "left").withColumn("target", F.coalesce("target", "_put")).drop("_put")
+        folder = f"v={number}-{uuid.uuid4().hex}"
+        fresh = fresh.withColumns({"target": F.coalesce("target", "key"), "v": F.lit(number).cast("long"), "pos": F.col("pos").cast("long")})
+        fresh.write.parquet(f"{self.path}/{folder}")
+        self._switch([p for p in parts if p["first"] != number] + [{"first": number, "last": number, "folder": folder}])
 
     def compact(self) -> None:
-        """All versions but the last as one; what a replay of the last batch needs stays."""
-        some = self.versions()[:-1]
-        if len(some) < 2:
-            return
-        whole = f"{self.path}/whole"
-        folded(self.spark.read.parquet(*[f"{self.path}/v={v}" for v in some])).write.mode("overwrite").parquet(whole)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(whole).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for v in some:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}"), True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(whole), self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={some[-1]}"))
+        """All parts but the last as one; what a replay of the last batch needs stays.  Parts that no manifest needs any more go."""
+        parts = self.parts()
+        if len(parts) > 2:
+            folder = f"v={parts[0]['first']}-{parts[-2]['last']}-{uuid.uuid4().hex}"
+            rows = self._rows(parts[:-1])
+            first = rows.groupBy("kind", "key", "target").agg(F.min(F.struct("v", "pos")).alias("_at"))
+            whole = _folded(rows, ["kind", "key", "target"], F.struct("v", "pos")).join(first, ["kind", "key", "target"])
+            whole.select("kind", "key", "id", "name", "support_count", "confidence", F.col("_at.pos").alias("pos"), "target", F.col("_at.v").alias("v")).write.parquet(f"{self.path}/{folder}")
+            self._switch([{"first": parts[0]["first"], "last": parts[-2]["last"], "folder": folder}, parts[-1]])
+        self.clean()
+
+    def clean(self) -> None:
+        """Drop drafts, older manifests and folders that the latest manifest does not name: what stopped writers and compactions left."""
+        needed = {p["folder"] for p in self.parts()} | {f"manifest-{n}.json" for n in self._manifests()[-1:]}
+        for pattern in ("v=*", "manifest-*.json", "_draft-*"):
+            where, fs = self._fs(pattern)
+            for f in fs.globStatus(where) or []:
+                if f.getPath().getName() not in needed:
+                    fs.delete(f.getPath(), True)
 
     def follow(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
