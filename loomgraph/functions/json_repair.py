@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -125,13 +124,3 @@ def repaired_json(raw: Column) -> Column:
         return read.map(lambda v: None if v is None else json.dumps(v, ensure_ascii=False))
 
     return F.when(F.try_parse_json(raw).isNotNull(), raw).otherwise(repair(raw))
-
-
-def composed(value: Column) -> Column:
-    """Compatibility composition (NFKC)."""
-
-    @F.pandas_udf("string")
-    def fold(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
-
-    return F.when(value.rlike(r"\A\p{ASCII}*\z"), value).otherwise(fold(value))

@@ -1,7 +1,10 @@
-"""Column functions on names and texts; all run inside the JVM."""
+"""Column functions on names and texts; all run inside the JVM, but for the composition of texts that are not ASCII."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +72,19 @@ def bm25_tokens(name: Column) -> Column:
     return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
+def composed(value: Column) -> Column:
+    """Compatibility composition (NFKC)."""
+
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return F.when(value.rlike(r"\A\p{ASCII}*\z"), value).otherwise(fold(value))
+
+
 def fold_text(value: Column) -> Column:
-    """Lower case, without bracketed parts and all but letters, digits and underscores (of composed text)."""
-    return F.regexp_replace(F.regexp_replace(F.lower(value), r"\[[^\]]*\]", ""), r"[^\p{L}\p{N}_]+", "")
+    """Lower case of the composed form, without bracketed parts and all but letters, digits and underscores."""
+    return F.regexp_replace(F.regexp_replace(F.lower(composed(value)), r"\[[^\]]*\]", ""), r"[^\p{L}\p{N}_]+", "")
 
 
 def mention_span(content: Column, mention: Column) -> Column:

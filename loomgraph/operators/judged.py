@@ -6,16 +6,13 @@ event's order, `variant|event|group|subject|predicate` for a group of statements
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import fold_text
 from loomgraph.functions.vocab import STAKEHOLDERS
 from loomgraph.operators import metrics, validate
+from loomgraph.operators.metrics import replicates
 
 # Relations that may have objects of several stakeholder classes.
 MULTIROLE = ("involvesStakeholder", "roleHeldBy")
@@ -134,24 +131,13 @@ def confusion(labels: DataFrame, judge: DataFrame) -> DataFrame:
     return labels.join(judge, "edge_key").groupBy("label", "verdict").agg(F.count("*").alias("n"))
 
 
-#: Resamples that are drawn from one generator.
-BATCH = 1024
-
-
-def adjusted_support(labels: DataFrame, literal: int, judged: int, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+def adjusted_support(labels: DataFrame, literal: int, judged: int, resamples: int = 10_000, seed: int = 42, key: str = "edge_key") -> DataFrame:
     """One row: n, rate (labels of 2), esr, low, high in percent: the share of all edges that are supported if the judged
     ones are so at the labels' rate and the `literal` ones for certain, with the 95 % interval over resamples of the labels."""
-    stats = labels.agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 2, 1)).alias("k"))
     total = literal + judged
-
-    def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for number, n, k in zip(rows["id"], rows["n"], rows["k"], strict=True):
-                some = min(BATCH, resamples - number * BATCH)
-                hits = np.random.default_rng([seed, int(number)]).binomial(int(n), k / n, some) if n else np.zeros(0)
-                yield pd.DataFrame({"x": (literal + judged * hits / max(n, 1)) / total * 100})
-
-    drawn = labels.sparkSession.range(-(-resamples // BATCH)).join(F.broadcast(stats)).mapInPandas(draws, "x double")
-    interval = drawn.agg(F.round(F.percentile("x", 0.025), 1).alias("low"), F.round(F.percentile("x", 0.975), 1).alias("high"))
-    rate = F.col("k") / F.col("n")
-    return stats.select("n", F.round(rate, 4).alias("rate"), F.round((literal + judged * rate) / total * 100, 1).alias("esr")).join(F.broadcast(interval))
+    sure = F.col("label") == 2
+    percent = lambda rate: (literal + judged * rate) / total * 100
+    stats = labels.agg(F.count("*").alias("n"), (F.count_if(sure) / F.count("*")).alias("_rate"))
+    rates = replicates(labels.select(key, "label"), key, resamples, seed).groupBy("replicate").agg((F.sum(F.when(sure, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("rate"))
+    interval = rates.agg(F.round(F.percentile(percent(F.col("rate")), 0.025), 1).alias("low"), F.round(F.percentile(percent(F.col("rate")), 0.975), 1).alias("high"))
+    return stats.select("n", F.round("_rate", 4).alias("rate"), F.round(percent(F.col("_rate")), 1).alias("esr")).join(F.broadcast(interval))  # one row each

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,17 +204,29 @@ def binary_agreement(rows: DataFrame) -> DataFrame:
     return c.select("*", F.round(p, 4).alias("p"), F.round(r, 4).alias("r"), F.round(F.when((p > 0) & (r > 0), 2 * p * r / (p + r)), 4).alias("f1"), F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 4).alias("kappa"))
 
 
-def bootstrap_interval(judged: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """One row: estimate, low, high of a share of true verdicts; resampled as binomial draws over the range of resamples."""
-    stats = judged.agg(F.count("*").alias("n"), F.avg(F.col("verdict").cast("double")).alias("p"))
+#: What a draw of 32 bits must reach to weigh 1, 2, ... in a Poisson distribution of mean 1.
+POISSON = tuple(math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(12))
 
-    batch = 1024
 
-    def draw(batches):
-        for rows in batches:
-            for k, n, p in zip(rows["id"], rows["n"], rows["p"], strict=True):
-                some = min(batch, resamples - k * batch)
-                yield pd.DataFrame({"p": np.full(some, p), "x": np.random.default_rng([seed, int(k)]).binomial(int(n), p, some) / n})
+def replicates(rows: DataFrame, key: str, resamples: int, seed: int = 42) -> DataFrame:
+    """The rows with `replicate` and `weight`: how often each is in each resample, by a hash of key, resample and seed; not where it is not in it.
 
-    draws = judged.sparkSession.range(-(-resamples // batch)).join(F.broadcast(stats)).mapInPandas(draw, "p double, x double")
-    return draws.agg(F.round(F.first("p"), 4).alias("estimate"), F.round(F.percentile("x", 0.025), 4).alias("low"), F.round(F.percentile("x", 0.975), 4).alias("high"))
+    Weights are Poisson draws of mean 1, which resampling with replacement comes to; keys are different.  Work is
+    rows times resamples, summed up on the map side by whoever groups by `replicate`.
+    """
+    block = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // 4) - 1))).alias("_block")
+    drawn = rows.select("*", block).withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), "_block")))
+    part = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    drawn = drawn.withColumn("_part", part).withColumn("replicate", F.col("_block") * 4 + F.col("_part")).filter(F.col("replicate") < resamples)
+    u = F.conv(F.substring("_hash", F.col("_part") * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    weight = sum(F.when(u >= t, 1).otherwise(0) for t in POISSON)
+    return drawn.withColumn("weight", weight).filter("weight > 0").drop("_block", "_hash", "_part")
+
+
+def bootstrap_interval(judged: DataFrame, key: str = "id", resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: estimate, low, high of a share of true verdicts (key, verdict), with the 95 % interval over resamples of the rows."""
+    said = F.col("verdict").cast("double")
+    estimate = judged.agg(F.round(F.avg(said), 4).alias("estimate"))
+    shares = replicates(judged.select(key, "verdict"), key, resamples, seed).groupBy("replicate").agg((F.sum(F.col("weight") * said) / F.sum("weight")).alias("x"))
+    ends = shares.agg(F.round(F.percentile("x", 0.025), 4).alias("low"), F.round(F.percentile("x", 0.975), 4).alias("high"))
+    return estimate.join(F.broadcast(ends))  # one row each

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import taxonomy, text
 from loomgraph.operators import analytics, arbitration, judged, metrics, package
-from loomgraph.plans import build
+from loomgraph.plans import build, metrics_sql
 from loomgraph.plans.catalog import _E, entities, query, table
 from loomgraph.plans.graph_catalog import _INFRA, _SEM, GRAPH, graph
 from loomgraph.sources import readers, writers
@@ -173,9 +173,11 @@ def judge_confusion(spark, sf_dir):
     return judged.confusion(*_consensus(spark, sf_dir))
 
 
-@query(f"WITH {_LABELLED}, cc AS (SELECT count(*) AS n, count(*) FILTER (label = 2) / count(*) AS rate FROM g WHERE label IS NOT NULL) SELECT n, round(rate, 4) AS rate, round((9000 + 3000 * rate) / 12000 * 100, 1) AS esr FROM cc")
+@query(f"""WITH {_LABELLED}, l AS (SELECT k, label = 2 AS y FROM g WHERE label IS NOT NULL), {metrics_sql.replicates("l", "k", 2000)}, cc AS (SELECT count(*) AS n, count(*) FILTER (y) / count(*) AS rate FROM l),
+    sh AS (SELECT (9000 + 3000 * (sum(CASE WHEN y THEN weight ELSE 0 END) / sum(weight))) / 12000 * 100 AS x FROM rep GROUP BY replicate)
+    SELECT n, round(rate, 4) AS rate, round((9000 + 3000 * rate) / 12000 * 100, 1) AS esr, (SELECT round(quantile_cont(x, 0.025), 1) FROM sh) AS low, (SELECT round(quantile_cont(x, 0.975), 1) FROM sh) AS high FROM cc""")
 def adjusted_support(spark, sf_dir):
-    return judged.adjusted_support(_consensus(spark, sf_dir)[0], 9000, 3000).select("n", "rate", "esr")
+    return judged.adjusted_support(_consensus(spark, sf_dir)[0], 9000, 3000, resamples=2000)
 
 
 # ---- taxonomy and statistics -----------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import encode, json_repair, text, vocab
 from loomgraph.operators import merge, metrics, package
 from loomgraph.operators.rounds import shared_folder
-from loomgraph.plans import align, build, pipeline
+from loomgraph.plans import align, build, metrics_sql, pipeline
 from loomgraph.plans.catalog import _E, REPORTS_SQL, entities, query, reports, table
 from loomgraph.sources import providers
 from loomgraph.streaming import registry
@@ -81,9 +81,29 @@ def corrected_types(spark, sf_dir):
     return rows.groupBy("entity_type", vocab.alignment_type(F.col("entity_type")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id AS k, quality = 1 AS y FROM labels), {metrics_sql.replicates("l", "k", 2000)}, s AS (SELECT replicate, sum(CASE WHEN y THEN weight ELSE 0 END) / sum(weight) AS x FROM rep GROUP BY replicate)
+    SELECT (SELECT round(avg(y::INT), 4) FROM l) AS estimate, round(quantile_cont(x, 0.025), 4) AS low, round(quantile_cont(x, 0.975), 4) AS high FROM s""")
 def support_interval(spark, sf_dir):
-    return metrics.bootstrap_interval(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("verdict")), 2000)
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("verdict"))
+    return metrics.bootstrap_interval(rows, resamples=2000)
+
+
+#: Per turn of a document's words, its title as it is, taken apart into base letters and marks, or in full-width letters.
+_FORMS = "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents"
+
+
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(lower(nfc_normalize(title)), '\\[[^\\]]*\\]', '', 'g'), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS folded FROM ({_FORMS})""")
+def folded_forms(spark, sf_dir):
+    """Titles written in three forms of Unicode fold to one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"))
+    marks = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "á": "a\u0301", "ó": "o\u0301", "í": "i\u0301", "ú": "u\u0301", "ñ": "n\u0303", "ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308", "ç": "c\u0327"}
+    apart = F.col("title")
+    for whole, parts in marks.items():
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    wide = F.translate("title", letters, "".join(chr(ord(c) + 0xFEE0) for c in letters))
+    form = F.when(F.col("doc_id") % 3 == 0, apart).when(F.col("doc_id") % 3 == 1, wide).otherwise(F.col("title"))
+    return d.select("doc_id", text.fold_text(form).alias("folded"))
 
 
 def _same(pairs: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def test_unions_and_support(spark, entities, reports):
     chunks = {r.name: r.support for r in package.support_by_chunk(entities.filter("event_id = 'e1'"), reports).collect()}
     assert chunks["OpenVision"] == 2
     assert package.low_support(entities, reports).count() == 0
-    est = metrics.bootstrap_interval(spark.createDataFrame([(i % 4 > 0,) for i in range(200)], "verdict boolean"), 2000).first()
+    est = metrics.bootstrap_interval(spark.createDataFrame([(i, i % 4 > 0) for i in range(200)], "id int, verdict boolean"), resamples=2000).first()
     assert est.estimate == 0.75 and 0.66 < est.low < 0.72 and 0.78 < est.high < 0.84
 
 
