@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import match_key, normalize_name, nz
 from loomgraph.operators.keywords import found_words
+from loomgraph.operators.rounds import settle
+from loomgraph.operators.similarity import greedy_leaders, similar_pairs
 
 SMALL, MEDIUM = 5, 30
 EVIDENCE_CAP = {"small": 50, "medium": 30, "large": 40}
 CHUNK, PER_CHUNK, MOST, MEDIUM_MOST = 12, 3, 15, 8
+#: Cosine of labels from which reports are near duplicates.
+NEAR = 0.85
 
 #: Name lists by category of class.
 CATEGORIES = {
@@ -68,6 +74,85 @@ def representatives(documents: DataFrame, per_chunk: int = PER_CHUNK, most: int
     return ranked.filter(F.col("rank") <= most).select("event_id", "doc_id", "rank")
 
 
+def label(documents: DataFrame) -> Column:
+    """What a report is compared by: its title and summary, those that are there; NULL without either."""
+    parts = [nz(F.col(c)) for c in ("title", "summary") if c in documents.columns]
+    return nz(F.concat_ws(" ", *parts)) if parts else F.lit(None).cast("string")
+
+
+def unlike_reports(documents: DataFrame, vectors: DataFrame, most: int, group: list[str], threshold: float = NEAR) -> DataFrame:
+    """(group, event_id, doc_id, pos): of each group the first `most` reports that no earlier one taken is near to.
+
+    Reports are compared by the vectors (name, vector) of their labels; one without a label is left out, unless its
+    group has no more than `most` reports: then all stay.
+    """
+    rows = documents.select("event_id", "doc_id", "pos", *[g for g in group if g != "event_id"], label(documents).alias("name"))
+    rows = settle(rows.withColumn("_g", F.concat_ws("|", *group)).withColumn("_size", F.count("*").over(Window.partitionBy("_g"))))
+    few, many = rows.filter(F.col("_size") <= most), rows.filter((F.col("_size") > most) & F.col("name").isNotNull())
+    keyed = many.withColumn("_id", F.concat_ws("|", "_g", F.col("doc_id").cast("string")))
+    pairs = similar_pairs(keyed.join(vectors, "name"), threshold, kind="_g", key="_id", vector="vector").select("a", "b")
+    kept = greedy_leaders(keyed.select(F.col("_id").alias("id"), F.col("_g").alias("group"), "pos"), pairs).filter("kept").select(F.col("id").alias("_id"))
+    chosen = few.unionByName(keyed.join(kept, "_id").drop("_id"))
+    ranked = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy("pos"))).filter(F.col("_n") <= most)
+    return ranked.select(*dict.fromkeys([*group, "event_id", "doc_id", "pos"]))
+
+
+def chosen_reports(documents: DataFrame, meta: DataFrame, names: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(event_id, doc_id, rank): the reports that stand for an event, by its strategy.
+
+    A small event has all.  A medium one has those that are not near to an earlier one, filled up to MEDIUM_MOST with
+    further ones that name an entity.  A large one has up to PER_CHUNK unlike ones of each chunk, MOST in all.
+    """
+    rows = documents.join(meta.select("event_id", "strategy"), "event_id")
+    of = lambda kind: rows.filter(F.col("strategy") == kind).drop("strategy")
+    small = of("small").select("event_id", "doc_id", F.lit(0).alias("_part"), "pos")
+    unlike = settle(unlike_reports(of("medium"), vectors, MEDIUM_MOST, ["event_id"]))
+    rich = entity_rich(of("medium"), names, unlike).join(rows.select("event_id", "doc_id", "pos"), ["event_id", "doc_id"])
+    medium = unlike.select("event_id", "doc_id", F.lit(0).alias("_part"), "pos").unionByName(rich.select("event_id", "doc_id", F.lit(1).alias("_part"), "pos"))
+    large = unlike_reports(chunked(of("large")), vectors, PER_CHUNK, ["event_id", "chunk"]).select("event_id", "doc_id", F.lit(0).alias("_part"), "pos")
+    ranked = small.unionByName(medium).unionByName(large)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy("_part", "pos"))).join(meta.select("event_id", "strategy"), "event_id")
+    return ranked.filter((F.col("strategy") != "large") | (F.col("rank") <= MOST)).select("event_id", "doc_id", "rank")
+
+
+@dataclass
+class EvidencePackage:
+    """What is handed on of each event: tables by event_id, so that no event is a single row.
+
+    metadata; reports (doc_id, rank); core (one array of names per category); evidence (sentence, n, doc_id, rank);
+    support (name, support); conflicts (kind, name, types).
+    """
+
+    metadata: DataFrame
+    reports: DataFrame
+    core: DataFrame
+    evidence: DataFrame
+    support: DataFrame
+    conflicts: DataFrame
+
+
+def evidence_package(documents: DataFrame, entities: DataFrame, vectors: DataFrame) -> EvidencePackage:
+    """The packages of all events from their reports and the entities of single documents.
+
+    Entities of one name and type are merged first.  Support is that of the merged entity, in a large event added
+    up over the chunks that it is in; sentences are cut to the strategy's number, small events keep repeats.
+    """
+    from loomgraph.operators.merge import merge_entities
+
+    meta = settle(event_metadata(documents))
+    merged = settle(merge_entities(entities, [F.col("event_id"), F.lower(normalize_name(F.col("name"))), F.col("entity_type")]))
+    kinds = meta.select("event_id", "strategy")
+    proof = merged.select("event_id", F.col("pos").alias("_at"), F.posexplode("evidence").alias("_i", "e")).select("event_id", F.col("e.evidence_sentence").alias("sentence"), F.col("e.source_doc_id").alias("doc_id"), F.struct("_at", "_i").alias("pos"))
+    by_kind = merged.join(kinds, "event_id")
+    large = by_kind.filter("strategy = 'large'")
+    support = support_by_name(by_kind.filter("strategy != 'large'")).select("event_id", "name", F.col("support").cast("long").alias("support"))
+    support = support.unionByName(support_by_chunk(large, documents.withColumn("doc_id", F.col("doc_id").cast("string"))).select("event_id", "name", F.col("support").cast("long").alias("support")))
+    found = conflicts(merged).select("event_id", F.lit("type_conflict").alias("kind"), F.col("name_key").alias("name"), "types")
+    found = found.unionByName(low_support(merged, documents).select("event_id", F.lit("low_support").alias("kind"), "name", F.lit(None).cast("array<string>").alias("types")))
+    reports = chosen_reports(documents, meta, merged.select("event_id", "name"), vectors)
+    return EvidencePackage(meta, reports, categorize(merged), evidence_top(proof, meta), support, found)
+
+
 def entity_rich(documents: DataFrame, names: DataFrame, chosen: DataFrame, most: int = MEDIUM_MOST) -> DataFrame:
     """(event_id, doc_id): documents that name an entity and are not chosen yet, in order, up to `most` with the chosen."""
     low = documents.select("event_id", F.struct("event_id", "doc_id").alias("key"), F.lower("content").alias("text"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.encode import encoded
 from loomgraph.functions.vocab import constraints
 from loomgraph.operators import merge, package, validate
 from loomgraph.operators.rounds import settle
@@ -27,18 +28,25 @@ class Providers:
     vectors: DataFrame
     verdicts: DataFrame | Callable[[DataFrame], DataFrame]
     attributes: DataFrame | None = None
+    #: (name, vector) of the reports' titles with summaries.
+    labels: DataFrame | None = None
+
+
+def label_vectors(reports: DataFrame, given: Providers) -> DataFrame:
+    """(name, vector) of the labels of reports: what the providers give, else the local encoder's."""
+    return given.labels if given.labels is not None else encoded(reports.select(package.label(reports).alias("name")))
 
 
 def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> dict[str, DataFrame]:
-    """Tables by name: metadata, evidence, representatives, nodes, edges, statements, violations.
+    """Tables by name: metadata, representatives, core, evidence, support, conflicts (the evidence package by strategy), nodes, edges, statements, violations.
 
     A variant leaves stages out: without aggregation entities are only put together by name, without
     inference those tables are empty, without ontology or evidence the checks that need them are not made.
     """
     flags = experiment(variant)
     spark = reports.sparkSession
-    meta = package.event_metadata(reports)
-    chosen = package.representatives(reports)
+    packed = package.evidence_package(reports, given.entities, label_vectors(reports, given))
+    chosen = settle(packed.reports)
     fallback = chosen.groupBy("event_id").agg(F.min_by("doc_id", "rank").cast("string").alias("_fallback"))
     if flags["aggregation"]:
         entities = align.align_event_entities(given.entities, given.vectors, given.verdicts)
@@ -59,7 +67,7 @@ def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> d
         proof = proof.unionByName(kept.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id"))
         known = reports.select("event_id", F.col("doc_id").cast("string").alias("doc_id"))
         found = found.unionByName(validate.evidence_problems(proof, known).select("event_id", F.col("owner_id").alias("id"), F.col("problem").alias("rule")).distinct())
-    return {"metadata": meta, "representatives": chosen, "nodes": nodes, "edges": kept, "statements": merge.statements(kept), "violations": found}
+    return {"metadata": packed.metadata, "representatives": chosen, "core": packed.core, "evidence": packed.evidence, "support": packed.support, "conflicts": packed.conflicts, "nodes": nodes, "edges": kept, "statements": merge.statements(kept), "violations": found}
 
 
 def fuse_events(tables: dict[str, DataFrame], given: Providers) -> dict[str, DataFrame]:

@@ -208,6 +208,45 @@ def fusion_mapping(spark, sf_dir):
     return align.resolve(e, encode.encoded(e), _same, budget=40)
 
 
+_PACK = f"""r AS (SELECT CAST(floor(sqrt(doc_id)) AS BIGINT) AS event_id, doc_id, doc_id AS pos, regexp_extract(text, '[^\\x09-\\x0D ]+') AS title, text AS content, source, lang FROM documents),
+    meta AS (SELECT event_id, count(*) AS n, CASE WHEN count(*) <= 5 THEN 'small' WHEN count(*) <= 30 THEN 'medium' ELSE 'large' END AS strategy FROM r GROUP BY event_id),
+    ch AS (SELECT r.*, strategy, CASE strategy WHEN 'large' THEN (row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1) // 12 ELSE 0 END AS chunk, CASE strategy WHEN 'large' THEN 3 ELSE 8 END AS most FROM r JOIN meta USING (event_id)),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY event_id, chunk) AS size FROM ch), o AS (SELECT event_id, chunk, doc_id, pos, title AS name, row_number() OVER (PARTITION BY event_id, chunk ORDER BY pos) AS n FROM sized WHERE strategy <> 'small' AND size > most AND title <> ''),
+    v AS ({_vector_sql("name").format(rows="o")}), near AS (SELECT a.event_id, a.chunk, a.n AS a, b.n AS b FROM o a JOIN o b ON a.event_id = b.event_id AND a.chunk = b.chunk AND a.n < b.n JOIN v x ON x.name = a.name JOIN v y ON y.name = b.name WHERE list_cosine_similarity(x.v, y.v) >= 0.85 - 1e-12),
+    scan(event_id, chunk, n, kept) AS (SELECT event_id, chunk, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT event_id, chunk FROM o)
+        UNION ALL SELECT s.event_id, s.chunk, o.n, CASE WHEN EXISTS (SELECT 1 FROM near e WHERE e.event_id = o.event_id AND e.chunk = o.chunk AND e.b = o.n AND list_contains(s.kept, e.a)) THEN s.kept ELSE list_append(s.kept, o.n) END FROM scan s JOIN o ON o.event_id = s.event_id AND o.chunk = s.chunk AND o.n = s.n + 1),
+    own AS (SELECT event_id, chunk, unnest(arg_max(kept, n)) AS n FROM scan GROUP BY event_id, chunk),
+    unlike AS (SELECT event_id, doc_id, pos, chunk, strategy FROM sized WHERE strategy <> 'small' AND size <= most UNION ALL SELECT event_id, doc_id, pos, chunk, strategy FROM (SELECT o.*, strategy, row_number() OVER (PARTITION BY event_id, chunk ORDER BY pos) AS k FROM o JOIN own USING (event_id, chunk, n) JOIN meta USING (event_id)) WHERE k <= CASE strategy WHEN 'large' THEN 3 ELSE 8 END),
+    m AS ({_M}), g AS (SELECT event_id, arg_min(id, pos) AS id, arg_min(name, pos) AS name, entity_type, min(pos) AS pos, list(DISTINCT doc) AS docs, CASE WHEN count(*) > 1 THEN greatest(1, count(DISTINCT doc)) ELSE min(support_count) END AS support FROM (SELECT *, lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) AS nk FROM m) GROUP BY event_id, nk, entity_type),
+    rich AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY pos) AS k FROM (SELECT DISTINCT r.event_id, r.doc_id, r.pos FROM r JOIN meta USING (event_id) JOIN g ON g.event_id = r.event_id AND contains(lower(r.content), lower(g.name)) WHERE strategy = 'medium' AND (r.event_id, r.doc_id) NOT IN (SELECT event_id, doc_id FROM unlike))),
+    taken AS (SELECT event_id, count(*) AS t FROM unlike GROUP BY event_id),
+    reps AS (SELECT event_id, doc_id, 0 AS part, pos FROM ch WHERE strategy = 'small' UNION ALL SELECT event_id, doc_id, 0, pos FROM unlike UNION ALL SELECT rich.event_id, doc_id, 1, pos FROM rich LEFT JOIN taken ON taken.event_id = rich.event_id WHERE k <= 8 - coalesce(t, 0)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, pos) AS rank FROM reps JOIN meta USING (event_id)), reports AS (SELECT event_id, list(doc_id ORDER BY rank) AS reports FROM ranked WHERE strategy <> 'large' OR rank <= 15 GROUP BY event_id)"""
+
+
+@query(f"""WITH RECURSIVE {_PACK},
+    sup AS (SELECT event_id, name, arg_max(support, pos) AS s FROM g JOIN meta USING (event_id) WHERE strategy <> 'large' GROUP BY ALL UNION ALL SELECT event_id, name, sum(support) FROM (SELECT DISTINCT g.event_id, g.id, g.name, g.support, ch.chunk FROM g JOIN ch ON ch.event_id = g.event_id AND list_contains(g.docs, ch.doc_id::VARCHAR) WHERE strategy = 'large') GROUP BY ALL),
+    sums AS (SELECT event_id, count(*) AS names, sum(s)::BIGINT AS support FROM sup GROUP BY event_id),
+    conf AS (SELECT event_id, count(*) AS conflicts FROM (SELECT event_id, lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) AS k FROM g GROUP BY ALL HAVING count(DISTINCT entity_type) > 1) GROUP BY event_id),
+    low AS (SELECT event_id, count(*) AS low FROM g JOIN meta USING (event_id) JOIN (SELECT event_id, count(*) AS many FROM g GROUP BY event_id) USING (event_id) WHERE n >= 3 AND many > 1 AND support <= 1 GROUP BY event_id),
+    core AS (SELECT event_id, coalesce(list(name ORDER BY pos) FILTER (entity_type = 'AISystem'), []) AS systems FROM g GROUP BY event_id),
+    sent AS (SELECT g.event_id, strategy, x.name AS name, x.w AS sentence, g.pos AS p0, x.pos AS i FROM g JOIN meta USING (event_id) JOIN (SELECT m.*, lower(regexp_replace(trim(m.name), '\\s+', ' ', 'g')) AS nk, w[1] || ' ' || w[2] AS w FROM m JOIN (SELECT doc_id, regexp_extract_all(text, '[^\\x09-\\x0D ]+') AS w FROM documents) d ON m.doc = d.doc_id::VARCHAR) x ON x.event_id = g.event_id AND x.entity_type = g.entity_type AND x.nk = lower(regexp_replace(trim(g.name), '\\s+', ' ', 'g'))),
+    tops AS (SELECT event_id, sentence, CASE strategy WHEN 'small' THEN 1 ELSE count(*) END AS n, min(struct_pack(a := p0, b := i)) AS first FROM sent WHERE strategy <> 'small' GROUP BY event_id, strategy, sentence UNION ALL SELECT event_id, sentence, 1, struct_pack(a := p0, b := i) FROM sent WHERE strategy = 'small'),
+    ev AS (SELECT event_id, list(sentence ORDER BY k) AS sentences FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, first) AS k FROM tops JOIN (SELECT event_id, strategy FROM meta) USING (event_id)) WHERE k <= CASE strategy WHEN 'small' THEN 50 WHEN 'medium' THEN 30 ELSE 40 END GROUP BY event_id)
+    SELECT meta.event_id::VARCHAR AS event_id, strategy, reports, systems, sentences, names, support, coalesce(conflicts, 0) AS conflicts, coalesce(low, 0) AS low FROM meta JOIN reports USING (event_id) JOIN core USING (event_id) JOIN ev USING (event_id) JOIN sums USING (event_id) LEFT JOIN conf USING (event_id) LEFT JOIN low USING (event_id)""")
+def evidence_package(spark, sf_dir):
+    """The packages of small, medium and large events, a row for each."""
+    d = table(spark, sf_dir, "documents")
+    r = d.select(F.floor(F.sqrt("doc_id")).cast("string").alias("event_id"), "doc_id", F.col("doc_id").alias("pos"), F.regexp_extract("text", r"[^\x09-\x0D ]+", 0).alias("title"), F.col("text").alias("content"), F.col("source").alias("source_name"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("publish_time"))
+    p = package.evidence_package(r, _mentions(spark, sf_dir), encode.encoded(r.select(F.col("title").alias("name"))))
+    listed = lambda df, c, name: df.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]).alias(name))
+    number = lambda kind: p.conflicts.filter(F.col("kind") == kind).groupBy("event_id").agg(F.count("*").alias(kind))
+    sums = p.support.groupBy("event_id").agg(F.count("*").alias("names"), F.sum("support").alias("support"))
+    got = p.metadata.select("event_id", "strategy").join(listed(p.reports, "doc_id", "reports"), "event_id").join(p.core.select("event_id", "systems"), "event_id").join(listed(p.evidence, "sentence", "sentences"), "event_id").join(sums, "event_id")
+    got = got.join(number("type_conflict"), "event_id", "left").join(number("low_support"), "event_id", "left")
+    return got.select("event_id", "strategy", "reports", "systems", "sentences", "names", "support", F.coalesce("type_conflict", F.lit(0)).alias("conflicts"), F.coalesce("low_support", F.lit(0)).alias("low"))
+
+
 _BATCH = "doc::BIGINT % 3"
 
 
@@ -272,8 +311,9 @@ def event_graphs(spark, sf_dir):
     none = F.lit(None).cast("string")
     said = r.select("event_id", "pos", F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("i", "value"), F.col("title").alias("evidence"), F.col("doc_id").alias("source_doc_id"))
     kinds = ("risk_source", "risk", "consequence", "impact", "affected_actor", "purpose", "domain", "enforcement_action", "obligation")
-    named = said.withColumn("field", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("i"))).filter("field is not null")
-    best = named.groupBy("event_id", "field").agg(*[F.min_by(c, F.struct("pos", "i")).alias(c) for c in ("value", "evidence", "source_doc_id")]).withColumns({"confidence": F.lit(0.8), "reasoning": F.concat(F.lit("from "), "source_doc_id")})
+    named = said.withColumn("field", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("i") % len(kinds)))
+    # of all sentences of an event that are for a field the longest
+    best = named.groupBy("event_id", "field").agg(*[F.max_by(c, F.struct(F.length("value"), -F.col("pos"), -F.col("i"))).alias(c) for c in ("value", "evidence", "source_doc_id")]).withColumns({"confidence": F.lit(0.8), "reasoning": F.concat(F.lit("from "), "source_doc_id")})
     slots = best.filter(F.col("field").isin(*kinds[:5])).select("event_id", F.col("field").alias("slot"), "value", "evidence", "source_doc_id", "confidence")
     inferences, governance = best.filter(F.col("field").isin("purpose", "domain")), best.filter(F.col("field").isin("enforcement_action", "obligation"))
     actors = held.filter(F.col("entity_type") == "Stakeholder").select("event_id", F.upper("name").alias("stakeholder_name"), F.lit("AIDeployer").alias("role"), none.alias("evidence"), none.alias("source_doc_id"), F.lit(0.7).alias("confidence"), F.lit("acts").alias("reasoning"), "pos")
