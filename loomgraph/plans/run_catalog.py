@@ -10,7 +10,7 @@ from loomgraph.operators import merge, metrics, package
 from loomgraph.operators.rounds import shared_folder
 from loomgraph.plans import align, build, metrics_sql, pipeline
 from loomgraph.plans.catalog import _E, REPORTS_SQL, entities, query, reports, table
-from loomgraph.sources import providers
+from loomgraph.sources import keyed, providers
 from loomgraph.streaming import registry
 
 
@@ -247,6 +247,21 @@ def evidence_package(spark, sf_dir):
     return got.select("event_id", "strategy", "reports", "systems", "sentences", "names", "support", F.coalesce("type_conflict", F.lit(0)).alias("conflicts"), F.coalesce("low_support", F.lit(0)).alias("low"))
 
 
+@query("""SELECT c_custkey, greatest(c_acctbal, CASE WHEN c_acctbal > 0 THEN 100.0 END, CASE WHEN c_custkey % 5 = 0 THEN 50.0 END)::DOUBLE AS confidence,
+    list_concat(list_concat(list_filter(['a', 'c' || (c_custkey % 3)], lambda x: NOT (c_acctbal > 0 AND x = 'c' || (c_custkey % 3)) AND NOT (c_custkey % 5 = 0 AND x = 'a')),
+        CASE WHEN c_acctbal > 0 THEN ['c' || (c_custkey % 3), 'new'] ELSE [] END), CASE WHEN c_custkey % 5 = 0 THEN ['a', 'last'] ELSE [] END) AS docs, CASE WHEN c_acctbal > 0 THEN 'updated' ELSE c_name END AS name FROM customer""")
+def keyed_table(spark, sf_dir):
+    """Customers kept in buckets by key through three batches, the last of some keys without names."""
+    c = table(spark, sf_dir, "customer")
+    old = c.select("c_custkey", F.col("c_acctbal").cast("double").alias("confidence"), F.array(F.lit("a"), F.concat(F.lit("c"), F.col("c_custkey") % 3)).alias("docs"), F.col("c_name").alias("name"))
+    new = c.filter("c_acctbal > 0").select("c_custkey", F.lit(100.0).alias("confidence"), F.array(F.concat(F.lit("c"), F.col("c_custkey") % 3), F.lit("new")).alias("docs"), F.lit("updated").alias("name"))
+    last = c.filter("c_custkey % 5 = 0").select("c_custkey", F.lit(50.0).alias("confidence"), F.array(F.lit("a"), F.lit("last")).alias("docs"), F.lit(None).cast("string").alias("name"))
+    held = keyed.KeyedTable(spark, shared_folder(spark, "keyed"), ["c_custkey"], ("docs",), ("confidence",), buckets=8, changes=2)
+    for i, batch in enumerate((old, new, last)):
+        held.upsert(batch, i)
+    return held.rows()
+
+
 _BATCH = "doc::BIGINT % 3"
 
 

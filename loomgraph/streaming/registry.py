@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from loomgraph.functions.text import match_key, nz
 from loomgraph.functions.vocab import alignment_type
 from loomgraph.operators.rounds import settle
 from loomgraph.operators.similarity import greedy_leaders, similar_pairs
+from loomgraph.sources.snapshots import Snapshots
 
 
 def _folded(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -54,48 +54,20 @@ def targets(fresh: DataFrame, held: DataFrame, vectors: DataFrame, threshold: fl
     return new.join(best, "_id", "left").select("kind", "key", F.coalesce("best.at.key", "key").alias("target"))
 
 
-class Registry:
+class Registry(Snapshots):
     """A registry in a folder: each micro-batch adds a part, and `current` folds all parts.
 
-    A manifest names the parts; it is written under another name and moved in one step, so what is read is always the
-    state before or after a batch or a compaction, wherever a writer stops.  A batch is known by its number: a replay
-    takes the place of its part, and one that a compaction holds already is left out.  Without a number a batch that
-    is absorbed twice counts twice.  There is one writer at a time; of two the second fails.
+    What is read is always the state before or after a batch or a compaction, wherever a writer stops.  A batch is
+    known by its number: a replay takes the place of its part, and one that a compaction holds already is left out.
+    Without a number a batch that is absorbed twice counts twice.
 
     With vectors (name, vector) an entry under a new key joins the entry of most similar name, held or earlier in
     its batch, if that reaches the threshold, as if entries came one by one; its key stands for that entry from then on.
     """
 
     def __init__(self, spark: SparkSession, path: str, vectors: DataFrame | None = None, threshold: float = 0.85) -> None:
-        self.spark, self.path, self.vectors, self.threshold = spark, path.rstrip("/"), vectors, threshold
-
-    def _fs(self, name: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _manifests(self) -> list[int]:
-        where, fs = self._fs("manifest-*.json")
-        return sorted(int(f.getPath().getName()[9:-5]) for f in fs.globStatus(where) or [])
-
-    def parts(self) -> list[dict]:
-        """The parts of the latest manifest in order: first and last batch, folder."""
-        known = self._manifests()
-        if not known:
-            return []
-        lines = self.spark.read.text(f"{self.path}/manifest-{known[-1]}.json").collect()
-        return json.loads("".join(r.value for r in lines))
-
-    def _switch(self, parts: list[dict]) -> None:
-        """The next manifest, there in one step."""
-        known = self._manifests()
-        number = known[-1] + 1 if known else 0
-        draft, fs = self._fs(f"_draft-{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(json.dumps(sorted(parts, key=lambda p: p["first"])).encode())
-        out.close()
-        final, _ = self._fs(f"manifest-{number}.json")
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError(f"another writer made manifest {number} of {self.path}")
+        super().__init__(spark, path)
+        self.vectors, self.threshold = vectors, threshold
 
     def versions(self) -> list[int]:
         return [p["last"] for p in self.parts()]
@@ -140,7 +112,8 @@ class Registry:
         folder = f"v={number}-{uuid.uuid4().hex}"
         fresh = fresh.withColumns({"target": F.coalesce("target", "key"), "v": F.lit(number).cast("long"), "pos": F.col("pos").cast("long")})
         fresh.write.parquet(f"{self.path}/{folder}")
-        self._switch([p for p in parts if p["first"] != number] + [{"first": number, "last": number, "folder": folder}])
+        kept = [p for p in parts if p["first"] != number] + [{"first": number, "last": number, "folder": folder}]
+        self._switch(sorted(kept, key=lambda p: p["first"]))
 
     def compact(self) -> None:
         """All parts but the last as one; what a replay of the last batch needs stays.  Parts that no manifest needs any more go."""
@@ -154,15 +127,6 @@ class Registry:
             self._switch([{"first": parts[0]["first"], "last": parts[-2]["last"], "folder": folder}, parts[-1]])
         self.clean()
 
-    def clean(self) -> None:
-        """Drop drafts, older manifests and folders that the latest manifest does not name: what stopped writers and compactions left."""
-        needed = {p["folder"] for p in self.parts()} | {f"manifest-{n}.json" for n in self._manifests()[-1:]}
-        for pattern in ("v=*", "manifest-*.json", "_draft-*"):
-            where, fs = self._fs(pattern)
-            for f in fs.globStatus(where) or []:
-                if f.getPath().getName() not in needed:
-                    fs.delete(f.getPath(), True)
-
     def follow(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
