@@ -8,6 +8,7 @@ than many short ones.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,6 +74,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with every C library
+        pass
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text takes about `limit` bytes at most (a longer text stands alone)."""
     for batch in batches:
@@ -83,6 +93,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        release()
 
 
 @dataclass

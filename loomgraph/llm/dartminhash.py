@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import _store
 from loomgraph.llm._store import free_name
-from loomgraph.llm._text import U64, VISIBLE, Tokens, mix, pieces, powers, runs, shingles, text_bytes, tokenize
+from loomgraph.llm._text import U64, VISIBLE, Tokens, mix, pieces, powers, release, runs, shingles, text_bytes, tokenize
 
 WIDTH = 5
 COORDS = 64
@@ -207,6 +207,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
                     yield held
                     held = []
                 held.append(row)
+        release()
     if held:
         yield held
 
