@@ -83,6 +83,13 @@ def release() -> None:
         pass
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what is free after each goes back to the machine."""
+    for batch in batches:
+        yield batch
+        release()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text takes about `limit` bytes at most (a longer text stands alone)."""
     for batch in batches:
@@ -93,7 +100,6 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
-        release()
 
 
 @dataclass

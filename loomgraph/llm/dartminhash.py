@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import _store
 from loomgraph.llm._store import free_name
-from loomgraph.llm._text import U64, VISIBLE, Tokens, mix, pieces, powers, release, runs, shingles, text_bytes, tokenize
+from loomgraph.llm._text import U64, VISIBLE, Tokens, mix, pieces, powers, release, released, runs, shingles, text_bytes, tokenize
 
 WIDTH = 5
 COORDS = 64
@@ -125,7 +125,7 @@ def _key_column(keys: np.ndarray) -> pa.Array:
 
 def _signed_rows(width: int, coords: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(released(batches), "text"):
             tok = tokenize(*text_bytes(batch.column("text")), VISIBLE)
             cell, docs = cells(tok, width)
             found = bands(signatures(cell, docs, batch.num_rows, coords), rows)
@@ -141,7 +141,7 @@ def _signed_rows(width: int, coords: int, rows: int):
 
 def _cell_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(released(batches), "text"):
             tok = tokenize(*text_bytes(batch.column("text")), VISIBLE)
             cell, docs = cells(tok, width)
             bound = np.searchsorted(docs, np.arange(batch.num_rows + 1))
@@ -348,7 +348,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, **option
 
 def _with_key(at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, at):
+        for batch in pieces(released(batches), at):
             tok = tokenize(*text_bytes(batch.column(at)), VISIBLE)
             yield pa.RecordBatch.from_arrays([*batch.columns, _key_column(word_keys(tok))], names=[*batch.schema.names, name])
 

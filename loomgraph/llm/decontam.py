@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import _store
 from loomgraph.llm._store import free_name
-from loomgraph.llm._text import WORD, Tokens, pieces, runs, take_text, text_bytes, tokenize, windows
+from loomgraph.llm._text import WORD, Tokens, pieces, released, runs, take_text, text_bytes, tokenize, windows
 
 NGRAM = 10
 #: Bytes of benchmark text whose windows are broadcast at once, about 5 bytes for each of them; a larger
@@ -109,7 +109,7 @@ def _hit_rows(known, at: int, names: tuple[str, str, str]):
     """The batch with n_words, indices of hit words, and items that were met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, at):
+        for batch in pieces(released(batches), at):
             _, begin, hit, items = known.value.find(batch.column(at))
             of = np.searchsorted(begin, hit, side="right") - 1
             cut = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -176,7 +176,7 @@ def _cut(at: int, hits_at: int):
     """Texts without their hit words and what stands between neighbouring ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, at):
+        for batch in pieces(released(batches), at):
             column = batch.column(at)
             hits = batch.column(hits_at)
             some = np.flatnonzero(pc.list_value_length(hits).fill_null(0).to_numpy(zero_copy_only=False))

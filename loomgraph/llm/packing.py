@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from loomgraph.llm import _store, tokenbin
 from loomgraph.llm._ranges import partitioned
-from loomgraph.llm._text import pieces
+from loomgraph.llm._text import pieces, released
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length, in tokens.
@@ -93,7 +93,7 @@ def _encoded_rows(tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = tokenbin._encoder(tokenizer), np.dtype(_width(tokenizer))
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(released(batches), "text", 1 << 20):
             ids, counts = encoder.encode(batch.column("text"))
             bound = kind.itemsize * np.concatenate([[0], np.cumsum(counts)])
             raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(ids.astype(kind).tobytes())]).cast(pa.binary())

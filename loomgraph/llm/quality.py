@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm._store import free_name
-from loomgraph.llm._text import VISIBLE, pieces, runs, text_bytes, tokenize
+from loomgraph.llm._text import VISIBLE, pieces, released, runs, text_bytes, tokenize
 
 #: Most labelled rows to learn from, chosen by a hash of doc_id: a bound on what reaches the driver.
 MAX_LABELLED = 20_000
@@ -254,7 +254,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(released(batches), "text"):
         x = features(*text_bytes(batch.column("text")))
         flat = pa.array(x.ravel())
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.FixedSizeListArray.from_arrays(flat, x.shape[1]).cast(pa.list_(pa.float64()))], names=["quality", "x"])
@@ -278,7 +278,7 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
 def _score(known, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
-        for batch in pieces(batches, at):
+        for batch in pieces(released(batches), at):
             x = features(*text_bytes(batch.column(at)))
             found = np.where(x[:, 0] > 0, model.score(x), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, name])
