@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import composed  # noqa: F401  (known by this name too)
+
 # Number words.
 NUMBERS = {
     "zero": 0,

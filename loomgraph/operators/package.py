@@ -20,13 +20,13 @@ NEAR = 0.85
 
 #: Name lists by category of class.
 CATEGORIES = {
-    "systems": ("AISystem", "AIModel", "GPAIModel"),
-    "techniques": ("AITechnique",),
-    "capabilities": ("AICapability",),
-    "stakeholders": ("Stakeholder", "AIDeveloper", "AIProvider", "AIDeployer", "AIUser"),
-    "regulators": ("Regulator",),
-    "affected": ("AffectedActor",),
-    "governance": ("Regulation", "Standard"),
+    "ai_systems": ("AISystem",),
+    "ai_models": ("AIModel",),
+    "ai_techniques": ("AITechnique",),
+    "ai_capabilities": ("AICapability",),
+    "stakeholders": ("Stakeholder",),
+    "regulations": ("Regulation",),
+    "standards": ("Standard",),
 }
 
 

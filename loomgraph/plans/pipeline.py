@@ -37,6 +37,20 @@ def label_vectors(reports: DataFrame, given: Providers) -> DataFrame:
     return given.labels if given.labels is not None else encoded(reports.select(package.label(reports).alias("name")))
 
 
+def violations(nodes: DataFrame, edges: DataFrame, reports: DataFrame, evidence: bool = True) -> DataFrame:
+    """(event_id, id, rule) of all graphs; without `evidence` the rules that need it are left out."""
+    found = validate.duplicate_nodes(nodes).select("event_id", "id", F.lit("duplicate node").alias("rule"))
+    found = found.unionByName(validate.broken_chains(edges, nodes).select("event_id", F.col("event_id").alias("id"), "rule"))
+    if evidence:
+        found = found.unionByName(validate.unsupported_nodes(nodes).withColumn("rule", F.lit("no evidence")))
+        found = found.unionByName(validate.unexplained(nodes, True).withColumn("rule", F.lit("unexplained node"))).unionByName(validate.unexplained(edges, False).withColumn("rule", F.lit("unexplained edge")))
+        proof = nodes.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id")
+        proof = proof.unionByName(edges.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id"))
+        known = reports.select("event_id", F.col("doc_id").cast("string").alias("doc_id"))
+        found = found.unionByName(validate.evidence_problems(proof, known).select("event_id", F.col("owner_id").alias("id"), F.col("problem").alias("rule")).distinct())
+    return found
+
+
 def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> dict[str, DataFrame]:
     """Tables by name: metadata, representatives, core, evidence, support, conflicts (the evidence package by strategy), nodes, edges, statements, violations.
 
@@ -58,15 +72,7 @@ def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> d
     nodes, edges = settle(nodes), settle(edges)
     rules = constraints(spark) if flags["ontology"] else constraints(spark).filter("false")
     kept = validate.repaired(edges, nodes, rules)
-    found = validate.duplicate_nodes(nodes).select("event_id", "id", F.lit("duplicate node").alias("rule"))
-    found = found.unionByName(validate.broken_chains(kept, nodes).select("event_id", F.col("event_id").alias("id"), "rule"))
-    if flags["evidence"]:
-        found = found.unionByName(validate.unsupported_nodes(nodes).withColumn("rule", F.lit("no evidence")))
-        found = found.unionByName(validate.unexplained(nodes, True).withColumn("rule", F.lit("unexplained node"))).unionByName(validate.unexplained(kept, False).withColumn("rule", F.lit("unexplained edge")))
-        proof = nodes.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id")
-        proof = proof.unionByName(kept.select("event_id", F.col("id").alias("owner_id"), F.explode("evidence").alias("e")).select("event_id", "owner_id", "e.source_doc_id"))
-        known = reports.select("event_id", F.col("doc_id").cast("string").alias("doc_id"))
-        found = found.unionByName(validate.evidence_problems(proof, known).select("event_id", F.col("owner_id").alias("id"), F.col("problem").alias("rule")).distinct())
+    found = violations(nodes, kept, reports, flags["evidence"])
     return {"metadata": packed.metadata, "representatives": chosen, "core": packed.core, "evidence": packed.evidence, "support": packed.support, "conflicts": packed.conflicts, "nodes": nodes, "edges": kept, "statements": merge.statements(kept), "violations": found}
 
 

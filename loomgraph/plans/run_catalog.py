@@ -242,7 +242,7 @@ def evidence_package(spark, sf_dir):
     listed = lambda df, c, name: df.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]).alias(name))
     number = lambda kind: p.conflicts.filter(F.col("kind") == kind).groupBy("event_id").agg(F.count("*").alias(kind))
     sums = p.support.groupBy("event_id").agg(F.count("*").alias("names"), F.sum("support").alias("support"))
-    got = p.metadata.select("event_id", "strategy").join(listed(p.reports, "doc_id", "reports"), "event_id").join(p.core.select("event_id", "systems"), "event_id").join(listed(p.evidence, "sentence", "sentences"), "event_id").join(sums, "event_id")
+    got = p.metadata.select("event_id", "strategy").join(listed(p.reports, "doc_id", "reports"), "event_id").join(p.core.select("event_id", F.col("ai_systems").alias("systems")), "event_id").join(listed(p.evidence, "sentence", "sentences"), "event_id").join(sums, "event_id")
     got = got.join(number("type_conflict"), "event_id", "left").join(number("low_support"), "event_id", "left")
     return got.select("event_id", "strategy", "reports", "systems", "sentences", "names", "support", F.coalesce("type_conflict", F.lit(0)).alias("conflicts"), F.coalesce("low_support", F.lit(0)).alias("low"))
 

@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
+from test_eval import NODE, node
 
 from loomgraph.functions import encode
 from loomgraph.operators import package
-from tests.test_eval import NODE, node  # noqa: F401
 
 
 def _reports(spark, sizes):
@@ -51,4 +51,5 @@ def test_whole_package(spark, n):
     assert got.conflicts.filter("kind = 'type_conflict'").count() == (2 if n > 4 else 0)
     support = {r.name: r.support for r in got.support.collect()}
     assert support.keys() == ({"Alpha", "Beta"} if n > 1 else {"Beta"})
-    assert got.core.first().systems == (["Beta", "Alpha"] if n > 1 else ["Beta"])
+    core = got.core.first()
+    assert core.ai_systems == ["Beta", "Alpha"][:n] and core.ai_models == (["Alpha", "Beta"] if n > 4 else [])
