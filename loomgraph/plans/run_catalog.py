@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import encode, json_repair, text, vocab
-from loomgraph.operators import merge, metrics, package
+from loomgraph.operators import merge, metrics, package, wide
 from loomgraph.operators.rounds import shared_folder
 from loomgraph.plans import align, build, metrics_sql, pipeline
 from loomgraph.plans.catalog import _E, REPORTS_SQL, entities, query, reports, table
@@ -262,6 +262,19 @@ def keyed_table(spark, sf_dir):
     return held.rows()
 
 
+@query(f"""WITH m AS ({_M}), x AS (SELECT *, lower(regexp_replace(trim(name), '\\s+', ' ', 'g')) AS k FROM m)
+    SELECT event_id::VARCHAR AS event_id, arg_min(id, pos) AS id, arg_min(name, pos) AS name, entity_type, CASE WHEN count(*) > 1 THEN round(max(confidence), 2) ELSE min(confidence) END AS confidence, CASE WHEN count(*) > 1 THEN count(DISTINCT doc) ELSE min(support_count) END AS support_count,
+        count(*) AS n_evidence, list_sort(list(DISTINCT doc)) AS docs, list(pos ORDER BY pos)[1:2] AS first FROM x GROUP BY x.event_id, k, entity_type""")
+def wide_entities(spark, sf_dir):
+    """Merged mentions with evidence and documents in tables of their own."""
+    got = wide.merged(wide.split(_mentions(spark, sf_dir)), [F.col("event_id"), F.lower(text.normalize_name(F.col("name"))), F.col("entity_type")])
+    n = got.evidence.groupBy("owner").agg(F.count("*").alias("n_evidence"))
+    docs = got.documents.groupBy("owner").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    first = wide.first_evidence(got, 2).groupBy("owner").agg(F.array_sort(F.collect_list("place.pos")).alias("first"))
+    rows = got.entities.join(n, "owner").join(docs, "owner").join(first, "owner")
+    return rows.select("event_id", "id", "name", "entity_type", "confidence", F.col("support_count").cast("long").alias("support_count"), "n_evidence", "docs", "first")
+
+
 _BATCH = "doc::BIGINT % 3"
 
 
