@@ -396,13 +396,13 @@ stirling, _grid_table = lru_cache(maxsize=3)(_stirling), lru_cache(maxsize=len(G
 _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def _saddle(customers: int, discount: float, t: np.ndarray) -> np.ndarray:
+def _saddle(customers: int | np.ndarray, discount: float, t: np.ndarray) -> np.ndarray:
     """log S(customers, t) up to a common summand, by the saddle point of (1 - (1 - z)**d)**t at the power `customers`."""
     d = discount
     v = np.minimum(np.log(t * d / customers) / (1 - d), -1e-9)  # log of y = 1 - z
     for _ in range(12):
         y, part = np.exp(v), -np.expm1(d * v)
-        miss = np.log(t * d) + np.log1p(-y) + (d - 1) * v - np.log(part) - math.log(customers)
+        miss = np.log(t * d) + np.log1p(-y) + (d - 1) * v - np.log(part) - np.log(customers)
         v = np.minimum(v - miss / (d - 1 - y / (1 - y) + d * (1 - part) / part), -1e-9)
     y, part = np.exp(v), -np.expm1(d * v)
     pull = t * d * (1 - y) * y ** (d - 1) / part
@@ -443,13 +443,38 @@ def _steps(customers: int, discount: float, t: np.ndarray) -> np.ndarray:
             return np.diff(found)
         here, there = (_saddle(customers, discount, v.astype(float)) + fall[np.minimum(v, len(fall)) - 1] for v in (t, t + 1))
         return there - here
-    many = math.log(customers / WEIGHED)
+    return -_fallen(customers, discount, t, x, fall) - np.log(discount * t)
+
+
+#: Nodes that a sum of steps is taken at.
+NODES = 128
+
+
+def _logs(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
+    """log S(customers, tables) of dishes of more than WEIGHED customers: of one table exactly, of more by the sum of `_steps`."""
+    c, t = customers.astype(float), tables.astype(float)
+    one = _log_gamma(c - discount) - math.lgamma(1 - discount)
+    x, fall = _scaled(discount)
+    if discount <= 0.5:
+        found = [_saddle(c, discount, v) + fall[np.minimum(v.astype(np.int64), len(fall)) - 1] for v in (np.ones_like(t), t)]
+        return one + found[1] - found[0]
+    at = np.exp(np.linspace(0.0, 1.0, NODES)[None, :] * np.log(np.maximum(t - 1, 1))[:, None])
+    miss = _fallen(c[:, None], discount, at, x, fall)
+    # the sum over whole numbers as the integral, over logs, and half of both ends
+    logs = np.log(at)
+    area = (0.5 * (miss[:, 1:] * at[:, 1:] + miss[:, :-1] * at[:, :-1]) * np.diff(logs, axis=1)).sum(axis=1) + 0.5 * (miss[:, 0] + miss[:, -1])
+    return one - (t - 1) * math.log(discount) - _log_gamma(t) - np.where(t > 1, area, 0.0)
+
+
+def _fallen(customers, discount: float, t: np.ndarray, x: np.ndarray, fall: np.ndarray) -> np.ndarray:
+    """How far a step falls below that of ever more customers, for a discount beyond 1/2."""
+    many = np.log(customers / WEIGHED)
     few = t < SHARE * customers
     at = np.log(t) - np.where(few, discount, 1.0) * many
     slope = (fall[-1] - fall[-33]) / (x[-1] - x[-33])
     below = (fall[8] - fall[0]) / (x[8] - x[0])
     level = np.where(at > x[-1], fall[-1] + slope * (at - x[-1]), np.where(at < x[0], fall[0] + below * (at - x[0]), np.interp(at, x, fall)))
-    return -np.exp(level - np.where(few, discount * many, 0.0)) - np.log(discount * t)
+    return np.exp(level - np.where(few, discount * many, 0.0))
 
 
 @dataclass
@@ -800,7 +825,7 @@ class Shard:
 # ---- what is learnt about strengths and discounts --------------------------------------------------
 
 _SUMS, _CUSTOMERS1, _TABLES1, _CUSTOMERS2, _TABLES2 = 0, 1, 2, 3, 4
-_HELD, _DISH, _WAIT = 10, 20, 30
+_HELD, _DISH, _WAIT, _LARGE = 10, 20, 30, 40
 
 
 def _counted(kind: int, values: np.ndarray) -> list[tuple[int, int, float]]:
@@ -820,23 +845,25 @@ def _house_stats(level: int, customers: np.ndarray, tables: np.ndarray, strength
 
 
 def _dish_stats(level: int, customers: np.ndarray, tables: np.ndarray) -> list[tuple[int, int, float]]:
-    some = (customers > 1) & (customers <= WEIGHED)
-    return _counted(_DISH + level, customers[some] << 20 | tables[some])
+    """Dishes by customers and tables; of those of more than WEIGHED customers the sums of logs for each discount of GRID."""
+    some, large = (customers > 1) & (customers <= WEIGHED), customers > WEIGHED
+    sums = [(_LARGE + level, i, float(_logs(customers[large], tables[large], d).sum())) for i, d in enumerate(GRID)] if large.any() else []
+    return [*_counted(_DISH + level, customers[some] << 20 | tables[some]), *sums]
 
 
-def _resample(strength: float, houses: dict[int, float], dishes: dict[int, float], wait: float, rng: np.random.Generator) -> tuple[float, float]:
+def _resample(strength: float, houses: dict[int, float], dishes: dict[int, float], wait: float, rng: np.random.Generator, large: dict[int, float] | None = None) -> tuple[float, float]:
     """(strength, discount) drawn given the tables: the discount on GRID, the strength by auxiliary variables; priors are flat and Gamma(1, 1).
 
-    Dishes of more than WEIGHED customers, few in number, do not count for the discount.
+    `large` has, by place in GRID, what dishes of more than WEIGHED customers weigh.
     """
     held = np.array(sorted(houses), np.int64)
     n = np.array([houses[int(h)] for h in held])
     c, t = (np.array([k >> 20 for k in dishes], np.int64), np.array([k & ((1 << 20) - 1) for k in dishes], np.int64))
     m = np.array(list(dishes.values()))
     logs = []
-    for d in GRID:
+    for i, d in enumerate(GRID):
         opened = (held - 1) * math.log(d) + _log_gamma(held + strength / d) - math.lgamma(1 + strength / d) if len(held) else np.zeros(0)
-        logs.append(float((n * opened).sum() + (m * _grid_table(d)[c, t]).sum()))
+        logs.append(float((n * opened).sum() + (m * _grid_table(d)[c, t]).sum()) + (large or {}).get(i, 0.0))
     logs = np.array(logs)
     weight = np.exp(logs - logs.max())
     discount = GRID[int(rng.choice(len(GRID), p=weight / weight.sum()))]
@@ -1130,7 +1157,8 @@ def _next_level(level: Level, up: dict, down: dict, fixed: bool, rng: np.random.
                 wait += n
         for key, n in down.get(_DISH + i, {}).items():
             dishes[key] = dishes.get(key, 0) + n
-        strength[i], discount[i] = _resample(strength[i], houses, dishes, wait, rng)
+        large = {k: up.get(_LARGE + i, {}).get(k, 0.0) + down.get(_LARGE + i, {}).get(k, 0.0) for k in range(len(GRID))}
+        strength[i], discount[i] = _resample(strength[i], houses, dishes, wait, rng, large)
     new.strength, new.discount = tuple(strength), tuple(discount)
     return new
 

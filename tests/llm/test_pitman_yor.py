@@ -278,6 +278,55 @@ def test_strengths_and_discounts_are_found():
         assert abs(d - discount) < 0.06 and abs(s - strength) < 0.25 * strength + 0.5, (s, d)
 
 
+def _seated(n, strength, discount, rng):
+    """Customers of each table of a restaurant of n."""
+    at, size = [], []
+    for i in range(n):
+        k = len(size)
+        if rng.random() * (strength + i) < strength + discount * k:
+            size.append(0)
+        else:
+            k = at[int(rng.random() * i)]
+            while rng.random() * size[k] >= size[k] - discount:
+                k = at[int(rng.random() * i)]
+        size[k] += 1
+        at.append(k)
+    return np.array(size)
+
+
+@pytest.mark.parametrize(("discount", "n"), [(0.5, 4000), (0.5, 400_000), (0.7, 200_000)])
+def test_discounts_are_found_with_dishes_of_any_size(discount, n):
+    gen = np.random.default_rng(3)
+    size = _seated(n, 10.0, discount, random.Random(3))
+    share = 1 / np.arange(1, 20_001)
+    dish = gen.choice(20_000, len(size), p=share / share.sum())
+    customers, tables = np.bincount(dish, size).astype(np.int64), np.bincount(dish)
+    customers, tables = customers[tables > 0], tables[tables > 0]
+    assert (n < 5000) or tables[customers > py.WEIGHED].sum() > 0.2 * len(size)
+    stats = py._dish_stats(1, customers, tables)
+    dishes, large = ({k: v for kind, k, v in stats if kind == name} for name in (21, 41))
+    strength, found = 10.0, []
+    for _ in range(60):
+        house = py._house_stats(1, np.array([n]), np.array([len(size)]), strength, gen)
+        strength, d = py._resample(strength, {k: v for kind, k, v in house if kind == 11}, dishes, sum(v for kind, _, v in house if kind == 31), gen, large)
+        found.append(d)
+    assert abs(np.mean(found[20:]) - discount) < 0.03
+
+
+@pytest.mark.parametrize("discount", [0.05, 0.25, 0.5, 0.55, 0.75, 0.95])
+def test_logs_beyond_the_table(discount):
+    """Against the recursion for 3000 customers, in units of the log."""
+    many = 3000
+    t, logs = np.arange(many + 2), np.full(many + 2, -np.inf)
+    logs[1] = 0.0
+    for c in range(1, many):
+        with np.errstate(divide="ignore"):
+            stay = np.log(np.maximum(c - t * discount, 0)) + logs
+        logs = np.logaddexp(np.where(t <= c, stay, -np.inf), np.concatenate([[-np.inf], logs[:-1]]))
+    some = np.array([1, 2, 5, 20, 100, max(2, int(many**discount)), 700])
+    assert np.abs(py._logs(np.full(len(some), many), some, discount) - logs[some]).max() < 0.8
+
+
 def test_probabilities_sum_to_one(tmp_path):
     texts = corpus(5, 20)
     word, doc = py.text_tokens(*_text.text_bytes(pa.array(texts)))
