@@ -451,7 +451,10 @@ NODES = 128
 
 
 def _logs(customers: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
-    """log S(customers, tables) of dishes of more than WEIGHED customers: of one table exactly, of more by the sum of `_steps`."""
+    """log S(customers, tables) of dishes of more than WEIGHED customers: of one table exactly, of more by the sum of `_steps`.
+
+    For 3000 customers with up to half as many tables within 1 of the true logs, at a discount of 0.95 within 2.5.
+    """
     c, t = customers.astype(float), tables.astype(float)
     one = _log_gamma(c - discount) - math.lgamma(1 - discount)
     x, fall = _scaled(discount)
