@@ -50,7 +50,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        have = np.full(max(n + 1, CHUNK + 1), base & (2**64 - 1), dtype=np.uint64)
+        have = np.full(max(1 << 16, 1 << n.bit_length()), base & (2**64 - 1), dtype=np.uint64)
         have[0] = 1
         _powers[base] = have = np.cumprod(have)
         if len(have) > 4 * CHUNK:

@@ -108,6 +108,8 @@ def word_keys(tok: Tokens) -> np.ndarray:
 
 #: Rows of an id and a key up to which a table is broadcast.
 NARROW = 500_000
+#: Bytes of text that are handled at once.
+PIECE = 512 << 10
 #: Keys of a bucket that are compared in one task; a larger bucket is compared block by block.
 BLOCK = 2048
 
@@ -125,7 +127,7 @@ def _key_column(keys: np.ndarray) -> pa.Array:
 
 def _signed_rows(width: int, coords: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(released(batches), "text"):
+        for batch in pieces(released(batches), "text", PIECE):
             tok = tokenize(*text_bytes(batch.column("text")), VISIBLE)
             cell, docs = cells(tok, width)
             found = bands(signatures(cell, docs, batch.num_rows, coords), rows)
@@ -141,7 +143,7 @@ def _signed_rows(width: int, coords: int, rows: int):
 
 def _cell_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(released(batches), "text"):
+        for batch in pieces(released(batches), "text", PIECE):
             tok = tokenize(*text_bytes(batch.column("text")), VISIBLE)
             cell, docs = cells(tok, width)
             bound = np.searchsorted(docs, np.arange(batch.num_rows + 1))
@@ -348,7 +350,7 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, **option
 
 def _with_key(at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(released(batches), at):
+        for batch in pieces(released(batches), at, PIECE):
             tok = tokenize(*text_bytes(batch.column(at)), VISIBLE)
             yield pa.RecordBatch.from_arrays([*batch.columns, _key_column(word_keys(tok))], names=[*batch.schema.names, name])
 
