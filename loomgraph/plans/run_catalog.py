@@ -275,6 +275,27 @@ def wide_entities(spark, sf_dir):
     return rows.select("event_id", "id", "name", "entity_type", "confidence", F.col("support_count").cast("long").alias("support_count"), "n_evidence", "docs", "first")
 
 
+_SECTION_SQL = " UNION ALL ".join(
+    f"SELECT event_id, '{name}' AS section, {'roles' if name.startswith('roles') else 'whole'} AS core, array_to_string(lines[1:{sentences}], chr(10)) AS evidence, " + (f"'{{{{' || array_to_string(best[1:{names}], ',') || '}}}}'" if names else "'{{}}'") + " AS support FROM told JOIN ev USING (event_id) LEFT JOIN sup USING (event_id)"
+    for compact in (False, True) for name, sentences, names in providers.SECTIONS[compact]
+).replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH e AS ({_E}), lists AS (SELECT event_id, {", ".join(f"coalesce(list(name ORDER BY pos) FILTER (entity_type IN ({', '.join(repr(k) for k in kinds)})), []) AS {c}" for c, kinds in package.CATEGORIES.items())} FROM e GROUP BY event_id),
+    told AS (SELECT event_id, CAST(to_json(struct_pack({", ".join(f"{c} := {c}" for c in package.CATEGORIES)})) AS VARCHAR) AS whole, CAST(to_json(struct_pack({", ".join(f"{c} := {c}" for c in providers.ROLE_CORE)})) AS VARCHAR) AS roles FROM lists),
+    ev AS (SELECT event_id, list('- [' || doc_id || '] ' || title ORDER BY pos) AS lines FROM ({REPORTS_SQL}) GROUP BY event_id),
+    s AS (SELECT event_id, name, arg_max(support_count, pos) AS support FROM e GROUP BY ALL), sup AS (SELECT event_id, list(CAST(to_json(name) AS VARCHAR) || ':' || support ORDER BY support DESC, name) AS best FROM s GROUP BY event_id)
+    {_SECTION_SQL}""")
+def prompt_inputs(spark, sf_dir):
+    """The sections of long and short prompts of all events, from their titles and parts."""
+    from pyspark.sql import Window
+
+    e = entities(spark, sf_dir)
+    evidence = reports(spark, sf_dir).select("event_id", "doc_id", F.col("title").alias("sentence"), F.row_number().over(Window.partitionBy("event_id").orderBy("pos")).alias("rank"))
+    both = [providers.prompt_inputs(package.categorize(e), evidence, package.support_by_name(e), compact) for compact in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 _BATCH = "doc::BIGINT % 3"
 
 

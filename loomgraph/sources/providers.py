@@ -90,6 +90,40 @@ def evidence_context(evidence: DataFrame, most: int) -> DataFrame:
     return ranked.groupBy("event_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("x")))), lambda s: s["x"]), "\n").alias("context"))
 
 
+#: Sentences and supported names that the sections of a prompt have, at first and in a shorter second try.
+SECTIONS = {
+    False: (("risk_chain", 30, 25), ("inference", 20, 0)),
+    True: (("risk_chain", 12, 12), ("risk_chain_again", 4, 6), ("fields", 10, 0), ("fields_again", 6, 0), ("roles", 4, 0), ("roles_again", 4, 0)),
+}
+ROLE_CORE = ("ai_systems", "ai_models", "stakeholders", "regulations", "standards")
+
+
+def prompt_inputs(core: DataFrame, evidence: DataFrame, support: DataFrame, compact: bool = False) -> DataFrame:
+    """(event_id, section, core, evidence, support): what the sections of the prompts are filled with, events without evidence left out.
+
+    `core` is JSON of all name lists by category, for roles of five of them.  `evidence` has lines `- [document] sentence`
+    of the first sentences by rank, `support` is JSON of the best supported names, of equals by name, or `{}` where a
+    section has none.  `compact` is for models that need short prompts.
+    """
+    categories = [c for c in core.columns if c != "event_id"]
+    told = core.select("event_id", F.to_json(F.struct(*categories)).alias("_whole"), F.to_json(F.struct(*[c for c in ROLE_CORE if c in categories])).alias("_roles"))
+    most = max(n for _, n, _ in SECTIONS[compact])
+    line = F.concat(F.lit("- ["), F.coalesce(nz(F.col("doc_id").cast("string")), F.lit("?")), F.lit("] "), F.coalesce("sentence", F.lit("")))
+    lines = evidence.filter(F.col("rank") <= most).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("x"))))["x"].alias("_lines"))
+    named = max(n for _, _, n in SECTIONS[compact])
+    from pyspark.sql import Window
+
+    best = support.withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("support"), "name"))).filter(F.col("_n") <= named)
+    best = best.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("_n", F.col("name").alias("k"), F.col("support").cast("long").alias("v")))).alias("_best"))
+    pairs = lambda n: F.map_from_entries(F.transform(F.slice(F.coalesce("_best", F.array().cast("array<struct<_n:int,k:string,v:bigint>>")), 1, n), lambda x: F.struct(x["k"], x["v"])))
+    section = lambda name, sentences, names: F.struct(
+        F.lit(name).alias("section"), (F.col("_roles") if name.startswith("roles") else F.col("_whole")).alias("core"), F.array_join(F.slice("_lines", 1, sentences), "\n").alias("evidence"),
+        (F.to_json(pairs(names)) if names else F.lit("{}")).alias("support"),
+    )
+    rows = told.join(lines, "event_id").join(best, "event_id", "left")
+    return rows.select("event_id", F.explode(F.array(*[section(*x) for x in SECTIONS[compact]])).alias("x")).select("event_id", "x.*")
+
+
 def model_family(name: str) -> str | None:
     """The family of a model that needs short prompts and one call at a time, if it is of one."""
     return next((f for f in ("glm", "deepseek", "minimax") if f in name.lower()), None)
