@@ -51,11 +51,12 @@ def violations(nodes: DataFrame, edges: DataFrame, reports: DataFrame, evidence:
     return found
 
 
-def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> dict[str, DataFrame]:
+def run_events(reports: DataFrame, given: Providers, variant: str = "full", ontology: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables by name: metadata, representatives, core, evidence, support, conflicts (the evidence package by strategy), nodes, edges, statements, violations.
 
     A variant leaves stages out: without aggregation entities are only put together by name, without
     inference those tables are empty, without ontology or evidence the checks that need them are not made.
+    `ontology` has the constraints of relations (as of `read_ontology`) in place of the fixed ones.
     """
     flags = experiment(variant)
     spark = reports.sparkSession
@@ -70,7 +71,8 @@ def run_events(reports: DataFrame, given: Providers, variant: str = "full") -> d
     keep = lambda t: t if flags["inference"] else t.filter("false")
     nodes, edges = build.build_graphs(reports, entities, given.slots, keep(given.inferences), keep(given.governance), keep(given.roles), fallback, given.attributes if flags["inference"] else None)
     nodes, edges = settle(nodes), settle(edges)
-    rules = constraints(spark) if flags["ontology"] else constraints(spark).filter("false")
+    rules = constraints(spark) if ontology is None else ontology
+    rules = rules if flags["ontology"] else rules.filter("false")
     kept = validate.repaired(edges, nodes, rules)
     found = violations(nodes, kept, reports, flags["evidence"])
     return {"metadata": packed.metadata, "representatives": chosen, "core": packed.core, "evidence": packed.evidence, "support": packed.support, "conflicts": packed.conflicts, "nodes": nodes, "edges": kept, "statements": merge.statements(kept), "violations": found}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import clean_web_page, nz
+from loomgraph.functions.vocab import CLASS_ALIASES, CLASSES
 
 CASE = (
     "id string, original_id string, title string, title_en string, title_cn string, text string, text_en string, text_cn string, translated_text string, "
@@ -61,6 +62,31 @@ def require(spark: SparkSession, path: str) -> str:
     return path
 
 
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    """(predicate, domain, range) of a file with `relations`: predicate to lists `domain` and `range`; JSON, or YAML where a parser is there.
+
+    Classes are known ones or aliases, whatever their case; others are left out.  A relation without a list allows none.
+    """
+    text = "\n".join(r.value for r in spark.read.text(require(spark, path), wholetext=True).collect())  # a file of one ontology
+    try:
+        found = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} is not JSON, and there is no parser of YAML") from e
+        found = yaml.safe_load(text)
+    known = {c.lower(): c for c in CLASSES}
+
+    def classes(names: list | None) -> list[str]:
+        low = [str(n).strip().lower() for n in names or []]
+        return list(dict.fromkeys(c for c in (CLASS_ALIASES.get(n) or known.get(n) for n in low) if c))
+
+    relations = (found or {}).get("relations") or {}
+    rows = [(p, classes((r or {}).get("domain")), classes((r or {}).get("range"))) for p, r in relations.items()]
+    return spark.createDataFrame(rows, "predicate string, domain array<string>, range array<string>")
+
+
 def load_docs(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, content) of JSON lines: the translated text where there is one; of documents of one id the last in the files stays."""
     rows = spark.read.schema("case_id string, id string, translated_text string, text string").json(require(spark, path)).withColumn("_at", F.monotonically_increasing_id())
