@@ -32,6 +32,18 @@ def test_pairs_count_by_their_rounded_score(both, name, edge):
     assert got == want and {r[3] for r in got if r[1] == 0} != set()
 
 
+def _documents(texts):
+    n = len(texts)
+    return pd.DataFrame({"doc_id": range(n), "text": texts, "lang": "en", "source": "s", "n_chars": [len(t) for t in texts]})
+
+
+@pytest.mark.parametrize("name", ["online_registry", "fusion_mapping", "hybrid_pairs", "aligned_entities"])
+def test_names_that_end_like_companies(both, name):
+    texts = ["Alpha beta co and more", "Alpha beta Co. and more", "gamma delta inc and so on", "Alpha betaco rest of it", "gamma delta ltd and so on", "co inc ltd more words"] * 3
+    got, want = both(name, documents=_documents(texts))
+    assert got == want and got
+
+
 def test_evidence_of_edges_that_fall_together(both):
     suppliers = pd.DataFrame({"s_suppkey": range(1, 200), "s_nationkey": [k % 2 for k in range(1, 200)], "s_name": [f"S{k}" for k in range(1, 200)]})
     customers = pd.DataFrame({"c_custkey": range(1, 30), "c_nationkey": [k % 2 for k in range(1, 30)], "c_name": [f"C{k}" for k in range(1, 30)]})
