@@ -28,6 +28,8 @@ def classify(texts: list[Column], rules: list[tuple[str, list[str]]]) -> Column:
             return first_rule(low, rules)
         hit = None
         for code, words in rules:
+            if not words:
+                continue
             any_ = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
             hit = F.when(any_, code) if hit is None else hit.when(any_, code)
         return hit if hit is not None else F.lit(None).cast("string")

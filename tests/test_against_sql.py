@@ -50,3 +50,13 @@ def test_evidence_of_edges_that_fall_together(both):
     nations = pd.DataFrame({"n_nationkey": [0, 1], "n_name": ["A", "B"]})
     got, want = both("fusion_edges", supplier=suppliers, customer=customers, nation=nations)
     assert got == want and max(len(r[5]) for r in got if r[2] == "hasRisk") > 1
+
+
+def test_keywords_of_texts_not_of_roles(both):
+    # 200 more frequent words, then some that a role holds
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}xx" for i in range(200)]
+    others = [f"other{chr(97 + i)}" for i in range(25)]
+    docs = _documents([" ".join(words * 3 + ["assist", "user", "plainword"] + others)])
+    talks = pd.DataFrame({"conv_id": [1, 1, 2, 2, None], "turn": [0, 1, 0, 0, 0], "role": ["user", "assistant", "user", "user", "user"], "text": ["nothing", None, "plainword", "assist", "assist"]}).astype({"conv_id": "Int64"})
+    got, want = both("taxonomy_keywords", documents=docs, conversations=talks)
+    assert got == want and len(got) == 4
