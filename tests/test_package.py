@@ -53,3 +53,12 @@ def test_whole_package(spark, n):
     assert support.keys() == ({"Alpha", "Beta"} if n > 1 else {"Beta"})
     core = got.core.first()
     assert core.ai_systems == ["Beta", "Alpha"][:n] and core.ai_models == (["Alpha", "Beta"] if n > 4 else [])
+
+
+def test_no_name_of_the_query_is_left_out(spark):
+    from loomgraph.plans.catalog import QUERIES, entities
+
+    sf_dir = "/root/testdata/sf0.001"
+    lists = [c for c in QUERIES["categorize"](spark, sf_dir).columns if c != "event_id"]
+    got = sum(sum(len(r[c]) for c in lists) for r in QUERIES["categorize"](spark, sf_dir).collect())
+    assert got == entities(spark, sf_dir).count()
