@@ -12,17 +12,22 @@ from loomgraph.plans.build import EVIDENCE
 
 RAW = "array<struct<mention:string,entity_type:string,normalized_name:string,evidence_sentence:string,evidence:string,confidence:double,attributes:map<string,string>>>"
 
+#: Rows up to which a lexicon is broadcast.
+LEXICON = 100_000
+
 
 def gazetteer(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Answers of an extractor that knows a lexicon (name, entity_type): a mention per sentence and known word.
 
     Sentences and names are met on their words, so no document is compared with the whole lexicon; names
-    of several words are checked after their first word matched.
+    of several words are checked after their first word matched.  A lexicon of up to LEXICON rows goes to
+    every task, so that no sentence is moved for its words; beyond it sentences move once for each of them.
     """
     sentences = documents.select("event_id", "doc_id", F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("at", "sentence"))
     words = sentences.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("sentence"), r"[^\p{L}\p{N}_]+"))))
     known = lexicon.select("name", "entity_type", F.element_at(F.split(F.lower("name"), r"[^\p{L}\p{N}_]+"), 1).alias("word"))
-    met = words.join(known, "word").filter(F.contains(F.lower("sentence"), F.lower("name")))
+    few = known.limit(LEXICON + 1).count() <= LEXICON
+    met = words.join(F.broadcast(known) if few else known, "word").filter(F.contains(F.lower("sentence"), F.lower("name")))
     return met.select("event_id", "doc_id", F.col("name").alias("mention"), "entity_type", F.col("name").alias("normalized_name"), F.col("sentence").alias("evidence_sentence"), F.lit(0.9).alias("confidence"), "at")
 
 

@@ -62,3 +62,15 @@ def test_no_name_of_the_query_is_left_out(spark):
     lists = [c for c in QUERIES["categorize"](spark, sf_dir).columns if c != "event_id"]
     got = sum(sum(len(r[c]) for c in lists) for r in QUERIES["categorize"](spark, sf_dir).collect())
     assert got == entities(spark, sf_dir).count()
+
+
+def test_a_lexicon_goes_to_the_sentences(spark, monkeypatch):
+    from loomgraph.sources import providers
+
+    docs = spark.createDataFrame([("e", i, f"The cat of {i}. A dog, the end!") for i in range(20)], "event_id string, doc_id int, content string")
+    lexicon = spark.createDataFrame([("The", "AISystem"), ("the end", "AIModel"), ("bird", "AIModel")], "name string, entity_type string")
+    got = providers.gazetteer(docs, lexicon)
+    rows = sorted(map(tuple, got.collect()))
+    assert len(rows) == 60 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(providers, "LEXICON", 1)
+    assert rows == sorted(map(tuple, providers.gazetteer(docs, lexicon).collect()))
