@@ -177,3 +177,12 @@ def test_rules_table(spark):
     edges = spark.createDataFrame([("e", "a", "develops", "b"), ("e", "b", "develops", "a"), ("e", "a", "unknown", "b"), ("e", "a", "develops", "a"), ("e", "a", "develops", "z")], "event_id string, subject_id string, predicate string, object_id string")
     got = [(r.subject_id, r.predicate, r.object_id, r.problem) for r in validate.judged_edges(edges, nodes, rules).collect()]
     assert set(got) == {("a", "develops", "b", None), ("b", "develops", "a", "ontology"), ("a", "unknown", "b", None), ("a", "develops", "a", "self-loop"), ("a", "develops", "z", "dangling")}
+
+
+def test_regulators_of_one_event_spread_over_tasks(spark):
+    node = lambda n, kind, p: build.make_nodes(spark.range(n), event_id=F.lit("e"), pos=F.col("id"), id=F.concat(F.lit(p), "id"), name=F.col("id").cast("string"), entity_type=F.lit(kind), extraction_mode=F.lit("explicit"), confidence=F.lit(0.5), source_doc_ids=F.array(F.lit("d")))
+    incident = spark.createDataFrame([("e", "incident")], "event_id string, name string")
+    edges = build.regulator_edges(node(5000, "Regulator", "r").unionByName(node(40, "Regulation", "g")), incident)
+    enforced = edges.filter("predicate = 'enforces'").withColumn("task", F.spark_partition_id())
+    assert enforced.select("subject_id", "object_id").distinct().count() == enforced.count() == 200_000
+    assert enforced.select("task").distinct().count() > 1 and edges.filter("predicate = 'investigates'").count() == 5000
