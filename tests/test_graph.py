@@ -72,6 +72,9 @@ def test_pairs_do_not_depend_on_blocks(spark):
     rows = spark.createDataFrame([(i, i % 2, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)] + [(99, None, [0.0] * 4)], "id int, kind int, vector array<double>")
     want = sorted(map(tuple, similarity.similar_pairs(rows, 0.5, kind="kind").collect()))
     assert want == sorted(map(tuple, similarity.similar_pairs(rows, 0.5, kind="kind", block=7).collect())) and len(want) > 50
+    few = similarity.similar_pairs(rows, 0.5, kind="kind", block=20, best=2)
+    top = lambda pairs: sorted(map(tuple, similarity.top_pairs(pairs, 2, "kind").collect()))
+    assert few.count() <= 2 * 2 * 10 < len(want) and top(few) == top(spark.createDataFrame(want, few.schema))
 
 
 def test_graphs(reports, given):
