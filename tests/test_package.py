@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from test_eval import NODE, node
@@ -74,3 +76,20 @@ def test_a_lexicon_goes_to_the_sentences(spark, monkeypatch):
     assert len(rows) == 60 and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(providers, "LEXICON", 1)
     assert rows == sorted(map(tuple, providers.gazetteer(docs, lexicon).collect()))
+
+
+def test_longest_sentences_by_place(spark):
+    import random
+
+    from loomgraph.plans.run_catalog import _longest_said
+
+    rng, kinds = random.Random(4), ("x", "y", "z")
+    docs = [(f"e{i % 3}", i, f"d{i}", f"t{i}", None if i == 7 else " ".join("w" * rng.randrange(4) + "." for _ in range(rng.randrange(9)))) for i in range(40)]
+    want = {}
+    for event, pos, doc, title, text in docs:
+        for i, value in enumerate(re.split(r"(?<=[.!?])\s+", text) if text is not None else []):
+            key = (event, kinds[i % 3])
+            found = (len(value), -pos, -i, value, title, doc)
+            want[key] = max(want.get(key, found), found)
+    got = {(r.event_id, r.field): (r.value, r.evidence, r.source_doc_id) for r in _longest_said(spark.createDataFrame(docs, "event_id string, pos long, doc_id string, title string, content string"), kinds).collect()}
+    assert got == {k: v[3:] for k, v in want.items()} and len(got) == 9
