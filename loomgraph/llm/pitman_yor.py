@@ -410,14 +410,15 @@ def _saddle(customers: int | np.ndarray, discount: float, t: np.ndarray) -> np.n
     return t * np.log(part / d) - customers * np.log1p(-y) - 0.5 * np.log(width) - _log_gamma(t + 1)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=len(GRID) + 3)
 def _scaled(discount: float) -> tuple[np.ndarray, np.ndarray]:
     """What the table's last row gives for more customers.
 
     Up to a discount of 1/2: what the saddle point misses for each number of tables.  Beyond: (log t, log of how far
-    S(W, t + 1) / S(W, t) * discount * t falls below 1, as a log).
+    S(W, t + 1) / S(W, t) * discount * t falls below 1, as a log).  A worker keeps these for all of GRID, a few KB each; the
+    table itself is not kept, so that those of a sweep are.
     """
-    log_s = stirling(discount)[WEIGHED]
+    log_s = _stirling(discount)[WEIGHED]
     if discount <= 0.5:
         t = np.arange(1, WEIGHED // 2)
         return t, log_s[t] - _saddle(WEIGHED, discount, t.astype(float))

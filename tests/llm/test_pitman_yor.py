@@ -395,3 +395,10 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(2, "one two three " * 200_000), (3, "one two three"), (5, "three two one")], "doc_id long, text string")
     got = {r.doc_id: r for r in py.score(df, hot=100_000).collect()}
     assert got[2].n_tokens == 600_001 and got[3].score > got[5].score
+
+
+def test_large_dishes_work_out_each_discount_once():
+    py._scaled.cache_clear()
+    customers, tables = np.array([3000, 5000, 9]), np.array([40, 2600, 3])
+    first = py._dish_stats(1, customers, tables)
+    assert py._dish_stats(1, customers, tables) == first and py._scaled.cache_info().misses == len(py.GRID)
