@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import fold_text
 from loomgraph.functions.vocab import STAKEHOLDERS
 from loomgraph.operators import metrics, validate
-from loomgraph.operators.metrics import replicates
+from loomgraph.operators.metrics import resampled
 
 # Relations that may have objects of several stakeholder classes.
 MULTIROLE = ("involvesStakeholder", "roleHeldBy")
@@ -138,6 +138,6 @@ def adjusted_support(labels: DataFrame, literal: int, judged: int, resamples: in
     sure = F.col("label") == 2
     percent = lambda rate: (literal + judged * rate) / total * 100
     stats = labels.agg(F.count("*").alias("n"), (F.count_if(sure) / F.count("*")).alias("_rate"))
-    rates = replicates(labels.select(key, "label"), key, resamples, seed).groupBy("replicate").agg((F.sum(F.when(sure, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("rate"))
+    rates = resampled(labels, key, F.coalesce(sure, F.lit(False)), resamples, seed).select((F.col("true") / F.col("drawn")).alias("rate"))
     interval = rates.agg(F.round(F.percentile(percent(F.col("rate")), 0.025), 1).alias("low"), F.round(F.percentile(percent(F.col("rate")), 0.975), 1).alias("high"))
     return stats.select("n", F.round("_rate", 4).alias("rate"), F.round(percent(F.col("_rate")), 1).alias("esr")).join(F.broadcast(interval))  # one row each

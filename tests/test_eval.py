@@ -175,3 +175,13 @@ def test_files(spark, tmp_path):
 def test_strongest(spark):
     held = spark.createDataFrame([("e", "b", 2), ("e", "a", 2), ("e", "c", 9)], "event_id string, name string, support int")
     assert [r.name for r in package.strongest(held, 2).orderBy("rank").collect()] == ["c", "a"]
+
+
+def test_resamples_are_summed_up_in_tasks(spark):
+    rows = spark.createDataFrame([(str(i), None if i % 7 == 0 else i % 3 == 0) for i in range(50)] + [(None, True)], "id string, yes boolean").coalesce(1)
+    each = metrics.replicates(rows, "id", 30, 5).groupBy("replicate")
+    said = F.col("yes").cast("int")
+    want = each.agg(F.sum("weight").alias("drawn"), F.sum(F.when(said.isNotNull(), F.col("weight")).otherwise(0)).alias("known"), F.sum(F.when(F.col("yes"), F.col("weight")).otherwise(0)).alias("true"))
+    got = metrics.resampled(rows, "id", F.col("yes"), 30, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert metrics.resampled(rows.filter("id = 'none'"), "id", F.col("yes"), 30).count() == 0
