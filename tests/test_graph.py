@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from loomgraph.functions.vocab import constraints
 from loomgraph.operators import components, merge, metrics, package, similarity, validate
@@ -189,3 +190,15 @@ def test_regulators_of_one_event_spread_over_tasks(spark):
     enforced = edges.filter("predicate = 'enforces'").withColumn("task", F.spark_partition_id())
     assert enforced.select("subject_id", "object_id").distinct().count() == enforced.count() == 200_000
     assert enforced.select("task").distinct().count() > 1 and edges.filter("predicate = 'investigates'").count() == 5000
+
+
+@pytest.mark.parametrize("heads", [9, 40, None])
+def test_greedy_by_vector_makes_no_pairs(spark, monkeypatch, heads):
+    rng = np.random.default_rng(5)
+    made = [(i, None if i % 9 == 0 else i % 2, -i // 2, rng.normal(size=3).tolist()) for i in range(200)] + [(900, 1, 7, None), (901, 1, 8, [0.0, 0.0, 0.0])]
+    rows = spark.createDataFrame(made, "id long, group long, pos long, vector array<double>")
+    apart = rows.withColumn("pos", F.struct("pos", "id"))
+    want = similarity.greedy_leaders(apart, similarity.similar_pairs(rows, 0.6, kind="group").select("a", "b")).collect()
+    monkeypatch.setattr(similarity, "similar_pairs", None)
+    got = similarity.greedy_by_vector(rows, 0.6, heads=heads).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and 5 < sum(r.kept for r in got) < 100
