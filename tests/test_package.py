@@ -93,3 +93,15 @@ def test_longest_sentences_by_place(spark):
             want[key] = max(want.get(key, found), found)
     got = {(r.event_id, r.field): (r.value, r.evidence, r.source_doc_id) for r in _longest_said(spark.createDataFrame(docs, "event_id string, pos long, doc_id string, title string, content string"), kinds).collect()}
     assert got == {k: v[3:] for k, v in want.items()} and len(got) == 9
+
+
+@pytest.mark.parametrize("part_rows", [3, 16, None])
+def test_names_of_a_common_part_are_dealt_to_tasks(spark, part_rows):
+    rows = [(f"k{i % 2}", f"Unit {i % 23:03d} {'of lab' * (i % 3 == 0)}"[: 4 + i % 13], i) for i in range(160)]
+    got = package.alias_targets(spark.createDataFrame(rows, "kind string, name string, pos long"), part_rows=part_rows)
+    want = {}
+    for kind, name, _ in rows:
+        over = [(-len(h), p, h) for k, h, p in rows if k == kind and len(name) >= 3 and name.lower() in h.lower() and name.lower() != h.lower()]
+        if over:
+            want[kind, name] = min(over)[2]
+    assert {(r.kind, r.name): r.alias_of for r in got.collect()} == want and len(want) > 20
