@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.merge import first_filled, first_of, in_order, longest
+from loomgraph.operators.rounds import settle
 
 _PLAIN = ("event_id", "pos", "id", "name", "entity_type", "extraction_mode", "description", "confidence", "support_count", "reasoning")
 
@@ -31,8 +32,11 @@ class WideEntities:
 
 
 def split(entities: DataFrame) -> WideEntities:
-    """Entities with nested lists in the form of tables.  `event_id`, `id` and `pos` together tell rows apart."""
-    rows = entities.withColumn("owner", F.concat_ws("|", "event_id", "id", F.col("pos").cast("string")))
+    """Entities with nested lists in the form of tables.  `event_id`, `id` and `pos` together tell rows apart.
+
+    Rows are settled: four tables come from them, and what they are made of is worked out once.
+    """
+    rows = settle(entities).withColumn("owner", F.concat_ws("|", "event_id", "id", F.col("pos").cast("string")))
     at = F.struct(F.col("pos").cast("long").alias("pos"), F.col("i").cast("long").alias("i"))
     evidence = rows.select("owner", "pos", F.posexplode("evidence").alias("i", "e")).select("owner", at.alias("place"), "e")
     attributes = rows.select("owner", "pos", F.explode("attributes").alias("key", "value")).select("owner", F.struct(F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("i")).alias("place"), "key", "value")

@@ -60,3 +60,9 @@ def test_keywords_of_texts_not_of_roles(both):
     talks = pd.DataFrame({"conv_id": [1, 1, 2, 2, None], "turn": [0, 1, 0, 0, 0], "role": ["user", "assistant", "user", "user", "user"], "text": ["nothing", None, "plainword", "assist", "assist"]}).astype({"conv_id": "Int64"})
     got, want = both("taxonomy_keywords", documents=docs, conversations=talks)
     assert got == want and len(got) == 4
+
+
+def test_names_of_the_first_words(both):
+    texts = [" \t lead one two three four five", "one two three four", "one two three four \n", "  one two three ", "\none  two\x0bthree\x0cfour\rfive six seven", "one two\u00a0x three four", "", None, "    ", "x two three four", "ab two three four five six seven eight"]
+    got, want = both("wide_entities", documents=_documents([t or "" for t in texts]).assign(text=texts))
+    assert got == want and len(got) > 8

@@ -45,3 +45,18 @@ def test_a_name_of_very_many_mentions(spark):
     assert len(one) == 1 and one[0].support_count == n and got.evidence.count() == n
     node = wide.nested(wide.WideEntities(got.entities, got.evidence, got.documents.limit(5), got.attributes), most=3).first()
     assert [x.evidence_id for x in node.evidence] == ["e0", "e1", "e2"] and node.attributes == {"k": "0"}
+
+
+def test_rows_are_worked_out_once(spark):
+    """Four tables come from the rows, and none of them works them out anew."""
+    made, n = spark.sparkContext.accumulator(0), 60
+    entities = _made(spark, n, 4)
+
+    def counted(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    rows = entities.mapInArrow(counted, entities.schema)
+    assert _rows(wide.nested(wide.merged(wide.split(rows), [F.col("event_id"), F.lower("name")])))
+    assert made.value == n
