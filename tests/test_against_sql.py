@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from loomgraph.plans import run_catalog
 
 
 @pytest.fixture
@@ -66,3 +67,20 @@ def test_names_of_the_first_words(both):
     texts = [" \t lead one two three four five", "one two three four", "one two three four \n", "  one two three ", "\none  two\x0bthree\x0cfour\rfive six seven", "one two\u00a0x three four", "", None, "    ", "x two three four", "ab two three four five six seven eight"]
     got, want = both("wide_entities", documents=_documents([t or "" for t in texts]).assign(text=texts))
     assert got == want and len(got) > 8
+
+
+def test_mentions_are_worked_out_once(spark, both, monkeypatch):
+    made, real = spark.sparkContext.accumulator(0), run_catalog._mentions
+
+    def counted(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    def mentions(spark, sf_dir):
+        rows = real(spark, sf_dir)
+        return rows.mapInArrow(counted, rows.schema)
+
+    monkeypatch.setattr(run_catalog, "_mentions", mentions)
+    got, want = both("aligned_entities", documents=_documents([f"alpha{i % 5} beta gamma delta{i}" for i in range(20)]))
+    assert got == want and made.value == 40

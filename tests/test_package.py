@@ -105,3 +105,10 @@ def test_names_of_a_common_part_are_dealt_to_tasks(spark, part_rows):
         if over:
             want[kind, name] = min(over)[2]
     assert {(r.kind, r.name): r.alias_of for r in got.collect()} == want and len(want) > 20
+
+
+def test_far_parts_of_long_names_need_not_be_asked(spark, monkeypatch):
+    monkeypatch.setattr(package, "PLACE_BITS", 2)
+    rows = [("k", "common words and then rare", 0), ("k", "say common words and then rare", 1), ("k", "common words alone", 2), ("k", "words", 3)]
+    got = {r.name: r.alias_of for r in package.alias_targets(spark.createDataFrame(rows, "kind string, name string, pos long")).collect()}
+    assert got == {"common words and then rare": "say common words and then rare", "words": "say common words and then rare"}
