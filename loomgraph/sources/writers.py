@@ -14,6 +14,9 @@ from loomgraph.functions.vocab import CLASSES, MERGE_BY_NAME, STAKEHOLDERS
 BASE = "http://example.org/kg/"
 RDF, RDFS, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#"
 
+#: Triples that a task tells apart.
+TASK_ROWS = 250_000
+
 
 def nested(meta: DataFrame, nodes: DataFrame, edges: DataFrame, statements: DataFrame) -> DataFrame:
     """One row per event with its nodes, edges and statements as arrays, in order."""
@@ -39,13 +42,20 @@ def uri(kind: Column, id_: Column) -> Column:
     return F.concat(F.lit(BASE), kind, F.lit("/"), safe_uri(id_))
 
 
-def triples(nodes: DataFrame, edges: DataFrame, statements: DataFrame, meta: DataFrame) -> DataFrame:
+def triples(nodes: DataFrame, edges: DataFrame, statements: DataFrame, meta: DataFrame, task_rows: int | None = None) -> DataFrame:
     """(s, p, o, datatype): datatype is NULL for resources.
 
     Type and label always; description and reasoning if any; confidence above 0; support above 1; a
     triple per source document; evidence as resources; edges; statements without their ends; and times
-    and the number of reports on the event.
+    and the number of reports on the event.  They are told apart in tasks of about `task_rows` triples, to which they
+    are dealt as they are made: no task holds those of all rows that it reads.
     """
+    many = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0))).cast("long")
+    sizes = [nodes.select((6 + many("source_doc_ids") + 3 * many("evidence")).alias("n")), edges.select(F.lit(1).alias("n")), statements.select(F.lit(2).alias("n")), meta.select(F.lit(3).alias("n"))]
+    made = reduce(DataFrame.unionByName, sizes).agg(F.sum("n")).first()[0] or 0
+    tasks = made // (task_rows or TASK_ROWS) + 1
+    # a few bytes of a file make many times as much of triples
+    nodes = nodes.repartition(tasks, "event_id", "id")
     own = lambda p: F.lit(BASE + p)
     text, number, whole, time = F.lit(XSD + "string"), F.lit(XSD + "double"), F.lit(XSD + "integer"), F.lit(XSD + "dateTime")
     link = F.lit(None).cast("string")
@@ -74,7 +84,7 @@ def triples(nodes: DataFrame, edges: DataFrame, statements: DataFrame, meta: Dat
     out.append(each(statements, told, (None, F.lit(RDF + "type"), own("KnowledgeStatement"), link), (F.col("confidence") > 0, own("confidenceScore"), F.col("confidence"), number)))
     event = uri(F.lit("AIRiskIncident"), F.col("event_id"))
     out.append(each(meta, event, (F.col("first_seen").isNotNull(), own("firstSeen"), F.col("first_seen"), time), (F.col("last_seen").isNotNull(), own("lastSeen"), F.col("last_seen"), time), (None, own("hasSupportCount"), F.col("report_count"), whole)))
-    return reduce(DataFrame.unionByName, out).distinct()
+    return reduce(DataFrame.unionByName, out).repartition(tasks, "s", "p", "o").distinct()
 
 
 def turtle_lines(rows: DataFrame) -> DataFrame:

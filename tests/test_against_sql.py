@@ -4,9 +4,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from loomgraph.plans import run_catalog
+from loomgraph.operators import merge
+from loomgraph.plans import graph_catalog, run_catalog
+from loomgraph.sources import writers
 
 
 @pytest.fixture
@@ -84,3 +87,20 @@ def test_mentions_are_worked_out_once(spark, both, monkeypatch):
     monkeypatch.setattr(run_catalog, "_mentions", mentions)
     got, want = both("aligned_entities", documents=_documents([f"alpha{i % 5} beta gamma delta{i}" for i in range(20)]))
     assert got == want and made.value == 40
+
+
+def test_triples_are_told_apart_in_bounded_tasks(spark, both, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "TASK_ROWS", 100, raising=False)
+    suppliers = pd.DataFrame({"s_suppkey": range(1, 60), "s_nationkey": [k % 2 for k in range(1, 60)], "s_name": [f"S{k}" for k in range(1, 60)]})
+    customers = pd.DataFrame({"c_custkey": range(1, 400), "c_nationkey": [k % 2 for k in range(1, 400)], "c_name": [f"C{k}" for k in range(1, 400)]})
+    nations = pd.DataFrame({"n_nationkey": [0, 1], "n_name": ["A", "B"]})
+    got, want = both("triples", supplier=suppliers, customer=customers, nation=nations)
+    assert got == want and got
+    nodes, edges = graph_catalog.graph(spark, str(tmp_path))
+    meta = nodes.groupBy("event_id").agg(F.lit(None).cast("string").alias("first_seen"), F.lit(None).cast("string").alias("last_seen"), F.count("*").alias("report_count"))
+    rows = writers.triples(nodes, edges, merge.statements(edges), meta)
+    parts = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == rows.count() > 2000 and max(r["count"] for r in parts) < 200
+    # twice the same rows make no more triples
+    again = writers.triples(nodes.union(nodes), edges.union(edges), merge.statements(edges), meta)
+    assert again.count() == rows.count()
