@@ -105,3 +105,38 @@ def test_only_blocks_with_fresh_rows_meet(spark):
     all_ = {(r.a, r.b, r.score) for r in similar_pairs(rows, 0.9, kind="kind", block=7).collect()}
     some = {(r.a, r.b, r.score) for r in similar_pairs(rows, 0.9, kind="kind", block=7, fresh="fresh").collect()}
     assert some == {p for p in all_ if p[1] >= 50}
+
+
+def test_no_pairs_leave_a_batch(spark, tmp_path, monkeypatch):
+    """Names that are all alike are as many rows as entries, not as many as pairs."""
+    from loomgraph.operators import similarity
+
+    def none(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(similarity, "similar_pairs", none)
+    monkeypatch.setattr(registry, "similar_pairs", none, raising=False)
+    table = spark.range(90).select(F.concat(F.lit("n"), "id").alias("name"), F.array(F.lit(1.0), F.col("id") / 1e9).alias("vector"))
+    held = registry.Registry(spark, f"file://{tmp_path}/r", table, 0.99)
+    for i in range(3):
+        held.absorb(_batch(spark, *(f"n{k}" for k in range(i, 90, 3))), i)
+    assert _keys(held) == [("n0", 90)]
+
+
+def test_nearest_like_all_pairs(spark):
+    from loomgraph.operators.similarity import nearest
+
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i % 2}", f"{'h' if i % 3 else 'a'}{i}", rng.integers(0, 3, 4).astype(float).tolist(), int(rng.integers(0, 40))) for i in range(400)]
+    table = spark.createDataFrame(rows, "kind string, id string, vector array<double>, place long").withColumn("at", F.struct("place", "id"))
+    got = {r.id: (r.best, r.score) for r in nearest(table.filter("id like 'a%'"), table.filter("id like 'h%'"), 0.9, most=30).collect()}
+    want = {}
+    for kind, a, v, place in rows:
+        met = []
+        for k, h, w, p in rows:
+            size = np.linalg.norm(v) * np.linalg.norm(w)
+            if a[0] == "a" and h[0] == "h" and k == kind and (p, h) < (place, a) and size and (s := round(float(np.dot(v, w) / size), 9)) >= 0.9:
+                met.append((-s, p, h))
+        if met:
+            want[a] = (min(met)[2], -min(met)[0])
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in got)
