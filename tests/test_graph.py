@@ -202,3 +202,13 @@ def test_greedy_by_vector_makes_no_pairs(spark, monkeypatch, heads):
     monkeypatch.setattr(similarity, "similar_pairs", None)
     got = similarity.greedy_by_vector(rows, 0.6, heads=heads).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and 5 < sum(r.kept for r in got) < 100
+
+
+def test_copies_of_regulations_do_not_grow_with_regulators(spark):
+    held = lambda n: spark.range(n).select((F.col("id") % 3).cast("string").alias("event_id"), F.concat(F.lit("r"), "id").alias("_rid"))
+    blocks = lambda n: build._blocks(held(n), 10).agg(F.sum("_blocks")).first()[0]
+    most = build.ENFORCING * build._tasks(held(1)) + 3
+    assert blocks(300) == 30 and blocks(30_000) <= most and blocks(90_000) <= most
+    rules = spark.range(12).select((F.col("id") % 3).cast("string").alias("event_id"), "id")
+    met = build._dealt(rules, held(3000), 10).select("event_id", "id", "_rid")
+    assert met.count() == met.distinct().count() == 12 * 1000
