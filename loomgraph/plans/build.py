@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.text import match_key, nz, source_doc_id, stable_id
 from loomgraph.functions.vocab import STAKEHOLDERS
 from loomgraph.operators.merge import dedup_edges
+from loomgraph.operators.rounds import stored
 
 EVIDENCE = "array<struct<evidence_id:string,evidence_sentence:string,source_doc_id:string,confidence:double>>"
 NODE = ["event_id", "pos", "id", "name", "entity_type", "description", "evidence", "extraction_mode", "confidence", "support_count", "source_doc_ids", "attributes", "reasoning"]
@@ -88,11 +89,17 @@ def incidents(reports: DataFrame) -> DataFrame:
     titled = nz(F.col("title"))
     short = F.when(titled.isNotNull() & (words >= 4), F.struct(words.alias("w"), F.col("pos").alias("p")))
     proof = F.when(titled.isNotNull(), F.struct(F.col("pos").alias("p"), evidence_of(F.col("title"), F.col("doc_id"), F.lit(1.0))[0].alias("e")))
-    rows = reports.groupBy("event_id").agg(
-        F.min_by("title", short).alias("_name"),
-        F.transform(F.slice(F.array_sort(F.collect_list(proof)), 1, 5), lambda s: s["e"]).alias("_proof"),
+    # places are compared, titles, which may be whole texts, are taken from the chosen ones alone
+    first = F.slice(F.array_sort(F.collect_list(F.when(titled.isNotNull(), F.struct(F.col("pos").alias("p"))))), 1, 5)
+    whole = stored(reports.groupBy("event_id").agg(
+        first.alias("_first"), F.min(short).alias("_short"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda s: s["doc_id"]).alias("_docs"),
-    )
+    ), "places")
+    short_one = F.when(F.col("_short").isNotNull(), F.array(F.struct(F.col("_short.p").alias("p")))).otherwise(F.slice("_first", 1, 0))
+    place = stored(whole.select(F.col("event_id").alias("_e"), F.explode(F.array_distinct(F.concat("_first", short_one)))).select("_e", F.col("col.p").alias("_p")), "chosen")
+    few = reports.select("event_id", "pos", "title", "doc_id").join(place, F.col("event_id").eqNullSafe(F.col("_e")) & F.col("pos").eqNullSafe(F.col("_p")), "left_semi")
+    told = few.groupBy("event_id").agg(F.min_by("title", short).alias("_name"), F.transform(F.slice(F.array_sort(F.collect_list(proof)), 1, 5), lambda s: s["e"]).alias("_proof"))
+    rows = whole.select("event_id", "_docs").join(told, "event_id", "left").withColumn("_proof", F.coalesce("_proof", no_evidence()))
     return make_nodes(
         rows, id=F.col("event_id"), name=F.coalesce("_name", "event_id"), entity_type=F.lit("AIRiskIncident"), description=F.col("event_id"),
         evidence=F.col("_proof"), extraction_mode=F.lit("completed"), confidence=F.lit(1.0), source_doc_ids=F.col("_docs"),
@@ -354,7 +361,8 @@ def build_graphs(reports: DataFrame, entities: DataFrame, slots: DataFrame, infe
 
     `attributes` of systems (event_id, attribute, value, confidence) go onto each event's primary one.
     """
-    incident = incidents(reports)
+    # joined to every report: stored, it is small enough to be seen as such
+    incident = stored(incidents(reports), "incidents")
     if attributes is not None:
         entities = with_system_attributes(entities, attributes)
     n1, e1 = report_nodes(reports, incident)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.encode import encoded
+from loomgraph.functions.encode import name_vector
 from loomgraph.functions.vocab import constraints
 from loomgraph.operators import merge, package, validate
 from loomgraph.operators.rounds import settle
@@ -32,9 +32,9 @@ class Providers:
     labels: DataFrame | None = None
 
 
-def label_vectors(reports: DataFrame, given: Providers) -> DataFrame:
-    """(name, vector) of the labels of reports: what the providers give, else the local encoder's."""
-    return given.labels if given.labels is not None else encoded(reports.select(package.label(reports).alias("name")))
+def label_vectors(given: Providers) -> DataFrame | Callable[[Column], Column]:
+    """(name, vector) of the labels of reports: what the providers give, else the local encoder, which needs no table."""
+    return given.labels if given.labels is not None else name_vector
 
 
 def violations(nodes: DataFrame, edges: DataFrame, reports: DataFrame, evidence: bool = True) -> DataFrame:
@@ -60,7 +60,7 @@ def run_events(reports: DataFrame, given: Providers, variant: str = "full", onto
     """
     flags = experiment(variant)
     spark = reports.sparkSession
-    packed = package.evidence_package(reports, given.entities, label_vectors(reports, given))
+    packed = package.evidence_package(reports, given.entities, label_vectors(given))
     chosen = settle(packed.reports)
     fallback = chosen.groupBy("event_id").agg(F.min_by("doc_id", "rank").cast("string").alias("_fallback"))
     if flags["aggregation"]:

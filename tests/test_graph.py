@@ -212,3 +212,19 @@ def test_copies_of_regulations_do_not_grow_with_regulators(spark):
     rules = spark.range(12).select((F.col("id") % 3).cast("string").alias("event_id"), "id")
     met = build._dealt(rules, held(3000), 10).select("event_id", "id", "_rid")
     assert met.count() == met.distinct().count() == 12 * 1000
+
+
+def test_titles_of_an_incident_are_not_moved(spark):
+    """Of 300 long titles the first five and the shortest leave their tasks."""
+    def shuffled():
+        context = spark.sparkContext
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    long = F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 512) for i in range(16)])
+    title = F.when(F.col("id") == 200, "of no more words").when(F.col("id") % 10 > 0, long)
+    rows = spark.range(300).select(F.lit("e").alias("event_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("doc_id"), title.alias("title"))
+    before = shuffled()
+    (got,) = build.incidents(rows).collect()
+    assert got.name == "of no more words" and [e.source_doc_id for e in got.evidence] == ["1", "2", "3", "4", "5"] and len(got.source_doc_ids) == 300
+    assert shuffled() - before < 100_000

@@ -112,3 +112,14 @@ def test_far_parts_of_long_names_need_not_be_asked(spark, monkeypatch):
     rows = [("k", "common words and then rare", 0), ("k", "say common words and then rare", 1), ("k", "common words alone", 2), ("k", "words", 3)]
     got = {r.name: r.alias_of for r in package.alias_targets(spark.createDataFrame(rows, "kind string, name string, pos long")).collect()}
     assert got == {"common words and then rare": "say common words and then rare", "words": "say common words and then rare"}
+
+
+def test_labels_are_not_moved(spark):
+    """Titles that are whole texts are brought to vectors where they are read; the choice is that of a table of vectors."""
+    docs = spark.range(400).select((F.col("id") % 3).cast("string").alias("event_id"), F.col("id").alias("doc_id"), F.col("id").alias("pos"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("title "), F.sha2((F.col("id") % 50).cast("string"), 256))).alias("title"), F.lit("text").alias("content"))
+    docs = docs.withColumns({"source_name": F.lit("s"), "language": F.lit("en"), "publish_time": F.lit(None).cast("string")})
+    meta, names = package.event_metadata(docs), docs.select("event_id", F.lit("none such").alias("name"))
+    chosen = lambda vectors: sorted(map(tuple, package.chosen_reports(docs, meta, names, vectors).collect()))
+    assert chosen(encode.name_vector) == chosen(encode.encoded(docs.select(F.col("title").alias("name"))))
+    rows = package.labelled(docs, encode.name_vector)
+    assert {r.name for r in rows.collect()} == {"", None} and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
